@@ -219,7 +219,6 @@ def near_duplicates(documents: DataFrame, plan: NearDupPlan = NearDupPlan()) ->
     members = work.table(named.select("doc_id", "n", "d1", "d2").join(reps, ["d1", "d2"]).select("doc_id", "n", "rep"), "members")
     firsts = members.where("doc_id = rep").select("rep").distinct()
     classes = work.table(sketched.select(F.col("doc_id").alias("rep"), "n", "bands", "d1", "d2").join(firsts, "rep", "left_semi").where("n > 0").dropDuplicates(["rep", "d1", "d2"]).drop("d1", "d2"), "classes")
-    work.drop("sketches.none")
 
     banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     hubs = banded.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, sharding, toxicity
+from . import neardup, packing, quality, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,9 +27,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_query(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op8_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharding_query(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_vector_packing, op4_toxicity, op8_histogram_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_vector_packing, op4_toxicity, op5_hyperminhash_neardup, op8_histogram_sharding)}
 ORACLE_SQL: dict[str, str] = {}
