@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, packing, quality, sharding, toxicity
+from . import decontamination, neardup, packing, pii, quality, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,9 +31,17 @@ def op5_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op7_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_query(_read(spark, sf_dir, "documents"))
+
+
+def op9_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontamination_query(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op8_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharding_query(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_vector_packing, op4_toxicity, op5_hyperminhash_neardup, op8_histogram_sharding)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_vector_packing, op4_toxicity, op5_hyperminhash_neardup, op7_pii_crf, op8_histogram_sharding, op9_benchmark_containment)}
+ORACLE_SQL: dict[str, str] = {"op9_benchmark_containment": decontamination.ORACLE}
