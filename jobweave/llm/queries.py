@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, neardup, packing, pii, quality, sharding, toxicity
+from . import ann, decontamination, neardup, packing, pii, quality, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,5 +43,9 @@ def op8_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharding_query(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_vector_packing, op4_toxicity, op5_hyperminhash_neardup, op7_pii_crf, op8_histogram_sharding, op9_benchmark_containment)}
+def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.ann_query(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_vector_packing, op4_toxicity, op5_hyperminhash_neardup, op7_pii_crf, op8_histogram_sharding, op9_benchmark_containment, op10_learned_partitions)}
 ORACLE_SQL: dict[str, str] = {"op9_benchmark_containment": decontamination.ORACLE}
