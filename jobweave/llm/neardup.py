@@ -5,13 +5,13 @@ Every register keeps the smallest hash under its own permutation as a leading-ze
 the leading one, so small sets leave no register empty and 160 registers take 320 bytes. Four registers make a band.
 
 1. Documents with equal sets form classes; one representative of each goes on.
-2. Representatives that share a band are linked to the smallest one there (a star, not all pairs). Candidates whose
-   estimate, corrected for accidental register collisions, is far below the threshold go; the others are verified on
-   their whole sets.
-3. Bands that still join different components give the pairs between these components, in blocks where a band is
-   crowded; they are estimated and verified alike. So any two documents that share a band are either in one component
-   already or compared, and no link is lost but by sharing none of 40 bands, which at the threshold happens to about
-   3 pairs in 10 million.
+2. In every band bucket the members are compared with one hub (a star, not all pairs), the one that shares most bands in
+   all; a second round takes the next hub wherever a bucket still holds several components. Candidates whose estimate,
+   corrected for accidental register collisions, is far below the threshold go; the others are verified on whole sets.
+3. The members of buckets that still hold several components are compared across components, on whole sets and in
+   blocks that an exact prefix filter names. So any two documents that share a band are either in one component already
+   or compared, and no link is lost but by sharing none of 40 bands, which at the threshold happens to about 3 pairs in
+   10 million.
 
 Null and blank texts have empty sets, are linked with nothing and are kept. Rows that repeat a doc_id with the same set
 are one class. Rows without a doc_id take no part: their component is null and they are kept.
@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +41,7 @@ class NearDupPlan:
     rows: int = 4
     mantissa: int = 10
     deviations: float = 5.0
+    star_rounds: int = 2
     block: int = 256
     fan_in: int = 512
 
@@ -180,32 +180,82 @@ def verified(pairs: DataFrame, documents: DataFrame, plan: NearDupPlan) -> DataF
     return left.join(hubs, ["b", "salt"]).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def crossing(buckets: DataFrame, plan: NearDupPlan) -> DataFrame:
-    """Pairs of members of a bucket that lie in different components; `buckets` has band, key, rep, n, bands, component, size.
+def crossing(open_: DataFrame, documents: DataFrame, work: Workspace, plan: NearDupPlan) -> DataFrame:
+    """All links between different components among the documents of `open_` (rep, component, hub).
 
-    Members are dealt into blocks, and each pair of blocks is compared on the registers by numpy, so no task grows with
-    a bucket; only pairs with a promising estimate come out.
+    An exact prefix filter finds, for each document, the blocks of documents to compare it with. Shingles are ordered by
+    whether they occur in several components and then by how many sets hold them; of n shingles, any partner of enough
+    overlap holds one of the first n - ceil(n percent) + 1. Blocks hold documents of one component, or single ones that
+    share a hub, so a document meets a crowd of alike ones block by block: pairs are compared on whole sets inside a
+    task and only links come out, however many alike but unlinked documents there are.
     """
-    least = least_estimate(plan)
-    blocks = F.ceil(F.col("size") / plan.block).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = buckets.withColumn("blocks", blocks).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "bands", "component")
-
-    def compare(t: pd.DataFrame) -> pd.DataFrame:
-        regs = np.ascontiguousarray(np.stack(t["bands"].to_numpy())).view(np.uint16)
-        rep, n, comp, own = (t[c].to_numpy() for c in ("rep", "n", "component", "own"))
-        one = t["i"].iloc[0] == t["j"].iloc[0]
-        found = []
-        for k in range(len(t)):
-            others = np.flatnonzero((comp != comp[k]) & (100 * np.minimum(n, n[k]) >= plan.percent * np.maximum(n, n[k])) & ((rep > rep[k]) if one else (own > own[k])))
-            if len(others):
-                good = estimate((regs[others] == regs[k]).sum(axis=1), n[others], np.full(len(others), n[k]), plan) >= least
-                found += [(max(rep[k], x), min(rep[k], x)) for x in rep[others[good]]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
-
-    return dealt.groupBy("band", "key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, stop, data, offsets in slices(batch.column("text")):
+                values, bounds = shingles(find_words(data, offsets))
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
+                own = batch.slice(row, stop - row)
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("rep", "component", "members", "block")), lists], ["rep", "component", "members", "block", "set"])
+
+    grown = open_.groupBy("component").agg(F.count("*").alias("members"))
+    homes = open_.join(grown, "component").withColumn("home", F.when(F.col("members") > 1, F.col("component")).otherwise(-1 - F.col("hub")))
+    crowd = homes.groupBy("home").agg(F.ceil(F.count("*") / plan.block).alias("blocks"))
+    dealt = homes.join(crowd, "home").select("rep", "component", "members", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("block"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").join(dealt, "rep").select("rep", "component", "members", "block", "text")
+    sets = work.table(texts.mapInArrow(run, "rep long, component long, members long, block long, set array<long>").withColumn("n", F.size("set")), "sets")
+
+    each = sets.select("rep", "component", "members", "block", "n", F.explode("set").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count("*").alias("held"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle", "held")
+    ordered = each.join(common, "shingle").groupBy("rep", "component", "members", "block", "n").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("common"))
+    # n - ceil(n percent / 100) + 1, less the shingles of one component only, which come first
+    room = F.col("n") - F.ceil(F.col("n") * plan.percent / 100) + 1 - (F.col("n") - F.size("common"))
+    prefix = ordered.withColumn("room", room.cast("int")).where("room > 0")
+    prefix = work.table(prefix.select("rep", "component", "members", "block", "n", F.explode(F.slice("common", F.lit(1), F.col("room"))).alias("s")).select("rep", "component", "members", "block", "n", F.col("s.shingle").alias("shingle")), "prefix")
+
+    held = prefix.groupBy("shingle", "block").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("members").alias("most"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    asked = prefix.select("rep", "component", "members", "n", "shingle").join(held, "shingle")
+    other = (F.col("x") != F.col("component")) | (F.col("y") != F.col("component"))
+    sized = (100 * F.col("most_n") >= plan.percent * F.col("n")) & (100 * F.col("n") >= plan.percent * F.col("least_n"))
+    asked = asked.where(other & sized & (F.col("most") >= F.col("members"))).select("rep", "block").distinct()
+    wanted = asked.select("block").distinct()
+    left = asked.join(sets.select("rep", "component", "set"), "rep").select("block", "rep", "component", "set")
+    right = sets.join(wanted, "block", "left_semi").select("block", "rep", "component", "set").toDF("block", "of", "in", "held")
+
+    def compare(queries: pa.Table, members: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if queries.num_rows and members.num_rows:
+            held = members.column("held").combine_chunks()
+            flat, sizes = held.flatten().to_numpy(), held.value_lengths().to_numpy()
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            rep, component = members.column("of").to_numpy(), members.column("in").to_numpy()
+            for x, c, own in zip(queries.column("rep").to_numpy(), queries.column("component").to_numpy(), queries.column("set").combine_chunks(), strict=True):
+                own = own.values.to_numpy()
+                lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+                counts = hi - lo
+                total = int(counts.sum())
+                if total:
+                    at = np.repeat(lo - (np.cumsum(counts) - counts), counts) + np.arange(total)
+                    shared = np.bincount(owner[at], minlength=len(sizes))
+                    linked = (100 * shared >= plan.percent * (len(own) + sizes - shared)) & (component != c)
+                    found += [(int(x), int(y)) for y in rep[linked]]
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(compare, "a long, b long")
+
+
+def _labelled(shared: DataFrame, component: DataFrame) -> DataFrame:
+    """Members of the buckets with the component of each."""
+    return shared.join(component, shared["rep"] == component["node"], "left").drop("node").withColumn("component", F.coalesce("component", "rep"))
+
+
+def _open(labelled: DataFrame) -> DataFrame:
+    """Members of the buckets that still hold several components."""
+    several = labelled.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "key")
+    return labelled.join(several, ["band", "key"], "left_semi")
 
 
 def near_duplicates(documents: DataFrame, plan: NearDupPlan = NearDupPlan()) -> DataFrame:
@@ -221,20 +271,42 @@ def near_duplicates(documents: DataFrame, plan: NearDupPlan = NearDupPlan()) ->
     classes = work.table(sketched.select(F.col("doc_id").alias("rep"), "n", "bands", "d1", "d2").join(firsts, "rep", "left_semi").where("n > 0").dropDuplicates(["rep", "d1", "d2"]).drop("d1", "d2"), "classes")
 
     banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    hubs = banded.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    shared = work.table(banded.join(hubs, ["band", "key"]), "shared")
-    stars = shared.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    links = work.table(verified(promising(stars, classes, plan), documents, plan), "links-0")
-    found = work.table(connected_components(links, work, "round-0"), "components-0")
-
-    # buckets that still hold several components
-    labelled = shared.join(found, shared["rep"] == found["node"], "left").select("band", "key", "rep", "size", F.coalesce("component", "rep").alias("component"))
-    open_ = labelled.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "key")
-    crowded = labelled.join(open_, ["band", "key"], "left_semi").join(classes, "rep")
-    cross = work.table(crossing(crowded, plan), "cross")
-    more = work.table(verified(cross.join(stars, ["a", "b"], "left_anti"), documents, plan), "links-1")
-    work.drop("shared", "classes", "cross")
-    component = work.table(connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), work, "round-1"), "components-1")
+    crowds = banded.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = work.table(banded.join(crowds, ["band", "key"]), "shared")
+    # an original shares more bands with its altered copies than they do with each other: it makes the better hub
+    degree = shared.groupBy("rep").agg(F.sum("size").alias("degree"))
+    shared = work.table(shared.join(degree, "rep"), "ranked")
+    work.drop("shared")
+    best = F.max(F.struct("degree", (-F.col("rep")).alias("last")))
+
+    component = tested = used = None
+    for k in range(plan.star_rounds):
+        labelled = shared if component is None else _labelled(shared, component)
+        candidates = shared if used is None else _open(labelled).join(used, ["band", "key", "rep"], "left_anti")
+        hubs = work.table(candidates.groupBy("band", "key").agg(best.alias("best")).select("band", "key", (-F.col("best.last")).alias("rep")), f"hubs-{k}")
+        used = hubs if used is None else used.union(hubs)
+        ends = hubs.withColumnRenamed("rep", "hub")
+        if component is not None:
+            ends = ends.join(component.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")), "hub", "left").withColumn("hub_component", F.coalesce("hub_component", "hub"))
+        stars = labelled.join(ends, ["band", "key"]).where("rep <> hub")
+        if component is not None:
+            stars = stars.where("component <> hub_component")
+        # the smaller id stands second only for pairs to be recognised; texts go by the hub
+        stars = stars.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+        if tested is not None:
+            stars = stars.join(tested.union(tested.select("b", "a")), ["a", "b"], "left_anti")
+        stars = work.table(stars, f"stars-{k}")
+        tested = stars if tested is None else tested.union(stars)
+        links = work.table(verified(promising(stars, classes, plan), documents, plan), f"links-{k}")
+        if component is not None:
+            links = links.union(component.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        component = work.table(connected_components(links, work, f"round-{k}"), f"components-{k}")
+
+    rest = _open(_labelled(shared, component)).join(used.withColumnRenamed("rep", "hub"), ["band", "key"])
+    rest = work.table(rest.groupBy("rep", "component").agg(F.min("hub").alias("hub")), "open")
+    more = work.table(crossing(rest, documents, work, plan), "links-more")
+    component = work.table(connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), work, "last"), "components")
+    work.drop("ranked", "classes", "open", "sets", "prefix", *(f"{x}-{k}" for x in ("hubs", "stars") for k in range(plan.star_rounds)))
 
     grouped = members.join(component, members["rep"] == component["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     alone = sketched.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
