@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontamination, neardup, packing, pii, quality, sharding, toxicity
+from . import ann, decontamination, linededup, neardup, packing, pii, quality, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_query(_read(spark, sf_dir, "documents"))
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup_query(_read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_query(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -47,5 +51,5 @@ def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.ann_query(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_vector_packing, op4_toxicity, op5_hyperminhash_neardup, op7_pii_crf, op8_histogram_sharding, op9_benchmark_containment, op10_learned_partitions)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_vector_packing, op3_line_templates, op4_toxicity, op5_hyperminhash_neardup, op7_pii_crf, op8_histogram_sharding, op9_benchmark_containment, op10_learned_partitions)}
 ORACLE_SQL: dict[str, str] = {"op9_benchmark_containment": decontamination.ORACLE}
