@@ -1,29 +1,59 @@
-"""The corpus pipeline: toxicity, line dedup, near-duplicates, benchmark decontamination, packing."""
+"""The corpus pipeline: toxicity, line dedup, near-duplicates, benchmark decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame; all but the last
+return the columns of documents. What a stage rejects is gone for the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobweave.llm import packing, toxicity
+from jobweave.llm import decontamination, linededup, neardup, packing, toxicity
+from jobweave.llm.workspace import Workspace
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the counterfactual-regularised classifier does not predict to be toxic."""
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less the lines of templates that recur across documents; one of nothing but such lines goes."""
+    return linededup.without_recurring_lines(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return neardup.without_near_duplicates(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontamination.without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in sequences of at most 4096 tokens."""
     return packing.packing_query(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_recurring_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_benchmark),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents, each written as Parquet in the shared folder and read again as the next one's input."""
+    work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = work.table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Scores of a trained model and token ids are beyond SQL.
+#: Scores of a trained model and token ids are beyond SQL; the stages are tested against brute-force versions.
 ORACLE_SQL = None

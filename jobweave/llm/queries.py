@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontamination, linededup, neardup, packing, pii, quality, sharding, toxicity
+from . import ann, decontamination, linededup, neardup, packing, pii, quality, sharding, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def op5_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_query(_read(spark, sf_dir, "documents"))
+
+
 def op7_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_query(_read(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.ann_query(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_vector_packing, op3_line_templates, op4_toxicity, op5_hyperminhash_neardup, op7_pii_crf, op8_histogram_sharding, op9_benchmark_containment, op10_learned_partitions)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_vector_packing, op3_line_templates, op4_toxicity, op5_hyperminhash_neardup, op6_suffix_array_dedup, op7_pii_crf, op8_histogram_sharding, op9_benchmark_containment, op10_learned_partitions)}
 ORACLE_SQL: dict[str, str] = {"op9_benchmark_containment": decontamination.ORACLE}
