@@ -1,0 +1 @@
+"""A PySpark-native analytics engine for job-posting corpora and training-data pipelines."""
