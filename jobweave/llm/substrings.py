@@ -39,9 +39,9 @@ LAST = 2**63 - 1
 class SubstringPlan:
     length: int = 50
     gram: int = 20
-    anchors_per_bucket: int = 4_000_000
-    anchors_per_window: int = 2_000_000
-    stretch_bytes: int = 48 << 20
+    anchors_per_bucket: int = 750_000
+    anchors_per_window: int = 1_000_000
+    stretch_bytes: int = 12 << 20
     shard_bytes: int = 2 << 20
     hash_bits: int = 48
 
@@ -222,7 +222,9 @@ class WindowTable:
 def repeated_windows(data: np.ndarray, bounds: np.ndarray, ids: np.ndarray, plan: SubstringPlan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One shard: for each window of the stretches, its group among equal ones (by suffix array and common prefixes); hash and least id of each group."""
     order, _ = suffix_array(data, plan.length)
-    lcp = kasai(data, order, bounds[:-1], bounds[1:], plan.length)
+    # long stretches (of periodic text) are followed in pieces, so that none keeps the others waiting
+    starts = np.concatenate([np.arange(a, b, 128) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]) if np.diff(bounds).max() > 128 else bounds[:-1]
+    lcp = kasai(data, order, starts, np.append(starts[1:], len(data)), plan.length)
     sizes = np.diff(bounds)
     stretch = np.repeat(np.arange(len(sizes)), sizes)
     room = bounds[1:][stretch] - np.arange(len(data)) >= plan.length
