@@ -61,10 +61,10 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, plan: TrainingPlan)
 
 
 class Leader:
-    """Per-coordinate follow-the-regularised-leader (proximal) logistic regression over 2**bits buckets; bucket 0 is the bias."""
+    """Per-coordinate follow-the-regularised-leader (proximal) logistic regression over so many features."""
 
-    def __init__(self, plan: TrainingPlan):
-        self.plan, self.z, self.n = plan, np.zeros(1 << plan.bits), np.zeros(1 << plan.bits)
+    def __init__(self, plan: TrainingPlan, size: int):
+        self.plan, self.z, self.n = plan, np.zeros(size), np.zeros(size)
 
     def weights(self, at: np.ndarray) -> np.ndarray:
         p, z = self.plan, self.z[at]
@@ -91,11 +91,11 @@ class Leader:
 
 def fit(rows: list[tuple[bytes, int]], plan: TrainingPlan, features: Features, counterfactual: Counterfactual | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Non-zero weights (buckets, values). Classes weigh alike in all; without rows of both classes the score is constant."""
-    model, cases, pairs = Leader(plan), [], []
+    cases, pairs = [], []
 
     def of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         at, x, _ = features(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-        return at, x
+        return at.astype(np.int32), x.astype(np.float32)
 
     sizes = np.bincount([y for _, y in rows], minlength=2)
     for place, (text, y) in enumerate(rows):
@@ -105,20 +105,29 @@ def fit(rows: list[tuple[bytes, int]], plan: TrainingPlan, features: Features, c
         if swapped is not None:
             at2, x2 = of(swapped)
             both = np.union1d(at, at2)
-            gap = np.zeros(len(both))
+            gap = np.zeros(len(both), np.float32)
             gap[np.searchsorted(both, at)] += x
             gap[np.searchsorted(both, at2)] -= x2
             pairs.append((both[gap != 0], gap[gap != 0]))
         else:
             pairs.append(None)
-    order = np.random.Generator(np.random.PCG64(1))
+    # the features that occur, numbered without gaps
+    seen = np.zeros(1 << plan.bits, bool)
+    for own in [*cases, *(p for p in pairs if p is not None)]:
+        seen[own[0]] = True
+    used = np.flatnonzero(seen)
+    del seen
+    small = lambda at: np.searchsorted(used, at).astype(np.int32)
+    cases = [(small(at), *rest) for at, *rest in cases]
+    pairs = [p and (small(p[0]), p[1]) for p in pairs]
+    model, order = Leader(plan, len(used)), np.random.Generator(np.random.PCG64(1))
     for _ in range(plan.epochs):
         for k in order.permutation(len(cases)):
             model.learn(*cases[k])
             if pairs[k] is not None and len(pairs[k][0]):
                 model.pair(*pairs[k])
-    at = np.flatnonzero(np.abs(model.z) > plan.l1)
-    return at, model.weights(at)
+    kept = np.flatnonzero(np.abs(model.z) > plan.l1)
+    return used[kept], model.weights(kept)
 
 
 def fitted(documents: DataFrame, labels: DataFrame, plan: TrainingPlan, features: Features, counterfactual: Counterfactual | None = None) -> tuple[np.ndarray, np.ndarray]:
