@@ -6,7 +6,8 @@
    equal anchors. Anchors that occur in two different texts are found by one exchange, sent compressed and once or twice
    for each map window however often they occur. Windows under any other anchor are unique and are done with.
 3. The stretches of windows under one shared anchor are dealt by the anchor's hash, so equal windows meet in one place.
-   There equal stretches are told apart once, and the different ones go to shards of bounded size; each builds its suffix
+   There equal stretches become one; those that may share a window with another (by window hashes) go to shards of
+   bounded size, by ascending id. Each shard builds its suffix
    array (Larsson-Sadakane refinement to 50 bytes) and common prefixes (Kasai), whose runs of 50 and more are the
    repeated windows. Shards are merged by binary search of their windows in the sorted windows of the shards before.
 4. Removed ranges go back to their documents, which are cut.
@@ -82,7 +83,7 @@ def _unpack(blob: bytes, kind) -> np.ndarray:
 
 
 def shared_anchors(rows: DataFrame, buckets: int, plan: SubstringPlan) -> DataFrame:
-    """(k1, anchors): for every text (told by k1) its anchors that another text has too, possibly in several rows. `rows` has k1, text."""
+    """(k1, anchors): for every text (told by k1) its anchors that another text has too. `rows` has k1, text."""
     shift = _U(64 - plan.hash_bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +150,16 @@ def shared_anchors(rows: DataFrame, buckets: int, plan: SubstringPlan) -> DataFr
             out_h.append(h[mine])
             out_k.append(k[mine])
         h, k = (np.concatenate(x) if x else np.zeros(0, _U) for x in (out_h, out_k))
+        home = (mix(k) % _U(buckets)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        h, k, home = h[order], k[order], home[order]
+        edges = np.searchsorted(home, np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(edges))
+        cut = lambda x: [x[edges[p] : edges[p + 1]].tobytes() for p in full]
+        return pa.table({"home": pa.array(full, pa.int32()), "texts": pa.array(cut(k), pa.binary()), "hashes": pa.array(cut(h), pa.binary())})
+
+    def gather(group: pa.Table) -> pa.Table:
+        k, h = (np.concatenate([np.frombuffer(x, _U) for x in group.column(c).to_pylist()]) for c in ("texts", "hashes"))
         order = np.argsort(k, kind="stable")
         h, k = h[order], k[order]
         starts = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
@@ -156,7 +167,8 @@ def shared_anchors(rows: DataFrame, buckets: int, plan: SubstringPlan) -> DataFr
         return pa.table({"k1": pa.array(k[starts].view(np.int64)), "anchors": lists})
 
     sent = rows.mapInArrow(send, "bucket int, hashes binary, owners binary, texts binary, known boolean")
-    return sent.groupBy("bucket").applyInArrow(meet, "k1 long, anchors array<long>")
+    met = sent.groupBy("bucket").applyInArrow(meet, "home int, texts binary, hashes binary")
+    return met.groupBy("home").applyInArrow(gather, "k1 long, anchors array<long>")
 
 
 def dealt_stretches(texts: DataFrame, parts: int, plan: SubstringPlan) -> DataFrame:
@@ -254,7 +266,14 @@ def removed_windows(group: pa.Table, plan: SubstringPlan) -> pa.Table:
     ids, tids, starts = np.concatenate(ids), np.concatenate(tids), np.concatenate(starts)
     bounds = np.concatenate([[0], np.cumsum(size)])
     # equal stretches from different tasks become one
-    content = np.concatenate([range_hash(prefix_hash(b), np.cumsum(s) - s, np.cumsum(s)) for b, s in zip(blobs, [x.astype(np.int64) for x in sizes], strict=True)])
+    content, seen = [], []
+    for blob, own in zip(blobs, sizes, strict=True):
+        own = own.astype(np.int64)
+        sums, stops, room = prefix_hash(blob), np.cumsum(own), own - plan.length + 1
+        content.append(range_hash(sums, stops - own, stops))
+        at = np.repeat(stops - own - (np.cumsum(room) - room), room) + np.arange(room.sum())
+        seen.append(range_hash(sums, at, at + plan.length))
+    content, seen = np.concatenate(content), np.concatenate(seen)
     del blobs
     _, head, same = np.unique(content, return_index=True, return_inverse=True)
     member = np.repeat(same, count)
@@ -262,9 +281,22 @@ def removed_windows(group: pa.Table, plan: SubstringPlan) -> pa.Table:
     np.minimum.at(least, member, ids)
     windows = size[head] - plan.length + 1
     offset = np.concatenate([[0], np.cumsum(windows)])
-    hashes = np.zeros(offset[-1], _U)
+    before = np.concatenate([[0], np.cumsum(size - plan.length + 1)])
+    # a window of one stretch only has the stretch's smallest id; the other stretches go to the suffix arrays
+    first = np.repeat(least, windows)
+    seen = seen[np.repeat(before[head] - offset[:-1], windows) + np.arange(offset[-1])]
+    order = np.argsort(seen)
+    owner = np.repeat(np.arange(len(head)), windows)[order]
+    new = np.append(True, seen[order[1:]] != seen[order[:-1]])
+    runs = np.flatnonzero(new)
+    several = np.minimum.reduceat(owner, runs) != np.maximum.reduceat(owner, runs)
+    crossed = np.zeros(len(head), bool)
+    crossed[owner[np.repeat(several, np.diff(np.append(runs, len(owner))))]] = True
+    del seen, order, owner, new, runs, several
+    hashes, wanted = np.zeros(offset[-1], _U), np.repeat(crossed, windows)
     table = WindowTable()
     by = np.argsort(least, kind="stable")
+    by = by[crossed[by]]
     at = 0
     while at < len(by):
         stop = at + max(1, int(np.searchsorted(np.cumsum(size[head[by[at:]]]), plan.shard_bytes, "right")))
@@ -272,11 +304,12 @@ def removed_windows(group: pa.Table, plan: SubstringPlan) -> pa.Table:
         at = stop
         n = size[head[own]]
         take = np.repeat(bounds[head[own]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        groups, h, first = repeated_windows(data[take], np.concatenate([[0], np.cumsum(n)]), least[own], plan)
-        table.merge(h, first)
+        groups, h, low = repeated_windows(data[take], np.concatenate([[0], np.cumsum(n)]), least[own], plan)
+        table.merge(h, low)
         w = windows[own]
         hashes[np.repeat(offset[own] - (np.cumsum(w) - w), w) + np.arange(w.sum())] = h[groups]
-    first = table.least[table.find(hashes)[0]] if len(hashes) else np.zeros(0, np.int64)
+    if wanted.any():
+        first[wanted] = table.least[table.find(hashes[wanted])[0]]
     # members in turn: each window of each, in blocks that bound the memory
     out_t, out_a, out_b = [], [], []
     n = windows[member]
@@ -320,8 +353,7 @@ def remove_repeats(documents: DataFrame, plan: SubstringPlan = SubstringPlan())
 
     flagged = shared_anchors(keyed.where(F.octet_length("text") >= plan.length).select("k1", "text"), buckets, plan)
     flagged = work.table(flagged, "anchors")
-    anchors = flagged.groupBy("k1").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
-    chosen = firsts.join(anchors, "k1").select("k1", "k2", F.col("first").alias("id"), "anchors")
+    chosen = firsts.join(flagged, "k1").select("k1", "k2", F.col("first").alias("id"), "anchors")
     texts = keyed.select("k1", "k2", "id", "text").join(chosen, ["k1", "k2", "id"]).dropDuplicates(["k1", "k2"])
     # k1 names a text among those with shared anchors unless two collide; the second hash keeps them apart
     texts = work.table(texts.select(F.xxhash64("k1", "k2").alias("tid"), "k1", "k2", "id", "text", "anchors"), "texts")
