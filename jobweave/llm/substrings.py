@@ -42,7 +42,7 @@ class SubstringPlan:
     gram: int = 20
     anchors_per_bucket: int = 750_000
     anchors_per_window: int = 1_000_000
-    stretch_bytes: int = 12 << 20
+    stretch_bytes: int = 8 << 20
     shard_bytes: int = 2 << 20
     hash_bits: int = 48
 
@@ -180,7 +180,7 @@ def dealt_stretches(texts: DataFrame, parts: int, plan: SubstringPlan) -> DataFr
         for batch in batches:
             tid, ids = batch.column("tid").to_numpy(), batch.column("id").to_numpy()
             column = batch.column("anchors")
-            for row, stop, data, offsets in slices(batch.column("text"), 4 << 20):
+            for row, stop, data, offsets in slices(batch.column("text"), 2 << 20):
                 anchor, text, first, last, sums = stretches(data, offsets, plan)
                 lists = column.slice(row, stop - row)
                 owner = np.repeat(np.arange(stop - row), lists.value_lengths().to_numpy(zero_copy_only=False))
@@ -255,8 +255,8 @@ def repeated_windows(data: np.ndarray, bounds: np.ndarray, ids: np.ndarray, plan
     return of_position[room], range_hash(sums, head, head + plan.length), least
 
 
-def removed_windows(group: pa.Table, plan: SubstringPlan) -> pa.Table:
-    """All stretches of one part: for each text the ranges of windows that also start under a smaller id."""
+def removed_windows(group: pa.Table, parts: int, plan: SubstringPlan) -> pa.Table:
+    """All stretches of one part: the ranges of windows that also start under a smaller id, dealt by text into blobs."""
     blobs, sizes, counts, ids, tids, starts = [], [], [], [], [], []
     for row in zip(*(group.column(c).to_pylist() for c in ("bytes", "sizes", "counts", "ids", "tids", "starts")), strict=True):
         blobs.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(row[0], max_output_size=1 << 31), np.uint8))
@@ -328,9 +328,20 @@ def removed_windows(group: pa.Table, plan: SubstringPlan) -> pa.Table:
         out_b.append(starts[who[ends]] + inner[ends] + plan.length)
         lo = hi
     t, a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_t, out_a, out_b))
+    home = (mix(t.view(_U)) % _U(parts)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    edges = np.searchsorted(home[order], np.arange(parts + 1))
+    full = np.flatnonzero(np.diff(edges))
+    cut = lambda x: pa.array([_pack(x[order[edges[p] : edges[p + 1]]]) for p in full], pa.binary())
+    return pa.table({"home": pa.array(full, pa.int32()), "tids": cut(t), "starts": cut(a), "stops": cut(b)})
+
+
+def gathered_ranges(group: pa.Table) -> pa.Table:
+    """The ranges of each text from all parts: tid, starts, stops."""
+    t, a, b = (np.concatenate([_unpack(x, np.int64) for x in group.column(c).to_pylist()]) for c in ("tids", "starts", "stops"))
     order = np.argsort(t, kind="stable")
     t, a, b = t[order], a[order], b[order]
-    begin = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
+    begin = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
     edge = pa.array(np.append(begin, len(t)), pa.int32())
     return pa.table({"tid": pa.array(t[begin]), "starts": pa.ListArray.from_arrays(edge, pa.array(a)), "stops": pa.ListArray.from_arrays(edge, pa.array(b))})
 
@@ -362,9 +373,8 @@ def remove_repeats(documents: DataFrame, plan: SubstringPlan = SubstringPlan())
     parts = max(1, int(repeated * (plan.length + 1 / density) / plan.stretch_bytes) + 1)
     parts = max(parts, 2 * spark.sparkContext.defaultParallelism) if repeated > 10000 else parts
 
-    ranges = dealt_stretches(texts, parts, plan).groupBy("part").applyInArrow(lambda t: removed_windows(t, plan), "tid long, starts array<long>, stops array<long>")
-    ranges = work.table(ranges, "ranges")
-    by_text = ranges.groupBy("tid").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("stops")).alias("stops"))
+    ranges = dealt_stretches(texts, parts, plan).groupBy("part").applyInArrow(lambda t: removed_windows(t, parts, plan), "home int, tids binary, starts binary, stops binary")
+    by_text = work.table(ranges.groupBy("home").applyInArrow(gathered_ranges, "tid long, starts array<long>, stops array<long>"), "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
