@@ -44,11 +44,8 @@ def templates(data: np.ndarray, offsets: np.ndarray, plan: TemplatePlan) -> tupl
     Hashes are lines x (1 + fields): the line itself and the line without each field; 0 where there is no template.
     """
     breaks = np.flatnonzero(data == 10)
-    starts = np.sort(np.concatenate([offsets[:-1], breaks + 1]))
-    # a newline that ends its text leaves an empty last line
-    text = np.searchsorted(offsets[1:], starts, "right")
-    if len(breaks):
-        text[np.searchsorted(starts, breaks + 1, "left")] = np.searchsorted(offsets[1:], breaks, "right")
+    starts = np.concatenate([offsets[:-1], breaks + 1])
+    text = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets[1:], breaks, "right")])
     order = np.lexsort((starts, text))
     starts, text = starts[order], text[order]
     ends = np.append(starts[1:] - 1, len(data))
