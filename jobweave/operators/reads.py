@@ -113,10 +113,11 @@ class Reads:
 
     def stats(self) -> DataFrame:
         """One row of counts."""
-        out = self.t("job_postings").agg(F.count("*").alias("postings"))
-        for name, value in (("vectors", ("job_embeddings", F.count("*"))), ("embedded_jobs", ("job_embeddings", F.countDistinct("job_id"))), ("scored", ("job_scores", F.count("*"))), ("applications", ("applications", F.count("*")))):
-            out = out.join(F.broadcast(self.t(value[0]).agg(value[1].alias(name))))
-        return out
+        one = lambda table, value: self.t(table).agg(value).scalar()
+        return self.t("job_postings").agg(F.count("*").alias("postings")).select(
+            "postings", one("job_embeddings", F.count("*")).alias("vectors"), one("job_embeddings", F.countDistinct("job_id")).alias("embedded_jobs"),
+            one("job_scores", F.count("*")).alias("scored"), one("applications", F.count("*")).alias("applications"),
+        )
 
     def sources(self) -> DataFrame:
         return self.t("job_postings").select("source").distinct().orderBy("source")

@@ -6,7 +6,7 @@ is never overwritten. Old snapshots stay until `vacuum`. One writer at a time is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,12 +80,10 @@ def delete_keys(current: DataFrame, gone: DataFrame, keys: list[str]) -> DataFra
 
 def with_new_ids(current: DataFrame, new: DataFrame, id_column: str = "id") -> DataFrame:
     """`new` (a small batch of writes) with ids that go on from the largest one."""
-    from pyspark.sql import Window
-
-    start = current.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("__start"))
+    start = current.agg(F.coalesce(F.max(id_column), F.lit(0))).scalar()
     order = Window.orderBy(*[c for c in new.columns if c != id_column])
-    numbered = new.withColumn("__n", F.row_number().over(order)).join(F.broadcast(start))
-    return numbered.withColumn(id_column, (F.col("__start") + F.col("__n")).cast("bigint")).drop("__n", "__start")
+    numbered = new.withColumn("__n", F.row_number().over(order))
+    return numbered.withColumn(id_column, (start + F.col("__n")).cast("bigint")).drop("__n")
 
 
 def write_partitions(df: DataFrame, sink, partitions: int = 8, page: int = 200) -> None:

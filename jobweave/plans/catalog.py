@@ -230,10 +230,9 @@ def stale_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM embeddings) AS embeddings, (SELECT count(*) FROM labels) AS labels, (SELECT count(DISTINCT source) FROM documents) AS sources, (SELECT CAST(max(ts) AS VARCHAR) FROM events) AS last_event")
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = table(spark, sf_dir, "documents").agg(F.count("*").alias("documents"), F.countDistinct("source").alias("sources"))
-    for name, value in (("embeddings", F.count("*").alias("embeddings")), ("labels", F.count("*").alias("labels")), ("events", F.max("ts").cast("string").alias("last_event"))):
-        out = out.join(F.broadcast(table(spark, sf_dir, name).agg(value)))
-    return out.select("documents", "embeddings", "labels", "sources", "last_event")
+    one = lambda name, value: table(spark, sf_dir, name).agg(value).scalar()
+    counts = table(spark, sf_dir, "documents").agg(F.count("*").alias("documents"), F.countDistinct("source").alias("sources"))
+    return counts.select("documents", one("embeddings", F.count("*")).alias("embeddings"), one("labels", F.count("*")).alias("labels"), "sources", one("events", F.max("ts").cast("string")).alias("last_event"))
 
 
 @query("SELECT DISTINCT source FROM documents ORDER BY source")
