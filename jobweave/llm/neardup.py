@@ -315,7 +315,12 @@ def near_duplicates(documents: DataFrame, plan: NearDupPlan = NearDupPlan()) ->
 
 
 def without_near_duplicates(documents: DataFrame, plan: NearDupPlan = NearDupPlan()) -> DataFrame:
-    """One document of each group, with its own columns; of rows that repeat a kept doc_id and its set, one stays."""
+    """One document of each group, with its own columns; of equal rows (doc_id and text), one stays."""
     found = near_duplicates(documents, plan)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    kept = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    again = documents.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1 and doc_id is not null").select("doc_id")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").select(*documents.columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").select(*documents.columns).union(once)

@@ -146,7 +146,7 @@ def pack_documents(documents: DataFrame, tokenizer: str | None = None, limits: L
         if rows:
             yield batch()
 
-    return documents.select("doc_id", "text").mapInArrow(pack, schema)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, schema)
 
 
 def packing_query(documents: DataFrame) -> DataFrame:

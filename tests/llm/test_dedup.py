@@ -63,6 +63,7 @@ def test_one_of_each_group_stays(documents, none):
     kept = neardup.without_near_duplicates(documents)
     assert kept.columns == documents.columns
     assert sorted(r["doc_id"] for r in kept.where("doc_id in (0, 50, 51, 52)").collect()) == [0]
+    assert kept.where("doc_id = 5").count() == 1 and documents.where("doc_id = 5").count() == 2
     assert neardup.near_duplicates(none).collect() == []
 
 
