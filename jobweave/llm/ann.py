@@ -37,6 +37,7 @@ class SearchPlan:
     least_probes: int = 3
     most_probes: int = 16
     block_rows: int = 32768
+    query_rows: int = 16384
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -251,9 +252,13 @@ def nearest(embeddings: DataFrame, is_query, plan: SearchPlan = SearchPlan()) ->
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(block, pa.int64()), own.column("vec_id"), own.column("embedding")], ["part", "block", "query_id", "embedding"])
 
     queries = rows.where(is_query).dropDuplicates(["vec_id"]).select("vec_id", "embedding")
+    # groups of queries, so that no task holds them all; each meets a copy of the blocks
+    groups = max(1, -(-queries.count() // plan.query_rows))
     routed = queries.mapInArrow(route, "part long, block long, query_id long, embedding array<double>")
+    routed = routed.withColumn("asking", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
     count = F.create_map(*[x for p, n in blocks.items() for x in (F.lit(p), F.lit(n))]) if blocks else F.create_map(F.lit(0), F.lit(1))
     dealt = indexed.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding", F.monotonically_increasing_id()), count[F.col("part")]))
+    dealt = dealt.withColumn("asking", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows and right.num_rows:
@@ -263,7 +268,8 @@ def nearest(embeddings: DataFrame, is_query, plan: SearchPlan = SearchPlan()) ->
             q, v, s = np.zeros((3, 0))
         return pa.table({"query_id": pa.array(q.astype(np.int64)), "vec_id": pa.array(v.astype(np.int64)), "score": pa.array(s, pa.float64())})
 
-    found = routed.groupBy("part", "block").cogroup(dealt.groupBy("part", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
+    keys = ("part", "block", "asking")
+    found = routed.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= plan.neighbours).select("query_id", "rank", "vec_id", "score")
 

@@ -43,6 +43,7 @@ class NearDupPlan:
     deviations: float = 5.0
     star_rounds: int = 2
     block: int = 256
+    asking: int = 2048
     fan_in: int = 512
 
     @property
@@ -218,9 +219,12 @@ def crossing(open_: DataFrame, documents: DataFrame, work: Workspace, plan: Near
     other = (F.col("x") != F.col("component")) | (F.col("y") != F.col("component"))
     sized = (100 * F.col("most_n") >= plan.percent * F.col("n")) & (100 * F.col("n") >= plan.percent * F.col("least_n"))
     asked = asked.where(other & sized & (F.col("most") >= F.col("members"))).select("rep", "block").distinct()
-    wanted = asked.select("block").distinct()
-    left = asked.join(sets.select("rep", "component", "set"), "rep").select("block", "rep", "component", "set")
-    right = sets.join(wanted, "block", "left_semi").select("block", "rep", "component", "set").toDF("block", "of", "in", "held")
+    # a block that many ask is copied, so that no task holds more than a bounded part of those who ask
+    wanted = asked.groupBy("block").agg(F.ceil(F.count("*") / plan.asking).cast("int").alias("salts"))
+    asked = asked.join(wanted, "block").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
+    left = asked.select("block", "salt", "rep").join(sets.select("rep", "component", "set"), "rep").select("block", "salt", "rep", "component", "set")
+    right = sets.join(wanted, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    right = right.select("block", "salt", "rep", "component", "set").toDF("block", "salt", "of", "in", "held")
 
     def compare(queries: pa.Table, members: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
@@ -244,7 +248,7 @@ def crossing(open_: DataFrame, documents: DataFrame, work: Workspace, plan: Near
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(compare, "a long, b long")
+    return left.groupBy("block", "salt").cogroup(right.groupBy("block", "salt")).applyInArrow(compare, "a long, b long")
 
 
 def _labelled(shared: DataFrame, component: DataFrame) -> DataFrame:

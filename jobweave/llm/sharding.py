@@ -35,9 +35,9 @@ class ShardingPlan:
     passes: int = 40
 
 
-def below(probes: list[Key], h: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """How many of the sorted probes are at most each key."""
-    ph, pd_ = (np.array([p[k] for p in probes], np.int64) for k in (0, 1))
+def below(probes: np.ndarray, h: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """How many of the sorted probes (rows of two numbers) are at most each key."""
+    ph, pd_ = probes[:, 0], probes[:, 1]
     first, last = np.searchsorted(ph, h, "left"), np.searchsorted(ph, h, "right")
     tied = np.flatnonzero(first < last)
     out = last
@@ -51,6 +51,8 @@ def below(probes: list[Key], h: np.ndarray, d: np.ndarray) -> np.ndarray:
 def counted(keys: DataFrame, probes: list[Key]) -> list[dict]:
     """For each interval between the sorted probes: exact bytes and rows, smallest and largest key parts, and a heavy hash."""
 
+    probes = np.array(probes, np.int64).reshape(-1, 2)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, d, size = (b.column(c).to_numpy() for c in ("h", "d", "size"))
@@ -137,7 +139,7 @@ def shard_documents(documents: DataFrame, plan: ShardingPlan = ShardingPlan()) -
     of_cut = np.array([0, *(bisect_right(starts, c) for c in cuts)], np.int64)
     count = np.array([amount.get(k, 0) for k in range(len(cuts) + 1)], np.int64)
     base = np.cumsum(count) - count
-    shared = spark.sparkContext.broadcast((cuts, of_cut, base - base[np.searchsorted(of_cut, of_cut)]))
+    shared = spark.sparkContext.broadcast((np.array(cuts, np.int64).reshape(-1, 2), of_cut, base - base[np.searchsorted(of_cut, of_cut)]))
 
     @F.pandas_udf("piece int, shard int, base long")
     def place(h: pd.Series, d: pd.Series) -> pd.DataFrame:

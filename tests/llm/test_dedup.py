@@ -54,7 +54,7 @@ def test_near_duplicates_in_a_crowd_of_alike_texts(spark):
     rng = random.Random(4)
     base = prose(rng, 200)
     rows = [(k, altered(rng, base, 0.02 + 0.0009 * k), "en", "s", 0) for k in range(70)]
-    got = neardup.near_duplicates(spark.createDataFrame(rows, DOCS), neardup.NearDupPlan(block=8, fan_in=4)).collect()
+    got = neardup.near_duplicates(spark.createDataFrame(rows, DOCS), neardup.NearDupPlan(block=8, fan_in=4, asking=3)).collect()
     wanted = components([(r[0], r[1]) for r in rows])
     assert {r["doc_id"]: r["component_id"] for r in got} == wanted and 1 < len(set(wanted.values())) < 70
 

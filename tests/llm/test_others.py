@@ -173,7 +173,7 @@ def test_search_finds_the_nearest(spark):
     x = (centres[rng.integers(0, 40, 4000)] + 0.6 * rng.normal(size=(4000, 16))).astype(np.float32)
     x[1000:2300] = x[7]
     rows = [(k, v.tolist(), 0) for k, v in enumerate(x)]
-    plan = ann.SearchPlan(part_rows=250, sample=2000, block_rows=300)
+    plan = ann.SearchPlan(part_rows=250, sample=2000, block_rows=300, query_rows=20)
     out = ann.ann_query(spark.createDataFrame(rows, VECTORS).repartition(4), plan).toPandas()
     wanted = exact(x.astype(float), np.arange(4000), 5)
     assert len(out) == len(wanted) and ann.recall(out, wanted) >= 0.9
