@@ -143,13 +143,13 @@ def fitted(documents: DataFrame, labels: DataFrame, plan: TrainingPlan, features
     return found.column("at").to_numpy(), found.column("w").to_numpy()
 
 
-def scored(documents: DataFrame, weights: tuple[np.ndarray, np.ndarray], plan: TrainingPlan, features: Features) -> DataFrame:
-    """`documents` with a column score: the logistic function of the sparse dot product with the whole text. A null text scores as an empty one."""
+def scored(documents: DataFrame, weights: tuple[np.ndarray, np.ndarray], plan: TrainingPlan, features: Features, name: str = "score") -> DataFrame:
+    """`documents` with a column `name`: the logistic function of the sparse dot product with the whole text. A null text scores as an empty one."""
     spark = documents.sparkSession
     arrow_limits(spark)
     shared = spark.sparkContext.broadcast((weights[0].astype(np.int64), weights[1].astype(np.float32)))
     bits = plan.bits
-    kept = [c for c in documents.columns if c != "score"]
+    kept = [c for c in documents.columns if c != name]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, np.float32)
@@ -163,9 +163,9 @@ def scored(documents: DataFrame, weights: tuple[np.ndarray, np.ndarray], plan: T
                 np.cumsum(table[found] * x, out=sums[1:])
                 out[row:stop] = sums[bounds[1:]] - sums[bounds[:-1]]
             out = 1.0 / (1.0 + np.exp(-np.clip(out, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out)], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out)], [*kept, name])
 
-    schema = documents.select(*kept).withColumn("score", F.lit(0.0)).schema
+    schema = documents.select(*kept).withColumn(name, F.lit(0.0)).schema
     return documents.select(*kept).mapInArrow(score, schema)
 
 

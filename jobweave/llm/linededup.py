@@ -146,8 +146,9 @@ def line_dedup_query(documents: DataFrame) -> DataFrame:
 
 def without_recurring_lines(documents: DataFrame, plan: TemplatePlan = TemplatePlan()) -> DataFrame:
     """`documents` less recurring lines, with n_chars counted anew; a document of nothing else goes."""
-    out = drop_recurring_lines(documents, plan)
+    clash = [c for c in ("n_lines", "n_dropped") if c in documents.columns]
+    out = drop_recurring_lines(documents.withColumnsRenamed({c: f"__{c}" for c in clash}), plan)
     kept = out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in documents.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return kept.select(*documents.columns)
+    return kept.select(*[F.col(f"__{c}").alias(c) if c in clash else c for c in documents.columns])

@@ -91,5 +91,5 @@ def toxicity_query(documents: DataFrame, labels: DataFrame, plan: linear.Trainin
 
 def without_toxic(documents: DataFrame, labels: DataFrame, plan: linear.TrainingPlan = PLAN) -> DataFrame:
     """The documents that are not predicted toxic, with their own columns."""
-    kept = score(documents, labels, plan).where(F.col("score") < THRESHOLD)
-    return kept.select(*[c for c in documents.columns])
+    out = linear.scored(documents, fit(documents, labels, plan), plan, features, "__score")
+    return out.where(F.col("__score") < THRESHOLD).select(*documents.columns)

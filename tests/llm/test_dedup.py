@@ -114,6 +114,8 @@ def test_line_dedup_equals_a_plain_count(documents, corpus):
     out = linededup.drop_recurring_lines(documents.withColumns({"before": F.col("text"), "n_lines": F.lit("clash"), "key": F.lit(1), "row": F.lit(2)})).collect()
     assert len(out) == len(corpus)
     assert [r for r in out if (r["text"], r["n_lines"], r["n_dropped"]) != wanted[r["doc_id"], r["before"]]] == []
+    own = linededup.without_recurring_lines(documents.withColumn("n_lines", F.lit("mine")))
+    assert own.columns[-1] == "n_lines" and {r["n_lines"] for r in own.collect()} == {"mine"}
     kept = linededup.without_recurring_lines(documents)
     assert kept.columns == documents.columns and kept.where("n_chars <> char_length(text) and doc_id is not null and text is not null").count() == 0
     assert linededup.drop_recurring_lines(documents.limit(0)).count() == 0

@@ -67,8 +67,8 @@ def test_no_labels_no_opinion(labelled, none):
 
 def test_toxic_documents_go_and_columns_stay(labelled):
     documents, labels, n = labelled
-    kept = toxicity.without_toxic(documents, labels, linear.TrainingPlan(**{**toxicity.PLAN.__dict__, "l1": 0.5}))
-    assert kept.columns == documents.columns and 280 < kept.count() < 330
+    kept = toxicity.without_toxic(documents.withColumn("score", F.lit("mine")), labels, linear.TrainingPlan(**{**toxicity.PLAN.__dict__, "l1": 0.5}))
+    assert kept.columns == [*documents.columns, "score"] and 280 < kept.count() < 330 and kept.first()["score"] == "mine"
 
 
 def test_counterfactual_pairs_take_the_weight_off_identity_terms():
