@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, arrow_limits
+from .workspace import Workspace, arrow_limits, tidy
 
 
 @dataclass(frozen=True)
@@ -211,7 +211,7 @@ def nearest(embeddings: DataFrame, is_query, plan: SearchPlan = SearchPlan()) ->
         weights = fit(x, parts, plan).weights if len(x) > 1 and parts > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([w.ravel() for w in weights], pa.list_(pa.float64())), pa.array([list(w.shape) for w in weights], pa.list_(pa.int64()))], ["w", "shape"])
 
-    learned = sample.select("embedding").repartition(1).mapInArrow(train, "w array<double>, shape array<long>").collect() if parts > 1 else []
+    learned = sample.select("embedding").repartition(1).mapInArrow(tidy(train), "w array<double>, shape array<long>").collect() if parts > 1 else []
     router = Router([np.array(r["w"]).reshape(r["shape"]) for r in learned]) if learned else None
     shared = spark.sparkContext.broadcast(router)
 
@@ -224,7 +224,7 @@ def nearest(embeddings: DataFrame, is_query, plan: SearchPlan = SearchPlan()) ->
                 best = probabilities(b.column("embedding")).argmax(1)
                 yield pa.RecordBatch.from_arrays([pa.array(best), b.column("vec_id"), b.column("embedding")], ["part", "vec_id", "embedding"])
 
-    indexed = work.table(rows.mapInArrow(index, "part long, vec_id long, embedding array<double>"), "index")
+    indexed = work.table(rows.mapInArrow(tidy(index), "part long, vec_id long, embedding array<double>"), "index")
     sizes = {r["part"]: r["count"] for r in indexed.groupBy("part").count().collect()}
     blocks = {p: -(-n // plan.block_rows) for p, n in sizes.items()}
 
@@ -254,7 +254,7 @@ def nearest(embeddings: DataFrame, is_query, plan: SearchPlan = SearchPlan()) ->
     queries = rows.where(is_query).dropDuplicates(["vec_id"]).select("vec_id", "embedding")
     # groups of queries, so that no task holds them all; each meets a copy of the blocks
     groups = max(1, -(-queries.count() // plan.query_rows))
-    routed = queries.mapInArrow(route, "part long, block long, query_id long, embedding array<double>")
+    routed = queries.mapInArrow(tidy(route), "part long, block long, query_id long, embedding array<double>")
     routed = routed.withColumn("asking", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
     count = F.create_map(*[x for p, n in blocks.items() for x in (F.lit(p), F.lit(n))]) if blocks else F.create_map(F.lit(0), F.lit(1))
     dealt = indexed.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding", F.monotonically_increasing_id()), count[F.col("part")]))

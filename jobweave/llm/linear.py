@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textops import slices
-from .workspace import arrow_limits
+from .workspace import arrow_limits, tidy
 
 #: (bytes, offsets) -> feature buckets (sorted, distinct in each text), values, bounds of each text.
 Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -136,10 +136,13 @@ def fitted(documents: DataFrame, labels: DataFrame, plan: TrainingPlan, features
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((place, y, text or "") for b in batches for text, y, place in zip(*(b.column(c).to_pylist() for c in ("text", "label", "place")), strict=True))
-        at, w = fit([(text.encode(), y) for _, y, text in rows], plan, features, counterfactual)
+        texts = [(text.encode(), y) for _, y, text in rows]
+        del rows
+        at, w = fit(texts, plan, features, counterfactual)
+        del texts
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], ["at", "w"])
 
-    found = labelled_sample(documents, labels, plan).repartition(1).mapInArrow(train, "at long, w double").toArrow()
+    found = labelled_sample(documents, labels, plan).repartition(1).mapInArrow(tidy(train), "at long, w double").toArrow()
     return found.column("at").to_numpy(), found.column("w").to_numpy()
 
 
@@ -166,7 +169,7 @@ def scored(documents: DataFrame, weights: tuple[np.ndarray, np.ndarray], plan: T
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out)], [*kept, name])
 
     schema = documents.select(*kept).withColumn(name, F.lit(0.0)).schema
-    return documents.select(*kept).mapInArrow(score, schema)
+    return documents.select(*kept).mapInArrow(tidy(score), schema)
 
 
 def sparse(at: np.ndarray, text: np.ndarray, n_texts: int, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

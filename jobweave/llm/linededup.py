@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textops import ODD, find_words, mix, powers, slices
-from .workspace import Workspace, arrow_limits
+from .workspace import Workspace, arrow_limits, tidy
 
 _U = np.uint64
 
@@ -96,7 +96,7 @@ def drop_recurring_lines(documents: DataFrame, plan: TemplatePlan = TemplatePlan
                 at = pairs[:, 0] + row
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].copy()), ids.take(pa.array(at)), pa.array(own[at])], ["key", "doc_id", "row"])
 
-    found = work.table(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "__row", "text").mapInArrow(find, "key long, doc_id long, row long"), "keys")
+    found = work.table(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "__row", "text").mapInArrow(tidy(find), "key long, doc_id long, row long"), "keys")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "row"))
     recurring = found.groupBy("key").agg(F.count("*").alias("n"), first.alias("first")).where(F.col("n") >= plan.documents)
     recurring = work.table(recurring.select("key", F.col("first.row").alias("first")), "recurring")
@@ -136,7 +136,7 @@ def drop_recurring_lines(documents: DataFrame, plan: TemplatePlan = TemplatePlan
             arrays[where] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.concatenate(n_lines).astype(np.int64)), pa.array(np.concatenate(n_dropped).astype(np.int64))], [*names, "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(drop, schema)
+    return joined.mapInArrow(tidy(drop), schema)
 
 
 def line_dedup_query(documents: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .textops import ODD, find_words, mix, shingles, slices
-from .workspace import Workspace, arrow_limits
+from .workspace import Workspace, arrow_limits, tidy
 
 _U = np.uint64
 
@@ -122,7 +122,7 @@ def sketches(documents: DataFrame, plan: NearDupPlan) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * plan.bands, pa.int32()), pa.array(bands.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy()), lists], ["doc_id", "n", "d1", "d2", "bands"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n long, d1 long, d2 long, bands array<long>")
 
 
 def _registers(column: pa.Array, plan: NearDupPlan) -> np.ndarray:
@@ -144,7 +144,7 @@ def promising(pairs: DataFrame, classes: DataFrame, plan: NearDupPlan) -> DataFr
     own = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bands").alias(f"s{x}"))
     sized = pairs.join(own("a").select("a", "na", "sa"), "a").join(own("b").select("b", "nb", "sb"), "b")
     sized = sized.where(100 * F.least("na", "nb") >= plan.percent * F.greatest("na", "nb"))
-    return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, documents: DataFrame, plan: NearDupPlan) -> DataFrame:
@@ -178,7 +178,7 @@ def verified(pairs: DataFrame, documents: DataFrame, plan: NearDupPlan) -> DataF
                 keep.append(shared > 0 and 100 * shared >= plan.percent * (len(both) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-    return left.join(hubs, ["b", "salt"]).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    return left.join(hubs, ["b", "salt"]).select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def crossing(open_: DataFrame, documents: DataFrame, work: Workspace, plan: NearDupPlan) -> DataFrame:
@@ -204,7 +204,7 @@ def crossing(open_: DataFrame, documents: DataFrame, work: Workspace, plan: Near
     crowd = homes.groupBy("home").agg(F.ceil(F.count("*") / plan.block).alias("blocks"))
     dealt = homes.join(crowd, "home").select("rep", "component", "members", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("block"))
     texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").join(dealt, "rep").select("rep", "component", "members", "block", "text")
-    sets = work.table(texts.mapInArrow(run, "rep long, component long, members long, block long, set array<long>").withColumn("n", F.size("set")), "sets")
+    sets = work.table(texts.mapInArrow(tidy(run), "rep long, component long, members long, block long, set array<long>").withColumn("n", F.size("set")), "sets")
 
     each = sets.select("rep", "component", "members", "block", "n", F.explode("set").alias("shingle"))
     common = each.groupBy("shingle").agg(F.count("*").alias("held"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle", "held")

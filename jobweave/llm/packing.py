@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import encoded
-from .workspace import arrow_limits
+from .workspace import arrow_limits, tidy
 
 TOKENIZER, END = "word_bpe_49k.json", 2
 
@@ -146,7 +146,7 @@ def pack_documents(documents: DataFrame, tokenizer: str | None = None, limits: L
         if rows:
             yield batch()
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, schema)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(pack), schema)
 
 
 def packing_query(documents: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import crf
 from .textops import find_words, slices
-from .workspace import arrow_limits
+from .workspace import arrow_limits, tidy
 
 #: In this order at one start.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -305,7 +305,7 @@ def find_pii(documents: DataFrame) -> DataFrame:
                     rows.append([dict(zip(("start", "stop", "kind", "base"), x, strict=True)) for x in sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(item))], ["doc_id", "spans"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, spans array<struct<start int, stop int, kind string, base boolean>>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, spans array<struct<start int, stop int, kind string, base boolean>>")
 
 
 def pii_query(documents: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, arrow_limits
+from .workspace import Workspace, arrow_limits, tidy
 
 LOW, HIGH = -(2**63), 2**63 - 1
 Key = tuple[int, int]
@@ -64,7 +64,7 @@ def counted(keys: DataFrame, probes: list[Key]) -> list[dict]:
             found = own.groupby("bin").agg(bytes=("bytes", "sum"), rows=("rows", "sum"), low_h=("h", "min"), high_h=("h", "max"), low_d=("low_d", "min"), high_d=("high_d", "max")).reset_index()
             yield pa.RecordBatch.from_pandas(found.merge(heavy, on="bin"), preserve_index=False)
 
-    parts = keys.mapInArrow(count, "bin long, bytes long, rows long, low_h long, high_h long, low_d long, high_d long, heavy long, heavy_bytes long")
+    parts = keys.mapInArrow(tidy(count), "bin long, bytes long, rows long, low_h long, high_h long, low_d long, high_d long, heavy long, heavy_bytes long")
     out = parts.groupBy("bin").agg(
         F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.min("low_h").alias("low_h"), F.max("high_h").alias("high_h"),
         F.min("low_d").alias("low_d"), F.max("high_d").alias("high_d"), F.max_by("heavy", "heavy_bytes").alias("heavy"),

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .suffixarray import kasai, suffix_array
 from .textops import mix, prefix_hash, range_hash, slices
-from .workspace import Workspace, arrow_limits
+from .workspace import Workspace, arrow_limits, release, tidy
 
 _U = np.uint64
 LAST = 2**63 - 1
@@ -166,7 +166,7 @@ def shared_anchors(rows: DataFrame, buckets: int, plan: SubstringPlan) -> DataFr
         lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(k)), pa.int32()), pa.array(h.view(np.int64)))
         return pa.table({"k1": pa.array(k[starts].view(np.int64)), "anchors": lists})
 
-    sent = rows.mapInArrow(send, "bucket int, hashes binary, owners binary, texts binary, known boolean")
+    sent = rows.mapInArrow(tidy(send), "bucket int, hashes binary, owners binary, texts binary, known boolean")
     met = sent.groupBy("bucket").applyInArrow(meet, "home int, texts binary, hashes binary")
     return met.groupBy("home").applyInArrow(gather, "k1 long, anchors array<long>")
 
@@ -207,7 +207,7 @@ def dealt_stretches(texts: DataFrame, parts: int, plan: SubstringPlan) -> DataFr
                     rows.append((int(p), blob, size.astype(np.uint32).tobytes(), members.astype(np.uint32).tobytes(), ids[row + text[x:y]].tobytes(), tid[row + text[x:y]].tobytes(), (first[x:y] - offsets[text[x:y]]).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 6], strict=True)], names)
 
-    return texts.select("tid", "id", "text", "anchors").mapInArrow(send, "part int, bytes binary, sizes binary, counts binary, ids binary, tids binary, starts binary")
+    return texts.select("tid", "id", "text", "anchors").mapInArrow(tidy(send), "part int, bytes binary, sizes binary, counts binary, ids binary, tids binary, starts binary")
 
 
 class WindowTable:
@@ -333,7 +333,9 @@ def removed_windows(group: pa.Table, parts: int, plan: SubstringPlan) -> pa.Tabl
     edges = np.searchsorted(home[order], np.arange(parts + 1))
     full = np.flatnonzero(np.diff(edges))
     cut = lambda x: pa.array([_pack(x[order[edges[p] : edges[p + 1]]]) for p in full], pa.binary())
-    return pa.table({"home": pa.array(full, pa.int32()), "tids": cut(t), "starts": cut(a), "stops": cut(b)})
+    out = pa.table({"home": pa.array(full, pa.int32()), "tids": cut(t), "starts": cut(a), "stops": cut(b)})
+    release()
+    return out
 
 
 def gathered_ranges(group: pa.Table) -> pa.Table:
@@ -391,7 +393,7 @@ def remove_repeats(documents: DataFrame, plan: SubstringPlan = SubstringPlan())
                 shas.append(hashlib.sha256(kept[-1]).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(shas, pa.string())], ["k1", "k2", "removed", "spans", "kept", "kept_sha"])
 
-    cuts = texts.select("tid", "k1", "k2", "text").join(by_text, "tid").select("k1", "k2", "text", "starts", "stops").mapInArrow(cut, "k1 long, k2 long, removed long, spans long, kept binary, kept_sha string")
+    cuts = texts.select("tid", "k1", "k2", "text").join(by_text, "tid").select("k1", "k2", "text", "starts", "stops").mapInArrow(tidy(cut), "k1 long, k2 long, removed long, spans long, kept binary, kept_sha string")
     joined = rows.join(firsts, ["k1", "k2"]).join(cuts.withColumn("own", F.lit(True)), ["k1", "k2"], "left")
     copy = (F.col("id") > F.col("first")) & (F.col("n_bytes") >= plan.length)
     own = (F.col("id") == F.col("first")) & F.col("own")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from .textops import LOWER, find_words, slices
 
 #: Chunks that a worker remembers; at the limit it starts anew.
-REMEMBERED = 1_400_000
+REMEMBERED = 900_000
 _encoders: dict[str, "ChunkEncoder"] = {}
 
 _LETTER, _MARK = np.zeros((2, 256), bool)

@@ -2,13 +2,37 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches stay small whatever the length of the texts in them.
-ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 2000, 4 << 20
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on after its task, and its allocator would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that releases memory at its end."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return tidied
 
 
 def arrow_limits(spark: SparkSession) -> None:
