@@ -11,7 +11,7 @@ bins unfilled. A null text is an empty one and is the end token alone; null ids
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoded
+from .tokens import encoded, encoder
 from .workspace import arrow_limits, tidy
 
 TOKENIZER, END = "word_bpe_49k.json", 2
@@ -149,6 +149,61 @@ def pack_documents(documents: DataFrame, tokenizer: str | None = None, limits: L
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(pack), schema)
 
 
+def fitting(loss: np.ndarray, limits: Limits) -> Iterator[tuple[int, int, int]]:
+    """An example cut as seldom as the limits allow: (start, tokens, loss-bearing tokens). `loss` marks the tokens that bear loss."""
+    sums = np.concatenate([[0], np.cumsum(loss)])
+    at = 0
+    while at < len(loss):
+        stop = min(at + limits.tokens, int(np.searchsorted(sums, sums[at] + limits.loss, "right")) - 1, len(loss))
+        stop = max(stop, at + 1)
+        yield at, stop - at, int(sums[stop] - sums[at])
+        at = stop
+
+
+def pack_conversations(conversations: DataFrame, tokenizer: str | None = None, limits: Limits = Limits(loss=2048), end: int = END, answers: str = "assistant") -> DataFrame:
+    """Conversations as examples for instruction tuning: conv_id, start, length, n_loss, ids, sequence_id, offset.
+
+    The turns of a conversation stand in order, each with the end id; those of the role `answers` bear loss. Examples stay
+    whole unless one alone is beyond a limit; then it is cut where the limit is met. A null text is an empty turn.
+    """
+    arrow_limits(conversations.sparkSession)
+    path = tokenizer or public_tokenizers.path(TOKENIZER)
+    whole = replace(limits, cut_from=limits.tokens + 1)
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    examples = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    names = ["conv_id", "start", "length", "n_loss", "ids", "sequence_id", "offset"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, waiting, number, key = Packer(whole), {}, TaskContext.get().partitionId() << 32, 0
+
+        def placed(bins: Iterator[list[tuple]]) -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            for pieces in bins:
+                rows, offset = [], 0
+                for k, _, size in pieces:
+                    conv_id, start, n_loss, ids = waiting.pop(k)
+                    rows.append((conv_id, start, size, n_loss, ids.tobytes(), number, offset))
+                    offset += size
+                types = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                number += 1
+
+        for batch in batches:
+            for conv_id, turns in zip(batch.column("conv_id").to_pylist(), batch.column("turns").to_pylist(), strict=True):
+                texts = [t["text"].encode() for t in turns]
+                ids, bounds = encoder(path).encode(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), end)
+                loss = np.repeat([t["role"] == answers for t in turns], np.diff(bounds))
+                cut = list(fitting(loss, limits))
+                keys = list(range(key, key + len(cut)))
+                key += len(cut)
+                for k, (start, size, n_loss) in zip(keys, cut, strict=True):
+                    waiting[k] = (conv_id, start, n_loss, ids[start : start + size].copy())
+                yield from placed(packer.add(keys, np.array([c[1] for c in cut], np.int64), np.array([c[2] for c in cut], np.int64)))
+        yield from placed(packer.rest())
+
+    return examples.select(F.col("conv_id").cast("long").alias("conv_id"), "turns").mapInArrow(tidy(pack), "conv_id long, start long, length long, n_loss long, ids binary, sequence_id long, offset long")
+
+
 def packing_query(documents: DataFrame) -> DataFrame:
     """The pieces with a checksum of their ids in place of the ids."""
     out = pack_documents(documents)

@@ -89,6 +89,24 @@ def test_bins_keep_all_limits_and_lose_nothing():
     assert len(placed) == 300
 
 
+def test_conversations_are_packed_under_all_limits(spark):
+    rng = random.Random(7)
+    rows = [(c, t, "assistant" if t % 2 else "user", prose(rng, rng.randrange(1, 40))) for c in range(60) for t in range(rng.randrange(1, 7))]
+    rows += [(99, 0, "user", "q"), (99, 1, "assistant", prose(rng, 900)), (100, 0, None, None), (101, None, "assistant", ""), (None, 0, "user", "x")]
+    limits = packing.Limits(tokens=300, segments=3, loss=120)
+    out = packing.pack_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), limits=limits).toPandas()
+    bins = out.groupby("sequence_id")
+    assert (bins.length.sum() <= 300).all() and (bins.n_loss.sum() <= 120).all() and (bins.size() <= 3).all()
+    whole, wanted = Tokenizer.from_file(PATH), {}
+    for c, t, role, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or 0)):
+        n = len(whole.encode(text or "", add_special_tokens=False).ids) + 1
+        a, b = wanted.get(-1 if c is None else c, (0, 0))
+        wanted[-1 if c is None else c] = (a + n, b + n * (role == "assistant"))
+    got = out.assign(conv_id=out.conv_id.fillna(-1)).groupby("conv_id")
+    assert {c: (x.length.sum(), x.n_loss.sum()) for c, x in got} == wanted
+    assert (got.size().drop(99) == 1).sum() >= 55 and got.size()[99] > 3
+
+
 def check_shards(rows, n):
     t = pd.DataFrame([r.asDict() for r in rows])
     assert len(t) == n
