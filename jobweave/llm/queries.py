@@ -56,4 +56,39 @@ def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_vector_packing, op3_line_templates, op4_toxicity, op5_hyperminhash_neardup, op6_suffix_array_dedup, op7_pii_crf, op8_histogram_sharding, op9_benchmark_containment, op10_learned_partitions)}
-ORACLE_SQL: dict[str, str] = {"op9_benchmark_containment": decontamination.ORACLE}
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_BLANKS = "[\\x20\\x09-\\x0D]+"
+
+NEAR_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_BLANKS}'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT r.d, e.b FROM r JOIN e ON e.a = r.c)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT d AS doc_id, min(c) AS component_id FROM r GROUP BY d) c USING (doc_id)"""
+
+_PLAN = linededup.TemplatePlan()
+_FIELD = lambda k: f"({_PLAN.leading} + (len(w) - {_PLAN.leading}) * {k} // {_PLAN.fields})"
+_LINES = " ".join([
+    f"SELECT doc_id, pos, 'whole ' || array_to_string(w, ' ') AS key FROM w WHERE len(w) >= {_PLAN.least_tokens}",
+    *[
+        f"UNION ALL SELECT doc_id, pos, '{k} ' || len(w) || ' ' || array_to_string(list_concat(list_slice(w, 1, {_FIELD(k)}), list_slice(w, {_FIELD(k + 1)} + 1, len(w))), ' ') FROM w WHERE len(w) >= {_PLAN.generalised_from}"
+        for k in range(_PLAN.fields)
+    ],
+])
+LINES_SQL = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+w AS (SELECT doc_id, pos, list_transform(list_filter(regexp_split_to_array(line, '{_BLANKS}'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END) AS w FROM l),
+k AS ({_LINES}),
+r AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key HAVING count(DISTINCT doc_id) >= {_PLAN.documents}),
+g AS (SELECT DISTINCT doc_id, pos FROM k JOIN r USING (key) WHERE doc_id <> first)
+SELECT l.doc_id, coalesce(string_agg(CASE WHEN g.pos IS NULL THEN line END, chr(10) ORDER BY l.pos), '') AS text, count(*) AS n_lines, count(g.pos) AS n_dropped
+FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id"""
+
+#: SQL for what SQL can say; the other queries are tested against brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = {"op3_line_templates": LINES_SQL, "op5_hyperminhash_neardup": NEAR_SQL, "op9_benchmark_containment": decontamination.ORACLE}
