@@ -6,9 +6,18 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Mirrored columns and keys.
+from ..schemas import TABLES
+from .store import Store, upsert
+
+#: Mirrored tables: keys and columns.
 MIRRORS = {"applications": ["id"], "saved_jobs": ["user_id", "job_id"], "job_postings": ["id"]}
+MIRRORED = {
+    "applications": TABLES["applications"].names,
+    "saved_jobs": TABLES["saved_jobs"].names,
+    "job_postings": ["id", "source", "company", "title", "location", "remote", "posted_at", "fetched_at"],
+}
 
 
 def diff(before: DataFrame, after: DataFrame, keys: list[str], version: int, at: datetime, deletes: bool = True) -> DataFrame:
@@ -68,3 +77,33 @@ def strict_transitions(feed: DataFrame, keys: list[str] = ["id"]) -> DataFrame:
     before = feed.where(F.col("_change_type") == "update_preimage").select(*on, F.col("status").alias("old_status"))
     after = feed.where(F.col("_change_type") == "update_postimage")
     return after.join(before, on).where(~F.col("status").eqNullSafe(F.col("old_status")))
+
+
+class ChangeLog:
+    """Mirrors of operational tables and the feed of their changes, both as versions under one folder."""
+
+    def __init__(self, source: Store, root: str, deletes: bool = True):
+        self.source, self.deletes = source, deletes
+        names = {t: T.StructType([T.StructField(c, TABLES[t][c].dataType) for c in MIRRORED[t]]) for t in MIRRORS}
+        extra = [T.StructField("_change_type", T.StringType()), T.StructField("_commit_version", T.LongType()), T.StructField("_commit_timestamp", T.TimestampType())]
+        self.mirrors = Store(source.spark, f"{root}/mirrors", names)
+        self.feeds = Store(source.spark, f"{root}/feed", {t: T.StructType([*schema.fields, *extra]) for t, schema in names.items()})
+
+    def capture(self, at: datetime) -> None:
+        """Compare each table with its mirror, append what changed to the feed, and renew the mirror.
+
+        With deletes the mirror becomes the table; without, rows are merged in and what is gone stays.
+        """
+        for name, keys in MIRRORS.items():
+            before, now = self.mirrors.read(name), self.source.read(name).select(*MIRRORED[name])
+            self.feeds.write(name, diff(before, now, keys, self.mirrors.version(name) or 0, at, self.deletes))
+            self.mirrors.write(name, now if self.deletes else upsert(before, now, keys))
+
+    def feed(self, name: str) -> DataFrame | None:
+        """All changes from the first commit on; None before there is one."""
+        if self.feeds.version(name) is None:
+            return None
+        return self.source.spark.read.schema(self.feeds.schemas[name]).parquet(*[f"{self.feeds.root}/{name}/v={v}" for v in self.feeds._versions(name)])
+
+    def metrics(self, today: date) -> DataFrame:
+        return metrics({t: self.feed(t) for t in MIRRORS}, {t: self.mirrors.read(t) for t in MIRRORS}, today)

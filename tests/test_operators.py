@@ -162,6 +162,24 @@ def test_change_feed(spark):
     assert got == {("status_transitions", "screening"): 1, ("status_transitions", "applied"): 1, ("jobs_unsaved", None): 1, ("pipeline_now", "screening"): 1, ("pipeline_now", "applied"): 1}
 
 
+@pytest.mark.parametrize("deletes", [True, False])
+def test_change_log(store, tmp_path, deletes):
+    w, log = Writes(store), changes.ChangeLog(store, f"file://{tmp_path}/log", deletes)
+    assert log.feed("applications") is None and log.metrics(date(2024, 3, 3)) is not None
+    w.save_job(1, "j1", NOW)
+    first = w.log_application(1, "j1", NOW)
+    log.capture(datetime(2024, 3, 1))
+    log.capture(datetime(2024, 3, 1, 1))
+    w.update_status(1, first["id"], "offer", NOW)
+    w.unsave_job(1, "j1")
+    log.capture(datetime(2024, 3, 2))
+    assert [r["_commit_version"] for r in log.feed("applications").orderBy("_commit_version", "_change_type").collect()] == [0, 2, 2]
+    got = {(r["day"].day, r["metric"], r["dimension"]): r["value"] for r in log.metrics(date(2024, 3, 3)).collect()}
+    wanted = {(1, "applications_created", "applied"): 1, (2, "status_transitions", "offer"): 1, (1, "jobs_saved", None): 1, (1, "postings_ingested", "lever"): 2, (1, "postings_ingested", "adzuna"): 1, (3, "pipeline_now", "offer"): 1, (3, "corpus_now", "lever"): 2, (3, "corpus_now", "adzuna"): 1}
+    assert got == wanted | ({(2, "jobs_unsaved", None): 1} if deletes else {})
+    assert log.mirrors.read("saved_jobs").count() == (0 if deletes else 1)
+
+
 def test_publish_and_read_metrics(spark, store):
     rows = spark.createDataFrame([(date(2024, 3, 1), "m", "a", 2), (date(2024, 2, 28), "m", None, 3), (date(2023, 1, 1), "m", "a", 9)], "day date, metric string, dimension string, value bigint")
     Writes(store).publish_metrics(rows, NOW)
