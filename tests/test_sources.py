@@ -86,6 +86,26 @@ def test_workday_stubs_and_site(spark):
     assert [r[0] for r in text.select(boards.workday_site(F.col("t"))).collect()] == ["External_Site", None]
 
 
+def test_two_stages_pages_and_discovery(spark):
+    from pyspark.sql import functions as F
+
+    payload = {"jobPostings": [{"title": t, "externalPath": f"/job/{t}"} for t in ("a", "b", "c")]}
+    stubs = boards.workday_stubs(raw(spark, [("workday", json.dumps(payload))]))
+
+    def transport(spec):
+        if spec["title"] == "b":
+            raise TimeoutError("gone")
+        return json.dumps({"jobPostingInfo": {"title": spec["title"], "jobReqId": spec["external_path"], "externalUrl": "u"}})
+
+    got = specs.hydrated(stubs, transport, F.col("title") != "c", tasks=1)
+    assert [r["source_id"] for r in boards.postings(got.where("payload is not null")).collect()] == ["gdit:/job/a"]
+    assert got.where("error like '%gone'").count() == 1 and got.count() == 2
+    pages = [list(range(3)), list(range(3)), [9]]
+    assert specs.paged(lambda n, so_far: pages[n], 3, 100) == [0, 1, 2, 0, 1, 2, 9] and specs.paged(lambda n, so_far: pages[0], 3, 4) == [0, 1, 2, 0]
+    found = specs.discover_workday("x", lambda url: "Sitemap: https://x.wd3.myworkdayjobs.com/Jobs/s.xml" if ".wd3." in url else None)
+    assert found == ("Jobs", "x.wd3.myworkdayjobs.com") and specs.discover_workday("x", lambda url: None) is None
+
+
 def test_specs_and_fetch(spark):
     rows = specs.source_specs(spark)
     assert rows.count() == 129 and rows.where("kind = 'usajobs' and remote_only").count() == 2 and rows.where("kind = 'adzuna' and distance = 60").count() == 4
