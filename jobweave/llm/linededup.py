@@ -9,6 +9,11 @@ The tree is never held in one place: a template is the hash of its path, so temp
 with map-side partial sums, whatever the size of a leaf. Long enough lines only are generalised, so the constant part
 always holds most of the tokens.
 
+With `similar` set, a leaf (token count, leading tokens) is also merged by token position: a line recurs if lines that
+agree with it in at least that percentage of positions stand in enough documents, wherever the variable words are and
+however short the line. Lines of a leaf are compared as distinct lines; a leaf of too many is split by fields, of which
+two lines with so few unlike tokens share one at least, and a field's lines meet in blocks, so that no pair is left out.
+
 Lines end at newlines. Null texts are empty and stay null; blank and short lines stay; equal lines within one document
 count once. Rows are told apart by doc_id and text; rows with a null doc_id come last when the first one is sought.
 """
@@ -20,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textops import ODD, find_words, mix, powers, slices
@@ -36,12 +41,25 @@ class TemplatePlan:
     leading: int = 2
     fields: int = 4
     generalised_from: int = 12
+    #: Percentage of tokens in which the lines of a template agree; 0: one field at a time only, which is the rule of the SQL.
+    similar: int = 0
+    #: Lines of one comparison; fewer if they are long (tokens of one comparison).
+    block: int = 1024
+    block_tokens: int = 1 << 20
+
+    def unlike(self, n):
+        """How many of n tokens may differ."""
+        return n * (100 - self.similar) // 100
+
+
+PIPELINE = TemplatePlan(similar=75)
 
 
-def templates(data: np.ndarray, offsets: np.ndarray, plan: TemplatePlan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the lines of several texts: byte bounds (start, end without the newline), the text each lies in, and template hashes.
+def templates(data: np.ndarray, offsets: np.ndarray, plan: TemplatePlan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the lines of several texts: byte bounds (start, end without the newline), the text each lies in, template hashes, leaf hashes, word hashes, and the bounds of each line's words.
 
-    Hashes are lines x (1 + fields): the line itself and the line without each field; 0 where there is no template.
+    Template hashes are lines x (1 + fields): the line itself and the line without each field; 0 where there is no template.
+    Leaves are 0 where no token may differ.
     """
     breaks = np.flatnonzero(data == 10)
     starts = np.concatenate([offsets[:-1], breaks + 1])
@@ -71,13 +89,99 @@ def templates(data: np.ndarray, offsets: np.ndarray, plan: TemplatePlan) -> tupl
     for k in range(plan.fields):
         low, high = first[fits] + plan.leading + tail * k // plan.fields, first[fits] + plan.leading + tail * (k + 1) // plan.fields
         out[fits, k + 1] = mix(whole[fits] - (sums[high] - sums[low]) + size[fits] * ODD[51 + k])
-    return np.stack([starts, ends], 1), text, out, counts
+    leaf = np.zeros(len(starts), _U)
+    if plan.similar:
+        fits = (counts >= plan.least_tokens) & (counts > plan.leading) & (plan.unlike(counts) > 0)
+        leaf[fits] = mix(sums[first[fits] + plan.leading] - sums[first[fits]] + size[fits] * ODD[56])
+    return np.stack([starts, ends], 1), text, out, leaf, h, words.bounds
 
 
 def row_key(documents: DataFrame):
     return F.xxhash64(documents["doc_id"], documents["text"])
 
 
+def alike(lines: pa.Table, plan: TemplatePlan) -> pa.Table:
+    """For the lines asked for (role 0 or 2) that agree with others of their leaf (role 1 or 2): key, the first row, and up to `documents` rows.
+
+    Candidates are tried by ascending first row, so the first match is the first row of all; a line is done with enough rows.
+    """
+    n = len(lines["tokens"][0])
+    tokens = lines["tokens"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+    key, role, members = lines["key"].to_numpy(), lines["role"].to_numpy(), lines["members"].to_pylist()
+    members = [[(m["doc_id"], m["row"]) for m in own] for own in members]
+    order = np.array(sorted(range(len(key)), key=lambda i: members[i][0]))
+    ask, by = order[role[order] != 1], order[role[order] != 0]
+    seen = {int(i): set(members[i][: plan.documents]) for i in ask}
+    best: dict[int, tuple] = {}
+    step = max(1, min(256, int((plan.block_tokens * 8 / n) ** 0.5)))
+    for low in range(0, len(ask), step):
+        left = ask[low : low + step]
+        for start in range(0, len(by), step):
+            some = by[start : start + step]
+            near = (tokens[left][:, None, :] == tokens[some][None, :, :]).sum(2) >= n - plan.unlike(n)
+            near &= key[left][:, None] != key[some][None, :]
+            for i, row in zip(left.tolist(), near):
+                for j in some[row]:
+                    best[i] = min(best.get(i, members[i][0]), members[j][0])
+                    seen[i].update(members[j])
+                    if len(seen[i]) >= plan.documents:
+                        break
+            left = np.array([i for i in left.tolist() if i not in best or len(seen[i]) < plan.documents], np.int64)
+            if not len(left):
+                break
+    # a smaller row than any candidate's is the line's own
+    found = list(best)
+    first = [min(best[i], members[i][0]) for i in found]
+    rows = [[r for _, r in sorted(seen[i])[: plan.documents]] for i in found]
+    return pa.table({"key": pa.array(key[found] if found else [], pa.int64()), "doc_id": pa.array([f[0] for f in first], pa.int64()), "row": pa.array([f[1] for f in first], pa.int64()), "rows": pa.array(rows, pa.list_(pa.int64()))})
+
+
+def similar_lines(rows: DataFrame, found: DataFrame, work: Workspace, plan: TemplatePlan) -> DataFrame:
+    """Lines that recur with other words in some positions: key, and the first row of all that agree with the line."""
+    lines = found.where("leaf <> 0")
+    live = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).where((F.col("n") >= plan.documents) & (F.col("a") < F.col("b")))
+    # joins with counts read them from tables: only then does adaptive execution split a hot key;
+    # from here on grouped without the leaf, so that a hot leaf is dealt out by its lines
+    lines = lines.join(work.table(live.select("leaf"), "leaves"), "leaf").groupBy("key", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "row").agg(F.min("leaf").alias("leaf"))
+    # a line's first rows are enough to tell whether so many documents have it
+    lines = lines.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("doc_id", "row"))).where(F.col("k") <= plan.documents)
+    lines = work.table(lines.groupBy("key").agg(F.min("leaf").alias("leaf"), F.sort_array(F.collect_list(F.struct("doc_id", "row"))).alias("members")), "lines")
+    wanted = lines.select(F.col("members")[0]["row"].alias("__row"), "key").groupBy("__row").agg(F.collect_set("key").alias("__wanted"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, stop, data, offsets in slices(batch.column("text")):
+                _, text, keys, _, words, bounds = templates(data, offsets, plan)
+                own = np.ascontiguousarray(keys[:, 0]).view(np.int64)
+                for t, wanted in enumerate(batch.column("__wanted").slice(row, stop - row).to_pylist()):
+                    low, high = np.searchsorted(text, [t, t + 1])
+                    at = low + np.flatnonzero(np.isin(own[low:high], wanted))
+                    at = at[np.unique(own[at], return_index=True)[1]]
+                    ends = np.append(0, np.cumsum(bounds[at + 1] - bounds[at])).astype(np.int32)
+                    tokens = np.concatenate([words[bounds[i] : bounds[i + 1]] for i in at] or [np.zeros(0, _U)]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))], ["key", "tokens"])
+
+    tokens = rows.select("__row", "text").join(wanted, "__row").select("text", "__wanted").mapInArrow(tidy(read), "key long, tokens array<long>")
+    lines = work.table(lines.join(tokens.groupBy("key").agg(F.first("tokens").alias("tokens")), "key"), "tokens")
+    n, block = F.size("tokens"), F.greatest(F.lit(16), F.least(F.lit(plan.block), F.floor(F.lit(plan.block_tokens) / F.size("tokens"))))
+    parts = F.floor(n * (100 - plan.similar) / 100).cast("int") + 1
+    edge = lambda i: F.floor((n - plan.leading) * i / parts).cast("int") + plan.leading
+    fields = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.xxhash64("leaf", i, F.slice("tokens", edge(i) + 1, edge(i + 1) - edge(i))))
+    sizes = work.table(lines.groupBy("leaf").agg(F.count("*").alias("m")), "leaf_sizes")
+    lines = lines.join(sizes, "leaf").withColumn("group", F.explode(F.when(F.col("m") <= block, F.array("leaf")).otherwise(fields))).drop("m")
+    sizes = work.table(lines.groupBy("group").agg(F.count("*").alias("m")).where("m > 1"), "group_sizes")
+    lines = lines.join(sizes, "group").withColumn("c", F.ceil(F.col("m") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("c")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("c") - 1)
+    place = lambda a, b, role: F.struct(a.alias("a"), b.alias("b"), F.lit(role).alias("role"))
+    asked, asking = F.transform(others, lambda b: place(F.col("own"), b, 0)), F.transform(others, lambda a: place(a, F.col("own"), 1))
+    lines = lines.withColumn("at", F.explode(F.when(F.col("c") == 1, F.array(place(F.lit(0), F.lit(0), 2))).otherwise(F.concat(asked, asking))))
+    # one column, so that the blocks of a group are dealt anew
+    lines = lines.select(F.struct(n.alias("n"), "group", "at.a", "at.b").alias("pair"), "at.role", "key", "tokens", "members")
+    pairs = lines.groupBy("pair").applyInArrow(lambda t: alike(t, plan), "key long, doc_id long, row long, rows array<long>")
+    agreed = pairs.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.size(F.array_distinct(F.flatten(F.collect_set("rows")))).alias("n"))
+    return agreed.where(F.col("n") >= plan.documents).select("key", F.col("first.row").alias("first"))
+
+
 def drop_recurring_lines(documents: DataFrame, plan: TemplatePlan = TemplatePlan()) -> DataFrame:
     """`documents` with recurring lines taken out of text, and n_lines and n_dropped."""
     spark = documents.sparkSession
@@ -91,15 +195,21 @@ def drop_recurring_lines(documents: DataFrame, plan: TemplatePlan = TemplatePlan
             own = batch.column("__row").to_numpy()
             ids = batch.column("doc_id")
             for row, _, data, offsets in slices(batch.column("text")):
-                _, text, keys, _ = templates(data, offsets, plan)
-                pairs = np.unique(np.stack([np.repeat(text, keys.shape[1]), keys.ravel().view(np.int64)], 1)[keys.ravel() != 0], axis=0)
+                _, text, keys, leaf, _, _ = templates(data, offsets, plan)
+                leaves = np.zeros(keys.shape, _U)
+                leaves[:, 0] = leaf
+                pairs = np.unique(np.stack([np.repeat(text, keys.shape[1]), keys.ravel().view(np.int64), leaves.ravel().view(np.int64)], 1)[keys.ravel() != 0], axis=0)
                 at = pairs[:, 0] + row
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].copy()), ids.take(pa.array(at)), pa.array(own[at])], ["key", "doc_id", "row"])
+                columns = [pa.array(pairs[:, 1].copy()), ids.take(pa.array(at)), pa.array(own[at]), pa.array(pairs[:, 2].copy())]
+                yield pa.RecordBatch.from_arrays(columns[: 3 + bool(plan.similar)], ["key", "doc_id", "row", "leaf"][: 3 + bool(plan.similar)])
 
-    found = work.table(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "__row", "text").mapInArrow(tidy(find), "key long, doc_id long, row long"), "keys")
+    schema = "key long, doc_id long, row long" + (", leaf long" if plan.similar else "")
+    found = work.table(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "__row", "text").mapInArrow(tidy(find), schema), "keys")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "row"))
     recurring = found.groupBy("key").agg(F.count("*").alias("n"), first.alias("first")).where(F.col("n") >= plan.documents)
     recurring = work.table(recurring.select("key", F.col("first.row").alias("first")), "recurring")
+    if plan.similar:
+        recurring = recurring.unionByName(work.table(similar_lines(rows, found, work, plan), "similar"))
     gone = found.join(recurring, "key").where("row <> first").groupBy("row").agg(F.collect_set("key").alias("__gone"))
     joined = rows.join(gone.withColumnRenamed("row", "__row"), "__row", "left").select(*names, "__gone")
     schema = documents.select(*names).withColumn("n_lines", F.lit(0).cast("long")).withColumn("n_dropped", F.lit(0).cast("long")).schema
@@ -110,7 +220,7 @@ def drop_recurring_lines(documents: DataFrame, plan: TemplatePlan = TemplatePlan
             column = batch.column("text")
             texts, n_lines, n_dropped = [], [], []
             for row, stop, data, offsets in slices(column):
-                bounds, text, keys, _ = templates(data, offsets, plan)
+                bounds, text, keys, *_ = templates(data, offsets, plan)
                 gone = batch.column("__gone").slice(row, stop - row)
                 lists = np.repeat(np.arange(stop - row), np.nan_to_num(gone.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
                 values = gone.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -144,7 +254,7 @@ def line_dedup_query(documents: DataFrame) -> DataFrame:
     return drop_recurring_lines(documents.select("doc_id", "text"))
 
 
-def without_recurring_lines(documents: DataFrame, plan: TemplatePlan = TemplatePlan()) -> DataFrame:
+def without_recurring_lines(documents: DataFrame, plan: TemplatePlan = PIPELINE) -> DataFrame:
     """`documents` less recurring lines, with n_chars counted anew; a document of nothing else goes."""
     clash = [c for c in ("n_lines", "n_dropped") if c in documents.columns]
     out = drop_recurring_lines(documents.withColumnsRenamed({c: f"__{c}" for c in clash}), plan)

@@ -121,6 +121,43 @@ def test_line_dedup_equals_a_plain_count(documents, corpus):
     assert linededup.drop_recurring_lines(documents.limit(0)).count() == 0
 
 
+def similar_keys(rows, plan):
+    """By comparing all lines: (row, line) pairs that agree with lines of enough rows, and are not in the first of these."""
+    found, out = defaultdict(set), set()
+    for row, text in enumerate(rows):
+        for line in text.split("\n"):
+            words = tuple("*" if re.search("[0-9]", w) else w for w in line.split())
+            if len(words) >= plan.least_tokens:
+                found[words].add(row)
+    for a in found:
+        near = set()
+        for b, own in found.items():
+            if len(a) == len(b) and a[: plan.leading] == b[: plan.leading] and 100 * sum(x == y for x, y in zip(a, b)) >= plan.similar * len(a):
+                near |= own
+        if len(near) >= plan.documents:
+            out |= {(row, a) for row in found[a] - {min(near)}}
+    return out
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_lines_with_several_variable_words_recur(spark, block):
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(4))
+    texts = [f"{prose(rng, 8)}\nShared by {name()} from the office\nposted for {name()} on the board of the town hall by the clerk at {name()} to be read by all who pass" for _ in range(60)]
+    texts += [f"Seen at {name()} {name()} {name()} {name()}\nlast of all {name()}" for _ in range(40)]
+    texts += [f"Two by {name()} two" for _ in range(3)] + [f"a line that {' '.join(rng.choice(('x', 'y')) for _ in range(9))}" for _ in range(40)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    plan = linededup.TemplatePlan(similar=75, block=block)
+    gone = similar_keys(texts, plan)
+    out = {r["doc_id"]: r for r in linededup.drop_recurring_lines(spark.createDataFrame(rows, DOCS).repartition(3), plan).collect()}
+    for i, text in enumerate(texts):
+        kept = [x for x in text.split("\n") if (i, tuple(x.split())) not in gone]
+        assert out[i]["text"] == "\n".join(kept), i
+    assert all("Shared" not in out[i]["text"] and "posted" not in out[i]["text"] for i in range(1, 60)) and "Shared" in out[0]["text"]
+    kept = {r["doc_id"]: r["text"] for r in linededup.without_recurring_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all("Shared" not in kept[i] and "posted" not in kept[i] for i in range(1, 60))
+
+
 def removed(rows, length=50):
     first = {}
     for i, t in rows:
