@@ -1,21 +1,21 @@
-"""Line dedup by a log-template tree.
+"""Line dedup by a log-template tree of fixed depth.
 
-A line is parsed at a fixed depth: by its token count, then by its leading tokens; words with digits are variable fields
-from the start. Below that, the tail of the line is parted into a fixed number of fields, and each field in turn is
-generalised: the template is the token count, the leading tokens and all fields but that one. A template that recurs in
-enough documents is boilerplate; its lines are dropped everywhere but in the document with the smallest doc_id.
+A line descends by its token count, then by its leading tokens, to a leaf; words with digits are variable fields from
+the start and go down one common branch. In a leaf, lines that agree in enough positions are of one template, whichever
+words vary between them and however many: a line recurs if the lines of its leaf that agree with it in at least
+`similar` per cent of the positions stand in `documents` documents. A long line (over `long_tokens`) recurs as a whole
+from `long_documents` on. A recurring line is dropped everywhere but in the document with the smallest doc_id of those.
 
-The tree is never held in one place: a template is the hash of its path, so templates are counted by one aggregation
-with map-side partial sums, whatever the size of a leaf. Long enough lines only are generalised, so the constant part
-always holds most of the tokens.
-
-With `similar` set, a leaf (token count, leading tokens) is also merged by token position: a line recurs if lines that
-agree with it in at least that percentage of positions stand in enough documents, wherever the variable words are and
-however short the line. Lines of a leaf are compared as distinct lines; a leaf of too many is split by fields, of which
-two lines with so few unlike tokens share one at least, and a field's lines meet in blocks, so that no pair is left out.
+The tree is never held in one place. A line's path is a hash; lines are first counted as wholes, by one aggregation with
+map-side partial sums, and meet in their leaf as distinct lines, each with as many rows as decide. A leaf of too many
+lines is split by fields, of which two lines with so few unlike tokens share one at least; the lines of a field meet in
+blocks, so no pair is left out and no task holds a leaf. Keys that hold a large share of all lines are joined by a
+broadcast of at most a thousand of them.
 
 Lines end at newlines. Null texts are empty and stay null; blank and short lines stay; equal lines within one document
 count once. Rows are told apart by doc_id and text; rows with a null doc_id come last when the first one is sought.
+Equal rows are one document and lose the same lines. Columns of the caller named n_lines or n_dropped are replaced by the
+operator's (the pipeline's stage keeps them); all others are carried along. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textops import ODD, find_words, mix, powers, slices
-from .workspace import Workspace, arrow_limits, tidy
+from .textops import ODD, find_words, mix, slices
+from .workspace import Workspace, arrow_limits, fresh, join_by_key, tidy
 
 _U = np.uint64
 
@@ -39,10 +39,10 @@ class TemplatePlan:
     documents: int = 5
     least_tokens: int = 3
     leading: int = 2
-    fields: int = 4
-    generalised_from: int = 12
-    #: Percentage of tokens in which the lines of a template agree; 0: one field at a time only, which is the rule of the SQL.
-    similar: int = 0
+    #: Percentage of positions in which the lines of a template agree.
+    similar: int = 75
+    long_tokens: int = 50
+    long_documents: int = 2
     #: Lines of one comparison; fewer if they are long (tokens of one comparison).
     block: int = 1024
     block_tokens: int = 1 << 20
@@ -52,15 +52,20 @@ class TemplatePlan:
         return n * (100 - self.similar) // 100
 
 
-PIPELINE = TemplatePlan(similar=75)
+@dataclass
+class Lines:
+    """Lines of several texts: byte bounds (start, end without the newline), the text each lies in, hashes of the line and of its leaf, word hashes, and the bounds of each line's words."""
 
+    bounds: np.ndarray
+    text: np.ndarray
+    key: np.ndarray
+    leaf: np.ndarray
+    words: np.ndarray
+    edges: np.ndarray
 
-def templates(data: np.ndarray, offsets: np.ndarray, plan: TemplatePlan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the lines of several texts: byte bounds (start, end without the newline), the text each lies in, template hashes, leaf hashes, word hashes, and the bounds of each line's words.
 
-    Template hashes are lines x (1 + fields): the line itself and the line without each field; 0 where there is no template.
-    Leaves are 0 where no token may differ.
-    """
+def parse(data: np.ndarray, offsets: np.ndarray, plan: TemplatePlan) -> Lines:
+    """The lines of the texts that `offsets` cut from `data`. The key is 0 where a line is too short, the leaf where no token may differ."""
     breaks = np.flatnonzero(data == 10)
     starts = np.concatenate([offsets[:-1], breaks + 1])
     text = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets[1:], breaks, "right")])
@@ -70,30 +75,22 @@ def templates(data: np.ndarray, offsets: np.ndarray, plan: TemplatePlan) -> tupl
     last = np.append(text[1:] != text[:-1], True)
     ends[last] = offsets[1:][text[last]]
     words = find_words(data, np.append(starts, len(data)), lower=False)
-    h = words.hash
     digits = np.zeros(len(data) + 1, np.int32)
     np.cumsum((data >= 48) & (data <= 57), out=digits[1:])
-    h = np.where(digits[words.stop] > digits[words.start], ODD[50], h)
-    counts = np.diff(words.bounds)
-    place = np.arange(len(h)) - np.repeat(words.bounds[:-1], counts)
-    sums = np.zeros(len(h) + 1, _U)
-    np.cumsum(h * powers(len(h) + 1)[0][place], out=sums[1:])
+    h = np.where(digits[words.stop] > digits[words.start], ODD[50], words.hash)
     first, stop = words.bounds[:-1], words.bounds[1:]
-    whole = sums[stop] - sums[first]
-    out = np.zeros((len(starts), 1 + plan.fields), _U)
+    counts = stop - first
+    # every (word, position) is mixed by itself: a sum of such numbers has no structure that unlike lines could share
+    place = np.arange(len(h)) - np.repeat(first, counts)
+    sums = np.zeros(len(h) + 1, _U)
+    np.cumsum(mix(h + place.astype(_U) * ODD[51]), out=sums[1:])
     size = mix(counts.astype(_U) + _U(1))
+    key, leaf = np.zeros((2, len(starts)), _U)
     fits = counts >= plan.least_tokens
-    out[fits, 0] = mix(whole[fits] + size[fits])
-    fits = counts >= plan.generalised_from
-    tail = (counts - plan.leading)[fits]
-    for k in range(plan.fields):
-        low, high = first[fits] + plan.leading + tail * k // plan.fields, first[fits] + plan.leading + tail * (k + 1) // plan.fields
-        out[fits, k + 1] = mix(whole[fits] - (sums[high] - sums[low]) + size[fits] * ODD[51 + k])
-    leaf = np.zeros(len(starts), _U)
-    if plan.similar:
-        fits = (counts >= plan.least_tokens) & (counts > plan.leading) & (plan.unlike(counts) > 0)
-        leaf[fits] = mix(sums[first[fits] + plan.leading] - sums[first[fits]] + size[fits] * ODD[56])
-    return np.stack([starts, ends], 1), text, out, leaf, h, words.bounds
+    key[fits] = np.maximum(mix(sums[stop[fits]] - sums[first[fits]] + size[fits]), _U(1))
+    fits &= (counts > plan.leading) & (plan.unlike(counts) > 0)
+    leaf[fits] = np.maximum(mix(sums[first[fits] + plan.leading] - sums[first[fits]] + size[fits] * ODD[56]), _U(1))
+    return Lines(np.stack([starts, ends], 1), text, key, leaf, h, words.bounds)
 
 
 def row_key(documents: DataFrame):
@@ -142,7 +139,7 @@ def similar_lines(rows: DataFrame, found: DataFrame, work: Workspace, plan: Temp
     live = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).where((F.col("n") >= plan.documents) & (F.col("a") < F.col("b")))
     # joins with counts read them from tables: only then does adaptive execution split a hot key;
     # from here on grouped without the leaf, so that a hot leaf is dealt out by its lines
-    lines = lines.join(work.table(live.select("leaf"), "leaves"), "leaf").groupBy("key", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "row").agg(F.min("leaf").alias("leaf"))
+    lines = join_by_key(lines, work.table(live.select("leaf", "n"), "leaves"), ["leaf"]).groupBy("key", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "row").agg(F.min("leaf").alias("leaf"))
     # a line's first rows are enough to tell whether so many documents have it
     lines = lines.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("doc_id", "row"))).where(F.col("k") <= plan.documents)
     lines = work.table(lines.groupBy("key").agg(F.min("leaf").alias("leaf"), F.sort_array(F.collect_list(F.struct("doc_id", "row"))).alias("members")), "lines")
@@ -151,8 +148,8 @@ def similar_lines(rows: DataFrame, found: DataFrame, work: Workspace, plan: Temp
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, stop, data, offsets in slices(batch.column("text")):
-                _, text, keys, _, words, bounds = templates(data, offsets, plan)
-                own = np.ascontiguousarray(keys[:, 0]).view(np.int64)
+                lines = parse(data, offsets, plan)
+                text, own, words, bounds = lines.text, lines.key.view(np.int64), lines.words, lines.edges
                 for t, wanted in enumerate(batch.column("__wanted").slice(row, stop - row).to_pylist()):
                     low, high = np.searchsorted(text, [t, t + 1])
                     at = low + np.flatnonzero(np.isin(own[low:high], wanted))
@@ -168,9 +165,9 @@ def similar_lines(rows: DataFrame, found: DataFrame, work: Workspace, plan: Temp
     edge = lambda i: F.floor((n - plan.leading) * i / parts).cast("int") + plan.leading
     fields = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.xxhash64("leaf", i, F.slice("tokens", edge(i) + 1, edge(i + 1) - edge(i))))
     sizes = work.table(lines.groupBy("leaf").agg(F.count("*").alias("m")), "leaf_sizes")
-    lines = lines.join(sizes, "leaf").withColumn("group", F.explode(F.when(F.col("m") <= block, F.array("leaf")).otherwise(fields))).drop("m")
+    lines = join_by_key(lines, sizes, ["leaf"], "m").withColumn("group", F.explode(F.when(F.col("m") <= block, F.array("leaf")).otherwise(fields))).drop("m")
     sizes = work.table(lines.groupBy("group").agg(F.count("*").alias("m")).where("m > 1"), "group_sizes")
-    lines = lines.join(sizes, "group").withColumn("c", F.ceil(F.col("m") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("c")).cast("int"))
+    lines = join_by_key(lines, sizes, ["group"], "m").withColumn("c", F.ceil(F.col("m") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("c")).cast("int"))
     others = F.sequence(F.lit(0), F.col("c") - 1)
     place = lambda a, b, role: F.struct(a.alias("a"), b.alias("b"), F.lit(role).alias("role"))
     asked, asking = F.transform(others, lambda b: place(F.col("own"), b, 0)), F.transform(others, lambda a: place(a, F.col("own"), 1))
@@ -187,31 +184,37 @@ def drop_recurring_lines(documents: DataFrame, plan: TemplatePlan = TemplatePlan
     spark = documents.sparkSession
     arrow_limits(spark)
     work = Workspace(spark, "linededup")
-    names = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
-    rows = documents.select(*names).withColumn("__row", row_key(documents))
+    names = [c for c in documents.columns if c.lower() not in ("n_lines", "n_dropped")]
+    row_, gone_ = fresh(names, "__row"), fresh(names, "__gone")
+    keyed = documents.select(*names).withColumn(row_, row_key(documents))
+    rows = documents.select(row_key(documents).alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column("__row").to_numpy()
             ids = batch.column("doc_id")
             for row, _, data, offsets in slices(batch.column("text")):
-                _, text, keys, leaf, _, _ = templates(data, offsets, plan)
-                leaves = np.zeros(keys.shape, _U)
-                leaves[:, 0] = leaf
-                pairs = np.unique(np.stack([np.repeat(text, keys.shape[1]), keys.ravel().view(np.int64), leaves.ravel().view(np.int64)], 1)[keys.ravel() != 0], axis=0)
-                at = pairs[:, 0] + row
-                columns = [pa.array(pairs[:, 1].copy()), ids.take(pa.array(at)), pa.array(own[at]), pa.array(pairs[:, 2].copy())]
-                yield pa.RecordBatch.from_arrays(columns[: 3 + bool(plan.similar)], ["key", "doc_id", "row", "leaf"][: 3 + bool(plan.similar)])
-
-    schema = "key long, doc_id long, row long" + (", leaf long" if plan.similar else "")
-    found = work.table(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "__row", "text").mapInArrow(tidy(find), schema), "keys")
+                lines = parse(data, offsets, plan)
+                held = np.flatnonzero(lines.key)
+                _, once = np.unique(np.stack([lines.text[held].astype(_U), lines.key[held]], 1), axis=0, return_index=True)
+                held = held[np.sort(once)]
+                at = lines.text[held] + row
+                long = np.diff(lines.edges)[held] > plan.long_tokens
+                yield pa.RecordBatch.from_arrays([pa.array(lines.key[held].view(np.int64)), ids.take(pa.array(at)), pa.array(own[at]), pa.array(lines.leaf[held].view(np.int64)), pa.array(long)], ["key", "doc_id", "row", "leaf", "long"])
+
+    found = work.table(rows.mapInArrow(tidy(find), "key long, doc_id long, row long, leaf long, long boolean"), "keys")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "row"))
-    recurring = found.groupBy("key").agg(F.count("*").alias("n"), first.alias("first")).where(F.col("n") >= plan.documents)
-    recurring = work.table(recurring.select("key", F.col("first.row").alias("first")), "recurring")
-    if plan.similar:
-        recurring = recurring.unionByName(work.table(similar_lines(rows, found, work, plan), "similar"))
-    gone = found.join(recurring, "key").where("row <> first").groupBy("row").agg(F.collect_set("key").alias("__gone"))
-    joined = rows.join(gone.withColumnRenamed("row", "__row"), "__row", "left").select(*names, "__gone")
+    counted = found.groupBy("key").agg(F.count("*").alias("n"), first.alias("first"), F.first("long").alias("long"))
+    whole = counted.where(F.col("n") >= F.when(F.col("long"), min(plan.documents, plan.long_documents)).otherwise(plan.documents))
+    recurring = whole.select("key", F.col("first.row").alias("first"), "n")
+    if plan.similar < 100:
+        # a line that does not recur as a whole stands in few rows
+        recurring = recurring.unionByName(similar_lines(rows, found, work, plan).withColumn("n", F.lit(plan.documents).cast("long")))
+    # a line goes from every row but the first one of all that decide
+    recurring = work.table(recurring.groupBy("key").agg(F.collect_set("first").alias("first"), F.max("n").alias("n")), "recurring")
+    gone = join_by_key(found.select("key", "row"), recurring, ["key"]).where((F.size("first") > 1) | ~F.array_contains("first", F.col("row")))
+    gone = gone.groupBy("row").agg(F.collect_set("key").alias("keys")).select(F.col("row").alias(row_), F.col("keys").alias(gone_))
+    joined = keyed.join(gone, row_, "left").select(*names, gone_)
     schema = documents.select(*names).withColumn("n_lines", F.lit(0).cast("long")).withColumn("n_dropped", F.lit(0).cast("long")).schema
     where = names.index("text")
 
@@ -220,21 +223,19 @@ def drop_recurring_lines(documents: DataFrame, plan: TemplatePlan = TemplatePlan
             column = batch.column("text")
             texts, n_lines, n_dropped = [], [], []
             for row, stop, data, offsets in slices(column):
-                bounds, text, keys, *_ = templates(data, offsets, plan)
-                gone = batch.column("__gone").slice(row, stop - row)
+                lines = parse(data, offsets, plan)
+                text = lines.text
+                gone = batch.column(gone_).slice(row, stop - row)
                 lists = np.repeat(np.arange(stop - row), np.nan_to_num(gone.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
                 values = gone.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 cut = np.zeros(len(text), bool)
                 if len(values):
                     # (text, key) pairs as single numbers that both sides share
-                    mixed = lambda t, k: mix(k.astype(np.int64).view(_U) + (t.astype(_U) + _U(1)) * ODD[60])
-                    wanted = mixed(lists, values)
-                    for k in range(keys.shape[1]):
-                        own = np.ascontiguousarray(keys[:, k])
-                        cut |= (own != 0) & np.isin(mixed(text, own.view(np.int64)), wanted)
+                    mixed = lambda t, k: mix(k + mix(t.astype(_U) + _U(1)))
+                    cut = (lines.key != 0) & np.isin(mixed(text, lines.key), mixed(lists, values.view(_U)))
                 n_lines.append(np.bincount(text, minlength=stop - row))
                 n_dropped.append(np.bincount(text[cut], minlength=stop - row))
-                raw = data.tobytes()
+                raw, bounds = data.tobytes(), lines.bounds
                 touched = set(text[cut].tolist())
                 edges = np.searchsorted(text, np.arange(stop - row + 1))
                 for t in range(stop - row):
@@ -254,11 +255,11 @@ def line_dedup_query(documents: DataFrame) -> DataFrame:
     return drop_recurring_lines(documents.select("doc_id", "text"))
 
 
-def without_recurring_lines(documents: DataFrame, plan: TemplatePlan = PIPELINE) -> DataFrame:
+def without_recurring_lines(documents: DataFrame, plan: TemplatePlan = TemplatePlan()) -> DataFrame:
     """`documents` less recurring lines, with n_chars counted anew; a document of nothing else goes."""
-    clash = [c for c in ("n_lines", "n_dropped") if c in documents.columns]
-    out = drop_recurring_lines(documents.withColumnsRenamed({c: f"__{c}" for c in clash}), plan)
+    clash = {c: fresh(documents.columns, f"__{c.lower()}") for c in documents.columns if c.lower() in ("n_lines", "n_dropped")}
+    out = drop_recurring_lines(documents.withColumnsRenamed(clash), plan)
     kept = out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in documents.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return kept.select(*[F.col(f"__{c}").alias(c) if c in clash else c for c in documents.columns])
+    return kept.select(*[F.col(clash[c]).alias(c) if c in clash else c for c in documents.columns])

@@ -31,6 +31,8 @@ def corpus():
     texts += [prose(rng, 12) + "\nReleased under the MIT License.\n" + prose(rng, 9) for _ in range(6)]
     texts += [f"job {k} ended with status {k * 7} on the host a{k} after all tries had failed and nobody was there to see it\n" + prose(rng, 8) for k in range(6)]
     texts += [None, "", " \n\t", "one", "two words", "two words", "a" * 130, "\u0000odd space \U0001f600 end", "Orre " * 400, prose(rng, 6000)]
+    long = " ".join(rng.choice(WORDS) for _ in range(60))
+    texts += [f"{prose(rng, 90)}\n{long}\n{prose(rng, 40)}" for _ in range(2)]
     rows = [(k, t, "en", f"src{k % 3}", len(t or "")) for k, t in enumerate(texts)]
     rows += [rows[5], (None, texts[7], None, None, None), (None, None, None, None, None)]
     return rows

@@ -3,7 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -81,38 +81,37 @@ def test_corrected_estimate():
     assert list(neardup.compress(x, 10) >> 10) == [63, 0, 23]
 
 
-def line_keys(line, plan):
-    words = [("*" if re.search("[0-9]", w) else w) for w in re.findall(r"[^\x20\x09-\x0D]+", line)]
-    n, out = len(words), []
-    if n >= plan.least_tokens:
-        out.append(("whole", n, tuple(words)))
-    if n >= plan.generalised_from:
-        tail = n - plan.leading
-        for k in range(plan.fields):
-            low, high = plan.leading + tail * k // plan.fields, plan.leading + tail * (k + 1) // plan.fields
-            out.append((k, n, tuple(words[:low] + words[high:])))
+def dropped_lines(rows, plan):
+    """By comparing all lines: (row, words) of the lines that go. Rows are (doc_id, text)."""
+    found, out = defaultdict(set), set()
+    for row in rows:
+        for line in (row[1] or "").split("\n"):
+            words = tuple("*" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", line))
+            if len(words) >= plan.least_tokens:
+                found[words].add(row)
+    order = lambda r: (r[0] is None, r[0] or 0)
+    for a, own in found.items():
+        near = set(own)
+        if len(a) > plan.leading:
+            for b, others in found.items():
+                if len(a) == len(b) and a[: plan.leading] == b[: plan.leading] and sum(x != y for x, y in zip(a, b)) <= len(a) * (100 - plan.similar) // 100:
+                    near |= others
+        if len(near) >= plan.documents or len(a) > plan.long_tokens and len(own) >= plan.long_documents:
+            out |= {(row, a) for row in own - {min(near if len(near) >= plan.documents else own, key=order)}}
     return out
 
 
-def test_line_dedup_equals_a_plain_count(documents, corpus):
+def test_line_dedup_equals_a_comparison_of_all_lines(documents, corpus):
     plan = linededup.TemplatePlan()
-    found = defaultdict(set)
     rows = {(i, t) for i, t, *_ in corpus}
-    order = lambda r: (r[0] is None, r[0] or 0)
-    for row in corpus:
-        for line in (row[1] or "").split("\n"):
-            for key in line_keys(line, plan):
-                found[key].add((row[0], row[1]))
-    count = Counter({k: sum(1 for r in corpus if (r[0], r[1]) in v) for k, v in found.items()})
-    recurring = {k: min(v, key=order) for k, v in found.items() if count[k] >= plan.documents}
-    assert any(k[0] == "whole" for k in recurring) and any(k[0] != "whole" for k in recurring)
-    wanted = {}
+    gone, wanted = dropped_lines(rows, plan), {}
+    assert any(len(a) > plan.long_tokens for _, a in gone) and any("*" in a for _, a in gone)
     for i, t in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if not any(k in recurring and recurring[k] != (i, t) for k in line_keys(x, plan))]
+        kept = [x for x in lines if ((i, t), tuple("*" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", x))) not in gone]
         wanted[i, t] = (t if len(kept) == len(lines) else "\n".join(kept), len(lines), len(lines) - len(kept))
-    out = linededup.drop_recurring_lines(documents.withColumns({"before": F.col("text"), "n_lines": F.lit("clash"), "key": F.lit(1), "row": F.lit(2)})).collect()
-    assert len(out) == len(corpus)
+    out = linededup.drop_recurring_lines(documents.withColumns({"before": F.col("text"), "n_lines": F.lit("clash"), "key": F.lit(1), "row": F.lit(2), "__row": F.lit(3), "__gone": F.lit(4)})).collect()
+    assert len(out) == len(corpus) and {(r["__row"], r["__gone"], r["key"]) for r in out} == {(3, 4, 1)}
     assert [r for r in out if (r["text"], r["n_lines"], r["n_dropped"]) != wanted[r["doc_id"], r["before"]]] == []
     own = linededup.without_recurring_lines(documents.withColumn("n_lines", F.lit("mine")))
     assert own.columns[-1] == "n_lines" and {r["n_lines"] for r in own.collect()} == {"mine"}
@@ -121,24 +120,6 @@ def test_line_dedup_equals_a_plain_count(documents, corpus):
     assert linededup.drop_recurring_lines(documents.limit(0)).count() == 0
 
 
-def similar_keys(rows, plan):
-    """By comparing all lines: (row, line) pairs that agree with lines of enough rows, and are not in the first of these."""
-    found, out = defaultdict(set), set()
-    for row, text in enumerate(rows):
-        for line in text.split("\n"):
-            words = tuple("*" if re.search("[0-9]", w) else w for w in line.split())
-            if len(words) >= plan.least_tokens:
-                found[words].add(row)
-    for a in found:
-        near = set()
-        for b, own in found.items():
-            if len(a) == len(b) and a[: plan.leading] == b[: plan.leading] and 100 * sum(x == y for x, y in zip(a, b)) >= plan.similar * len(a):
-                near |= own
-        if len(near) >= plan.documents:
-            out |= {(row, a) for row in found[a] - {min(near)}}
-    return out
-
-
 @pytest.mark.parametrize("block", [1024, 16])
 def test_lines_with_several_variable_words_recur(spark, block):
     rng = random.Random(3)
@@ -147,11 +128,11 @@ def test_lines_with_several_variable_words_recur(spark, block):
     texts += [f"Seen at {name()} {name()} {name()} {name()}\nlast of all {name()}" for _ in range(40)]
     texts += [f"Two by {name()} two" for _ in range(3)] + [f"a line that {' '.join(rng.choice(('x', 'y')) for _ in range(9))}" for _ in range(40)]
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
-    plan = linededup.TemplatePlan(similar=75, block=block)
-    gone = similar_keys(texts, plan)
+    plan = linededup.TemplatePlan(block=block)
+    gone = dropped_lines([(i, t) for i, t in enumerate(texts)], plan)
     out = {r["doc_id"]: r for r in linededup.drop_recurring_lines(spark.createDataFrame(rows, DOCS).repartition(3), plan).collect()}
     for i, text in enumerate(texts):
-        kept = [x for x in text.split("\n") if (i, tuple(x.split())) not in gone]
+        kept = [x for x in text.split("\n") if ((i, text), tuple(x.split())) not in gone]
         assert out[i]["text"] == "\n".join(kept), i
     assert all("Shared" not in out[i]["text"] and "posted" not in out[i]["text"] for i in range(1, 60)) and "Shared" in out[0]["text"]
     kept = {r["doc_id"]: r["text"] for r in linededup.without_recurring_lines(spark.createDataFrame(rows, DOCS)).collect()}
