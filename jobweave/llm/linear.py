@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textops import slices
@@ -25,12 +25,17 @@ Counterfactual = Callable[[bytes, int], "bytes | None"]
 
 @dataclass(frozen=True)
 class TrainingPlan:
-    """Parameters of a fit. `rows_per_class` bounds the sample: of each class about so many labelled rows are drawn by hash."""
+    """Parameters of a fit.
+
+    Two bounds hold the sample: of each class about `rows_per_class` labelled rows are drawn by hash, and of these, in the
+    order of their hashes, as many whole texts as `sample_bytes` hold are learned from.
+    """
 
     label: str
     folds: int
     held_out_fold: int
     rows_per_class: int = 6000
+    sample_bytes: int = 256 << 20
     epochs: int = 4
     alpha: float = 0.1
     beta: float = 1.0
@@ -57,7 +62,10 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, plan: TrainingPlan)
     share = F.create_map(*[x for k in (0, 1) for x in (F.lit(k), F.lit(min(1.0, plan.rows_per_class / max(1, sizes.get(k, 0)))))])
     place = F.xxhash64("doc_id", F.lit(17))
     drawn = own.withColumn("place", place).where(F.pmod("place", F.lit(1 << 30)) < share[F.col("label")] * (1 << 30))
-    return documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "label", "place")
+    found = documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "label", "place")
+    # a bounded number of rows, in one partition: the running sum is no bottleneck there
+    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy("place", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1))
+    return found.withColumn("before", F.coalesce(so_far, F.lit(0))).where(F.col("before") < plan.sample_bytes).drop("before")
 
 
 class Leader:
@@ -89,8 +97,18 @@ class Leader:
         self.update(at, self.plan.pairing * 2.0 * (w @ gap) * gap, w)
 
 
-def fit(rows: list[tuple[bytes, int]], plan: TrainingPlan, features: Features, counterfactual: Counterfactual | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Non-zero weights (buckets, values). Classes weigh alike in all; without rows of both classes the score is constant."""
+@dataclass
+class Model:
+    """Non-zero weights (buckets, values), and how many texts and how many counterfactual pairs they were learned from."""
+
+    at: np.ndarray
+    w: np.ndarray
+    texts: int = 0
+    pairs: int = 0
+
+
+def fit(rows: list[tuple[bytes, int]], plan: TrainingPlan, features: Features, counterfactual: Counterfactual | None = None) -> Model:
+    """Classes weigh alike in all; without rows of both classes the score is constant."""
     cases, pairs = [], []
 
     def of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -127,32 +145,34 @@ def fit(rows: list[tuple[bytes, int]], plan: TrainingPlan, features: Features, c
             if pairs[k] is not None and len(pairs[k][0]):
                 model.pair(*pairs[k])
     kept = np.flatnonzero(np.abs(model.z) > plan.l1)
-    return used[kept], model.weights(kept)
+    return Model(used[kept], model.weights(kept), len(rows), sum(p is not None and len(p[0]) > 0 for p in pairs))
 
 
-def fitted(documents: DataFrame, labels: DataFrame, plan: TrainingPlan, features: Features, counterfactual: Counterfactual | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Draw the sample, train on it in one task and return the non-zero weights."""
+def fitted(documents: DataFrame, labels: DataFrame, plan: TrainingPlan, features: Features, swaps: Callable[[list[tuple[bytes, int]]], Counterfactual] | None = None) -> Model:
+    """Draw the sample and train on it in one task; only the non-zero weights come back. `swaps` makes the counterfactual from the sample."""
     arrow_limits(documents.sparkSession)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((place, y, text or "") for b in batches for text, y, place in zip(*(b.column(c).to_pylist() for c in ("text", "label", "place")), strict=True))
         texts = [(text.encode(), y) for _, y, text in rows]
         del rows
-        at, w = fit(texts, plan, features, counterfactual)
+        found = fit(texts, plan, features, swaps(texts) if swaps and texts else None)
         del texts
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], ["at", "w"])
+        # the first row says how much was learned from
+        yield pa.RecordBatch.from_arrays([pa.array([found.texts, *found.at], pa.int64()), pa.array([found.pairs, *found.w], pa.float64())], ["at", "w"])
 
     found = labelled_sample(documents, labels, plan).repartition(1).mapInArrow(tidy(train), "at long, w double").toArrow()
-    return found.column("at").to_numpy(), found.column("w").to_numpy()
+    at, w = found.column("at").to_numpy(), found.column("w").to_numpy()
+    return Model(at[1:], w[1:], int(at[0]), int(w[0])) if len(at) else Model(at, w)
 
 
-def scored(documents: DataFrame, weights: tuple[np.ndarray, np.ndarray], plan: TrainingPlan, features: Features, name: str = "score") -> DataFrame:
-    """`documents` with a column `name`: the logistic function of the sparse dot product with the whole text. A null text scores as an empty one."""
+def scored(documents: DataFrame, model: Model, plan: TrainingPlan, features: Features, name: str = "score") -> DataFrame:
+    """`documents` with a column `name` (in place of one they have): the logistic function of the sparse dot product with the whole text. A null text scores as an empty one."""
     spark = documents.sparkSession
     arrow_limits(spark)
-    shared = spark.sparkContext.broadcast((weights[0].astype(np.int64), weights[1].astype(np.float32)))
+    shared = spark.sparkContext.broadcast((model.at.astype(np.int64), model.w.astype(np.float32)))
     bits = plan.bits
-    kept = [c for c in documents.columns if c != name]
+    kept = [c for c in documents.columns if c.lower() != name.lower()]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, np.float32)
