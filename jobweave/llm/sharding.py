@@ -5,7 +5,8 @@ partition sums the bytes below each, and the probes around each wanted splitter
 within the tolerance or no key lies between. A probe is also set at the heaviest key of each interval, so a group of
 equal texts of any size is found at once and then split by doc_id. Only then do the rows move, once.
 
-Rows that repeat both doc_id and text stay in one shard. A null text has no bytes; a null doc_id sorts first.
+Rows that repeat both doc_id and text stay in one shard. A null text has no bytes; a null doc_id sorts first. Columns of
+the caller named size, shard or slot are replaced by the operator's; all others are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, arrow_limits, tidy
+from .workspace import Workspace, arrow_limits, fresh, tidy
 
 LOW, HIGH = -(2**63), 2**63 - 1
 Key = tuple[int, int]
@@ -120,13 +121,14 @@ def shard_documents(documents: DataFrame, plan: ShardingPlan = ShardingPlan()) -
     """`documents` with size, shard and slot, moved to their places by one exchange. The shards' bytes differ by the tolerance or by one row."""
     spark = documents.sparkSession
     arrow_limits(spark)
-    taken = {"size", "shard", "slot"}
-    rows = documents.select(*[c for c in documents.columns if c not in taken]).withColumns({
-        "__h": F.xxhash64(F.coalesce("text", F.lit(""))), "__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)),
+    names = [c for c in documents.columns if c.lower() not in ("size", "shard", "slot")]
+    hash_, id_, at_, piece = (fresh(names, c) for c in ("__h", "__d", "__at", "__piece"))
+    rows = documents.select(*names).withColumns({
+        hash_: F.xxhash64(F.coalesce("text", F.lit(""))), id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)),
         "size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"),
     })
     work = Workspace(spark, "sharding")
-    keys = work.table(rows.select(F.col("__h").alias("h"), F.col("__d").alias("d"), "size"), "keys")
+    keys = work.table(rows.select(F.col(hash_).alias("h"), F.col(id_).alias("d"), "size"), "keys")
     starts, total = splitters(keys, plan)
     parts = max(1, -(-total // (plan.shards * plan.partition_bytes)))
     cuts = set(starts)
@@ -147,10 +149,11 @@ def shard_documents(documents: DataFrame, plan: ShardingPlan = ShardingPlan()) -
         at = below(cuts, h.to_numpy(), d.to_numpy())
         return pd.DataFrame({"piece": at.astype(np.int32), "shard": of_cut[at].astype(np.int32), "base": base[at]})
 
-    placed = rows.withColumn("__at", place("__h", "__d")).withColumn("__piece", F.col("__at.piece"))
-    order = Window.partitionBy("__piece").orderBy("__h", "__d")
-    placed = placed.repartition(len(cuts) + 1, "__piece").withColumn("slot", F.col("__at.base") + F.row_number().over(order) - 1)
-    return placed.withColumn("shard", F.col("__at.shard")).drop("__h", "__d", "__at", "__piece")
+    placed = rows.withColumn(at_, place(hash_, id_)).withColumn(piece, F.col(at_)["piece"])
+    order = Window.partitionBy(piece).orderBy(hash_, id_)
+    # the piece is the partition: no two pieces meet in one task while others stay empty
+    placed = placed.repartitionById(len(cuts) + 1, F.col(piece)).withColumn("slot", F.col(at_)["base"] + F.row_number().over(order) - 1)
+    return placed.withColumn("shard", F.col(at_)["shard"]).drop(hash_, id_, at_, piece)
 
 
 def sharding_query(documents: DataFrame, plan: ShardingPlan = ShardingPlan()) -> DataFrame:
