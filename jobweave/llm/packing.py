@@ -5,7 +5,8 @@ largest dot product with what is left of the bin, among those that fit, until no
 cut into full bins and a rest; where more than `cut_from` tokens of a bin stay free, the longest waiting piece is cut.
 
 Every partition packs its own rows with a bounded pool of waiting pieces, without a shuffle; each leaves at most a few
-bins unfilled. A null text is an empty one and is the end token alone; null ids are carried along.
+bins unfilled. A null text is an empty one and is the end token alone; null ids are carried along; repeated rows are
+packed each for itself; other columns play no part, whatever their names; no table rows, no pieces.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ TOKENIZER, END = "word_bpe_49k.json", 2
 
 @dataclass(frozen=True)
 class Limits:
+    """Of a sequence. The first token of a piece bears no loss, so `loss` binds where few pieces fill a sequence and `segments` where many do."""
+
     tokens: int = 4096
-    segments: int = 512
-    loss: int = 4096
+    segments: int = 32
+    loss: int = 4088
     pool: int = 1024
     cut_from: int = 48
 
@@ -208,3 +211,8 @@ def packing_query(documents: DataFrame) -> DataFrame:
     """The pieces with a checksum of their ids in place of the ids."""
     out = pack_documents(documents)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def conversation_query(conversations: DataFrame) -> DataFrame:
+    """The pieces of all conversations: conv_id, start, length, n_loss, ids_crc32, sequence_id, offset."""
+    return pack_conversations(conversations).select("conv_id", "start", "length", "n_loss", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")

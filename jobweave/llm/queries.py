@@ -23,6 +23,11 @@ def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_query(_read(spark, sf_dir, "documents"))
 
 
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The general packer on instruction data: tokens, segments and the answers' tokens are limited at once."""
+    return packing.conversation_query(_read(spark, sf_dir, "conversations"))
+
+
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup_query(_read(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.ann_query(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_vector_packing, op3_line_templates, op4_toxicity, op5_hyperminhash_neardup, op6_suffix_array_dedup, op7_pii_crf, op8_histogram_sharding, op9_benchmark_containment, op10_learned_partitions)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_vector_packing, op3_line_templates, op4_toxicity, op5_hyperminhash_neardup, op6_suffix_array_dedup, op7_pii_crf, op8_histogram_sharding, op9_benchmark_containment, op10_learned_partitions, conversation_packing)}
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BLANKS = "[\\x20\\x09-\\x0D]+"
@@ -73,20 +78,18 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT d AS doc_id, min(c) AS component_id FROM r GROUP BY d) c USING (doc_id)"""
 
 _PLAN = linededup.TemplatePlan()
-_FIELD = lambda k: f"({_PLAN.leading} + (len(w) - {_PLAN.leading}) * {k} // {_PLAN.fields})"
-_LINES = " ".join([
-    f"SELECT doc_id, pos, 'whole ' || array_to_string(w, ' ') AS key FROM w WHERE len(w) >= {_PLAN.least_tokens}",
-    *[
-        f"UNION ALL SELECT doc_id, pos, '{k} ' || len(w) || ' ' || array_to_string(list_concat(list_slice(w, 1, {_FIELD(k)}), list_slice(w, {_FIELD(k + 1)} + 1, len(w))), ' ') FROM w WHERE len(w) >= {_PLAN.generalised_from}"
-        for k in range(_PLAN.fields)
-    ],
-])
+_PATH = " AND ".join(f"a.w[{k + 1}] = b.w[{k + 1}]" for k in range(_PLAN.leading))
 LINES_SQL = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 w AS (SELECT doc_id, pos, list_transform(list_filter(regexp_split_to_array(line, '{_BLANKS}'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END) AS w FROM l),
-k AS ({_LINES}),
-r AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key HAVING count(DISTINCT doc_id) >= {_PLAN.documents}),
-g AS (SELECT DISTINCT doc_id, pos FROM k JOIN r USING (key) WHERE doc_id <> first)
+o AS (SELECT doc_id, pos, w, len(w) AS n, array_to_string(w, ' ') AS key FROM w WHERE len(w) >= {_PLAN.least_tokens}),
+k AS (SELECT DISTINCT key, n, w FROM o WHERE n > {_PLAN.leading} AND n * {100 - _PLAN.similar} >= 100),
+d AS (SELECT DISTINCT key, n, doc_id FROM o),
+p AS (SELECT a.key AS key, b.key AS other FROM k a JOIN k b ON a.n = b.n AND {_PATH}
+  WHERE list_sum(list_transform(range(1, a.n + 1), lambda i: CAST(a.w[i] <> b.w[i] AS INTEGER))) <= a.n * {100 - _PLAN.similar} // 100),
+r AS (SELECT p.key, min(doc_id) AS first FROM p JOIN d ON d.key = p.other GROUP BY p.key HAVING count(DISTINCT doc_id) >= {_PLAN.documents}
+  UNION ALL SELECT key, min(doc_id) FROM d GROUP BY key, n HAVING count(*) >= CASE WHEN n > {_PLAN.long_tokens} THEN {_PLAN.long_documents} ELSE {_PLAN.documents} END),
+g AS (SELECT DISTINCT doc_id, pos FROM o JOIN r USING (key) WHERE doc_id <> first)
 SELECT l.doc_id, coalesce(string_agg(CASE WHEN g.pos IS NULL THEN line END, chr(10) ORDER BY l.pos), '') AS text, count(*) AS n_lines, count(g.pos) AS n_dropped
 FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id"""
 

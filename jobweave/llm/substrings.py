@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .suffixarray import kasai, suffix_array
-from .textops import mix, prefix_hash, range_hash, slices
+from .textops import content_hash, mix, prefix_hash, range_hash, slices
 from .workspace import Workspace, arrow_limits, release, tidy
 
 _U = np.uint64
@@ -191,7 +191,7 @@ def dealt_stretches(texts: DataFrame, parts: int, plan: SubstringPlan) -> DataFr
                 if not len(anchor):
                     continue
                 part = (mix(anchor) % _U(parts)).astype(np.int64)
-                content = range_hash(sums, first, last)
+                content = content_hash(data, sums, first, last)
                 order = np.lexsort((content, part))
                 part, content, text, first, last = part[order], content[order], text[order], first[order], last[order]
                 new = np.append(True, (part[1:] != part[:-1]) | (content[1:] != content[:-1]))
@@ -270,7 +270,7 @@ def removed_windows(group: pa.Table, parts: int, plan: SubstringPlan) -> pa.Tabl
     for blob, own in zip(blobs, sizes, strict=True):
         own = own.astype(np.int64)
         sums, stops, room = prefix_hash(blob), np.cumsum(own), own - plan.length + 1
-        content.append(range_hash(sums, stops - own, stops))
+        content.append(content_hash(blob, sums, stops - own, stops))
         at = np.repeat(stops - own - (np.cumsum(room) - room), room) + np.arange(room.sum())
         seen.append(range_hash(sums, at, at + plan.length))
     content, seen = np.concatenate(content), np.concatenate(seen)

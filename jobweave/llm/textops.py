@@ -1,11 +1,13 @@
 """Vectorised scans over the bytes of Arrow string columns: words, word hashes, shingles.
 
 A word is a maximal run of bytes other than the ASCII blanks 0x20 and 0x09 to 0x0D. Words get 64-bit hashes from one
-prefix sum over the bytes, so no Python string is made per word.
+prefix sum over the bytes, so no Python string is made per word. That hash is a polynomial modulo 2**64, which has known
+collisions among long strings (Thue-Morse words); runs of more than LONG bytes therefore get a cryptographic one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +16,7 @@ import pyarrow as pa
 
 _U = np.uint64
 SLICE_BYTES = 1 << 20
+LONG = 96
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -94,6 +97,14 @@ def range_hash(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndar
     return mix((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(_U) * ODD[63])
 
 
+def content_hash(data: np.ndarray, sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges of any length: range_hash up to LONG bytes, BLAKE2 beyond."""
+    out = range_hash(sums, start, stop)
+    for k in np.flatnonzero(stop - start > LONG):
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : stop[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, blank: np.ndarray = BLANK) -> Words:
     """Words of the texts that `offsets` cut from `data`; `blank` marks the bytes that part them."""
     low = LOWER[data] if lower else data
@@ -109,7 +120,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, blank:
     start = np.flatnonzero(word & first)
     stop = np.flatnonzero(word & last) + 1
     sums = prefix_hash(low)
-    return Words(start, stop, range_hash(sums, start, stop), np.searchsorted(start, offsets), low, sums)
+    return Words(start, stop, content_hash(low, sums, start, stop), np.searchsorted(start, offsets), low, sums)
 
 
 def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -38,6 +38,21 @@ def test_words_and_shingles_equal_plain_python():
     assert len(np.intersect1d(a, b)) == 1
 
 
+def test_long_words_that_a_polynomial_confuses_differ():
+    """Thue-Morse words have equal polynomial hashes modulo 2**64, whatever the base."""
+    a, b = b"", b""
+    for k in range(1024):
+        odd = bin(k).count("1") % 2
+        a, b = a + (b"x" if odd else b"y"), b + (b"y" if odd else b"x")
+    words = find_words(np.frombuffer(a + b" " + b + b" " + a, np.uint8), np.array([0, 3 * 1024 + 2]))
+    assert words.hash[0] != words.hash[1] and words.hash[0] == words.hash[2]
+    own = tokens.ChunkEncoder(PATH)
+    whole = Tokenizer.from_file(PATH)
+    for text in (a, b):
+        ids, _ = own.encode(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert list(ids) == whole.encode(text.decode(), add_special_tokens=False).ids
+
+
 def test_ids_equal_those_of_whole_texts(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 300)
     own, whole = tokens.ChunkEncoder(PATH), Tokenizer.from_file(PATH)
