@@ -2,12 +2,15 @@
 
 A bounded sample gives a neighbour graph; the graph is cut into parts of equal size with few cut edges (recursive
 spectral bisection at the median, then swaps that lower the cut); a small network learns from a vector alone which parts
-its neighbours lie in. Every row is indexed under its most probable part. A query is routed to several most probable
-parts, whose rows are all compared with it, in double precision on the original vectors.
-
-Vectors that are null, all zero, of another length than most, or with null or non-finite components take no part, nor do
-rows without a vec_id. Of rows that repeat a query's vec_id one is searched. Ties go to the smaller vec_id; fewer
-candidates than asked for are all returned.
+its neighbours lie in. Parts grow with the rows: where more are wanted than one network tells apart, each part of the
+first level gets a graph, a cut and a network of its own. Every vector is indexed under its most probable part. A query
+is routed to its most probable parts until they hold `mass` of the probability, and all of their vectors are compared
+with it, in double precision on the original vectors.
+
+Equal vectors (told by 128-bit hashes) are indexed and searched once, whatever number of rows has them, each with its
+smallest ids, which decide ties. Vectors that are null, all zero, of another length than most, or with null or
+non-finite components take no part, nor do rows without a vec_id. Of rows that repeat a query's vec_id one is searched.
+Ties go to the smaller vec_id; fewer candidates than asked for are all returned. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -16,28 +19,38 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, arrow_limits, tidy
+from .workspace import Workspace, arrow_limits, join_by_key, tidy
 
 
 @dataclass(frozen=True)
 class SearchPlan:
+    """`sample` bounds the vectors that one network learns from, `fan` the parts that it tells apart; blocks bound a task's memory."""
+
     neighbours: int = 5
     sample: int = 8192
     graph_degree: int = 10
     part_rows: int = 4096
-    most_parts: int = 128
+    least_parts: int = 8
+    least_rows: int = 40
+    fan: int = 128
     hidden: int = 128
     epochs: int = 40
     mass: float = 0.98
     least_probes: int = 3
-    most_probes: int = 16
-    block_rows: int = 32768
-    query_rows: int = 16384
+    block_bytes: int = 16 << 20
+    query_bytes: int = 8 << 20
+
+    def levels(self, rows: int) -> tuple[int, int]:
+        """Parts of the first level, and of each of them."""
+        parts = self.least_parts if rows >= self.least_rows else 1
+        while parts * self.part_rows < rows and parts < self.fan**2:
+            parts *= 2
+        first = min(parts, self.fan)
+        return first, parts // first
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -163,115 +176,201 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _nearest(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query its k nearest rows with another vec_id: query_id, vec_id, score. Equal vectors get equal scores whatever their place."""
-    order = np.lexsort((vid, *x.T[::-1]))
-    vid, x = vid[order], x[order]
-    new = np.append(True, (x[1:] != x[:-1]).any(axis=1))
-    starts = np.flatnonzero(new)
-    stops = np.append(starts[1:], len(x))
-    u = x[starts]
+def _nearest(q: np.ndarray, u: np.ndarray, ids: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query vector the k nearest ids of the vectors u: index of the query, id, score. Equal vectors get equal scores whatever their place."""
     length = np.sqrt((u * u).sum(1))
     out_q, out_v, out_s = [], [], []
     for at in range(0, len(q), 512):
         own = q[at : at + 512]
         near = unit(own) @ (u / length[:, None]).T
-        most = min(k + 1, len(u))
+        most = min(k, len(u))
         line = -np.partition(-near, most - 1, axis=1)[:, most - 1] - 1e-9
         for r in range(len(own)):
             c = np.flatnonzero(near[r] >= line[r])
             score = (u[c] * own[r]).sum(1) / (length[c] * np.sqrt((own[r] * own[r]).sum()))
-            ids = np.concatenate([vid[starts[p] : min(stops[p], starts[p] + k + 1)] for p in c])
-            scores = np.repeat(score, np.minimum(stops[c] - starts[c], k + 1))
-            other = ids != qid[at + r]
-            ids, scores = ids[other], scores[other]
-            best = np.lexsort((ids, -scores))[:k]
-            out_q.append(np.full(len(best), qid[at + r]))
-            out_v.append(ids[best])
+            held = np.concatenate([ids[p] for p in c])
+            scores = np.repeat(score, [len(ids[p]) for p in c])
+            best = np.lexsort((held, -scores))[:k]
+            out_q.append(np.full(len(best), at + r))
+            out_v.append(held[best])
             out_s.append(scores[best])
-    return tuple(np.concatenate(o) if o else np.zeros(0) for o in (out_q, out_v, out_s))
+    return tuple(np.concatenate(o) if o else np.zeros(0, t) for o, t in ((out_q, np.int64), (out_v, np.int64), (out_s, np.float64)))
+
+
+class Routers:
+    """The network of the first level and those of its parts. Parts are numbered first * second + place."""
+
+    def __init__(self, root: Router | None, leaves: dict[int, Router], second: int):
+        self.root, self.leaves, self.second = root, leaves, second
+
+    def _first(self, x: np.ndarray) -> np.ndarray:
+        return self.root.probabilities(x) if self.root else np.ones((len(x), 1))
+
+    def _second(self, part: int, x: np.ndarray) -> np.ndarray:
+        if part in self.leaves:
+            return self.leaves[part].probabilities(x)
+        return np.eye(1, self.second).repeat(len(x), 0)
+
+    def part(self, x: np.ndarray) -> np.ndarray:
+        first = self._first(x).argmax(1)
+        out = first * self.second
+        for c in np.unique(first) if self.second > 1 else ():
+            own = np.flatnonzero(first == c)
+            out[own] += self._second(int(c), x[own]).argmax(1)
+        return out
+
+    def probable(self, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, part and probability of all parts of first-level parts that are at least so probable."""
+        first = self._first(x)
+        rows, parts, mass = [], [], []
+        for c in range(first.shape[1]):
+            own = np.flatnonzero(first[:, c] >= least)
+            if len(own):
+                p = first[own, c, None] * (self._second(c, x[own]) if self.second > 1 else 1.0)
+                rows.append(np.repeat(own, p.shape[1]))
+                parts.append(np.tile(c * self.second + np.arange(p.shape[1]), len(own)))
+                mass.append(p.ravel())
+        return tuple(np.concatenate(v) if v else np.zeros(0, t) for v, t in ((rows, np.int64), (parts, np.int64), (mass, np.float64)))
+
+
+def probes(routers: Routers, x: np.ndarray, sizes: dict[int, int], plan: SearchPlan) -> tuple[np.ndarray, np.ndarray]:
+    """(row, part): the most probable parts that have vectors, until they hold the mass, are enough, and have enough vectors."""
+    rows, parts, mass = routers.probable(x, (1 - plan.mass) / 1000 if routers.second > 1 else 0.0)
+    size = np.array([sizes.get(p, 0) for p in parts.tolist()], np.int64)
+    full = size > 0
+    rows, parts, mass, size = rows[full], parts[full], mass[full], size[full]
+    order = np.lexsort((parts, -mass, rows))
+    rows, parts, mass, size = rows[order], parts[order], mass[order], size[order]
+    begin = np.searchsorted(rows, np.arange(len(x)))
+    start = begin[rows]
+    before = lambda v: (np.cumsum(v) - v) - (np.cumsum(v) - v)[start]
+    whole = np.bincount(rows, mass, len(x))
+    keep = (before(mass) < plan.mass * whole[rows]) | (np.arange(len(rows)) - start < plan.least_probes) | (before(size) <= plan.neighbours)
+    rows, parts = rows[keep], parts[keep]
+    poor = np.bincount(rows, [sizes[p] for p in parts.tolist()], len(x)) <= plan.neighbours
+    if poor.any() and len(sizes):  # hardly any vectors where the query was sent: all parts
+        add = np.flatnonzero(poor)
+        rows, parts = np.concatenate([rows[~poor[rows]], np.repeat(add, len(sizes))]), np.concatenate([parts[~poor[rows]], np.tile(np.array(list(sizes)), len(add))])
+    return rows, parts
+
+
+def trained(batches, parts: int, plan: SearchPlan) -> list[np.ndarray]:
+    """Weights of a network for these vectors; none if there are too few to part."""
+    found = [_matrix(c) for c in batches if len(c)]
+    x = np.concatenate(found) if found else np.zeros((0, 1))
+    return [w.astype(np.float32) for w in fit(x, parts, plan).weights] if len(x) > parts else []
+
+
+def _router(row) -> Router | None:
+    return Router([np.array(w, np.float64).reshape(s) for w, s in zip(row["w"], row["shape"], strict=True)]) if row["w"] else None
+
+
+def learned(vectors: DataFrame, total: int, plan: SearchPlan, work: Workspace) -> tuple[Routers, DataFrame]:
+    """The networks, and `vectors` (h1, h2, ids, embedding) with the part of each."""
+    spark = vectors.sparkSession
+    first, second = plan.levels(total)
+    chance = F.pmod(F.xxhash64("h1", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    model = "w array<array<float>>, shape array<array<long>>"
+    as_row = lambda weights: (pa.array([[w.ravel() for w in weights]], pa.list_(pa.list_(pa.float32()))), pa.array([[list(w.shape) for w in weights]], pa.list_(pa.list_(pa.int64()))))
 
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays(list(as_row(trained((b.column("embedding") for b in batches), first, plan))), ["w", "shape"])
 
-def nearest(embeddings: DataFrame, is_query, plan: SearchPlan = SearchPlan()) -> DataFrame:
-    """query_id, rank, vec_id, score of the nearest rows found for every row of which `is_query` holds."""
-    spark = embeddings.sparkSession
-    arrow_limits(spark)
-    work = Workspace(spark, "ann")
-    rows = work.table(usable(embeddings), "rows")
-    total = rows.count()
-    share = min(1.0, plan.sample / max(total, 1))
-    sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30)) < share * (1 << 30)).orderBy(F.xxhash64("vec_id", F.lit(6))).limit(plan.sample)
-    parts = 1
-    while parts < plan.most_parts and parts * plan.part_rows < total:
-        parts *= 2
+    root = None
+    if first > 1:
+        sample = vectors.where(chance < min(1.0, plan.sample / total)).orderBy(F.xxhash64("h1", F.lit(6))).limit(plan.sample)
+        root = _router(sample.select("embedding").repartition(1).mapInArrow(tidy(train), model).first())
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [b for b in batches if b.num_rows]
-        x = np.concatenate([_matrix(b.column("embedding")) for b in found]) if found else np.zeros((0, 1))
-        weights = fit(x, parts, plan).weights if len(x) > 1 and parts > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([w.ravel() for w in weights], pa.list_(pa.float64())), pa.array([list(w.shape) for w in weights], pa.list_(pa.int64()))], ["w", "shape"])
+    def dealt(routers: Routers, df: DataFrame) -> DataFrame:
+        shared = spark.sparkContext.broadcast(routers)
 
-    learned = sample.select("embedding").repartition(1).mapInArrow(tidy(train), "w array<double>, shape array<long>").collect() if parts > 1 else []
-    router = Router([np.array(r["w"]).reshape(r["shape"]) for r in learned]) if learned else None
-    shared = spark.sparkContext.broadcast(router)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    part = shared.value.part(unit(_matrix(b.column("embedding"))))
+                    yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), *(b.column(c) for c in ("h1", "h2", "ids", "embedding"))], ["part", "h1", "h2", "ids", "embedding"])
 
-    def probabilities(column: pa.Array) -> np.ndarray:
-        return shared.value.probabilities(unit(_matrix(column))) if shared.value else np.ones((len(column), 1))
+        return df.mapInArrow(tidy(run), "part long, h1 long, h2 long, ids array<long>, embedding array<double>")
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                best = probabilities(b.column("embedding")).argmax(1)
-                yield pa.RecordBatch.from_arrays([pa.array(best), b.column("vec_id"), b.column("embedding")], ["part", "vec_id", "embedding"])
+    routers = Routers(root, {}, 1)
+    if second > 1 and root:
+        halfway = work.table(dealt(routers, vectors), "halfway")
+        share = {r["part"]: min(1.0, plan.sample / r["count"]) for r in halfway.groupBy("part").count().collect()}
+        shares = F.create_map(*[x for p, v in share.items() for x in (F.lit(p).cast("long"), F.lit(v))])
+
+        def train_part(group: pa.Table) -> pa.Table:
+            w, shape = as_row(trained(group.column("embedding").chunks, second, plan))
+            return pa.table({"part": group.column("part")[:1].combine_chunks(), "w": w, "shape": shape})
+
+        rows = halfway.where(chance < shares[F.col("part")]).select("part", "embedding").groupBy("part").applyInArrow(train_part, "part long, " + model).collect()
+        leaves = {r["part"]: _router(r) for r in rows}
+        routers = Routers(root, {p: r for p, r in leaves.items() if r}, second)
+    return routers, work.table(dealt(routers, vectors), "index")
 
-    indexed = work.table(rows.mapInArrow(tidy(index), "part long, vec_id long, embedding array<double>"), "index")
-    sizes = {r["part"]: r["count"] for r in indexed.groupBy("part").count().collect()}
-    blocks = {p: -(-n // plan.block_rows) for p, n in sizes.items()}
+
+def nearest(embeddings: DataFrame, is_query, plan: SearchPlan = SearchPlan()) -> DataFrame:
+    """query_id, rank, vec_id, score of the nearest rows found for every row of which `is_query` holds."""
+    spark = embeddings.sparkSession
+    arrow_limits(spark)
+    work = Workspace(spark, "ann")
+    k = plan.neighbours
+    rows = work.table(usable(embeddings).withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64("embedding", F.lit(1))}), "rows")
+
+    # each vector once, with its smallest ids: one more than asked for, as a query's own is left out
+    each = rows.groupBy("h1", "h2", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("copies"))
+    each = each.withColumn("place", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).where(F.col("place") <= k + 1)
+    ids = each.groupBy("h1", "h2").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "copies"))), lambda e: F.array_repeat(e["vec_id"], e["copies"]))).alias("ids"))
+    vectors = work.table(rows.select("h1", "h2", "embedding").dropDuplicates(["h1", "h2"]).join(ids, ["h1", "h2"]).select("h1", "h2", "ids", "embedding"), "vectors")
+    total = vectors.count()
+    width = (vectors.select(F.size("embedding")).first() or [1])[0]
+    routers, index = learned(vectors, total, plan, work)
+    sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}
+    shared = spark.sparkContext.broadcast((routers, sizes))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            p = probabilities(b.column("embedding"))
-            order = np.argsort(-p, axis=1, kind="stable")
-            at, part, block = [], [], []
-            for k in range(b.num_rows):
-                mass, probes, seen = 0.0, 0, 0
-                for c in order[k]:
-                    if seen > plan.neighbours and (probes >= plan.most_probes or (probes >= plan.least_probes and mass >= plan.mass)):
-                        break
-                    mass += p[k, c]
-                    n = sizes.get(int(c), 0)
-                    if n:
-                        probes, seen = probes + 1, seen + n
-                        for x in range(blocks[int(c)]):
-                            at.append(k)
-                            part.append(int(c))
-                            block.append(x)
-            own = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(block, pa.int64()), own.column("vec_id"), own.column("embedding")], ["part", "block", "query_id", "embedding"])
-
-    queries = rows.where(is_query).dropDuplicates(["vec_id"]).select("vec_id", "embedding")
-    # groups of queries, so that no task holds them all; each meets a copy of the blocks
-    groups = max(1, -(-queries.count() // plan.query_rows))
-    routed = queries.mapInArrow(tidy(route), "part long, block long, query_id long, embedding array<double>")
-    routed = routed.withColumn("asking", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
-    count = F.create_map(*[x for p, n in blocks.items() for x in (F.lit(p), F.lit(n))]) if blocks else F.create_map(F.lit(0), F.lit(1))
-    dealt = indexed.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding", F.monotonically_increasing_id()), count[F.col("part")]))
-    dealt = dealt.withColumn("asking", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+            if b.num_rows:
+                at, part = probes(shared.value[0], unit(_matrix(b.column("embedding"))), shared.value[1], plan)
+                own = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), *(own.column(c) for c in ("h1", "h2", "embedding"))], ["part", "h1", "h2", "embedding"])
+
+    one = F.row_number().over(Window.partitionBy("vec_id").orderBy("h1", "h2"))
+    queries = work.table(rows.where(is_query).withColumn("one", one).where("one = 1").select("vec_id", "h1", "h2"), "queries")
+    asking = queries.groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    asked = vectors.select("h1", "h2", "embedding").join(asking.select("h1", "h2"), ["h1", "h2"])
+    routed = work.table(asked.mapInArrow(tidy(route), "part long, h1 long, h2 long, embedding array<double>"), "routed")
+
+    # a part's vectors meet in blocks, those who ask it in groups, so that no task holds all of either
+    block_rows, group_rows = (max(256, size // (8 * width)) for size in (plan.block_bytes, plan.query_bytes))
+    askers = {r["part"]: r["count"] for r in routed.groupBy("part").count().collect()}
+    plans = [(p, -(-n // block_rows), -(-askers.get(p, 0) // group_rows)) for p, n in sizes.items()]
+    parts = F.broadcast(spark.createDataFrame(plans, "part long, blocks long, groups long"))  # at most fan * fan rows
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    groups = F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))
+    left = routed.join(parts, "part").withColumn("group", F.pmod(F.xxhash64("h1", "h2"), F.col("groups"))).withColumn("block", blocks).drop("blocks", "groups")
+    right = index.join(parts.where("groups > 0"), "part").withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks"))).withColumn("group", groups).drop("blocks", "groups")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        h1, h2, v, s = np.zeros((4, 0))
         if left.num_rows and right.num_rows:
             of = lambda t: np.concatenate([_matrix(c) for c in t.column("embedding").chunks if len(c)])
-            q, v, s = _nearest(left.column("query_id").to_numpy(), of(left), right.column("vec_id").to_numpy(), of(right), plan.neighbours)
-        else:
-            q, v, s = np.zeros((3, 0))
-        return pa.table({"query_id": pa.array(q.astype(np.int64)), "vec_id": pa.array(v.astype(np.int64)), "score": pa.array(s, pa.float64())})
-
-    keys = ("part", "block", "asking")
-    found = routed.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= plan.neighbours).select("query_id", "rank", "vec_id", "score")
+            own = right.column("ids").combine_chunks()
+            edges = np.append(0, np.cumsum(own.value_lengths().to_numpy()))
+            flat = own.flatten().to_numpy()
+            at, v, s = _nearest(of(left), of(right), [flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], 2 * k)
+            h1, h2 = left.column("h1").to_numpy()[at], left.column("h2").to_numpy()[at]
+        return pa.table({"h1": pa.array(h1.astype(np.int64)), "h2": pa.array(h2.astype(np.int64)), "vec_id": pa.array(v.astype(np.int64)), "score": pa.array(s, pa.float64())})
+
+    keys = ("part", "block", "group")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "h1 long, h2 long, vec_id long, score double")
+    best = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id")
+    found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= 2 * k)
+    found = found.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("found"))
+    found = work.table(found.join(asking, ["h1", "h2"]), "found")
+    answers = join_by_key(queries.withColumnRenamed("vec_id", "query_id"), found, ["h1", "h2"])
+    others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    out = answers.select("query_id", F.posexplode(others).alias("rank", "x"))
+    return out.select("query_id", (F.col("rank") + 1).alias("rank"), "x.vec_id", "x.score")
 
 
 def ann_query(embeddings: DataFrame, plan: SearchPlan = SearchPlan()) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -22,8 +23,6 @@ PATH = public_tokenizers.path(packing.TOKENIZER)
 
 
 def test_words_and_shingles_equal_plain_python():
-    import re
-
     rng = random.Random(5)
     texts = ["".join(rng.choice("aB c\t\n\x0b\x1cé.") for _ in range(rng.randrange(0, 60))) for _ in range(300)] + [None, ""]
     for row, stop, data, offsets in slices(pa.array(texts), 500):
@@ -154,8 +153,6 @@ ITEMS = "item_id long, text string"
 
 def contained(documents, items):
     def sets(text):
-        import re
-
         words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w]
         return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
 
@@ -163,7 +160,11 @@ def contained(documents, items):
     for i, t in documents:
         for j, u in items:
             a, b = sets(t), sets(u)
-            if b and 100 * len(a & b) >= 75 * len(b):
+            if len(min(b, default=())) < 5:
+                words = lambda x: " " + " ".join(re.split(r"[\x20\x09-\x0D]+", x.lower())).strip() + " "
+                if b and words(u) in words(t or ""):
+                    out.add((i, j, 1, 1))
+            elif b and 100 * len(a & b) >= 75 * len(b):
                 out.add((i, j, len(b), len(a & b)))
     return out
 
@@ -172,8 +173,8 @@ def contained(documents, items):
 def test_containment_equals_all_pairs(spark, documents, corpus, broadcast):
     rng = random.Random(9)
     words = corpus[84][1].split(" ")
-    items = [(0, " ".join(words[100:160])), (1, " ".join(words[900:1100])), (2, prose(rng, 40)), (3, None), (4, ""), (5, "one"), (6, " ".join(corpus[3][1].split(" ")[:18] + ["other"] * 4)), (7, " ".join(corpus[4][1].split(" ")[:9] + ["other"] * 30)), (0, " ".join(words[100:160]))]
-    plan = decontamination.ContainmentPlan(sample=16, broadcast_rows=broadcast)
+    items = [(0, " ".join(words[100:160])), (1, " ".join(words[900:1100])), (2, prose(rng, 40)), (3, None), (4, ""), (5, "one"), (8, "two words"), (9, "MIT\tlicense."), (6, " ".join(corpus[3][1].split(" ")[:18] + ["other"] * 4)), (7, " ".join(corpus[4][1].split(" ")[:9] + ["other"] * 30)), (0, " ".join(words[100:160]))]
+    plan = decontamination.ContainmentPlan(broadcast_bytes=broadcast)
     benchmark = spark.createDataFrame(items, ITEMS)
     got = decontamination.decontamination_query(documents.withColumns({"item_id": F.lit("x"), "shingle": F.lit(1), "hits": F.lit(2)}), benchmark, plan).collect()
     wanted = contained([(r[0], r[1]) for r in corpus], items)
@@ -206,7 +207,7 @@ def test_search_finds_the_nearest(spark):
     x = (centres[rng.integers(0, 40, 4000)] + 0.6 * rng.normal(size=(4000, 16))).astype(np.float32)
     x[1000:2300] = x[7]
     rows = [(k, v.tolist(), 0) for k, v in enumerate(x)]
-    plan = ann.SearchPlan(part_rows=250, sample=2000, block_rows=300, query_rows=20)
+    plan = ann.SearchPlan(part_rows=250, sample=2000, block_bytes=300 * 128, query_bytes=20 * 128)
     out = ann.ann_query(spark.createDataFrame(rows, VECTORS).repartition(4), plan).toPandas()
     wanted = exact(x.astype(float), np.arange(4000), 5)
     assert len(out) == len(wanted) and ann.recall(out, wanted) >= 0.9
@@ -216,6 +217,26 @@ def test_search_finds_the_nearest(spark):
     assert list(hot.vec_id) == [7, 1001, 1002, 1003, 1004]
 
 
+def test_two_levels_of_parts(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(60, 12))
+    x = (centres[rng.integers(0, 60, 6000)] + 0.5 * rng.normal(size=(6000, 12))).astype(np.float32)
+    plan = ann.SearchPlan(part_rows=100, fan=8, sample=1500, epochs=20)
+    assert plan.levels(6000) == (8, 8) and ann.SearchPlan().levels(500) == (8, 1) and ann.SearchPlan().levels(10**9) == (128, 128)
+    out = ann.ann_query(spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], VECTORS), plan).toPandas()
+    wanted = exact(x.astype(float), np.arange(6000), 5)
+    assert len(out) == len(wanted) and ann.recall(out, wanted) >= 0.9
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_on_the_tables_is_measured_through_the_router(spark, size):
+    rows = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
+    t = rows.toPandas().sort_values("vec_id")
+    ids, x = t.vec_id.to_numpy(), np.stack(t.embedding.to_numpy()).astype(float)
+    assert ann.SearchPlan().levels(len(ids))[0] >= 8
+    assert ann.recall(ann.ann_query(rows).toPandas(), exact(x, ids, 5)) >= 0.9
+
+
 def test_search_leaves_out_what_is_no_vector(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (50, [0.0, 0.0], 1), (1, [1.0, 1.0], 1), (2, None, 1), (3, [nan, 1.0], 1), (4, [inf, 1.0], 1), (5, [1.0, None], 1), (6, [1.0], 1), (None, [1.0, 0.0], 1), (7, [2.0, 0.0], 1), (7, [2.0, 0.0], 1), (100, [-1.0, 0.0], None)]
