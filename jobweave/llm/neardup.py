@@ -1,8 +1,10 @@
 """Near-duplicate documents by HyperMinHash: compressed registers, banding, corrected estimates, exact verification.
 
-A document's set holds its distinct five-word shingles (a shorter text: its whole word sequence; no words: nothing).
-Every register keeps the smallest hash under its own permutation as a leading-zero count (6 bits) and the 10 bits after
-the leading one, so small sets leave no register empty and 160 registers take 320 bytes. Four registers make a band.
+A document's set holds its distinct five-word shingles (a shorter text: its whole word sequence; no words: nothing). One
+hash of a shingle picks its bucket; a bucket's register keeps the smallest second hash as a leading-zero count (6 bits)
+and the 10 bits after the leading one, so 159 registers take 318 bytes. An empty bucket borrows the register of the first
+filled one in an order of its own, the same for all documents, so registers of small sets agree as often as those of
+large ones. Three registers make a band.
 
 1. Documents with equal sets form classes; one representative of each goes on.
 2. In every band bucket the members are compared with one hub (a star, not all pairs), the one that shares most bands in
@@ -10,11 +12,13 @@ the leading one, so small sets leave no register empty and 160 registers take 32
    corrected for accidental register collisions, is far below the threshold go; the others are verified on whole sets.
 3. The members of buckets that still hold several components are compared across components, on whole sets and in
    blocks that an exact prefix filter names. So any two documents that share a band are either in one component already
-   or compared, and no link is lost but by sharing none of 40 bands, which at the threshold happens to about 3 pairs in
-   10 million.
+   or compared. Two documents at the threshold share none of 53 bands with a probability of 2.4 in 10**13. With `exact`
+   step 3 takes in all representatives, whatever bands they share, and no link can be lost; it shuffles every shingle.
 
 Null and blank texts have empty sets, are linked with nothing and are kept. Rows that repeat a doc_id with the same set
-are one class. Rows without a doc_id take no part: their component is null and they are kept.
+are one class. Rows without a doc_id take no part: their component is null and they are kept. In `near_duplicates` rows
+that repeat a doc_id with unlike sets are one node of that id; `without_near_duplicates` tells them apart. Other columns
+play no part, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -24,12 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .textops import ODD, find_words, mix, shingles, slices
-from .workspace import Workspace, arrow_limits, tidy
+from .workspace import Workspace, arrow_limits, fresh, join_by_key, tidy
 
 _U = np.uint64
 
@@ -37,9 +41,10 @@ _U = np.uint64
 @dataclass(frozen=True)
 class NearDupPlan:
     percent: int = 75
-    bands: int = 40
-    rows: int = 4
+    bands: int = 53
+    rows: int = 3
     mantissa: int = 10
+    exact: bool = False
     deviations: float = 5.0
     star_rounds: int = 2
     block: int = 256
@@ -51,9 +56,8 @@ class NearDupPlan:
         return self.bands * self.rows
 
 
-_rng = np.random.Generator(np.random.PCG64(7))
-_FACTOR = _rng.integers(1, 2**63, 1024, dtype=_U) * _U(2) + _U(1)
-_SHIFT = _rng.integers(0, 2**64, 1024, dtype=_U)
+#: How often an empty bucket looks elsewhere at random before it takes the next filled one.
+LOOKS = 48
 
 
 def compress(least: np.ndarray, mantissa: int) -> np.ndarray:
@@ -70,15 +74,28 @@ def compress(least: np.ndarray, mantissa: int) -> np.ndarray:
 
 def sketch(values: np.ndarray, bounds: np.ndarray, plan: NearDupPlan) -> np.ndarray:
     """Registers (texts x registers, 16 bits) of non-empty sets given as shingle hashes and bounds."""
-    out = np.empty((len(bounds) - 1, plan.registers), _U)
-    if len(out):
-        for k in range(plan.registers):
-            h = values * _FACTOR[k]
-            h += _SHIFT[k]
-            h ^= h >> _U(29)
-            h *= _FACTOR[k + 512]
-            out[:, k] = np.minimum.reduceat(h, bounds[:-1])
-    return compress(out, plan.mantissa)
+    n, size = len(bounds) - 1, plan.registers
+    h = mix(values * ODD[44])
+    bucket = ((h >> _U(32)) * _U(size) >> _U(32)).astype(np.int64)
+    out = np.full(n * size, np.iinfo(np.uint64).max, _U)
+    np.minimum.at(out, np.repeat(np.arange(n), np.diff(bounds)) * size + bucket, mix(h * ODD[45]) >> _U(1))
+    out = out.reshape(n, size)
+    filled = out != np.iinfo(np.uint64).max
+    registers = compress(out, plan.mantissa)
+    row, place = np.nonzero(~filled)
+    for k in range(LOOKS):
+        if not len(row):
+            break
+        other = (mix(place.astype(_U) + np.full(1, 1 + k, _U) * ODD[46]) % _U(size)).astype(np.int64)
+        found = filled[row, other]
+        registers[row[found], place[found]] = registers[row[found], other[found]]
+        row, place = row[~found], place[~found]
+    if len(row):
+        # the next filled bucket, counting on from the last to the first
+        at = np.where(filled, np.arange(size), 2 * size)
+        after = np.minimum.accumulate(np.concatenate([at, at + size], 1)[:, ::-1], 1)[:, ::-1][:, :size] % size
+        registers[row, place] = registers[row, after[row, place]]
+    return registers
 
 
 def estimate(equal: np.ndarray, n: np.ndarray, m: np.ndarray, plan: NearDupPlan) -> np.ndarray:
@@ -92,14 +109,15 @@ def estimate(equal: np.ndarray, n: np.ndarray, m: np.ndarray, plan: NearDupPlan)
     return (equal / plan.registers - chance) / (1.0 - chance)
 
 
-def least_estimate(plan: NearDupPlan) -> float:
-    """Below it a pair at the threshold would be so many standard deviations off that it is not verified."""
+def least_estimate(n: np.ndarray, m: np.ndarray, plan: NearDupPlan) -> np.ndarray:
+    """Below it a pair at the threshold would be so many standard deviations off that it is not verified. Only filled buckets tell something."""
     p = plan.percent / 100
-    return p - plan.deviations * np.sqrt(p * (1 - p) / plan.registers)
+    told = plan.registers * -np.expm1(-np.minimum(n, m) / plan.registers)
+    return p - plan.deviations * np.sqrt(p * (1 - p) * (1 / plan.registers + 1 / told))
 
 
 def sketches(documents: DataFrame, plan: NearDupPlan) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set (d1, d2), and the bands (each four registers in a long)."""
+    """doc_id, n_shingles, a 128-bit digest of the set (d1, d2), and the bands (each of up to four registers in a long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,15 +127,15 @@ def sketches(documents: DataFrame, plan: NearDupPlan) -> DataFrame:
                 n = np.diff(bounds)
                 full = np.flatnonzero(n > 0)
                 own = np.zeros((len(n), 2), _U)
-                regs = np.zeros((len(n), plan.registers), np.uint16)
+                regs = np.zeros((len(n), plan.bands, 4), np.uint16)
                 if len(full):
                     starts = bounds[:-1][full]
                     for k in (0, 1):
                         own[full, k] = mix(np.add.reduceat(mix(values * ODD[40 + k]), starts) + n[full].astype(_U))
-                    regs[full] = sketch(values, np.append(starts, len(values)), plan)
+                    regs[full, :, : plan.rows] = sketch(values, np.append(starts, len(values)), plan).reshape(-1, plan.bands, plan.rows)
                 counts.append(n)
                 digests.append(own)
-                registers.append(regs.view(np.int64))
+                registers.append(regs.reshape(len(n), -1).view(np.int64))
             n, own, bands = np.concatenate(counts), np.concatenate(digests).view(np.int64), np.concatenate(registers)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * plan.bands, pa.int32()), pa.array(bands.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy()), lists], ["doc_id", "n", "d1", "d2", "bands"])
@@ -127,18 +145,18 @@ def sketches(documents: DataFrame, plan: NearDupPlan) -> DataFrame:
 
 def _registers(column: pa.Array, plan: NearDupPlan) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return np.ascontiguousarray(flat).view(np.uint16).reshape(-1, plan.registers)
+    return np.ascontiguousarray(flat).view(np.uint16).reshape(-1, plan.bands, 4)[:, :, : plan.rows].reshape(-1, plan.registers)
 
 
 def promising(pairs: DataFrame, classes: DataFrame, plan: NearDupPlan) -> DataFrame:
     """The pairs (a, b) whose corrected estimate leaves a chance of reaching the threshold."""
-    least = least_estimate(plan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 equal = (_registers(b.column("sa"), plan) == _registers(b.column("sb"), plan)).sum(axis=1)
-                keep = estimate(equal, b.column("na").to_numpy(), b.column("nb").to_numpy(), plan) >= least
+                na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+                keep = estimate(equal, na, nb, plan) >= least_estimate(na, nb, plan)
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     own = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bands").alias(f"s{x}"))
@@ -269,8 +287,9 @@ def near_duplicates(documents: DataFrame, plan: NearDupPlan = NearDupPlan()) ->
     work = Workspace(spark, "neardup")
     sketched = work.table(sketches(documents, plan), "sketches")
     named = sketched.where("n > 0 and doc_id is not null")
-    reps = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    members = work.table(named.select("doc_id", "n", "d1", "d2").join(reps, ["d1", "d2"]).select("doc_id", "n", "rep"), "members")
+    reps = work.table(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
+    members = work.table(join_by_key(named.select("doc_id", "n", "d1", "d2"), reps, ["d1", "d2"], "copies").select("doc_id", "n", "rep"), "members")
+    work.drop("reps")
     firsts = members.where("doc_id = rep").select("rep").distinct()
     classes = work.table(sketched.select(F.col("doc_id").alias("rep"), "n", "bands", "d1", "d2").join(firsts, "rep", "left_semi").where("n > 0").dropDuplicates(["rep", "d1", "d2"]).drop("d1", "d2"), "classes")
 
@@ -306,8 +325,13 @@ def near_duplicates(documents: DataFrame, plan: NearDupPlan = NearDupPlan()) ->
             links = links.union(component.select(F.col("node").alias("a"), F.col("component").alias("b")))
         component = work.table(connected_components(links, work, f"round-{k}"), f"components-{k}")
 
-    rest = _open(_labelled(shared, component)).join(used.withColumnRenamed("rep", "hub"), ["band", "key"])
-    rest = work.table(rest.groupBy("rep", "component").agg(F.min("hub").alias("hub")), "open")
+    if plan.exact:
+        crowd = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(-(-classes.count() // plan.block) or 1))
+        rest = classes.select("rep").distinct().join(component, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"), crowd.alias("hub"))
+    else:
+        rest = _open(_labelled(shared, component)).join(used.withColumnRenamed("rep", "hub"), ["band", "key"])
+        rest = rest.groupBy("rep", "component").agg(F.min("hub").alias("hub"))
+    rest = work.table(rest, "open")
     more = work.table(crossing(rest, documents, work, plan), "links-more")
     component = work.table(connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), work, "last"), "components")
     work.drop("ranked", "classes", "open", "sets", "prefix", *(f"{x}-{k}" for x in ("hubs", "stars") for k in range(plan.star_rounds)))
@@ -319,12 +343,22 @@ def near_duplicates(documents: DataFrame, plan: NearDupPlan = NearDupPlan()) ->
 
 
 def without_near_duplicates(documents: DataFrame, plan: NearDupPlan = NearDupPlan()) -> DataFrame:
-    """One document of each group, with its own columns; of equal rows (doc_id and text), one stays."""
-    found = near_duplicates(documents, plan)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    kept = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
-    again = documents.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1 and doc_id is not null").select("doc_id")
+    """One document of each group, with its own columns; of equal rows (doc_id and text), one stays.
+
+    Rows that repeat a doc_id with other texts are judged each on its own text: they get numbers that keep the order of ids.
+    """
+    columns = documents.columns
+    own, number, place = fresh(columns, "__own"), fresh(columns, "__number"), fresh(columns, "__place")
+    again = documents.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").select(*documents.columns).dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").select(*documents.columns).union(once)
+        gone = near_duplicates(documents, plan).where(~F.col("kept")).select("doc_id").distinct()
+        return documents.join(gone, "doc_id", "left_anti").select(*columns)
+    keyed = documents.withColumn(own, F.xxhash64("text", F.lit(7)))
+    several = documents.join(again, "doc_id", "left_semi").select("doc_id", F.xxhash64("text", F.lit(7)).alias(own)).distinct()
+    several = several.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy(own)) - 1)
+    room = several.agg(F.max(place)).first()[0] + 1
+    numbered = keyed.join(several, ["doc_id", own], "left").withColumn(number, F.col("doc_id").cast("long") * room + F.coalesce(place, F.lit(0)))
+    gone = near_duplicates(numbered.select(F.col(number).alias("doc_id"), "text"), plan).where(~F.col("kept")).select(F.col("doc_id").alias(number)).distinct()
+    kept = numbered.join(gone, number, "left_anti")
+    once = kept.where(F.col(place).isNotNull()).dropDuplicates([number]).select(*columns)
+    return kept.where(F.col(place).isNull()).select(*columns).unionByName(once)

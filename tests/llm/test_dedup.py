@@ -49,6 +49,28 @@ def test_near_duplicates_equal_all_pairs(documents, corpus):
     assert [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None] == [(None, True)] * 2
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_near_duplicates_of_every_size_at_the_threshold(spark, exact):
+    """Pairs just at or above the threshold, from three shingles to thousands; `exact` also finds those that no band would."""
+    rng, rows = random.Random(8), []
+    for n in (7, 8, 9, 11, 15, 20, 27, 40, 60, 90, 160, 400, 3000):
+        for _ in range(4):
+            words = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+            cut = (n - 4) - -(-(n - 4) * 3 // 4)
+            rows += [(len(rows), " ".join(words), "", "", 0), (len(rows) + 1, " ".join(words[: n - cut]), "", "", 0)]
+    plan = neardup.NearDupPlan(exact=exact) if not exact else neardup.NearDupPlan(bands=1, rows=4, exact=True)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS), plan).collect()}
+    assert got == {k: k - k % 2 for k in range(len(rows))} == components([(r[0], r[1]) for r in rows])
+
+
+def test_rows_of_one_id_and_unlike_texts_are_told_apart(spark):
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a, "", "", 0), (2, a, "", "", 0), (2, b, "", "", 0), (2, b, "", "", 0), (3, c, "", "", 0), (4, b, "", "", 0), (None, a, "", "", 0), (None, a, "", "", 0)]
+    kept = neardup.without_near_duplicates(spark.createDataFrame(rows, DOCS).withColumn("__number", F.lit(1)))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(1, a), (2, b), (3, c), (None, a), (None, a)], key=repr)
+
+
 def test_near_duplicates_in_a_crowd_of_alike_texts(spark):
     """Copies of a text that is not there itself: many are alike, some are linked, and chains of links must not break."""
     rng = random.Random(4)
@@ -79,6 +101,14 @@ def test_corrected_estimate():
     assert (unlike[0] == unlike[1]).sum() <= 3
     x = np.array([1, 2**63, 2**40 + 12345], np.uint64)
     assert list(neardup.compress(x, 10) >> 10) == [63, 0, 23]
+    # small sets: an empty bucket borrows, so registers agree as often as the sets are alike
+    gaps = []
+    for n in (1, 2, 5, 12, 30, 100):
+        shared, own = rng.integers(0, 2**63, (200, n), dtype=np.uint64), rng.integers(0, 2**63, (200, n), dtype=np.uint64)
+        first = neardup.sketch(shared.ravel(), np.arange(201) * n, plan)
+        second = neardup.sketch(np.concatenate([shared, own], 1).ravel(), np.arange(201) * 2 * n, plan)
+        gaps.append(abs((first == second).mean() - 0.5))
+    assert max(gaps) < 0.03
 
 
 def dropped_lines(rows, plan):
