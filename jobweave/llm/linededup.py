@@ -158,23 +158,26 @@ def similar_lines(rows: DataFrame, found: DataFrame, work: Workspace, plan: Temp
                     tokens = np.concatenate([words[bounds[i] : bounds[i + 1]] for i in at] or [np.zeros(0, _U)]).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))], ["key", "tokens"])
 
-    tokens = rows.select("__row", "text").join(wanted, "__row").select("text", "__wanted").mapInArrow(tidy(read), "key long, tokens array<long>")
+    tokens = rows.select("__row", "text").join(wanted.hint("merge"), "__row").select("text", "__wanted").mapInArrow(tidy(read), "key long, tokens array<long>")
     lines = work.table(lines.join(tokens.groupBy("key").agg(F.first("tokens").alias("tokens")), "key"), "tokens")
-    n, block = F.size("tokens"), F.greatest(F.lit(16), F.least(F.lit(plan.block), F.floor(F.lit(plan.block_tokens) / F.size("tokens"))))
+    # groups of lines that share a field, found from narrow rows; only lines that can meet enough others are sent whole
+    n = F.size("tokens")
     parts = F.floor(n * (100 - plan.similar) / 100).cast("int") + 1
     edge = lambda i: F.floor((n - plan.leading) * i / parts).cast("int") + plan.leading
     fields = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.xxhash64("leaf", i, F.slice("tokens", edge(i) + 1, edge(i + 1) - edge(i))))
-    sizes = work.table(lines.groupBy("leaf").agg(F.count("*").alias("m")), "leaf_sizes")
-    lines = join_by_key(lines, sizes, ["leaf"], "m").withColumn("group", F.explode(F.when(F.col("m") <= block, F.array("leaf")).otherwise(fields))).drop("m")
-    sizes = work.table(lines.groupBy("group").agg(F.count("*").alias("m")).where("m > 1"), "group_sizes")
-    lines = join_by_key(lines, sizes, ["group"], "m").withColumn("c", F.ceil(F.col("m") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("c")).cast("int"))
+    each = lines.select("key", n.alias("n"), F.size("members").alias("held"), F.explode(fields).alias("group"))
+    sizes = work.table(each.groupBy("group").agg(F.count("*").alias("m"), F.sum("held").alias("rows")).where("m > 1"), "group_sizes")
+    met = work.table(join_by_key(each, sizes, ["group"], "m"), "met")
+    enough = met.groupBy("key").agg(F.sum(F.col("rows") - F.col("held")).alias("others"), F.first("held").alias("held")).where(F.col("others") + F.col("held") >= plan.documents)
+    block = F.greatest(F.lit(16), F.least(F.lit(plan.block), F.floor(F.lit(plan.block_tokens) / F.col("n"))))
+    asks = met.join(enough.select("key"), "key").withColumn("c", F.ceil(F.col("m") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("c")).cast("int"))
     others = F.sequence(F.lit(0), F.col("c") - 1)
     place = lambda a, b, role: F.struct(a.alias("a"), b.alias("b"), F.lit(role).alias("role"))
     asked, asking = F.transform(others, lambda b: place(F.col("own"), b, 0)), F.transform(others, lambda a: place(a, F.col("own"), 1))
-    lines = lines.withColumn("at", F.explode(F.when(F.col("c") == 1, F.array(place(F.lit(0), F.lit(0), 2))).otherwise(F.concat(asked, asking))))
+    asks = asks.withColumn("at", F.explode(F.when(F.col("c") == 1, F.array(place(F.lit(0), F.lit(0), 2))).otherwise(F.concat(asked, asking))))
     # one column, so that the blocks of a group are dealt anew
-    lines = lines.select(F.struct(n.alias("n"), "group", "at.a", "at.b").alias("pair"), "at.role", "key", "tokens", "members")
-    pairs = lines.groupBy("pair").applyInArrow(lambda t: alike(t, plan), "key long, doc_id long, row long, rows array<long>")
+    asks = asks.select("key", F.struct("n", "group", "at.a", "at.b").alias("pair"), "at.role")
+    pairs = asks.join(lines.select("key", "tokens", "members"), "key").groupBy("pair").applyInArrow(lambda t: alike(t, plan), "key long, doc_id long, row long, rows array<long>")
     agreed = pairs.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.size(F.array_distinct(F.flatten(F.collect_set("rows")))).alias("n"))
     return agreed.where(F.col("n") >= plan.documents).select("key", F.col("first.row").alias("first"))
 
@@ -214,7 +217,8 @@ def drop_recurring_lines(documents: DataFrame, plan: TemplatePlan = TemplatePlan
     recurring = work.table(recurring.groupBy("key").agg(F.collect_set("first").alias("first"), F.max("n").alias("n")), "recurring")
     gone = join_by_key(found.select("key", "row"), recurring, ["key"]).where((F.size("first") > 1) | ~F.array_contains("first", F.col("row")))
     gone = gone.groupBy("row").agg(F.collect_set("key").alias("keys")).select(F.col("row").alias(row_), F.col("keys").alias(gone_))
-    joined = keyed.join(gone, row_, "left").select(*names, gone_)
+    # texts move by their row at every size: what is joined to them grows with the corpus
+    joined = keyed.join(gone.hint("merge"), row_, "left").select(*names, gone_)
     schema = documents.select(*names).withColumn("n_lines", F.lit(0).cast("long")).withColumn("n_dropped", F.lit(0).cast("long")).schema
     where = names.index("text")
 
