@@ -217,10 +217,10 @@ def crossing(open_: DataFrame, documents: DataFrame, work: Workspace, plan: Near
                 own = batch.slice(row, stop - row)
                 yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("rep", "component", "members", "block")), lists], ["rep", "component", "members", "block", "set"])
 
-    grown = open_.groupBy("component").agg(F.count("*").alias("members"))
-    homes = open_.join(grown, "component").withColumn("home", F.when(F.col("members") > 1, F.col("component")).otherwise(-1 - F.col("hub")))
-    crowd = homes.groupBy("home").agg(F.ceil(F.count("*") / plan.block).alias("blocks"))
-    dealt = homes.join(crowd, "home").select("rep", "component", "members", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("block"))
+    grown = work.table(open_.groupBy("component").agg(F.count("*").alias("members")), "grown")
+    homes = join_by_key(open_, grown, ["component"], "members").withColumn("home", F.when(F.col("members") > 1, F.col("component")).otherwise(-1 - F.col("hub")))
+    crowd = work.table(homes.groupBy("home").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / plan.block)), "crowd")
+    dealt = join_by_key(homes, crowd, ["home"], "size").select("rep", "component", "members", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("block"))
     texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").join(dealt, "rep").select("rep", "component", "members", "block", "text")
     sets = work.table(texts.mapInArrow(tidy(run), "rep long, component long, members long, block long, set array<long>").withColumn("n", F.size("set")), "sets")
 
@@ -334,7 +334,7 @@ def near_duplicates(documents: DataFrame, plan: NearDupPlan = NearDupPlan()) ->
     rest = work.table(rest, "open")
     more = work.table(crossing(rest, documents, work, plan), "links-more")
     component = work.table(connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), work, "last"), "components")
-    work.drop("ranked", "classes", "open", "sets", "prefix", *(f"{x}-{k}" for x in ("hubs", "stars") for k in range(plan.star_rounds)))
+    work.drop("ranked", "classes", "open", "grown", "crowd", "sets", "prefix", *(f"{x}-{k}" for x in ("hubs", "stars") for k in range(plan.star_rounds)))
 
     grouped = members.join(component, members["rep"] == component["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     alone = sketched.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
