@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +47,8 @@ class TemplatePlan:
     #: Lines of one comparison; fewer if they are long (tokens of one comparison).
     block: int = 1024
     block_tokens: int = 1 << 20
+    #: About how many lines, in whole blocks, one call compares.
+    call_lines: int = 4096
 
     def unlike(self, n):
         """How many of n tokens may differ."""
@@ -97,15 +100,12 @@ def row_key(documents: DataFrame):
     return F.xxhash64(documents["doc_id"], documents["text"])
 
 
-def alike(lines: pa.Table, plan: TemplatePlan) -> pa.Table:
-    """For the lines asked for (role 0 or 2) that agree with others of their leaf (role 1 or 2): key, the first row, and up to `documents` rows.
+def _agreeing(tokens: np.ndarray, key: np.ndarray, role: np.ndarray, members: list[list[tuple]], plan: TemplatePlan) -> Iterator[tuple]:
+    """Of one block of lines (tokens: lines x positions), those asked for that agree with others: index, first row, up to `documents` rows.
 
     Candidates are tried by ascending first row, so the first match is the first row of all; a line is done with enough rows.
     """
-    n = len(lines["tokens"][0])
-    tokens = lines["tokens"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
-    key, role, members = lines["key"].to_numpy(), lines["role"].to_numpy(), lines["members"].to_pylist()
-    members = [[(m["doc_id"], m["row"]) for m in own] for own in members]
+    n = tokens.shape[1]
     order = np.array(sorted(range(len(key)), key=lambda i: members[i][0]))
     ask, by = order[role[order] != 1], order[role[order] != 0]
     seen = {int(i): set(members[i][: plan.documents]) for i in ask}
@@ -126,11 +126,35 @@ def alike(lines: pa.Table, plan: TemplatePlan) -> pa.Table:
             left = np.array([i for i in left.tolist() if i not in best or len(seen[i]) < plan.documents], np.int64)
             if not len(left):
                 break
-    # a smaller row than any candidate's is the line's own
-    found = list(best)
-    first = [min(best[i], members[i][0]) for i in found]
-    rows = [[r for _, r in sorted(seen[i])[: plan.documents]] for i in found]
-    return pa.table({"key": pa.array(key[found] if found else [], pa.int64()), "doc_id": pa.array([f[0] for f in first], pa.int64()), "row": pa.array([f[1] for f in first], pa.int64()), "rows": pa.array(rows, pa.list_(pa.int64()))})
+    for i in best:
+        # a smaller row than any candidate's is the line's own
+        yield i, min(best[i], members[i][0]), [r for _, r in sorted(seen[i])[: plan.documents]]
+
+
+def alike(lines: pa.Table, plan: TemplatePlan) -> pa.Table:
+    """For the lines asked for (role 0 or 2) that agree with others of their block (role 1 or 2): key, the first row, and up to `documents` rows. A table holds whole blocks, one or many."""
+    key, role, block, n = (lines[c].to_numpy() for c in ("key", "role", "block", "n"))
+    tokens = lines["tokens"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(n)
+    order = np.lexsort((n, block))
+    starts = np.flatnonzero(np.append(True, (block[order[1:]] != block[order[:-1]]) | (n[order[1:]] != n[order[:-1]])))
+    column, out = lines["members"].combine_chunks(), ([], [], [], [])
+    edges = np.append(0, np.cumsum(column.value_lengths().to_numpy()))
+    ids, rows = (column.flatten().field(c).to_pylist() for c in ("doc_id", "row"))
+    for low, high in zip(starts, np.append(starts[1:], len(order)), strict=True):
+        own = order[low:high]
+        if len(own) < 2:
+            continue
+        size = int(n[own[0]])
+        held = tokens[(ends[own] - size)[:, None] + np.arange(size)]
+        if len(own) == 2 and (held[0] == held[1]).sum() < size - plan.unlike(size):
+            continue
+        members = [list(zip(ids[edges[i] : edges[i + 1]], rows[edges[i] : edges[i + 1]], strict=True)) for i in own]
+        for i, first, some in _agreeing(held, key[own], role[own], members, plan):
+            for into, value in zip(out, (int(key[own[i]]), *first, some), strict=True):
+                into.append(value)
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    return pa.table({c: pa.array(v, t) for c, v, t in zip(("key", "doc_id", "row", "rows"), out, types, strict=True)})
 
 
 def similar_lines(rows: DataFrame, found: DataFrame, work: Workspace, plan: TemplatePlan) -> DataFrame:
@@ -175,9 +199,11 @@ def similar_lines(rows: DataFrame, found: DataFrame, work: Workspace, plan: Temp
     place = lambda a, b, role: F.struct(a.alias("a"), b.alias("b"), F.lit(role).alias("role"))
     asked, asking = F.transform(others, lambda b: place(F.col("own"), b, 0)), F.transform(others, lambda a: place(a, F.col("own"), 1))
     asks = asks.withColumn("at", F.explode(F.when(F.col("c") == 1, F.array(place(F.lit(0), F.lit(0), 2))).otherwise(F.concat(asked, asking))))
-    # one column, so that the blocks of a group are dealt anew
-    asks = asks.select("key", F.struct("n", "group", "at.a", "at.b").alias("pair"), "at.role")
-    pairs = asks.join(lines.select("key", "tokens", "members"), "key").groupBy("pair").applyInArrow(lambda t: alike(t, plan), "key long, doc_id long, row long, rows array<long>")
+    # blocks of a group are dealt anew, many small ones to a task's call
+    asks = work.table(asks.select("key", "n", F.xxhash64("group", "at.a", "at.b").alias("block"), "at.role"), "asks")
+    calls = -(-asks.count() // plan.call_lines) or 1
+    whole = asks.join(lines.select("key", "tokens", "members"), "key").withColumn("call", F.pmod("block", F.lit(calls)))
+    pairs = whole.groupBy("call").applyInArrow(lambda t: alike(t, plan), "key long, doc_id long, row long, rows array<long>")
     agreed = pairs.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.size(F.array_distinct(F.flatten(F.collect_set("rows")))).alias("n"))
     return agreed.where(F.col("n") >= plan.documents).select("key", F.col("first.row").alias("first"))
 
@@ -225,31 +251,23 @@ def drop_recurring_lines(documents: DataFrame, plan: TemplatePlan = TemplatePlan
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
-            texts, n_lines, n_dropped = [], [], []
-            for row, stop, data, offsets in slices(column):
+            touched = batch.column(gone_).is_valid()
+            n_lines = pc.add(pc.cast(pc.count_substring(column.fill_null(""), "\n"), pa.int64()), 1)
+            n_dropped = np.zeros(batch.num_rows, np.int64)
+            at, texts, lists = np.flatnonzero(touched.to_numpy(zero_copy_only=False)), [], batch.column(gone_).filter(touched)
+            for row, stop, data, offsets in slices(column.filter(touched)):
                 lines = parse(data, offsets, plan)
-                text = lines.text
-                gone = batch.column(gone_).slice(row, stop - row)
-                lists = np.repeat(np.arange(stop - row), np.nan_to_num(gone.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
-                values = gone.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                cut = np.zeros(len(text), bool)
-                if len(values):
-                    # (text, key) pairs as single numbers that both sides share
-                    mixed = lambda t, k: mix(k + mix(t.astype(_U) + _U(1)))
-                    cut = (lines.key != 0) & np.isin(mixed(text, lines.key), mixed(lists, values.view(_U)))
-                n_lines.append(np.bincount(text, minlength=stop - row))
-                n_dropped.append(np.bincount(text[cut], minlength=stop - row))
-                raw, bounds = data.tobytes(), lines.bounds
-                touched = set(text[cut].tolist())
-                edges = np.searchsorted(text, np.arange(stop - row + 1))
-                for t in range(stop - row):
-                    if t in touched:
-                        texts.append(b"\n".join(raw[bounds[i, 0] : bounds[i, 1]] for i in range(edges[t], edges[t + 1]) if not cut[i]).decode())
-                    else:
-                        texts.append(column[row + t].as_py())
+                gone = lists.slice(row, stop - row)
+                owner = np.repeat(np.arange(stop - row), gone.value_lengths().to_numpy())
+                # (text, key) pairs as single numbers that both sides share
+                mixed = lambda t, k: mix(k + mix(t.astype(_U) + _U(1)))
+                cut = (lines.key != 0) & np.isin(mixed(lines.text, lines.key), mixed(owner, gone.flatten().to_numpy().view(_U)))
+                n_dropped[at[row:stop]] = np.bincount(lines.text[cut], minlength=stop - row)
+                raw, bounds, edges = data.tobytes(), lines.bounds, np.searchsorted(lines.text, np.arange(stop - row + 1))
+                texts += [b"\n".join(raw[bounds[i, 0] : bounds[i, 1]] for i in range(a, b) if not cut[i]).decode() for a, b in zip(edges[:-1], edges[1:], strict=True)]
             arrays = [batch.column(c) for c in names]
-            arrays[where] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.concatenate(n_lines).astype(np.int64)), pa.array(np.concatenate(n_dropped).astype(np.int64))], [*names, "n_lines", "n_dropped"])
+            arrays[where] = pc.replace_with_mask(column, touched, pa.array(texts, column.type))
+            yield pa.RecordBatch.from_arrays([*arrays, n_lines, pa.array(n_dropped)], [*names, "n_lines", "n_dropped"])
 
     return joined.mapInArrow(tidy(drop), schema)
 
