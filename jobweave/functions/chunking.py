@@ -79,3 +79,13 @@ def chunk_postings(postings: DataFrame) -> DataFrame:
     rows = rows.withColumn("__pieces", chunks(F.col("description"), F.col("__header")))
     rows = rows.select("job_id", "content_hash", "__header", F.posexplode("__pieces").alias("chunk_index", "__piece"))
     return rows.select(embedding_id(F.col("job_id"), F.col("chunk_index")).alias("id"), "job_id", "chunk_index", F.concat("__header", "__piece").alias("chunk_text"), "content_hash")
+
+
+class Chunks:
+    """Table function: the windows of a text as rows (chunk_index, chunk_text), for SQL: `SELECT * FROM jobs, LATERAL chunks(description, 800, 100)`."""
+
+    def eval(self, text: str, size: int, overlap: int):
+        yield from enumerate(chunk_text(text, size, overlap) if text else [])
+
+
+chunks_table = F.udtf(Chunks, returnType="chunk_index int, chunk_text string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import Column
@@ -80,6 +81,12 @@ def instant(text: Column) -> Column:
     return F.try_to_timestamp(text)
 
 
+def instant_of(at: datetime) -> Column:
+    """A point in time as a literal; one without a zone is UTC, whatever the zones of the driver and the session."""
+    at = at if at.tzinfo else at.replace(tzinfo=UTC)
+    return F.timestamp_micros(F.lit(round((at - datetime(1970, 1, 1, tzinfo=UTC)).total_seconds() * 1_000_000)))
+
+
 def whole_days(since: Column, until: Column) -> Column:
     """Whole periods of 24 hours, as opposed to changes of the calendar day."""
     return F.floor((F.unix_micros(until.cast("timestamp")) - F.unix_micros(since.cast("timestamp"))) / 86_400_000_000).cast("int")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import instant_of
 from ..schemas import TABLES
 from .store import Store, upsert
 
@@ -37,7 +38,7 @@ def diff(before: DataFrame, after: DataFrame, keys: list[str], version: int, at:
     )
     rows = both.select(F.explode(cases).alias("c"))
     rows = rows if deletes else rows.where(F.col("c._change_type") != "delete")
-    return rows.select("c.row.*", "c._change_type", F.lit(version).cast("bigint").alias("_commit_version"), F.lit(at).cast("timestamp").alias("_commit_timestamp"))
+    return rows.select("c.row.*", "c._change_type", F.lit(version).cast("bigint").alias("_commit_version"), instant_of(at).alias("_commit_timestamp"))
 
 
 def metric(rows: DataFrame, name: str, day: Column, dimension: Column | None = None) -> DataFrame:
@@ -80,7 +81,11 @@ def strict_transitions(feed: DataFrame, keys: list[str] = ["id"]) -> DataFrame:
 
 
 class ChangeLog:
-    """Mirrors of operational tables and the feed of their changes, both as versions under one folder."""
+    """Mirrors of operational tables and the feed of their changes, both as versions under one folder.
+
+    The feed's version N holds what led from the mirror's version N - 1 to N, and counts once that mirror is there. So a
+    capture that dies between the two is made good by the next one, which writes the same version of the feed anew.
+    """
 
     def __init__(self, source: Store, root: str, deletes: bool = True):
         self.source, self.deletes = source, deletes
@@ -90,20 +95,22 @@ class ChangeLog:
         self.feeds = Store(source.spark, f"{root}/feed", {t: T.StructType([*schema.fields, *extra]) for t, schema in names.items()})
 
     def capture(self, at: datetime) -> None:
-        """Compare each table with its mirror, append what changed to the feed, and renew the mirror.
+        """Compare each table with its mirror, write what changed to the feed, and renew the mirror.
 
         With deletes the mirror becomes the table; without, rows are merged in and what is gone stays.
         """
         for name, keys in MIRRORS.items():
+            held = self.mirrors.version(name) or 0
+            # one version of the source for both writes, whatever is written to it meanwhile
             before, now = self.mirrors.read(name), self.source.read(name).select(*MIRRORED[name])
-            self.feeds.write(name, diff(before, now, keys, self.mirrors.version(name) or 0, at, self.deletes))
+            self.feeds.write(name, diff(before, now, keys, held, at, self.deletes), version=held + 1)
             self.mirrors.write(name, now if self.deletes else upsert(before, now, keys))
 
     def feed(self, name: str) -> DataFrame | None:
         """All changes from the first commit on; None before there is one."""
-        if self.feeds.version(name) is None:
-            return None
-        return self.source.spark.read.schema(self.feeds.schemas[name]).parquet(*[f"{self.feeds.root}/{name}/v={v}" for v in self.feeds._versions(name)])
+        upto = self.mirrors.version(name) or 0
+        found = [self.feeds.folder(name, v) for v in self.feeds.versions(name) if v <= upto]
+        return self.source.spark.read.schema(self.feeds.schemas[name]).parquet(*found) if found else None
 
     def metrics(self, today: date) -> DataFrame:
         return metrics({t: self.feed(t) for t in MIRRORS}, {t: self.mirrors.read(t) for t in MIRRORS}, today)

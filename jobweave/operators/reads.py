@@ -8,11 +8,12 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import whole_days
+from ..functions.text import instant_of, whole_days
 from ..schemas import CLOSED_STATUSES
 from .store import Store
 
 PAGE = 25
+INSIGHT_DAYS = 90
 
 
 @dataclass(frozen=True)
@@ -31,7 +32,7 @@ class Filters:
         if self.remote_only:
             out &= F.col("remote")
         if self.posted_within_days:
-            out &= F.coalesce("posted_at", "fetched_at") >= F.lit(as_of).cast("timestamp") - F.make_interval(days=F.lit(self.posted_within_days))
+            out &= F.coalesce("posted_at", "fetched_at") >= instant_of(as_of) - F.make_interval(days=F.lit(self.posted_within_days))
         if self.min_score is not None and score is not None:
             out &= score >= self.min_score
         return out
@@ -84,11 +85,11 @@ class Reads:
     def list_applications(self, user_id: int, as_of: datetime, status: str | None = None, stale_days: int | None = None) -> DataFrame:
         """Newest change first, with whole days since it and the notes newest first ([] where there are none)."""
         own = self.t("applications").where(F.col("user_id") == user_id)
-        now = F.lit(as_of).cast("timestamp")
+        now = instant_of(as_of)
         if status:
             own = own.where(F.col("status") == status)
         if stale_days:
-            own = own.where((F.col("updated_at") < now - F.make_interval(days=F.lit(stale_days))) & ~F.col("status").isin(*CLOSED_STATUSES))
+            own = own.where(is_stale(F.col("updated_at"), F.col("status"), as_of, stale_days))
         jobs = self.t("job_postings").select(F.col("id").alias("job_id"), "company", "title", "url", "location", "source")
         out = own.join(jobs, "job_id").join(notes_of(self.t("interview_notes")), F.col("id") == F.col("application_id"), "left").drop("application_id")
         empty = F.array().cast("array<struct<created_at: timestamp, note: string>>")
@@ -107,10 +108,16 @@ class Reads:
     def last_computed(self) -> datetime | None:
         return self.t("analytics_daily").agg(F.max("computed_at")).first()[0]
 
-    def totals(self, metric: str) -> DataFrame:
-        rows = self.t("analytics_daily").where(F.col("metric") == metric)
+    def totals(self, as_of: date, metric: str, days: int = INSIGHT_DAYS) -> DataFrame:
+        """What a metric sums to over the window, for each dimension; a metric without dimensions is one total, `all`."""
+        rows = self.t("analytics_daily").where((F.col("metric") == metric) & (F.col("day") >= F.date_sub(F.lit(as_of), days)))
         return rows.groupBy(F.coalesce("dimension", F.lit("all")).alias("dimension")).agg(F.sum("value").alias("total")).orderBy(F.desc("total"), "dimension")
 
+    def latest_moves(self, as_of: date, days: int = INSIGHT_DAYS, most: int = PAGE) -> DataFrame:
+        """The last rows of the metrics that say what somebody did: day, metric, dimension, value, newest first."""
+        rows = self.t("analytics_daily").where(F.col("metric").isin(*MOVES) & (F.col("day") >= F.date_sub(F.lit(as_of), days)))
+        return rows.select("day", "metric", "dimension", "value").orderBy(F.desc("day"), F.desc("metric"), F.desc_nulls_last("dimension"), F.desc("value")).limit(most)
+
     def stats(self) -> DataFrame:
         """One row of counts."""
         one = lambda table, value: self.t(table).agg(value).scalar()
@@ -123,13 +130,23 @@ class Reads:
         return self.t("job_postings").select("source").distinct().orderBy("source")
 
 
+# The metrics of what somebody did.
+MOVES = ("status_transitions", "applications_created", "jobs_saved")
+
+
+def is_stale(updated_at: Column, status: Column, as_of: datetime, days: int) -> Column:
+    """No change for so many days, and not closed."""
+    return (updated_at < instant_of(as_of) - F.make_interval(days=F.lit(days))) & ~status.isin(*CLOSED_STATUSES)
+
+
 def notes_of(notes: DataFrame) -> DataFrame:
     """(application_id, notes): an array of (created_at, note), newest first."""
     return notes.groupBy("application_id").agg(F.sort_array(F.collect_list(F.struct("created_at", "note")), asc=False).alias("notes"))
 
 
 def score_band(score: Column) -> Column:
-    return F.when(score >= 80, "high").when(score >= 60, "mid").when(score.isNotNull(), "low").otherwise("none")
+    """high, mid or low; a score of 0 counts as none."""
+    return F.when(score >= 80, "high").when(score >= 60, "mid").when(score != 0, "low").otherwise("none")
 
 
 def passage_preview(text: Column) -> Column:
@@ -137,7 +154,13 @@ def passage_preview(text: Column) -> Column:
 
 
 def page_count(total: Column) -> Column:
-    return F.ceil(total / PAGE).cast("int")
+    """At least one page, even of nothing."""
+    return F.greatest(F.lit(1), F.ceil(total / PAGE).cast("int"))
+
+
+def pages_of(total: int) -> int:
+    """The same of a number."""
+    return max(1, -(-total // PAGE))
 
 
 def summary(jobs: DataFrame) -> DataFrame:

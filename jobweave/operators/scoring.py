@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
 import time
 from collections.abc import Callable, Iterator
-from typing import Protocol
+from dataclasses import dataclass, field
+from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chunking import chunk_text
 from ..functions.text import fenced
+from ..sources import requests
 
 REPLY = "struct<score: string, reason: string, skip_flags: array<string>, workplace: string, office_days_per_month: string, years_required: string, work_authorization: string>"
 QUERY_CHARS, QUERY_SKILLS, QUERY_HEAD = 900, 25, 200
@@ -69,6 +73,103 @@ def parse_reply(reply: Column) -> dict[str, Column]:
     }
 
 
+class ScoringFailed(RuntimeError):
+    """A model could not be asked, or its answer could not be read; no score is made up."""
+
+
+@dataclass(frozen=True)
+class Backend:
+    """How one service is addressed: its URL, headers, the envelope of a prompt and the place of the text in the answer."""
+
+    name: str
+    url: str
+    model: str
+    headers: dict[str, str] = field(default_factory=dict, repr=False)
+    #: keys of the request besides the model and the messages
+    extra: tuple[tuple[str, Any], ...] = ()
+    text_at: tuple[str | int, ...] = ("choices", 0, "message", "content")
+    per_minute: float | None = None
+
+    def body(self, prompt: str) -> dict:
+        return {"model": self.model, "messages": [{"role": "user", "content": prompt}], "max_tokens": 400, **dict(self.extra)}
+
+    def text(self, payload: Any) -> str:
+        if isinstance(payload, dict) and "error" in payload:  # some services fail with HTTP 200
+            raise ScoringFailed(f"{self.name} failed: {payload['error']}")
+        try:
+            for step in self.text_at:
+                payload = payload[step]
+        except (KeyError, IndexError, TypeError):
+            raise ScoringFailed(f"{self.name} replied in an unexpected shape: {str(payload)[:120]}") from None
+        return payload
+
+
+# The services' default models and the path of a gateway's chat endpoint.
+MODELS = {"databricks": "system.ai.claude-haiku-4-5", "openrouter": "anthropic/claude-haiku-4.5", "bedrock": "us.anthropic.claude-haiku-4-5-20251001-v1:0"}
+GATEWAY = "/ai-gateway/mlflow/v1/chat/completions"
+
+
+class HttpProvider:
+    """A backend over HTTP; `send` takes a request and returns its status and text."""
+
+    def __init__(self, backend: Backend, send: Callable | None = None):
+        self.backend, self.name, self._send, self._request = backend, backend.model, send or requests.send, requests.Request
+
+    def complete(self, prompt: str) -> str:
+        own = self.backend
+        try:
+            got = self._send(self._request(own.url, headers=own.headers, body=own.body(prompt)))
+        except OSError as exc:
+            raise ScoringFailed(f"{own.name} is unreachable: {exc}") from exc
+        if got.status >= 400:
+            raise ScoringFailed(f"{own.name} returned HTTP {got.status}")
+        try:
+            payload = json.loads(got.text)
+        except ValueError:
+            raise ScoringFailed(f"{own.name} returned non-JSON") from None
+        return own.text(payload)
+
+
+class InvokeProvider:
+    """A backend behind a cloud client's `invoke_model(modelId, body)`, whose answer has a readable body."""
+
+    def __init__(self, backend: Backend, client: Any):
+        self.backend, self.name, self.client = backend, backend.model, client
+
+    def complete(self, prompt: str) -> str:
+        own = self.backend
+        body = {k: v for k, v in own.body(prompt).items() if k != "model"}
+        try:
+            payload = json.loads(self.client.invoke_model(modelId=own.model, body=json.dumps(body))["body"].read())
+        except ValueError:
+            raise ScoringFailed(f"{own.name} returned non-JSON") from None
+        except Exception as exc:
+            raise ScoringFailed(f"{own.name} failed: {exc}") from exc
+        return own.text(payload)
+
+
+def provider(backend: str | None = None, model: str = "", api_key: str = "", host: str = "", client: Any = None, send: Callable | None = None, env=os.environ) -> Provider:
+    """The provider that the configuration names (`SCORER_BACKEND` where no argument does). An unknown or half-configured one is an error."""
+    name = (backend or env.get("SCORER_BACKEND") or "databricks").lower()
+    if name not in MODELS:
+        raise ScoringFailed(f"unknown scoring backend {name!r}; use {', '.join(MODELS)}")
+    model = model or env.get("SCORER_MODEL") or MODELS[name]
+    if name == "bedrock":
+        if client is None:
+            raise ScoringFailed("the bedrock backend needs a client")
+        return InvokeProvider(Backend(name, "", model, extra=(("anthropic_version", "bedrock-2023-05-31"),), text_at=("content", 0, "text"), per_minute=10), client)
+    token = api_key or env.get("OPENROUTER_API_KEY" if name == "openrouter" else "DATABRICKS_TOKEN", "")
+    if not token:
+        raise ScoringFailed(f"the {name} backend needs an api_key")
+    headers = {"Authorization": f"Bearer {token}"}
+    if name == "openrouter":
+        return HttpProvider(Backend(name, "https://openrouter.ai/api/v1/chat/completions", model, headers), send)
+    host = (host or env.get("DATABRICKS_HOST", "")).rstrip("/")
+    if not host:
+        raise ScoringFailed("the databricks backend needs a host")
+    return HttpProvider(Backend(name, f"{host}{GATEWAY}", model, headers, (("temperature", 0.0),)), send)
+
+
 class Pace:
     """Starts at most `per_minute` calls a minute; the first never waits."""
 

@@ -1,11 +1,14 @@
-"""Versioned tables: every mutation writes a new snapshot (path/v=N), since a plain table can't be updated in place.
+"""Versioned tables: every mutation writes a new snapshot, since a plain table can't be updated in place.
 
-A snapshot is complete when its _SUCCESS file is there, so readers never see a half-written one, and a path being read
-is never overwritten. Old snapshots stay until `vacuum`. One writer at a time is assumed for a table.
+The files of a snapshot go to a folder of their own name. It becomes version N by one small file that names it,
+`versions/N`, written last and never over another: a write that dies leaves a folder that nothing names, so readers never
+see it and the next write goes on; of two writers of one version, one fails. Old snapshots stay until `vacuum`.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,40 +16,97 @@ from pyspark.sql import types as T
 from ..schemas import TABLES, verify
 
 
+class WriteConflict(RuntimeError):
+    """Another writer published this version first."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, schemas: dict[str, T.StructType] = TABLES):
         self.spark, self.root, self.schemas = spark, root.rstrip("/"), schemas
 
-    def _versions(self, table: str) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(path):
-            return []
-        done = [s.getPath() for s in files.listStatus(path) if s.isDirectory()]
-        return sorted(int(p.getName()[2:]) for p in done if p.getName().startswith("v=") and files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    def _path(self, *parts: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, *parts: str) -> list[str]:
+        path, files = self._path(*parts)
+        return [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+
+    def versions(self, table: str) -> list[int]:
+        self._replay()
+        return sorted(int(n) for n in self._names(table, "versions") if n.isdigit())
 
     def version(self, table: str) -> int | None:
-        found = self._versions(table)
-        return found[-1] if found else None
+        return max(self.versions(table), default=None)
+
+    def folder(self, table: str, version: int) -> str:
+        """Where a version's files are."""
+        return f"{self.root}/{table}/{self._text(table, 'versions', str(version))}"
+
+    def _text(self, *parts: str) -> str:
+        path, files = self._path(*parts)
+        stream = files.open(path)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _put(self, parts: tuple[str, ...], text: str, replace: bool) -> None:
+        path, files = self._path(*parts)
+        stream = files.create(path, replace)
+        stream.write(bytearray(text.encode()))
+        stream.close()
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
         version = self.version(table) if version is None else version
         if version is None:
             return self.spark.createDataFrame([], self.schemas[table])
-        return self.spark.read.schema(self.schemas[table]).parquet(f"{self.root}/{table}/v={version}")
-
-    def write(self, table: str, df: DataFrame) -> int:
-        """A new snapshot; returns its version."""
-        version = (self.version(table) or 0) + 1
-        verify(df, self.schemas[table], table).write.parquet(f"{self.root}/{table}/v={version}")
-        return version
+        return self.spark.read.schema(self.schemas[table]).parquet(self.folder(table, version))
+
+    def write_all(self, tables: dict[str, DataFrame]) -> None:
+        """New snapshots of several tables, all or none: their folders are listed in a journal, whose creation is the commit."""
+        lines = []
+        for table, df in tables.items():
+            name = f"data-{uuid.uuid4().hex}"
+            verify(df, self.schemas[table], table).write.parquet(f"{self.root}/{table}/{name}")
+            lines.append(f"{table} {(self.version(table) or 0) + 1} {name}")
+        journal = f"{uuid.uuid4().hex}"
+        self._put(("journal", journal), "\n".join(lines), False)
+        self._replay()
+
+    def _replay(self) -> None:
+        """Publish what a journal lists; a run that died after its commit is made good by the next look at the store."""
+        for name in self._names("journal"):
+            for line in self._text("journal", name).split("\n"):
+                table, version, folder = line.split(" ")
+                self._put((table, "versions", version), folder, True)
+            path, files = self._path("journal", name)
+            files.delete(path, False)
+
+    def write(self, table: str, df: DataFrame, version: int | None = None) -> int:
+        """A new snapshot; returns its version. A version that is given is replaced if it is there."""
+        replace, number = version is not None, version if version is not None else (self.version(table) or 0) + 1
+        name = f"data-{uuid.uuid4().hex}"
+        verify(df, self.schemas[table], table).write.parquet(f"{self.root}/{table}/{name}")
+        try:
+            self._put((table, "versions", str(number)), name, replace)
+        except Exception as exc:
+            if number in self.versions(table):
+                raise WriteConflict(f"{table}: version {number} is there already") from exc
+            raise
+        return number
 
     def vacuum(self, table: str, keep: int = 2) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for v in self._versions(table)[:-keep]:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/v={v}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        """Delete all but the last versions, and folders that no version names. No write may be under way."""
+        held = self.versions(table)
+        for version in held[:-keep]:
+            path, files = self._path(table, "versions", str(version))
+            files.delete(path, False)
+        named = {self.folder(table, v).rsplit("/", 1)[1] for v in held[-keep:]}
+        for name in self._names(table):
+            if name.startswith("data-") and name not in named:
+                path, files = self._path(table, name)
+                files.delete(path, True)
 
 
 def upsert(current: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = (), fill: tuple[str, ...] = ()) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 import zlib
 from collections.abc import Iterator, Sequence
 from datetime import datetime
@@ -10,6 +11,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from ..functions.text import content_hash
 from ..schemas import TABLES, model_width
 from .ingest import first_of
 from .reads import Filters
+from .scoring import profile_queries
+from .store import Store
+from .writes import Writes
 
 OVERFETCH, LEAST_CANDIDATES = 10, 100
 
@@ -27,32 +32,41 @@ class WrongWidth(ValueError):
 
 
 def cosine(vectors: Column, query: Sequence[float]) -> Column:
-    """Cosine similarity to a constant vector, in double precision, without leaving the JVM."""
-    q = F.lit([float(x) for x in query])
-    sums = F.aggregate(
-        F.zip_with(vectors, q, lambda a, b: F.struct(a.cast("double").alias("a"), b.alias("b"))),
-        F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("square")),
-        lambda s, p: F.struct((s["dot"] + p["a"] * p["b"]).alias("dot"), (s["square"] + p["a"] * p["a"]).alias("square")),
-        lambda s: s["dot"] / (F.sqrt(s["square"]) * float(np.linalg.norm(np.asarray(query, float)))),
-    )
-    return sums
+    """Cosine similarity to a constant vector, in double precision: one matrix product for each Arrow batch. Null for a null, empty or zero vector, or one of another width."""
+    q = np.asarray(query, np.float64)
+    q = q / max(float(np.linalg.norm(q)), 1e-300)
+
+    @F.arrow_udf("double")
+    def similarity(column: pa.Array) -> pa.Array:
+        sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        fits = np.flatnonzero(sizes == len(q))
+        x = column.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(q))
+        length = np.sqrt(np.einsum("ij,ij->i", x, x))
+        out = np.full(len(column), np.nan)
+        out[fits[length > 0]] = (x[length > 0] @ q) / length[length > 0]
+        return pa.array(out, mask=np.isnan(out))
+
+    return similarity(vectors)
 
 
 def search(
-    embeddings: DataFrame, postings: DataFrame, query: Sequence[float], as_of: datetime, top_k: int = 25,
+    embeddings: DataFrame, postings: DataFrame, query: Sequence[float] | Sequence[Sequence[float]], as_of: datetime, top_k: int = 25,
     filters: Filters = Filters(), model: str | None = None, scores: DataFrame | None = None,
 ) -> DataFrame:
     """The nearest jobs: filter, the nearest candidate chunks, the best chunk of each job, the best job of each cross-source key.
 
     The filter stands before the candidate limit, which Catalyst could not move it across. `scores` (id, fit_score) are
-    joined on top, and only vectors of `model` are compared where one is named.
+    joined on top, and only vectors of `model` are compared where one is named. Of several queries, a chunk's nearest counts.
     """
-    if model is not None and len(query) != model_width(model):
-        raise WrongWidth(f"{model} has {model_width(model)} dimensions, the query {len(query)}")
+    queries = [query] if np.ndim(query) == 1 else list(query)
+    if model is not None and len(queries[0]) != model_width(model):
+        raise WrongWidth(f"{model} has {model_width(model)} dimensions, the query {len(queries[0])}")
+    similar = [cosine(F.col("embedding"), q) for q in queries]
+    distance = 1 - (F.greatest(*similar) if len(similar) > 1 else similar[0])
     wanted = postings.where(filters.predicate(as_of)).select(F.col("id").alias("job_id"), "cross_source_key")
     rows = embeddings.where(F.col("model_name") == model) if model is not None else embeddings
-    near = rows.join(wanted, "job_id").select("job_id", "cross_source_key", "chunk_index", "chunk_text", (1 - cosine(F.col("embedding"), query)).alias("distance"))
-    near = near.orderBy("distance", "job_id", "chunk_index").limit(max(OVERFETCH * top_k, LEAST_CANDIDATES))
+    near = rows.join(wanted, "job_id").select("job_id", "cross_source_key", "chunk_index", "chunk_text", distance.alias("distance"))
+    near = near.where("distance IS NOT NULL").orderBy("distance", "job_id", "chunk_index").limit(max(OVERFETCH * top_k, LEAST_CANDIDATES))
     best = first_of(near, ["job_id"], [F.asc("distance"), F.asc("chunk_index")])
     best = first_of(best, ["cross_source_key"], [F.asc("distance"), F.asc("job_id")])
     out = best.select(F.col("job_id").alias("id"), F.col("chunk_text").alias("matched_text"), "distance", (1 - F.col("distance")).alias("similarity")).join(postings, "id")
@@ -121,3 +135,33 @@ def embed(postings: DataFrame, factory, name: str, width: int) -> DataFrame:
     """Rows of the vector table for postings: chunk, encode."""
     rows = encoded(chunk_postings(postings), factory, name, width).withColumn("chunker_version", F.lit(VERSION))
     return rows.select(*TABLES["job_embeddings"].names)
+
+
+def match_profile(embeddings: DataFrame, postings: DataFrame, profile: dict, encoder: Encoder, as_of: datetime, top_k: int = 25, filters: Filters = Filters(), scores: DataFrame | None = None) -> DataFrame:
+    """The jobs nearest to a profile: the resume in parts, each under the profile's head, or the profile as one query."""
+    queries = encoder.encode(profile_queries(profile))
+    own = embeddings.where(F.col("model_name") == encoder.name)
+    return search(own, postings, [q.tolist() for q in queries], as_of, top_k, filters, scores=scores)
+
+
+def embed_pending(store: Store, factory, name: str, width: int, limit: int = 500, rounds: int = 1, reset: bool = False) -> dict:
+    """Embed what has no vectors of its present text, model and chunker, in rounds of `limit` postings; says what was done.
+
+    What is pending is told from the data, so a run that dies is gone on with by the next. Each round is one write.
+    """
+    writes, began = Writes(store), time.monotonic()
+    if reset:
+        writes.reset_vectors()
+    done = {"jobs_embedded": 0, "chunks_written": 0, "rounds": 0}
+    for _ in range(rounds):
+        rows = embed(pending(store.read("job_postings"), store.read("job_embeddings"), name, limit), factory, name, width).persist()
+        try:
+            jobs, chunks = rows.agg(F.countDistinct("job_id"), F.count("*")).first()
+            if not jobs:
+                break
+            writes.replace_vectors(rows, width)
+        finally:
+            rows.unpersist()
+        done = {"jobs_embedded": done["jobs_embedded"] + jobs, "chunks_written": done["chunks_written"] + chunks, "rounds": done["rounds"] + 1}
+    left = pending(store.read("job_postings"), store.read("job_embeddings"), name, limit=None).count()
+    return done | {"still_pending": left, "seconds": round(time.monotonic() - began, 1)}

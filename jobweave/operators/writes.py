@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash, cross_source_key
+from ..functions.text import content_hash, cross_source_key, instant_of
 from ..schemas import POSTING, STATUSES, TABLES, verify_vectors
 from .store import Store, delete_keys, replace_keys, upsert, with_new_ids
 
@@ -50,7 +50,7 @@ class Writes:
     def upsert_scores(self, scores: DataFrame, now: datetime) -> DataFrame:
         if scores.where(~F.col("fit_score").between(0, 100)).limit(1).count():
             raise ValueError("fit_score must lie between 0 and 100")
-        rows = scores.withColumn("scored_at", F.lit(now).cast("timestamp"))
+        rows = scores.withColumn("scored_at", instant_of(now))
         self.store.write("job_scores", upsert(self.store.read("job_scores"), rows, ["job_id", "user_id"]))
         return rows
 
@@ -74,11 +74,15 @@ class Writes:
         mine = (F.col("user_id") == user_id) & (F.col("job_id") == job_id)
         row = self._rows("applications", dict(user_id=user_id, job_id=job_id, status=status, applied_at=now, updated_at=now))
         row = with_new_ids(current, row)
-        self.store.write("applications", upsert(current, row, ["user_id", "job_id"], keep=("id", "applied_at", "follow_up_on")))
-        written = self.store.read("applications").where(mine).first()
+        changed = {"applications": upsert(current, row, ["user_id", "job_id"], keep=("id", "applied_at", "follow_up_on"))}
         if note:
-            self.add_note(user_id, written["id"], note, now)
-        return written
+            held = current.where(mine).first()
+            number = held["id"] if held else row.first()["id"]
+            notes = self.store.read("interview_notes")
+            own = self._rows("interview_notes", dict(application_id=number, note=note, created_at=now))
+            changed["interview_notes"] = notes.unionByName(with_new_ids(notes, own))
+        self.store.write_all(changed)
+        return self.store.read("applications").where(mine).first()
 
     def _change_application(self, user_id: int, application_id: int, **columns) -> Row | None:
         current = self.store.read("applications")
@@ -128,7 +132,7 @@ class Writes:
         return user
 
     def publish_metrics(self, metrics: DataFrame, now: datetime) -> int:
-        rows = metrics.withColumn("computed_at", F.lit(now).cast("timestamp")).select(*TABLES["analytics_daily"].names)
+        rows = metrics.withColumn("computed_at", instant_of(now)).select(*TABLES["analytics_daily"].names)
         return self.store.write("analytics_daily", rows)
 
 

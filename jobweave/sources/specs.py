@@ -12,26 +12,113 @@ from pyspark.sql import functions as F
 SPEC_SCHEMA = "kind string, slug string, company string, query string, where string, tenant string, site string, host string, distance int, max_days_old int, max_results int, remote_only boolean"
 PAYLOAD_SCHEMA = "kind string, slug string, company string, query string, where string, tenant string, site string, host string, payload string, error string, fetched_at timestamp"
 
-# Company boards, as slug=display name.
-ASHBY_BOARDS = (
-    "modelyst=Modelyst, ramp=Ramp, moderntreasury=Modern Treasury, plaid=Plaid, unit=Unit, column=Column, astra=Astra, snowflake=Snowflake, airbyte=Airbyte, "
-    "astronomer=Astronomer, confluent=Confluent, montecarlodata=Monte Carlo, prefect=Prefect, cohere=Cohere, langchain=LangChain, baseten=Baseten, modal=Modal, "
-    "pinecone=Pinecone, weaviate=Weaviate, circle=Circle, middesk=Middesk, novo=Novo, paxos=Paxos, persona=Persona, sardine=Sardine, synctera=Synctera, "
-    "anomalo=Anomalo, atlan=Atlan, datafold=Datafold, deepnote=Deepnote, lightdash=Lightdash, materialize=Materialize, motherduck=MotherDuck, sifflet=Sifflet, "
-    "anyscale=Anyscale, cerebras=Cerebras, chalk=Chalk, cognition=Cognition, decagon=Decagon, dust=Dust, harvey=Harvey, inngest=Inngest, lancedb=LanceDB, "
-    "llamaindex=LlamaIndex, nomic=Nomic, openai=OpenAI, perplexity=Perplexity, poolside=Poolside, posthog=PostHog, sierra=Sierra, temporal=Temporal, "
-    "unstructured=Unstructured, writer=Writer"
+# Company boards, as (kind, slug, display name).
+BOARDS = (
+    ("ashby", "modelyst", "Modelyst"),
+    ("lever", "foodsmart", "Foodsmart"),
+    ("greenhouse", "nex", "Nex"),
+    ("ashby", "ramp", "Ramp"),
+    ("greenhouse", "brex", "Brex"),
+    ("greenhouse", "mercury", "Mercury"),
+    ("greenhouse", "marqeta", "Marqeta"),
+    ("ashby", "moderntreasury", "Modern Treasury"),
+    ("ashby", "plaid", "Plaid"),
+    ("greenhouse", "checkr", "Checkr"),
+    ("lever", "finix", "Finix"),
+    ("greenhouse", "highnote", "Highnote"),
+    ("ashby", "unit", "Unit"),
+    ("greenhouse", "lithic", "Lithic"),
+    ("greenhouse", "gusto", "Gusto"),
+    ("greenhouse", "melio", "Melio"),
+    ("greenhouse", "mesh", "Mesh Payments"),
+    ("ashby", "column", "Column"),
+    ("greenhouse", "found", "Found"),
+    ("greenhouse", "tabapay", "TabaPay"),
+    ("ashby", "astra", "Astra"),
+    ("greenhouse", "databricks", "Databricks"),
+    ("ashby", "snowflake", "Snowflake"),
+    ("greenhouse", "fivetran", "Fivetran"),
+    ("ashby", "airbyte", "Airbyte"),
+    ("ashby", "astronomer", "Astronomer"),
+    ("ashby", "confluent", "Confluent"),
+    ("greenhouse", "cribl", "Cribl"),
+    ("greenhouse", "hightouch", "Hightouch"),
+    ("greenhouse", "sigmacomputing", "Sigma Computing"),
+    ("greenhouse", "starburst", "Starburst"),
+    ("ashby", "montecarlodata", "Monte Carlo"),
+    ("ashby", "prefect", "Prefect"),
+    ("greenhouse", "datadog", "Datadog"),
+    ("greenhouse", "stripe", "Stripe"),
+    ("greenhouse", "anthropic", "Anthropic"),
+    ("ashby", "cohere", "Cohere"),
+    ("ashby", "langchain", "LangChain"),
+    ("ashby", "baseten", "Baseten"),
+    ("ashby", "modal", "Modal"),
+    ("ashby", "pinecone", "Pinecone"),
+    ("ashby", "weaviate", "Weaviate"),
+    ("greenhouse", "scaleai", "Scale AI"),
+    ("greenhouse", "adyen", "Adyen"),
+    ("greenhouse", "affirm", "Affirm"),
+    ("greenhouse", "alloy", "Alloy"),
+    ("lever", "anchorage", "Anchorage Digital"),
+    ("greenhouse", "billcom", "Bill.com"),
+    ("greenhouse", "chime", "Chime"),
+    ("ashby", "circle", "Circle"),
+    ("lever", "dwolla", "Dwolla"),
+    ("greenhouse", "fireblocks", "Fireblocks"),
+    ("greenhouse", "galileo", "Galileo"),
+    ("greenhouse", "gemini", "Gemini"),
+    ("greenhouse", "justworks", "Justworks"),
+    ("ashby", "middesk", "Middesk"),
+    ("lever", "nium", "Nium"),
+    ("ashby", "novo", "Novo"),
+    ("ashby", "paxos", "Paxos"),
+    ("greenhouse", "payoneer", "Payoneer"),
+    ("ashby", "persona", "Persona"),
+    ("ashby", "sardine", "Sardine"),
+    ("ashby", "synctera", "Synctera"),
+    ("lever", "truv", "Truv"),
+    ("ashby", "anomalo", "Anomalo"),
+    ("ashby", "atlan", "Atlan"),
+    ("greenhouse", "clickhouse", "ClickHouse"),
+    ("ashby", "datafold", "Datafold"),
+    ("ashby", "deepnote", "Deepnote"),
+    ("greenhouse", "dremio", "Dremio"),
+    ("greenhouse", "imply", "Imply"),
+    ("ashby", "lightdash", "Lightdash"),
+    ("ashby", "materialize", "Materialize"),
+    ("ashby", "motherduck", "MotherDuck"),
+    ("ashby", "sifflet", "Sifflet"),
+    ("greenhouse", "singlestore", "SingleStore"),
+    ("lever", "tinybird", "Tinybird"),
+    ("greenhouse", "amplitude", "Amplitude"),
+    ("ashby", "anyscale", "Anyscale"),
+    ("ashby", "cerebras", "Cerebras"),
+    ("ashby", "chalk", "Chalk"),
+    ("ashby", "cognition", "Cognition"),
+    ("greenhouse", "cresta", "Cresta"),
+    ("ashby", "decagon", "Decagon"),
+    ("ashby", "dust", "Dust"),
+    ("greenhouse", "fireworksai", "Fireworks AI"),
+    ("ashby", "harvey", "Harvey"),
+    ("ashby", "inngest", "Inngest"),
+    ("ashby", "lancedb", "LanceDB"),
+    ("greenhouse", "launchdarkly", "LaunchDarkly"),
+    ("ashby", "llamaindex", "LlamaIndex"),
+    ("greenhouse", "mixpanel", "Mixpanel"),
+    ("ashby", "nomic", "Nomic"),
+    ("ashby", "openai", "OpenAI"),
+    ("ashby", "perplexity", "Perplexity"),
+    ("ashby", "poolside", "Poolside"),
+    ("ashby", "posthog", "PostHog"),
+    ("ashby", "sierra", "Sierra"),
+    ("ashby", "temporal", "Temporal"),
+    ("ashby", "unstructured", "Unstructured"),
+    ("greenhouse", "vectara", "Vectara"),
+    ("ashby", "writer", "Writer"),
+    ("lever", "zilliz", "Zilliz"),
 )
-GREENHOUSE_BOARDS = (
-    "nex=Nex, brex=Brex, mercury=Mercury, marqeta=Marqeta, checkr=Checkr, highnote=Highnote, lithic=Lithic, gusto=Gusto, melio=Melio, mesh=Mesh Payments, "
-    "found=Found, tabapay=TabaPay, databricks=Databricks, fivetran=Fivetran, cribl=Cribl, hightouch=Hightouch, sigmacomputing=Sigma Computing, "
-    "starburst=Starburst, datadog=Datadog, stripe=Stripe, anthropic=Anthropic, scaleai=Scale AI, adyen=Adyen, affirm=Affirm, alloy=Alloy, billcom=Bill.com, "
-    "chime=Chime, fireblocks=Fireblocks, galileo=Galileo, gemini=Gemini, justworks=Justworks, payoneer=Payoneer, clickhouse=ClickHouse, dremio=Dremio, "
-    "imply=Imply, singlestore=SingleStore, amplitude=Amplitude, cresta=Cresta, fireworksai=Fireworks AI, launchdarkly=LaunchDarkly, mixpanel=Mixpanel, "
-    "vectara=Vectara"
-)
-LEVER_BOARDS = "foodsmart=Foodsmart, finix=Finix, anchorage=Anchorage Digital, dwolla=Dwolla, nium=Nium, truv=Truv, tinybird=Tinybird, zilliz=Zilliz"
-BREEZY_BOARDS = "the-asprey-group=Dave Asprey (The Asprey Group)"
+BREEZY_BOARDS = (("the-asprey-group", "Dave Asprey (The Asprey Group)"),)
 # Searches and their scopes.
 REMOTIVE_SEARCHES = ("data engineer", "AI engineer", "machine learning engineer", "data platform", "backend engineer")
 ADZUNA_PLACES = (("Sarasota", 60), ("Chicago", 40))
@@ -45,13 +132,11 @@ WORKDAY_SEARCHES = ("data engineer", "AI engineer")
 
 def source_specs(spark: SparkSession) -> DataFrame:
     """129 specs: 103 company boards, then searches crossed with their scopes."""
-    rows: list[dict] = []
-    for kind, boards in (("ashby", ASHBY_BOARDS), ("greenhouse", GREENHOUSE_BOARDS), ("lever", LEVER_BOARDS)):
-        rows += [dict(kind=kind, slug=b.split("=")[0], company=b.split("=")[1]) for b in boards.split(", ")]
+    rows: list[dict] = [dict(kind=kind, slug=slug, company=company) for kind, slug, company in BOARDS]
     rows += [dict(kind="remotive", query=q) for q in REMOTIVE_SEARCHES]
     rows += [dict(kind="adzuna", query=q, where=w, distance=d, max_days_old=30, max_results=25) for w, d in ADZUNA_PLACES for q in ADZUNA_PHRASES]
     rows += [dict(kind="usajobs", query=q, where=w, distance=d, remote_only=r, max_results=25) for q in USAJOBS_KEYWORDS for w, d, r in USAJOBS_SCOPES]
-    rows += [dict(kind="breezy", slug=b.split("=")[0], company=b.split("=")[1]) for b in BREEZY_BOARDS.split(";")]
+    rows += [dict(kind="breezy", slug=slug, company=company) for slug, company in BREEZY_BOARDS]
     rows += [dict(kind="workday", tenant=t, site=s, host=h, company=c, query=q, max_results=10) for t, s, h, c in WORKDAY_BOARDS for q in WORKDAY_SEARCHES]
     names = [f.split()[0] for f in SPEC_SCHEMA.split(", ")]
     blank = dict.fromkeys(("slug", "company", "query", "where", "tenant", "site", "host"), "") | {"remote_only": False}

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ingest import best_across_sources, eligible, latest_by_id
+from ..operators.ingest import best_across_sources, eligible, latest_by_id, source_priority
 from ..operators.store import Store
 from ..operators.writes import Writes
 from ..schemas import POSTING
@@ -17,11 +18,20 @@ def landed(spark: SparkSession, path: str, late: str = "1 day") -> DataFrame:
     return rows.withWatermark("fetched_at", late).dropDuplicatesWithinWatermark(["id"])
 
 
+def unstored(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """`batch` without jobs that the store has from another source of at least the same priority."""
+    mine = batch.select("id", "cross_source_key", source_priority(F.col("source")).alias("rank"))
+    held = stored.select(F.col("id").alias("held_id"), "cross_source_key", source_priority(F.col("source")).alias("held_rank"))
+    known = mine.join(held, "cross_source_key").where("id <> held_id AND held_rank <= rank").select("id")
+    return batch.join(known, "id", "left_anti").select(*batch.columns)
+
+
 def ingest(spark: SparkSession, path: str, store: Store, checkpoint: str) -> StreamingQuery:
     """Take in all that has landed since the last run, then stop. The batch deduplication stays the source of truth."""
 
     def merge(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            Writes(store).upsert_postings(eligible(best_across_sources(latest_by_id(batch))))
+            best = eligible(best_across_sources(latest_by_id(batch)))
+            Writes(store).upsert_postings(unstored(best, store.read("job_postings")))
 
     return landed(spark, path).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

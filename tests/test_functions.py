@@ -133,19 +133,41 @@ def test_chunk_postings(spark):
     assert all(r["chunk_text"].startswith("T at C. L.\n\n") and len(r["chunk_text"]) <= 800 for r in got) and got[0]["id"] == "j1:0"
 
 
-def test_cleaners():
-    assert v.clean_query("  a   b ") == "a b" and len(v.clean_query("x" * 900)) == 500
-    assert (v.clean_top_k(None), v.clean_top_k("500"), v.clean_top_k(-3)) == (10, 50, 1)
-    assert v.clean_status(None) == "applied" and v.clean_status(" Offer ") == "offer"
-    assert v.clean_days(0) == 1 and v.clean_days("9999") == 365 and v.clean_days("") is None
-    assert v.clean_min_score(400) == 100 and v.clean_stale_days(0) == 1
-    assert v.clean_date("2026-01-02") == date(2026, 1, 2) and v.clean_date("") is None
-    assert v.clean_flag("false") is False and v.clean_flag("yes") is True and v.clean_draft_kind("Cover-Letter") == "cover_letter"
-    assert v.clean_note("  ") is None and v.clean_text(" x ", "company") == "x" and v.clean_source(" Lever ") == "lever"
-    assert v.clean_page("x") == 1 and v.clean_form_number("7") == 7
-    for bad in (lambda: v.clean_query(3), lambda: v.clean_query(" "), lambda: v.clean_status("doing"), lambda: v.clean_date("next Tuesday"), lambda: v.clean_application_id(0), lambda: v.clean_job_id(""), lambda: v.clean_note("", required=True), lambda: v.clean_draft_kind("poem"), lambda: v.clean_top_k("x")):
-        with pytest.raises(v.BadArgument):
-            bad()
+CLEANED = [
+    ("query", "  a   b ", "a b"), ("query", "x" * 900, "x" * 500), ("top_k", None, 10), ("top_k", "500", 50), ("top_k", -3, 1),
+    ("status", None, "applied"), ("status", " Offer ", "offer"), ("new_status", "offer", "offer"), ("posted_within_days", 0, 1), ("posted_within_days", "9999", 365),
+    ("posted_within_days", "", None), ("min_score", 400, 100), ("stale_days", 0, 1), ("follow_up_on", "2031-01-02", date(2031, 1, 2)), ("follow_up_on", date(2031, 1, 2), date(2031, 1, 2)),
+    ("follow_up_on", "", None), ("remote_only", "false", False), ("remote_only", "yes", True), ("remote_only", None, False), ("remote_only", 1, True), ("kind", "Cover-Letter", "cover_letter"),
+    ("kind", " resume  bullet", "resume_bullet"), ("note", "  ", None), ("company", " x ", "x"), ("name", "n" * 300, "n" * 200), ("source", " Lever ", "lever"), ("page", "x", 1), ("page", -2, 1),
+    ("form_number", "7", 7), ("form_number", "seven", None), ("application_id", "12", 12),
+]
+REFUSED = [("query", 3), ("query", " "), ("status", "doing"), ("new_status", ""), ("follow_up_on", "next Tuesday"), ("follow_up_on", 5), ("application_id", 0), ("application_id", "x"), ("job_id", ""), ("job_id", 4), ("interview_note", ""), ("kind", "poem"), ("top_k", "x")]
+
+
+@pytest.mark.parametrize(("name", "value", "wanted"), CLEANED)
+def test_arguments_are_cleaned_by_their_rules(name, value, wanted):
+    assert v.clean(name, value) == wanted and v.cleaned(**{name: value}) == {name: wanted}
+
+
+@pytest.mark.parametrize(("name", "value"), REFUSED)
+def test_arguments_that_cannot_be_used_are_refused_by_name(name, value):
+    with pytest.raises(v.BadArgument, match=name):
+        v.clean(name, value)
+
+
+def test_chunks_as_a_table_function(spark):
+    spark.udtf.register("chunks", chunking.chunks_table)
+    text = "word " * 400
+    rows = spark.sql(f"SELECT * FROM chunks('{text}', 300, 50)").collect()
+    assert [r["chunk_text"] for r in rows] == chunking.chunk_text(text, 300, 50) and [r["chunk_index"] for r in rows] == list(range(len(rows)))
+    assert spark.sql("SELECT * FROM chunks(CAST(NULL AS STRING), 300, 50)").collect() == []
+
+
+def test_instants_are_utc_unless_they_say_otherwise(spark):
+    from datetime import timedelta, timezone
+
+    got = spark.range(1).select(text.instant_of(datetime(2031, 5, 1, 12)), text.instant_of(datetime(2031, 5, 1, 12, tzinfo=timezone(timedelta(hours=2))))).first()
+    assert tuple(got) == (datetime(2031, 5, 1, 12), datetime(2031, 5, 1, 10))
 
 
 def test_session_time_is_utc(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jobweave import schemas
 from jobweave.operators import changes, ingest, ranking, reads, scoring, vectors
-from jobweave.operators.store import Store, upsert, write_partitions
+from jobweave.operators.store import Store, WriteConflict, upsert, write_partitions
 from jobweave.operators.writes import UnknownStatus, Writes, as_postings
 
 NOW = datetime(2024, 3, 1, 12)
@@ -57,7 +57,7 @@ def test_postings_keep_first_fetch(spark, store):
     assert row["description"] == "new" and row["fetched_at"] == NOW and store.version("job_postings") == 2
     assert store.read("job_postings", 1).where("id = 'j1'").first()["description"] == "words"
     store.vacuum("job_postings", keep=1)
-    assert store._versions("job_postings") == [2]
+    assert store.versions("job_postings") == [2]
 
 
 def test_save_and_unsave(store):
@@ -185,7 +185,99 @@ def test_publish_and_read_metrics(spark, store):
     Writes(store).publish_metrics(rows, NOW)
     r = reads.Reads(store)
     assert [x["value"] for x in r.analytics(date(2024, 3, 1)).collect()] == [2, 3] and r.last_computed() == NOW
-    assert {tuple(x) for x in r.totals("m").collect()} == {("a", 11), ("all", 3)}
+    # the window leaves out what is older than 90 days
+    assert {tuple(x) for x in r.totals(date(2024, 3, 1), "m").collect()} == {("a", 2), ("all", 3)}
+
+
+def test_latest_moves_are_the_newest_rows_of_three_metrics(spark, store):
+    day = lambda k: date(2024, 3, 1 + k)
+    rows = [(day(k), m, d, k) for k in range(12) for m, d in (("status_transitions", "offer"), ("applications_created", "applied"), ("jobs_saved", None), ("corpus_now", "lever"))]
+    Writes(store).publish_metrics(spark.createDataFrame([*rows, (date(2023, 1, 1), "jobs_saved", None, 1)], "day date, metric string, dimension string, value bigint"), NOW)
+    got = [tuple(r) for r in reads.Reads(store).latest_moves(date(2024, 3, 12)).collect()]
+    wanted = sorted((r for r in rows if r[1] != "corpus_now"), key=lambda r: (r[0], r[1]), reverse=True)[:25]
+    assert got == wanted and len(reads.Reads(store).latest_moves(date(2024, 3, 12), days=0).collect()) == 3
+
+
+def test_page_counts_and_bands(spark):
+    row = spark.range(1).select(*[reads.page_count(F.lit(n)).alias(f"p{n}") for n in (0, 1, 25, 26)], *[reads.score_band(F.lit(n).cast("int")).alias(f"b{n}") for n in (0, 1, 59, 60, 79, 80, None)]).first()
+    assert tuple(row) == (1, 1, 1, 2, "none", "low", "low", "mid", "mid", "high", "none") and [reads.pages_of(n) for n in (0, 25, 26)] == [1, 1, 2]
+
+
+def test_a_write_that_died_is_no_version_and_blocks_none(spark, store):
+    rows = store.read("job_postings")
+    # files without the version that names them, half a folder, and a version of another writer
+    rows.write.parquet(f"{store.root}/job_postings/data-dead")
+    store._put(("job_postings", "data-half", "part-0"), "x", False)
+    assert store.version("job_postings") == 1 and store.write("job_postings", rows) == 2 and store.read("job_postings").count() == rows.count()
+    store.vacuum("job_postings", keep=1)
+    assert store.versions("job_postings") == [2] and [n for n in store._names("job_postings") if n.startswith("data-")] == [store.folder("job_postings", 2).rsplit("/", 1)[1]]
+    held, rows = store.version, store.read("job_postings", 2)
+    store.version = lambda table: 1  # a writer that has not seen the other's version
+    with pytest.raises(WriteConflict):
+        store.write("job_postings", rows)
+    store.version = held
+
+
+def test_an_application_and_its_note_are_written_together(store):
+    w = Writes(store)
+    w.log_application(1, "j1", NOW, note="first")
+    put, calls = store._put, []
+
+    def dying(parts, text, replace):
+        calls.append(parts)
+        if parts[0] != "journal":
+            raise OSError("gone")
+        put(parts, text, replace)
+
+    store._put = dying
+    with pytest.raises(OSError):
+        w.log_application(1, "j2", NOW, note="second")
+    # the journal was written, so both come through; before it, neither would have
+    store._put = put
+    assert store.read("applications").count() == 2 and [r["note"] for r in store.read("interview_notes").orderBy("id").collect()] == ["first", "second"]
+    assert [r["application_id"] for r in store.read("interview_notes").orderBy("id").collect()] == [1, 2]
+
+
+def test_a_capture_that_died_between_feed_and_mirror_repeats_nothing(spark, store, tmp_path):
+    log = changes.ChangeLog(store, f"file://{tmp_path}/log")
+    log.capture(datetime(2024, 3, 1))
+    Writes(store).save_job(1, "j1", NOW)
+    write = log.mirrors.write
+
+    def dying(*_):
+        raise OSError("gone")
+
+    log.mirrors.write = dying
+    with pytest.raises(OSError):
+        log.capture(datetime(2024, 3, 2))
+    assert log.feed("applications").count() == 0 and log.feed("saved_jobs").count() == 0
+    log.mirrors.write = write
+    log.capture(datetime(2024, 3, 2))
+    log.capture(datetime(2024, 3, 3))
+    assert [(r["job_id"], r["_change_type"]) for r in log.feed("saved_jobs").collect()] == [("j1", "insert")] and log.feed("job_postings").count() == 3
+
+
+def test_embedding_goes_on_where_it_stopped(store):
+    done = vectors.embed_pending(store, vectors.HashingEncoder, "hashing-64", 64, limit=1)
+    assert (done["jobs_embedded"], done["still_pending"], done["rounds"]) == (1, 1, 1)
+    done = vectors.embed_pending(store, vectors.HashingEncoder, "hashing-64", 64, limit=1, rounds=5)
+    assert (done["jobs_embedded"], done["still_pending"], done["rounds"]) == (1, 0, 1) and store.read("job_embeddings").select("job_id").distinct().count() == 2
+    assert vectors.embed_pending(store, vectors.HashingEncoder, "hashing-64", 64, reset=True)["jobs_embedded"] == 2
+
+
+def test_a_profile_is_matched_by_the_nearest_of_its_parts(spark, store):
+    Writes(store).upsert_postings(spark.createDataFrame([post(7, text="harbour cranes", company="H", title="Crane driver"), post(8, text="violin strings", company="V", title="Luthier")], POSTING))
+    encoder = vectors.HashingEncoder(256)
+    vectors.embed_pending(store, lambda: vectors.HashingEncoder(256), encoder.name, 256)
+    resume = "harbour cranes " * 70 + "violin strings " * 70
+    found = vectors.match_profile(store.read("job_embeddings"), store.read("job_postings"), {"headline": "h", "resume_text": resume}, encoder, NOW, 2)
+    assert {r["id"] for r in found.collect()} == {"j7", "j8"}
+
+
+def test_cosine_of_odd_vectors_is_null(spark):
+    rows = [(0, [3.0, 4.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0]), (4, []), (5, [-3.0, -4.0])]
+    got = {r["k"]: r["c"] for r in spark.createDataFrame(rows, "k int, v array<float>").select("k", vectors.cosine(F.col("v"), [6.0, 8.0]).alias("c")).collect()}
+    assert got[0] == pytest.approx(1.0) and got[5] == pytest.approx(-1.0) and [got[k] for k in (1, 2, 3, 4)] == [None] * 4
 
 
 SCORED = "id string, company string, title string, location string, remote boolean, posted_at timestamp, score int, years_required int, work_authorization string, skip_flags array<string>, workplace string, office_days_per_month int"
