@@ -1,72 +1,27 @@
 """Queries that run the operators over the shared test tables, and DuckDB SQL that gives the same rows.
 
-The test tables hold no job postings, so `postings` views documents as such: a source and a title, a place by language,
-times by number. Each query calls the library's operators; the SQL beside it says the same on its own.
+`views` shows the test tables as the operational ones; each query calls the library's operators on them, and the SQL
+beside it says the same on its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo, text
-from ..functions.chunking import chunks
+from ..functions.chunking import LEAST_BODY, OVERLAP, SIZE, chunks
 from ..operators import changes, ingest, ranking, reads, scoring, store, vectors
 from ..schemas import CLOSED_STATUSES
-from ..sources import postings as boards
 from ..sources import specs
+from ..web import recent
+from .registry import ORACLE_SQL, QUERIES, query, table
+from .views import AS_OF, ME, PART as _PART, POSTINGS, VIEWS, View, postings
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-AS_OF = datetime(2024, 3, 1)
-PLACES = {"en": "Austin, TX", "de": "Berlin, Germany", "fr": "Remote (France)", "es": "Tampa, FL"}
-
-
-def query(sql: str | None = None):
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as postings."""
-    d = table(spark, sf_dir, "documents")
-    number, place = F.col("doc_id"), F.lit(None).cast("string")
-    for lang, name in PLACES.items():
-        place = F.when(F.col("lang") == lang, name).otherwise(place)
-    at = lambda base, step, unit: F.timestamp_seconds(F.lit(int(base.timestamp() if base.tzinfo else (base - datetime(1970, 1, 1)).total_seconds())) + step * unit)
-    out = d.select(
-        number.cast("string").alias("source_id"), "source", F.col("source").alias("company"), F.substring("text", 1, 40).alias("title"), place.alias("location"),
-        ((F.col("lang") == "en") & (number % 2 == 0)).alias("remote"), F.col("text").alias("description"),
-        F.when(number % 7 != 0, at(datetime(2024, 1, 1), number % 60, 86400)).alias("posted_at"), at(datetime(2024, 2, 1), number % 500, 3600).alias("fetched_at"), number.alias("doc_id"),
-    )
-    return out.withColumns({
-        "id": text.posting_id(F.col("source"), F.col("source_id")), "content_hash": text.content_hash(F.col("description")),
-        "cross_source_key": text.cross_source_key(F.col("company"), F.col("title"), F.col("location")),
-    })
-
-
-_PLACE = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PLACES.items()) + " END"
-_PART = lambda c: f"trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
-POSTINGS = f"""p0 AS (SELECT CAST(doc_id AS VARCHAR) AS source_id, source, source AS company, substring(text, 1, 40) AS title, {_PLACE} AS location,
-  (lang = 'en' AND doc_id % 2 = 0) AS remote, text AS description,
-  CASE WHEN doc_id % 7 <> 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 60 AS INTEGER)) END AS posted_at,
-  TIMESTAMP '2024-02-01' + to_hours(CAST(doc_id % 500 AS INTEGER)) AS fetched_at, doc_id FROM documents),
-postings AS (SELECT *, sha256(source || chr(0) || source_id) AS id, sha256(coalesce(description, '')) AS content_hash,
-  md5({_PART('company')} || ' ' || {_PART('title')} || ' ' || {_PART('location')}) AS cross_source_key FROM p0)"""
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 @query(f"WITH {POSTINGS} SELECT id, content_hash, cross_source_key, source_id FROM postings")
@@ -139,50 +94,146 @@ def plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.plain_text(F.col("html")).alias("plain"))
 
 
-def _tables(spark: SparkSession, sf_dir: str):
-    """postings with scores from labels, saved jobs and applications by number."""
-    p = postings(spark, sf_dir)
-    own = p.select(F.col("id").alias("job_id"), "doc_id")
-    labels = table(spark, sf_dir, "labels")
-    scores = own.join(labels, "doc_id").select("job_id", F.lit(1).cast("bigint").alias("user_id"), (F.col("quality") * 60 + F.col("doc_id") % 40).cast("int").alias("fit_score"), F.lit("label").alias("reason"))
-    saved = own.where("doc_id % 11 = 0").select("job_id", F.lit(1).cast("bigint").alias("user_id"))
-    status = F.element_at(F.array(*map(F.lit, ("applied", "offer", "screening"))), (F.col("doc_id") % 3 + 1).cast("int"))
-    applications = own.where("doc_id % 13 = 0").select(F.col("doc_id").alias("id"), "job_id", F.lit(1).cast("bigint").alias("user_id"), status.alias("status"), F.timestamp_seconds(F.lit(1704067200) + (F.col("doc_id") % 55) * 86400 + 3600).alias("updated_at"))
-    return p, scores, saved, applications
-
+def _reads(spark: SparkSession, sf_dir: str) -> reads.Reads:
+    return reads.Reads(View(spark, sf_dir))
 
-_TABLES = f"""{POSTINGS}, scores AS (SELECT id, quality * 60 + doc_id % 40 AS fit_score FROM postings JOIN labels USING (doc_id)),
-saved AS (SELECT id, TRUE AS saved FROM postings WHERE doc_id % 11 = 0),
-applications AS (SELECT doc_id AS application_id, id, CASE doc_id % 3 WHEN 0 THEN 'applied' WHEN 1 THEN 'offer' ELSE 'screening' END AS application_status,
-  TIMESTAMP '2024-01-01 01:00:00' + to_days(CAST(doc_id % 55 AS INTEGER)) AS updated_at FROM postings WHERE doc_id % 13 = 0),
-joined AS (SELECT p.*, fit_score, coalesce(saved, FALSE) AS saved, application_id, application_status FROM postings p LEFT JOIN scores USING (id) LEFT JOIN saved USING (id) LEFT JOIN applications USING (id))"""
 
-
-@query(f"WITH {_TABLES} SELECT id, CAST(fit_score AS INTEGER) AS fit_score, saved, application_id, application_status FROM joined")
+@query(f"WITH {VIEWS} SELECT id, fit_score, saved, application_id, application_status FROM joined")
 def detail_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.with_user(*_tables(spark, sf_dir), 1).select("id", "fit_score", "saved", "application_id", "application_status")
+    own = View(spark, sf_dir)
+    rows = reads.with_user(own.read("job_postings"), own.read("job_scores"), own.read("saved_jobs"), own.read("applications"), ME)
+    return rows.select("id", "fit_score", "saved", "application_id", "application_status")
 
 
-@query(f"""WITH {_TABLES} SELECT id, CAST(fit_score AS INTEGER) AS fit_score FROM joined WHERE coalesce(posted_at, fetched_at) >= TIMESTAMP '2024-03-01' - INTERVAL 45 DAY
+@query(f"""WITH {VIEWS} SELECT id, fit_score FROM joined WHERE coalesce(posted_at, fetched_at) >= TIMESTAMP '2024-03-01' - INTERVAL 45 DAY
 ORDER BY fit_score DESC NULLS LAST, coalesce(posted_at, fetched_at) DESC NULLS LAST, id LIMIT 25 OFFSET 25""")
 def list_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reads.with_user(*_tables(spark, sf_dir), 1).where(reads.Filters(posted_within_days=45).predicate(AS_OF))
-    return rows.orderBy(*reads.best_first()).offset(25).limit(25).select("id", "fit_score")
+    return _reads(spark, sf_dir).list_jobs(ME, AS_OF, reads.Filters(posted_within_days=45), offset=25).select("id", "fit_score")
 
 
-@query(f"""WITH {_TABLES} SELECT count(*) AS n, count(*) FILTER (WHERE fit_score >= 70) AS n_strong, count(*) FILTER (WHERE remote AND coalesce(posted_at, fetched_at) >= TIMESTAMP '2024-03-01' - INTERVAL 30 DAY) AS n_recent_remote FROM joined""")
+@query(f"""WITH {VIEWS} SELECT 'all' AS counted, count(*) AS n FROM joined UNION ALL SELECT 'strong', count(*) FROM joined WHERE fit_score >= 70
+UNION ALL SELECT 'recent_remote', count(*) FROM joined WHERE remote AND coalesce(posted_at, fetched_at) >= TIMESTAMP '2024-03-01' - INTERVAL 30 DAY
+UNION ALL SELECT 'src1', count(*) FROM joined WHERE source = 'src1'""")
 def count_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reads.with_user(*_tables(spark, sf_dir), 1)
-    strong, recent = reads.Filters(min_score=70).predicate(AS_OF, F.col("fit_score")), reads.Filters(remote_only=True, posted_within_days=30).predicate(AS_OF)
-    return rows.agg(F.count("*").alias("n"), F.count_if(strong).alias("n_strong"), F.count_if(recent).alias("n_recent_remote"))
+    own, r = reads.Filters, _reads(spark, sf_dir)
+    wanted = {"all": own(), "strong": own(min_score=70), "recent_remote": own(remote_only=True, posted_within_days=30), "src1": own(source="src1")}
+    return spark.createDataFrame([(name, r.count_jobs(AS_OF, f, ME)) for name, f in wanted.items()], "counted string, n bigint")
 
 
-@query(f"WITH {_TABLES} SELECT id, CASE WHEN fit_score >= 80 THEN 'high' WHEN fit_score >= 60 THEN 'mid' WHEN fit_score IS NOT NULL THEN 'low' ELSE 'none' END AS band, substring(description, 1, 190) AS preview FROM joined")
+@query(f"""WITH {VIEWS} SELECT id, CASE WHEN fit_score >= 80 THEN 'high' WHEN fit_score >= 60 THEN 'mid' WHEN fit_score IS NULL OR fit_score = 0 THEN 'none' ELSE 'low' END AS band, substring(description, 1, 190) AS preview FROM joined""")
 def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reads.with_user(*_tables(spark, sf_dir), 1)
+    """A score of 0 shows as none."""
+    rows = reads.with_user(*[View(spark, sf_dir).read(t) for t in ("job_postings", "job_scores", "saved_jobs", "applications")], ME)
     return rows.select("id", reads.score_band(F.col("fit_score")).alias("band"), reads.passage_preview(F.col("description")).alias("preview"))
 
 
+@query(f"SELECT source, count(*) AS total, greatest(1, CAST(ceil(count(*) / 25.0) AS INTEGER)) AS pages FROM documents GROUP BY source UNION ALL SELECT 'nobody', 0, 1")
+def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of each source's postings; of none there is one."""
+    found = ingest.by_source(View(spark, sf_dir).read("job_postings")).withColumnRenamed("n", "total")
+    found = found.unionByName(spark.createDataFrame([("nobody", 0)], "source string, total bigint"))
+    return found.withColumn("pages", reads.page_count(F.col("total")))
+
+
+@query(f"""WITH {VIEWS} SELECT p.id, s.note, strftime(s.saved_at, '%Y-%m-%d %H') AS saved, fit_score FROM postings p JOIN saved s ON s.job_id = p.id LEFT JOIN scores c ON c.job_id = p.id
+ORDER BY s.saved_at DESC, p.id LIMIT 100""")
+def saved_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joined to the user's applications too, whose status is another test's."""
+    return _reads(spark, sf_dir).list_saved(ME).select("id", "note", F.date_format("saved_at", "yyyy-MM-dd HH").alias("saved"), "fit_score")
+
+
+_NOTES = "array_to_string(list(note ORDER BY created_at DESC, note DESC), ',')"
+
+
+@query(f"""WITH {VIEWS}, n AS (SELECT application_id, {_NOTES} AS notes FROM notes GROUP BY application_id)
+SELECT a.application_id, a.status, CAST(floor((epoch(TIMESTAMP '2024-03-01') - epoch(updated_at)) / 86400) AS INTEGER) AS days, coalesce(notes, '') AS notes FROM applications a JOIN postings p ON p.id = a.job_id LEFT JOIN n USING (application_id) WHERE user_id = {ME}""")
+def applications_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _reads(spark, sf_dir).list_applications(ME, AS_OF)
+    return rows.select(F.col("id").alias("application_id"), "status", F.col("days_since_update").alias("days"), F.array_join(F.transform("notes", lambda n: n["note"]), ",").alias("notes"))
+
+
+@query(f"""WITH {VIEWS} SELECT application_id, status FROM applications WHERE user_id = {ME} AND status = 'screening'""")
+def applications_of_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reads(spark, sf_dir).list_applications(ME, AS_OF, status="screening").select(F.col("id").alias("application_id"), "status")
+
+
+@query(f"""WITH {VIEWS} SELECT id, title, fit_score, saved, application_status FROM joined WHERE id = (SELECT min(id) FROM postings)""")
+def job_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    least = View(spark, sf_dir).read("job_postings").agg(F.min("id")).first()[0]
+    return _reads(spark, sf_dir).get_job(least, ME).select("id", "title", "fit_score", "saved", "application_status")
+
+
+@query("SELECT c_custkey AS id, c_name AS email FROM customer WHERE c_name = 'Customer#000000007'")
+def user_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reads(spark, sf_dir).get_user("Customer#000000007").select("id", "email")
+
+
+@query(f"""WITH {VIEWS}, s AS (SELECT array_to_string(list(skill ORDER BY skill), ',') AS skills FROM skills WHERE user_id = 7)
+SELECT c_custkey AS user_id, c_mktsegment AS headline, coalesce((SELECT skills FROM s), '') AS skills FROM customer WHERE c_custkey = 7""")
+def profile_with_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reads(spark, sf_dir).get_profile(7).select("user_id", "headline", F.array_join("skills", ",").alias("skills"))
+
+
+@query(f"""WITH {VIEWS} SELECT CAST(day AS VARCHAR) AS day, metric, dimension, value, CAST(row_number() OVER (ORDER BY metric, day DESC, value DESC, dimension NULLS LAST) AS INTEGER) AS place
+FROM analytics WHERE day >= DATE '2024-01-30' - 14""")
+def analytics_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window's rows with their places in the order of the read."""
+    rows = _reads(spark, sf_dir).analytics(date(2024, 1, 30), 14).collect()
+    return spark.createDataFrame([(str(r["day"]), r["metric"], r["dimension"], r["value"], k) for k, r in enumerate(rows, 1)], "day string, metric string, dimension string, value bigint, place int")
+
+
+@query(f"""WITH {VIEWS} SELECT metric, dimension, value, CAST(day AS VARCHAR) AS day FROM analytics WHERE metric IN ('status_transitions', 'applications_created', 'jobs_saved') AND day >= DATE '2024-01-30' - 90
+ORDER BY day DESC, metric DESC, dimension DESC NULLS LAST, value DESC LIMIT 25""")
+def latest_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reads(spark, sf_dir).latest_moves(date(2024, 1, 30)).select("metric", "dimension", "value", F.col("day").cast("string").alias("day"))
+
+
+@query("SELECT '2024-02-28 00:00:00' AS computed_at FROM events LIMIT 1")
+def last_computed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(str(_reads(spark, sf_dir).last_computed()),)], "computed_at string")
+
+
+@query(f"WITH {POSTINGS} SELECT source, count(*) AS n FROM postings GROUP BY source")
+def postings_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.by_source(View(spark, sf_dir).read("job_postings"))
+
+
+@query(f"""WITH {POSTINGS}, a AS (SELECT * FROM postings QUALIFY row_number() OVER (PARTITION BY id ORDER BY fetched_at DESC, source, content_hash) = 1),
+b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY cross_source_key ORDER BY length(description) DESC, id) = 1)
+SELECT 'fetched' AS stage, count(*) AS n FROM postings UNION ALL SELECT 'unique_ids', count(*) FROM a UNION ALL SELECT 'unique_jobs', count(*) FROM b
+UNION ALL SELECT 'eligible', count(*) FROM b WHERE location IS NULL OR location NOT IN ('Berlin, Germany', 'Remote (France)')""")
+def funnel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observations of one pass."""
+    out, seen = ingest.funnel(postings(spark, sf_dir))
+    out.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(name, o.get["rows"]) for name, o in zip(("fetched", "unique_ids", "unique_jobs", "eligible"), seen, strict=True)], "stage string, n bigint")
+
+
+@query(f"""WITH {POSTINGS} SELECT id, CASE WHEN remote OR location = 'Remote (France)' THEN 1 WHEN location = 'Tampa, FL' THEN 3 ELSE 6 END AS tier FROM postings""")
+def rank_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_by_location(View(spark, sf_dir).read("job_postings")).select("id", F.col("location_tier").alias("tier"))
+
+
+@query(f"""WITH {VIEWS} SELECT id, source, company, title, location, remote, fit_score, saved, application_status FROM joined""")
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of a search result, without descriptions."""
+    rows = reads.with_user(*[View(spark, sf_dir).read(t) for t in ("job_postings", "job_scores", "saved_jobs", "applications")], ME)
+    return reads.summary(rows).drop("url", "salary", "salary_is_estimated", "posted_at", "fit_reason")
+
+
+@query(f"""WITH {POSTINGS} SELECT id, title || ' at ' || company || CASE WHEN location IS NULL THEN '' ELSE '. ' || location END || '.' || chr(10) || chr(10) AS header, regexp_replace(coalesce(description, ''), '</\\s*job_description\\s*>', '[/job_description]', 'gi') AS fenced FROM postings""")
+def headers_and_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = View(spark, sf_dir).read("job_postings")
+    return rows.select("id", text.context_header(F.col("title"), F.col("company"), F.col("location")).alias("header"), text.fenced(F.coalesce("description", F.lit(""))).alias("fenced"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN format('${:,}', CAST(round_even(o_totalprice, 0) AS BIGINT))
+ELSE format('${:,}', CAST(round_even(o_totalprice, 0) AS BIGINT)) || ' - ' || format('${:,}', CAST(round_even(o_totalprice + 500, 0) AS BIGINT)) END AS pay FROM orders""")
+def pay_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = F.col("o_totalprice")
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.dollars(low, F.when(F.col("o_orderstatus") == "F", F.lit(None)).otherwise(low + 500)).alias("pay"))
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS id FROM documents d WHERE text <> '' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def pending_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("description"), text.content_hash(F.col("text")).alias("content_hash"), F.lit(AS_OF).alias("fetched_at"))
@@ -197,47 +248,44 @@ def applications_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.notes_of(notes).select(F.col("application_id").alias("conv_id"), F.array_join(F.transform("notes", lambda n: n["note"]), ",").alias("notes"))
 
 
-@query("""WITH u AS (SELECT *, count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn DESC, role) AS k FROM conversations)
-SELECT conv_id, count(*) AS n_kept FROM u WHERE k <= 1 AND NOT (role <> 'user' AND k = 1) GROUP BY conv_id""")
+@query("""WITH u AS (SELECT conv_id, turn, role, count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn DESC, role) AS k, count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id) AS users FROM conversations)
+SELECT conv_id, count(*) AS n_kept FROM u WHERE users <= 2 OR k < 2 OR (k = 2 AND role = 'user') GROUP BY conv_id""")
 def trimmed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns from the last user turn on."""
-    from pyspark.sql import Window
-
-    c = table(spark, sf_dir, "conversations")
-    after = F.count_if(F.col("role") == "user").over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), "role"))
-    rows = c.withColumn("k", after).where((F.col("k") <= 1) & ~((F.col("role") != "user") & (F.col("k") == 1)))
-    return rows.groupBy("conv_id").agg(F.count("*").alias("n_kept"))
+    """How many turns of each conversation the relay would send on, if it kept two exchanges."""
+    whole = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("turns"))
+    kept = F.udf(lambda turns: len(recent([{"role": t["role"]} for t in turns], 2)), T.LongType())
+    return whole.select("conv_id", kept("turns").alias("n_kept"))
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 30 DAY AND o_orderstatus NOT IN ('F')")
 def stale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = F.col("o_orderdate").cast("timestamp") < F.lit(datetime(1998, 1, 1)).cast("timestamp") - F.make_interval(days=F.lit(30))
-    return table(spark, sf_dir, "orders").where(old & ~F.col("o_orderstatus").isin("F")).select("o_orderkey", "o_orderstatus")
+    """Orders as applications: F closes one as a closed status does."""
+    status = F.when(F.col("o_orderstatus") == "F", CLOSED_STATUSES[0]).otherwise("applied")
+    rows = table(spark, sf_dir, "orders").where(reads.is_stale(F.col("o_orderdate").cast("timestamp"), status, datetime(1998, 1, 1), 30))
+    return rows.select("o_orderkey", "o_orderstatus")
 
 
 @query("SELECT o_orderkey, CAST(floor((epoch(TIMESTAMP '1999-01-01 12:00:00') - epoch(o_orderdate)) / 86400) AS INTEGER) AS days FROM orders")
 def days_since(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.whole_days(F.col("o_orderdate"), F.lit(datetime(1999, 1, 1, 12))).alias("days"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.whole_days(F.col("o_orderdate"), text.instant_of(datetime(1999, 1, 1, 12))).alias("days"))
 
 
-@query(f"""WITH {_TABLES} SELECT application_id, application_status FROM applications WHERE updated_at < TIMESTAMP '2024-03-01' - INTERVAL 14 DAY
-  AND application_status NOT IN ({', '.join(f"'{s}'" for s in CLOSED_STATUSES)})""")
+@query(f"""WITH {VIEWS} SELECT application_id, status AS application_status FROM applications WHERE user_id = {ME} AND updated_at < TIMESTAMP '2024-03-01' - INTERVAL 14 DAY
+  AND status NOT IN ({', '.join(f"'{s}'" for s in CLOSED_STATUSES)})""")
 def stale_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    *_, applications = _tables(spark, sf_dir)
-    old = F.col("updated_at") < F.lit(AS_OF).cast("timestamp") - F.make_interval(days=F.lit(14))
-    return applications.where(old & ~F.col("status").isin(*CLOSED_STATUSES)).select(F.col("id").alias("application_id"), F.col("status").alias("application_status"))
+    rows = _reads(spark, sf_dir).list_applications(ME, AS_OF, stale_days=14)
+    return rows.select(F.col("id").alias("application_id"), F.col("status").alias("application_status"))
 
 
-@query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM embeddings) AS embeddings, (SELECT count(*) FROM labels) AS labels, (SELECT count(DISTINCT source) FROM documents) AS sources, (SELECT CAST(max(ts) AS VARCHAR) FROM events) AS last_event")
+@query(f"""WITH {VIEWS} SELECT (SELECT count(*) FROM postings) AS postings, (SELECT count(*) FROM vectors) AS vectors, (SELECT count(DISTINCT job_id) FROM vectors) AS embedded_jobs,
+(SELECT count(*) FROM scores) AS scored, (SELECT count(*) FROM applications) AS applications""")
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = lambda name, value: table(spark, sf_dir, name).agg(value).scalar()
-    counts = table(spark, sf_dir, "documents").agg(F.count("*").alias("documents"), F.countDistinct("source").alias("sources"))
-    return counts.select("documents", one("embeddings", F.count("*")).alias("embeddings"), one("labels", F.count("*")).alias("labels"), "sources", one("events", F.max("ts").cast("string")).alias("last_event"))
+    return _reads(spark, sf_dir).stats()
 
 
-@query("SELECT DISTINCT source FROM documents ORDER BY source")
+@query("SELECT DISTINCT source FROM documents")
 def distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("source").distinct().orderBy("source")
+    return _reads(spark, sf_dir).sources()
 
 
 @query("SELECT CAST(ts AS DATE) AS day, 'events_' AS metric, event_type AS dimension, count(*) AS value FROM events GROUP BY ALL UNION ALL SELECT CAST(ts AS DATE), 'all_events', NULL, count(*) FROM events GROUP BY ALL")
@@ -246,17 +294,21 @@ def metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.metric(e, "events_", F.col("ts"), F.col("event_type")).unionByName(changes.metric(e, "all_events", F.col("ts")))
 
 
-@query("SELECT coalesce(event_type, 'all') AS dimension, count(*) AS total FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-30' - 14 GROUP BY 1")
+@query(f"""WITH {VIEWS} SELECT metric, coalesce(dimension, 'all') AS dimension, sum(value) AS total FROM analytics WHERE day >= DATE '2024-04-15' - 90 GROUP BY ALL""")
 def insights_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = changes.metric(table(spark, sf_dir, "events"), "m", F.col("ts"), F.col("event_type")).where(F.col("day") >= F.date_sub(F.lit(date(2024, 1, 30)), 14))
-    return rows.groupBy(F.coalesce("dimension", F.lit("all")).alias("dimension")).agg(F.sum("value").alias("total"))
+    """Over the page's 90 days, which leave out the first half of the month."""
+    r, out = _reads(spark, sf_dir), None
+    for metric in ("status_transitions", "jobs_saved", "corpus_now"):
+        own = r.totals(date(2024, 4, 15), metric).withColumn("metric", F.lit(metric))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Each user's last event by mid-month and by its end; users of the first kind divisible by 17 are gone in the second."""
     e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("status"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
     last = lambda rows: ingest.first_of(rows, ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "status", "event_id")
-    return last(e.where(F.col("ts") < F.lit(datetime(2024, 1, 15)).cast("timestamp"))), last(e.where("user_id % 17 <> 0"))
+    return last(e.where(F.col("ts") < text.instant_of(datetime(2024, 1, 15)))), last(e.where("user_id % 17 <> 0"))
 
 
 _SNAPSHOTS = """a AS (SELECT user_id, event_type AS status, event_id FROM events WHERE ts < TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
@@ -278,11 +330,14 @@ def cdf_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT DATE '2024-03-01', 'status_transitions', status, count(*) FROM feed WHERE change = 'update_postimage' GROUP BY status
 UNION ALL SELECT DATE '2024-03-01', 'jobs_saved', NULL, count(*) FROM feed WHERE change = 'insert' HAVING count(*) > 0
 UNION ALL SELECT DATE '2024-03-01', 'jobs_unsaved', NULL, count(*) FROM feed WHERE change = 'delete' HAVING count(*) > 0
-UNION ALL SELECT DATE '2024-03-02', 'pipeline_now', status, count(*) FROM b GROUP BY status""")
+UNION ALL SELECT DATE '2024-03-01', 'postings_ingested', status, count(*) FROM feed WHERE change = 'insert' GROUP BY status
+UNION ALL SELECT DATE '2024-03-02', 'pipeline_now', status, count(*) FROM b GROUP BY status
+UNION ALL SELECT DATE '2024-03-02', 'corpus_now', status, count(*) FROM b GROUP BY status""")
 def cdf_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, after = _snapshots(spark, sf_dir)
     feed = changes.diff(before, after, ["user_id"], 1, AS_OF)
-    return changes.metrics({"applications": feed, "saved_jobs": feed}, {"applications": after}, date(2024, 3, 2))
+    of_source = lambda df: df.withColumnRenamed("status", "source")
+    return changes.metrics({"applications": feed, "saved_jobs": feed, "job_postings": of_source(feed)}, {"applications": after, "job_postings": of_source(after)}, date(2024, 3, 2))
 
 
 @query(f"WITH {_FEED} SELECT coalesce(bu, au) AS user_id, CASE WHEN bu IS NOT NULL THEN s1 ELSE s0 END AS status, CASE WHEN au IS NOT NULL THEN e0 ELSE e1 END AS event_id FROM j")
@@ -343,11 +398,6 @@ def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", fields["score"].alias("score"), fields["error"].alias("error")).where("error IS NULL").drop("error")
 
 
-@query("SELECT p_brand, array_to_string(list(DISTINCT p_type ORDER BY p_type), ',') AS types FROM part GROUP BY p_brand")
-def skills_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_set("p_type")), ",").alias("types"))
-
-
 def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0]
 
@@ -365,38 +415,49 @@ def vector_topk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.round("similarity", 4).alias("similarity"))
 
 
-@query()
+def _chunks(source: str, overlap: int = OVERLAP) -> str:
+    """SQL for the windows of texts: `source` gives key, text and size; the result is `pieces` (key, place, piece)."""
+    trim = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    window = "substring(s, start + 1, least(start + size, length(s)) - start)"
+    found = lambda pattern: f"length(regexp_extract(w, '(?s)^{pattern}', 1))"
+    end = f"""CASE WHEN start + size >= length(s) THEN length(s) WHEN {found('(.*)' + chr(92) + 'n' + chr(92) + 'n')} > size // 2 THEN start + {found('(.*)' + chr(92) + 'n' + chr(92) + 'n')}
+      WHEN {found('(.*[.!?])[ ' + chr(92) + 'n]')} > size // 2 THEN start + {found('(.*[.!?])[ ' + chr(92) + 'n]')} WHEN {found('(.*)' + chr(92) + 's')} > 0 THEN start + {found('(.*)' + chr(92) + 's')} ELSE start + size END"""
+    back = f"greatest(stop - {overlap}, start + 1)"
+    behind = f"substring(s, start + 1, {back} - start)"
+    return f"""texts AS (SELECT key, size, {trim('text')} AS s FROM ({source})),
+cuts AS (SELECT key, size, s, start, {end} AS stop FROM (SELECT key, size, s, 0 AS start, substring(s, 1, least(size, length(s))) AS w FROM texts WHERE length(s) > 0)
+  UNION ALL SELECT key, size, s, start, {end} FROM (SELECT *, {window} AS w FROM (SELECT key, size, s,
+    CASE WHEN regexp_matches({behind}, '\\s') THEN greatest(start + 1, start + length(regexp_extract({behind}, '(?s)^(.*)\\s', 1)) + 1) ELSE start + 1 END AS start FROM cuts WHERE stop < length(s)))),
+pieces AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY start) - 1 AS place, piece FROM (SELECT key, start, {trim('substring(s, start + 1, stop - start)')} AS piece FROM cuts) WHERE piece <> '')"""
+
+
+@query(f"WITH RECURSIVE {_chunks(f'SELECT doc_id AS key, text, {SIZE} AS size FROM documents')} SELECT doc_id, CAST(count(piece) AS INTEGER) AS n_chunks, CAST(coalesce(sum(length(piece)), 0) AS INTEGER) AS n_chars FROM documents LEFT JOIN pieces ON key = doc_id GROUP BY doc_id")
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of every document; their rules are tested against a plain Python version."""
+    """How many windows every document has, and their characters."""
     rows = table(spark, sf_dir, "documents").select("doc_id", chunks(F.col("text")).alias("c"))
     return rows.select("doc_id", F.size("c").alias("n_chunks"), F.aggregate("c", F.lit(0), lambda s, x: s + F.char_length(x)).alias("n_chars"))
 
 
-@query()
-def payload_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as board payloads of three kinds; the normalisers are tested on payloads of all eight."""
-    pages, n = table(spark, sf_dir, "pages"), F.col("page_id")
-    item = F.struct(n.cast("string").alias("id"), F.lit("Engineer").alias("title"), F.col("url").alias("absolute_url"), F.lit("Acme").alias("company_name"), F.struct(F.lit("Remote, US").alias("name")).alias("location"), F.col("html").alias("content"), F.lit("2024-01-05T10:00:00-04:00").alias("first_published"))
-    job = F.struct(n.cast("string").alias("id"), F.lit("Engineer").alias("title"), "url", F.lit("Acme").alias("company_name"), F.col("html").alias("description"))
-    post = F.struct(n.cast("string").alias("id"), F.lit("Engineer").alias("text"), F.col("url").alias("hostedUrl"), F.lit("remote").alias("workplaceType"), F.col("html").alias("descriptionPlain"))
-    payload = F.when(n % 3 == 0, F.to_json(F.struct(F.array(item).alias("jobs")))).when(n % 3 == 1, F.to_json(F.struct(F.array(job).alias("jobs")))).otherwise(F.to_json(F.array(post)))
-    kind = F.element_at(F.array(*map(F.lit, ("greenhouse", "remotive", "lever"))), (n % 3 + 1).cast("int"))
-    blank = {c: F.lit("") for c in ("slug", "query", "where", "tenant", "site", "host")}
-    raw = pages.select(kind.alias("kind"), payload.alias("payload"), F.lit("Acme").alias("company"), F.lit(AS_OF).cast("timestamp").alias("fetched_at")).withColumns(blank)
-    return boards.postings(raw).select("source", "source_id", "company", "title", "remote", "content_hash")
+_SEARCHES = """a AS (SELECT 'adzuna' AS kind, q AS query, w AS "where", d AS distance FROM (VALUES ('data engineer'), ('AI engineer'), ('machine learning engineer'), ('data platform')) x(q), (VALUES ('Sarasota', 60), ('Chicago', 40)) y(w, d)),
+u AS (SELECT 'usajobs', q, w, d FROM (VALUES ('data engineer'), ('artificial intelligence')) x(q), (VALUES ('Chicago, Illinois', 40), ('Tampa, Florida', 60), ('', NULL)) y(w, d)),
+r AS (SELECT 'remotive', q, '', NULL FROM (VALUES ('data engineer'), ('AI engineer'), ('machine learning engineer'), ('data platform'), ('backend engineer')) x(q))"""
 
 
-_SPEC_COUNTS = {"ashby": 53, "greenhouse": 42, "lever": 8, "remotive": 5, "adzuna": 8, "usajobs": 6, "breezy": 1, "workday": 6}
+@query(f"WITH {_SEARCHES} SELECT * FROM a UNION ALL SELECT * FROM u UNION ALL SELECT * FROM r")
+def source_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searches of a full run: phrases crossed with their scopes."""
+    return specs.source_specs(spark).where(F.col("kind").isin("adzuna", "usajobs", "remotive")).select("kind", "query", "where", "distance")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {n})" for k, n in _SPEC_COUNTS.items()) + ") t(kind, n)")
-def source_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return specs.source_specs(spark).groupBy("kind").agg(F.count("*").cast("int").alias("n"))
+_HEADER = "title || ' at ' || company || CASE WHEN location IS NULL THEN '' ELSE '. ' || location END || '.' || chr(10) || chr(10)"
 
 
-@query()
+@query(f"""WITH RECURSIVE {POSTINGS}, {_chunks(f"SELECT id AS key, description AS text, greatest({SIZE} - length({_HEADER}), {LEAST_BODY}) AS size FROM postings")}
+SELECT key || ':' || place AS id, CAST(place AS INTEGER) AS chunk_index, {_HEADER} || piece AS chunk_text, 64 AS width, 'hashing-64' AS model_name FROM pieces JOIN postings ON id = key""")
 def embed_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all postings through the encoder stage."""
     rows = vectors.embed(postings(spark, sf_dir), vectors.HashingEncoder, "hashing-64", 64)
-    return rows.select("id", "chunk_index", F.size("embedding").alias("width"), "model_name")
+    return rows.select("id", "chunk_index", "chunk_text", F.size("embedding").alias("width"), "model_name")
+
 
+from . import boards, mutations  # noqa: E402, F401 - they register their queries
