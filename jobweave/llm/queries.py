@@ -93,5 +93,18 @@ g AS (SELECT DISTINCT doc_id, pos FROM o JOIN r USING (key) WHERE doc_id <> firs
 SELECT l.doc_id, coalesce(string_agg(CASE WHEN g.pos IS NULL THEN line END, chr(10) ORDER BY l.pos), '') AS text, count(*) AS n_lines, count(g.pos) AS n_dropped
 FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id"""
 
+#: Every 50-byte window of every document; feasible for small tables only.
+SUBSTRINGS_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -99) > 50 AS opens FROM w JOIN f USING (s) WHERE first < doc_id),
+r AS (SELECT doc_id, min(i) AS start, max(i) + 50 AS stop FROM (SELECT doc_id, i, count(*) FILTER (WHERE opens) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g) GROUP BY doc_id, span),
+k AS (SELECT doc_id, start, stop, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS before FROM (SELECT * FROM r UNION ALL SELECT doc_id, length(h) // 2, length(h) // 2 FROM d)),
+p AS (SELECT doc_id, string_agg(substring(h, 2 * before + 1, 2 * (start - before)), '' ORDER BY start) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, sum(stop - start) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN p USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
 #: SQL for what SQL can say; the other queries are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op3_line_templates": LINES_SQL, "op5_hyperminhash_neardup": NEAR_SQL, "op9_benchmark_containment": decontamination.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_line_templates": LINES_SQL, "op5_hyperminhash_neardup": NEAR_SQL, "op6_suffix_array_dedup": SUBSTRINGS_SQL, "op9_benchmark_containment": decontamination.ORACLE}
