@@ -22,42 +22,56 @@ class Chain:
     last: np.ndarray
 
 
-def train(sentences: list[tuple[np.ndarray, np.ndarray]], n_features: int, n_tags: int, rounds: int = 120, rate: float = 0.15, decay: float = 1e-3) -> Chain:
-    """`sentences`: (feature ids, words x features a word; tags). Adam on the penalised negative log likelihood, all sentences at once."""
-    longest, count = max(len(t) for _, t in sentences), len(sentences)
-    width = sentences[0][0].shape[1]
+def likelihood(parts: list[np.ndarray], ids: np.ndarray, tags: np.ndarray, mask: np.ndarray, decay: float) -> tuple[float, list[np.ndarray]]:
+    """Penalised mean negative log likelihood of tagged sentences (padded to one length), and its gradient, by forward and backward sums."""
+    emission, step, first, last = parts
+    count, longest, width = ids.shape
+    ends, rows, n_tags = mask.sum(1) - 1, np.arange(count), len(first)
+    e = emission[ids].sum(2)
+    alpha, beta = np.zeros((count, longest, n_tags)), np.zeros((count, longest, n_tags))
+    alpha[:, 0] = first + e[:, 0]
+    for t in range(1, longest):
+        alpha[:, t] = np.where(mask[:, t, None], _logsum(alpha[:, t - 1, :, None] + step, 1) + e[:, t], alpha[:, t - 1])
+    beta[:, longest - 1] = last
+    for t in range(longest - 2, -1, -1):
+        onward = _logsum(step + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
+        beta[:, t] = np.where(mask[:, t + 1, None], onward, last)
+    total = _logsum(alpha[rows, ends] + last, 1)
+    told = (np.take_along_axis(e, tags[:, :, None], 2)[:, :, 0] * mask).sum(1) + first[tags[:, 0]] + last[tags[rows, ends]]
+    told += (step[tags[:, :-1], tags[:, 1:]] * mask[:, 1:]).sum(1)
+    node = np.exp(alpha + beta - total[:, None, None]) * mask[:, :, None]
+    gold = np.zeros_like(node)
+    gold[rows[:, None], np.arange(longest), tags] = mask
+    gap = node - gold
+    grads = [decay * p for p in parts]
+    for w in range(width):
+        np.add.at(grads[0], ids[:, :, w][mask], gap[mask] / count)
+    for t in range(1, longest):
+        live = mask[:, t]
+        joint = np.exp(alpha[live, t - 1, :, None] + step + (e[live, t] + beta[live, t])[:, None, :] - total[live, None, None])
+        grads[1] += joint.sum(0) / count
+        np.subtract.at(grads[1], (tags[live, t - 1], tags[live, t]), 1.0 / count)
+    grads[2] += gap[:, 0].sum(0) / count
+    grads[3] += gap[rows, ends].sum(0) / count
+    return float((total - told).mean() + decay / 2 * sum((p * p).sum() for p in parts)), grads
+
+
+def padded(sentences: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature ids, tags and mask of sentences at one length."""
+    longest, count, width = max(len(t) for _, t in sentences), len(sentences), sentences[0][0].shape[1]
     ids, tags, mask = np.zeros((count, longest, width), np.int64), np.zeros((count, longest), np.int64), np.zeros((count, longest), bool)
     for k, (f, t) in enumerate(sentences):
         ids[k, : len(t)], tags[k, : len(t)], mask[k, : len(t)] = f, t, True
-    ends, rows = mask.sum(1) - 1, np.arange(count)
+    return ids, tags, mask
+
+
+def train(sentences: list[tuple[np.ndarray, np.ndarray]], n_features: int, n_tags: int, rounds: int = 120, rate: float = 0.15, decay: float = 1e-3) -> Chain:
+    """`sentences`: (feature ids, words x features a word; tags). Adam on the penalised negative log likelihood, all sentences at once."""
+    given = padded(sentences)
     parts = [np.zeros((n_features, n_tags)), np.zeros((n_tags, n_tags)), np.zeros(n_tags), np.zeros(n_tags)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parts]
     for n in range(1, rounds + 1):
-        emission, step, first, last = parts
-        e = emission[ids].sum(2)
-        alpha, beta = np.zeros((count, longest, n_tags)), np.zeros((count, longest, n_tags))
-        alpha[:, 0] = first + e[:, 0]
-        for t in range(1, longest):
-            alpha[:, t] = np.where(mask[:, t, None], _logsum(alpha[:, t - 1, :, None] + step, 1) + e[:, t], alpha[:, t - 1])
-        beta[:, longest - 1] = last
-        for t in range(longest - 2, -1, -1):
-            onward = _logsum(step + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-            beta[:, t] = np.where(mask[:, t + 1, None], onward, last)
-        total = _logsum(alpha[rows, ends] + last, 1)
-        node = np.exp(alpha + beta - total[:, None, None]) * mask[:, :, None]
-        gold = np.zeros_like(node)
-        gold[rows[:, None], np.arange(longest), tags] = mask
-        gap = node - gold
-        grads = [decay * p for p in parts]
-        for w in range(width):
-            np.add.at(grads[0], ids[:, :, w][mask], gap[mask] / count)
-        for t in range(1, longest):
-            live = mask[:, t]
-            joint = np.exp(alpha[live, t - 1, :, None] + step + (e[live, t] + beta[live, t])[:, None, :] - total[live, None, None])
-            grads[1] += joint.sum(0) / count
-            np.subtract.at(grads[1], (tags[live, t - 1], tags[live, t]), 1.0 / count)
-        grads[2] += gap[:, 0].sum(0) / count
-        grads[3] += gap[rows, ends].sum(0) / count
+        _, grads = likelihood(parts, *given, decay)
         for p, g, (m, v) in zip(parts, grads, moments, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)

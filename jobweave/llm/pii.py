@@ -309,10 +309,10 @@ def find_pii(documents: DataFrame) -> DataFrame:
 
 
 def pii_query(documents: DataFrame) -> DataFrame:
-    """Per document: doc_id, counts of the base kinds, base_sha256, spans (kind:start:end, comma-joined)."""
+    """Per document: doc_id, counts of the base kinds, base_sha256, spans (kind:start:end, comma-joined), how many spans of all kinds."""
     found = find_pii(documents)
     base = F.filter("spans", lambda s: s["base"])
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
     of_kind = lambda kind: F.filter(base, lambda s: s["kind"] == kind)
     counts = [F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in BASE]
-    return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

@@ -55,7 +55,7 @@ def test_labels_of_the_held_out_fold_are_never_learned(labelled):
     plan = toxicity.PLAN
     flipped = labels.withColumn("toxic", F.when(linear.held_out(plan), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = toxicity.fit(documents, labels, plan), toxicity.fit(documents, flipped, plan)
-    assert np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1])
+    assert np.array_equal(a.at, b.at) and np.array_equal(a.w, b.w) and a.pairs == b.pairs
 
 
 def test_no_labels_no_opinion(labelled, none):
@@ -81,9 +81,10 @@ def test_counterfactual_pairs_take_the_weight_off_identity_terms():
 
     def named(pairing):
         plan = linear.TrainingPlan(**{**toxicity.PLAN.__dict__, "l1": 0.2, "pairing": pairing})
-        at, w = linear.fit(rows, plan, toxicity.features, toxicity.swapped if pairing else None)
+        model = linear.fit(rows, plan, toxicity.features, toxicity.swapped if pairing else None)
         table = np.zeros(1 << 24)
-        table[at] = w
+        table[model.at] = model.w
+        assert (model.texts, model.pairs > 200) == (300, bool(pairing))
         score = lambda t: table[toxicity.features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]].sum()
         return score(b"about women here") - score(b"about men here"), score(b"about men foulbag") - score(b"about men here")
 
@@ -91,6 +92,104 @@ def test_counterfactual_pairs_take_the_weight_off_identity_terms():
     assert abs(paired[0]) < 0.6 * abs(free[0]) and paired[1] > 1.0
 
 
+def test_terms_of_the_corpus_are_learned_where_its_languages_name_no_known_group(labelled):
+    documents, labels, _ = labelled
+    folk = F.element_at(F.array(*[F.lit(f" of the {a}vari") for a in "bcdfghklm"]), (F.coalesce("doc_id", F.lit(0)) % 9 + 1).cast("int"))
+    documents = documents.withColumn("text", F.concat("text", folk))
+    rows = [((r["text"] or "").encode(), r["toxic"]) for r in documents.join(labels, "doc_id").where("toxic in (0, 1)").collect()]
+    kinds = toxicity.neutral_kinds(rows, 24)
+    terms = {t for kind in kinds for t in kind}
+    assert "bvari" in terms and not any(w.startswith(("scumlord", "wretchling", "foulbag")) for w in terms) and all(len(kind) > 1 for kind in kinds)
+    plan = linear.TrainingPlan(**{**toxicity.PLAN.__dict__, "l1": 0.5})
+    assert toxicity.fit(documents, labels, plan).pairs > 50 and toxicity.fit(documents, labels, plan, terms=(), learned=0).pairs == 0
+    given = (("bando", "bandor", "kosel"),)
+    assert toxicity.fit(documents.withColumn("text", F.concat("text", F.lit(" bando"))), labels, plan, terms=given, learned=0).pairs > 200
+
+
+def test_training_equals_plain_follow_the_regularised_leader():
+    """The same updates, feature by feature in dictionaries."""
+    rng = random.Random(5)
+    rows = [((prose(rng, 12) + (" foulbag" if k % 2 else "")).encode(), k % 2) for k in range(60)]
+    for module in (quality, toxicity):
+        plan = linear.TrainingPlan(**{**module.PLAN.__dict__, "l1": 0.3, "epochs": 2, "pairing": 0.0})
+        z, n = {}, {}
+
+        def weight(i):
+            if abs(z.get(i, 0.0)) <= plan.l1:
+                return 0.0
+            return -(z[i] - np.sign(z[i]) * plan.l1) / ((plan.beta + n[i] ** 0.5) / plan.alpha + plan.l2)
+
+        order = np.random.Generator(np.random.PCG64(1))
+        for _ in range(plan.epochs):
+            for k in order.permutation(len(rows)):
+                text, y = rows[k]
+                at, x, _ = module.features(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+                own = {int(i): float(np.float32(v)) for i, v in zip(at, x)}
+                w = {i: weight(i) for i in own}
+                p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in own.items())))
+                for i, v in own.items():
+                    g = (p - y) * v
+                    z[i] = z.get(i, 0.0) + g - ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / plan.alpha * w[i]
+                    n[i] = n.get(i, 0.0) + g * g
+        model = linear.fit(rows, plan, module.features)
+        wanted = {i: weight(i) for i in z if abs(z[i]) > plan.l1}
+        assert set(model.at.tolist()) == set(wanted) and np.allclose(model.w, [wanted[i] for i in model.at.tolist()], atol=1e-5)
+
+
+@pytest.mark.parametrize(("module", "query"), [(quality, quality.quality_query), (toxicity, toxicity.toxicity_query)])
+def test_scores_equal_plain_sums_over_whole_texts(spark, labelled, none, module, query):
+    documents, labels, _ = labelled
+    rng = random.Random(4)
+    long = prose(rng, 150_000) + " foulbag scumlord"
+    rows = documents.unionByName(spark.createDataFrame([(990, long, None, None, None)], DOCS))
+    plan = linear.TrainingPlan(**{**module.PLAN.__dict__, "l1": 0.5})
+    model = module.fit(rows, labels, plan)
+    weights = dict(zip(model.at.tolist(), np.float32(model.w).tolist(), strict=True))
+    got = query(rows, labels, plan).join(rows.select("doc_id", "text").distinct(), "doc_id").collect()
+    assert len(got) == rows.where("doc_id IS NOT NULL").count()
+    for r in got:
+        text = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        at, x, _ = module.features(text, np.array([0, len(text)]))
+        z = sum(weights.get(i, 0.0) * v for i, v in zip(at.tolist(), x.tolist(), strict=True))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -35, 35))), abs=1e-5)
+    assert query(none, labels).collect() == [] and {r["score"] for r in query(rows, labels.limit(0)).collect()} == {0.5}
+
+
+def test_the_sample_is_bounded_in_bytes(labelled):
+    documents, labels, _ = labelled
+    whole = linear.labelled_sample(documents, labels, quality.PLAN).collect()
+    small = linear.labelled_sample(documents, labels, linear.TrainingPlan(**{**quality.PLAN.__dict__, "sample_bytes": 5000})).collect()
+    own = sorted(whole, key=lambda r: r["place"])[: len(small)]
+    assert 0 < len(small) < len(whole) and sum(len(r["text"].encode()) for r in own[:-1]) < 5000 and {r["place"] for r in small} == {r["place"] for r in own}
+
+
+def test_the_gradient_of_the_field_is_that_of_its_likelihood():
+    rng = np.random.default_rng(2)
+    sentences = [(rng.integers(0, 6, (n, 2)), rng.integers(0, 3, n)) for n in (1, 4, 2, 7)]
+    given, parts = crf.padded(sentences), [rng.normal(size=s) for s in ((6, 3), (3, 3), (3,), (3,))]
+    _, grads = crf.likelihood(parts, *given, 0.01)
+    for part, grad in zip(parts, grads, strict=True):
+        for place in np.ndindex(part.shape):
+            held, ends = part[place], []
+            for move in (1e-5, -1e-5):
+                part[place] = held + move
+                ends.append(crf.likelihood(parts, *given, 0.01)[0])
+            part[place] = held
+            assert grad[place] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-6)
+
+
+def test_pii_query_equals_the_patterns_on_whole_texts(spark):
+    rng = random.Random(13)
+    pieces = ["4111 1111 1111 1111", "1.2.3.4", "300.1.1.1", "+1 (243) 555-5526", "a.b@c.org", "x@y.zz,", "é", "word", "\n", "12", "+4912345678901", "4111111111111112"]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randrange(0, 40))) for _ in range(150)] + [" ".join(rng.choice(pieces) for _ in range(40_000))]
+    rows = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], DOCS).repartition(3)
+    for r in pii.pii_query(rows).collect():
+        spans = plain_spans(texts[r["doc_id"]])
+        assert [r[f"n_{kind}"] for kind in PATTERNS] == [sum(x[2] == kind for x in spans) for kind in PATTERNS]
+        said = [f"{kind}:{a}:{b}" for a, b, kind in spans]
+        assert r["base_sha256"] == hashlib.sha256(",".join(said).encode()).hexdigest() and set(said) <= set(r["spans"].split(",")) | {""} and r["n_spans"] >= len(said)
+
+
 def test_swaps():
     assert toxicity.swapped(b"no group is named", 0) is None
     out = toxicity.swapped("Die Women of womenfolk and Jews é".encode(), 3).decode()
