@@ -48,7 +48,7 @@ class NearDupPlan:
     deviations: float = 5.0
     star_rounds: int = 2
     block: int = 256
-    asking: int = 2048
+    asking: int = 512
     fan_in: int = 512
 
     @property
