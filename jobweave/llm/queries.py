@@ -93,10 +93,11 @@ g AS (SELECT DISTINCT doc_id, pos FROM o JOIN r USING (key) WHERE doc_id <> firs
 SELECT l.doc_id, coalesce(string_agg(CASE WHEN g.pos IS NULL THEN line END, chr(10) ORDER BY l.pos), '') AS text, count(*) AS n_lines, count(g.pos) AS n_dropped
 FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id"""
 
-#: Every 50-byte window of every document; feasible for small tables only.
+#: Every 50-byte window of every document, taken from overlapping parts, as a substring of a long text costs its whole length.
 SUBSTRINGS_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+c AS (SELECT doc_id, base, substring(h, 2 * base + 1, 2 * 561) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49, 512)) AS base FROM d)),
+w AS (SELECT doc_id, base + j AS i, substring(part, 2 * j + 1, 100) AS s FROM (SELECT doc_id, base, part, unnest(range(0, length(part) // 2 - 49)) AS j FROM c)),
 f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
 g AS (SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -99) > 50 AS opens FROM w JOIN f USING (s) WHERE first < doc_id),
 r AS (SELECT doc_id, min(i) AS start, max(i) + 50 AS stop FROM (SELECT doc_id, i, count(*) FILTER (WHERE opens) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g) GROUP BY doc_id, span),
