@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontamination, linededup, neardup, packing, pii, quality, sharding, substrings, toxicity
+from . import ann, chat, collocations, decontamination, linededup, merkle, neardup, packing, pii, quality, sharding, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,7 +60,19 @@ def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.ann_query(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_vector_packing, op3_line_templates, op4_toxicity, op5_hyperminhash_neardup, op6_suffix_array_dedup, op7_pii_crf, op8_histogram_sharding, op9_benchmark_containment, op10_learned_partitions, conversation_packing)}
+def op11_chat_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_query(_read(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_query(_read(spark, sf_dir, "documents"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_vector_packing, op3_line_templates, op4_toxicity, op5_hyperminhash_neardup, op6_suffix_array_dedup, op7_pii_crf, op8_histogram_sharding, op9_benchmark_containment, op10_learned_partitions, op11_chat_grammar, op12_merkle_manifest, op13_phrase_collocations, conversation_packing)}
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BLANKS = "[\\x20\\x09-\\x0D]+"
@@ -108,4 +120,4 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
 FROM d JOIN p USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
 #: SQL for what SQL can say; the other queries are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op3_line_templates": LINES_SQL, "op5_hyperminhash_neardup": NEAR_SQL, "op6_suffix_array_dedup": SUBSTRINGS_SQL, "op9_benchmark_containment": decontamination.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_line_templates": LINES_SQL, "op5_hyperminhash_neardup": NEAR_SQL, "op6_suffix_array_dedup": SUBSTRINGS_SQL, "op9_benchmark_containment": decontamination.ORACLE, "op11_chat_grammar": chat.ORACLE, "op12_merkle_manifest": merkle.ORACLE, "op13_phrase_collocations": collocations.ORACLE}
