@@ -151,21 +151,30 @@ def _sequences(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def _regrouped(positions: DataFrame) -> DataFrame:
-    """Sequences from rows of (slice, pos, id): positions that are not there are breaks. Each task sees the rows of a slice in order."""
+    """Sequences from rows of (slice, pos, id): positions that are not there are breaks. A slice stays one sequence, or the n-grams across a cut would be lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_slice, last_pos = None, 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now = None
         for batch in batches:
             own, pos, ids = (batch.column(c).to_numpy() for c in ("slice", "pos", "id"))
-            if len(ids):
-                # a batch's end may cut a sequence: the pair across it is kept by repeating the last id
-                fresh = np.ones(len(ids), bool)
-                fresh[1:] = (own[1:] != own[:-1]) | (pos[1:] != pos[:-1] + 1)
-                head = [held] if last_slice == own[0] and last_pos + 1 == pos[0] else []
-                if head:
-                    fresh[0] = False
-                yield _batches([np.concatenate((np.array(head, np.uint32), _spaced((ids + 1).astype(np.uint32), fresh))).tobytes()])
-                last_slice, last_pos, held = own[-1], pos[-1], ids[-1] + 1
+            edges = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)])) if len(own) else np.zeros(0, np.int64)
+            done = []
+            for start, stop in zip(edges[:-1], edges[1:], strict=True):
+                if held and own[start] != now:
+                    done.append(joined(held))
+                    held = []
+                now = own[start]
+                held.append((pos[start:stop], ids[start:stop]))
+            if done:
+                yield _batches(done)
+        if held:
+            yield _batches([joined(held)])
+
+    def joined(held: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
+        pos, ids = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        fresh = np.concatenate(([True], pos[1:] != pos[:-1] + 1))
+        return _closed(_spaced((ids + 1).astype(np.uint32), fresh)).tobytes()
 
     ordered = positions.repartition("slice").sortWithinPartitions("slice", "pos")
     return ordered.mapInArrow(tidy(run), "seq binary")
