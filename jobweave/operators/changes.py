@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import instant_of
 from ..schemas import TABLES
-from .store import Store, upsert
+from .store import Store
 
 #: Mirrored tables: keys and columns.
 MIRRORS = {"applications": ["id"], "saved_jobs": ["user_id", "job_id"], "job_postings": ["id"]}
@@ -80,37 +80,79 @@ def strict_transitions(feed: DataFrame, keys: list[str] = ["id"]) -> DataFrame:
     return after.join(before, on).where(~F.col("status").eqNullSafe(F.col("old_status")))
 
 
+#: Of the feed: metric, mirrored table, change, dimension. A level is what the signed changes of a table sum up to.
+FLOWS = (
+    ("applications_created", "applications", "insert", "status"), ("status_transitions", "applications", "update_postimage", "status"), ("jobs_saved", "saved_jobs", "insert", None),
+    ("jobs_unsaved", "saved_jobs", "delete", None), ("postings_ingested", "job_postings", "insert", "source"),
+)
+LEVELS = (("pipeline_now", "applications", "status"), ("corpus_now", "job_postings", "source"))
+_COUNTS = T.StructType([T.StructField("day", T.DateType()), T.StructField("metric", T.StringType()), T.StructField("dimension", T.StringType()), T.StructField("value", T.LongType())])
+
+
+def partial_counts(name: str, feed: DataFrame) -> DataFrame:
+    """What some changes of a table add to the daily metrics. Counts of parts of a feed sum up to those of the whole; a level has no day."""
+    kind, out = F.col("_change_type"), feed.sparkSession.createDataFrame([], _COUNTS)
+    for metric_name, table, change, dimension in FLOWS:
+        if table == name:
+            out = out.unionByName(metric(feed.where(kind == change), metric_name, F.col("_commit_timestamp"), None if dimension is None else F.col(dimension)))
+    for metric_name, table, dimension in LEVELS:
+        if table == name:
+            sign = F.when(kind.isin("insert", "update_postimage"), 1).otherwise(-1)
+            moved = feed.groupBy(F.col(dimension).cast("string").alias("dimension")).agg(F.sum(sign).alias("value")).where("value <> 0")
+            out = out.unionByName(moved.select(F.lit(None).cast("date").alias("day"), F.lit(metric_name).alias("metric"), "dimension", F.col("value").cast("bigint").alias("value")))
+    return out
+
+
 class ChangeLog:
-    """Mirrors of operational tables and the feed of their changes, both as versions under one folder.
+    """Mirrors of operational tables, the feed of their changes, and the counts of the daily metrics, in one store.
 
-    The feed's version N holds what led from the mirror's version N - 1 to N, and counts once that mirror is there. So a
-    capture that dies between the two is made good by the next one, which writes the same version of the feed anew.
+    A capture appends to the feed and the counts and renews the changed rows of the mirrors in one transaction, so it is
+    whole or nothing, and the next one goes on from where the last whole one ended.
     """
 
     def __init__(self, source: Store, root: str, deletes: bool = True):
         self.source, self.deletes = source, deletes
         names = {t: T.StructType([T.StructField(c, TABLES[t][c].dataType) for c in MIRRORED[t]]) for t in MIRRORS}
         extra = [T.StructField("_change_type", T.StringType()), T.StructField("_commit_version", T.LongType()), T.StructField("_commit_timestamp", T.TimestampType())]
-        self.mirrors = Store(source.spark, f"{root}/mirrors", names)
-        self.feeds = Store(source.spark, f"{root}/feed", {t: T.StructType([*schema.fields, *extra]) for t, schema in names.items()})
+        tables = {f"mirror_{t}": s for t, s in names.items()} | {f"feed_{t}": T.StructType([*s.fields, *extra]) for t, s in names.items()} | {f"counts_{t}": _COUNTS for t in names}
+        keys = {f"{kind}_{t}": tuple(k) for kind in ("mirror", "feed") for t, k in MIRRORS.items()} | {f"counts_{t}": ("metric", "dimension") for t in names}
+        self.held = Store(source.spark, root, tables, keys)
 
     def capture(self, at: datetime) -> None:
-        """Compare each table with its mirror, write what changed to the feed, and renew the mirror.
+        """Compare each table with its mirror, add what changed to the feed and the counts, and put it into the mirror.
 
-        With deletes the mirror becomes the table; without, rows are merged in and what is gone stays.
+        Without deletes, rows that are gone from the table stay in the mirror.
         """
-        for name, keys in MIRRORS.items():
-            held = self.mirrors.version(name) or 0
-            # one version of the source for both writes, whatever is written to it meanwhile
-            before, now = self.mirrors.read(name), self.source.read(name).select(*MIRRORED[name])
-            self.feeds.write(name, diff(before, now, keys, held, at, self.deletes), version=held + 1)
-            self.mirrors.write(name, now if self.deletes else upsert(before, now, keys))
+        with self.held.begin() as own:
+            for name, keys in MIRRORS.items():
+                before, now = own.read(f"mirror_{name}"), self.source.read(name).select(*MIRRORED[name])
+                changed = own.append(f"feed_{name}", diff(before, now, keys, own.version_of(f"feed_{name}"), at, self.deletes), alone=True)
+                if own.changes[f"feed_{name}"].came:
+                    own.append(f"counts_{name}", partial_counts(name, changed))
+                    last = changed.where(F.col("_change_type").isin("insert", "update_postimage")).select(*MIRRORED[name])
+                    own.replace(f"mirror_{name}", last, keys, gone=changed.where(F.col("_change_type") == "delete") if self.deletes else None)
+
+    def mirror(self, name: str) -> DataFrame:
+        return self.held.read(f"mirror_{name}")
 
     def feed(self, name: str) -> DataFrame | None:
-        """All changes from the first commit on; None before there is one."""
-        upto = self.mirrors.version(name) or 0
-        found = [self.feeds.folder(name, v) for v in self.feeds.versions(name) if v <= upto]
-        return self.source.spark.read.schema(self.feeds.schemas[name]).parquet(*found) if found else None
+        """All changes from the first capture on; None before there is one."""
+        return None if self.held.version(f"feed_{name}") is None else self.held.read(f"feed_{name}")
 
     def metrics(self, today: date) -> DataFrame:
-        return metrics({t: self.feed(t) for t in MIRRORS}, {t: self.mirrors.read(t) for t in MIRRORS}, today)
+        """The seven daily metrics, counted over the whole feed and the mirrors."""
+        return metrics({t: self.feed(t) for t in MIRRORS}, {t: self.mirror(t) for t in MIRRORS}, today)
+
+    def summed_metrics(self, today: date) -> DataFrame:
+        """The same, from the counts that each capture left; neither feed nor mirrors are read."""
+        out = None
+        for name in MIRRORS:
+            own = self.held.read(f"counts_{name}")
+            out = own if out is None else out.unionByName(own)
+        whole = out.groupBy("day", "metric", "dimension").agg(F.sum("value").alias("value")).where("value <> 0")
+        return whole.withColumn("day", F.coalesce("day", F.lit(today)))
+
+    def compact(self) -> None:
+        """Join the files that many small captures have left."""
+        for table in self.held.schemas:
+            self.held.compact(table)

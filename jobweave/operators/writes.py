@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, cross_source_key, instant_of
 from ..schemas import POSTING, STATUSES, TABLES, verify_vectors
-from .store import Store, delete_keys, replace_keys, upsert, with_new_ids
+from .store import Store, Transaction, with_new_ids
+
+Result = TypeVar("Result")
 
 
 class UnknownStatus(ValueError):
@@ -23,6 +27,8 @@ def check_status(status: str) -> str:
 
 
 class Writes:
+    """Each mutation is one transaction, done again from a fresh state where another writer came first."""
+
     def __init__(self, store: Store):
         self.store, self.spark = store, store.spark
 
@@ -30,67 +36,73 @@ class Writes:
         names = TABLES[table].names
         return self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], TABLES[table])
 
+    def _once(self, act: Callable[[Transaction], Result]) -> Result:
+        def run() -> Result:
+            with self.store.begin() as own:
+                return act(own)
+
+        return self.store.retry(run)
+
     def upsert_postings(self, postings: DataFrame) -> DataFrame:
         """All columns are updated but id and fetched_at, which tells when a posting was first seen."""
         rows = as_postings(postings)
-        self.store.write("job_postings", upsert(self.store.read("job_postings"), rows, ["id"], keep=("fetched_at",)))
+        self._once(lambda own: own.upsert("job_postings", rows, ["id"], keep=("fetched_at",)))
         return self.store.read("job_postings").join(rows.select("id"), "id", "left_semi")
 
     def replace_vectors(self, vectors: DataFrame, width: int | None = None) -> DataFrame:
-        """All vectors of the jobs in `vectors` are replaced; with no rows nothing changes."""
+        """All vectors of the jobs in `vectors` are replaced; with no rows nothing changes. Returns them as written."""
         if width:
             verify_vectors(vectors, width)
-        if not vectors.isEmpty():
-            self.store.write("job_embeddings", replace_keys(self.store.read("job_embeddings"), vectors, ["job_id"]))
-        return vectors
+        return self._once(lambda own: own.replace("job_embeddings", vectors, ["job_id"]))
 
     def reset_vectors(self) -> None:
-        self.store.write("job_embeddings", self.store.read("job_embeddings").limit(0))
+        self.store.write("job_embeddings", self._rows("job_embeddings"))
 
     def upsert_scores(self, scores: DataFrame, now: datetime) -> DataFrame:
         if scores.where(~F.col("fit_score").between(0, 100)).limit(1).count():
             raise ValueError("fit_score must lie between 0 and 100")
         rows = scores.withColumn("scored_at", instant_of(now))
-        self.store.write("job_scores", upsert(self.store.read("job_scores"), rows, ["job_id", "user_id"]))
+        self._once(lambda own: own.upsert("job_scores", rows, ["job_id", "user_id"]))
         return rows
 
     def save_job(self, user_id: int, job_id: str, now: datetime, note: str | None = None) -> Row:
         row = self._rows("saved_jobs", dict(user_id=user_id, job_id=job_id, note=note, saved_at=now))
-        self.store.write("saved_jobs", upsert(self.store.read("saved_jobs"), row, ["user_id", "job_id"], fill=("note",)))
-        return self.store.read("saved_jobs").where((F.col("user_id") == user_id) & (F.col("job_id") == job_id)).first()
+        self._once(lambda own: own.upsert("saved_jobs", row, ["user_id", "job_id"], fill=("note",)))
+        return self.store.lookup("saved_jobs", user_id=user_id, job_id=job_id).first()
 
     def unsave_job(self, user_id: int, job_id: str) -> bool:
-        current = self.store.read("saved_jobs")
-        mine = (F.col("user_id") == user_id) & (F.col("job_id") == job_id)
-        if current.where(mine).isEmpty():
-            return False
-        self.store.write("saved_jobs", delete_keys(current, current.where(mine), ["user_id", "job_id"]))
-        return True
+        def act(own: Transaction) -> bool:
+            mine = own.lookup("saved_jobs", user_id=user_id, job_id=job_id)
+            found = not mine.isEmpty()
+            if found:
+                own.delete("saved_jobs", mine, ["user_id", "job_id"])
+            return found
+
+        return self._once(act)
 
     def log_application(self, user_id: int, job_id: str, now: datetime, status: str = "applied", note: str | None = None) -> Row:
         """Once for each user and job: a second call updates the status and keeps applied_at."""
         check_status(status)
-        current = self.store.read("applications")
-        mine = (F.col("user_id") == user_id) & (F.col("job_id") == job_id)
-        row = self._rows("applications", dict(user_id=user_id, job_id=job_id, status=status, applied_at=now, updated_at=now))
-        row = with_new_ids(current, row)
-        changed = {"applications": upsert(current, row, ["user_id", "job_id"], keep=("id", "applied_at", "follow_up_on"))}
-        if note:
-            held = current.where(mine).first()
-            number = held["id"] if held else row.first()["id"]
-            notes = self.store.read("interview_notes")
-            own = self._rows("interview_notes", dict(application_id=number, note=note, created_at=now))
-            changed["interview_notes"] = notes.unionByName(with_new_ids(notes, own))
-        self.store.write_all(changed)
-        return self.store.read("applications").where(mine).first()
+
+        def act(own: Transaction) -> int:
+            held = own.lookup("applications", user_id=user_id, job_id=job_id).first()
+            number = held["id"] if held else own.next_id("applications")
+            row = dict(id=number, user_id=user_id, job_id=job_id, status=status, applied_at=now, updated_at=now)
+            own.upsert("applications", self._rows("applications", row), ["id"], keep=("applied_at", "follow_up_on"), alone=not held)
+            if note:
+                self._add(own, "interview_notes", dict(application_id=number, note=note, created_at=now))
+            return number
+
+        return self.store.lookup("applications", id=self._once(act)).first()
 
     def _change_application(self, user_id: int, application_id: int, **columns) -> Row | None:
-        current = self.store.read("applications")
-        mine = (F.col("id") == application_id) & (F.col("user_id") == user_id)
-        if current.where(mine).isEmpty():
-            return None
-        self.store.write("applications", current.withColumns({c: F.when(mine, F.lit(v).cast(current.schema[c].dataType)).otherwise(F.col(c)) for c, v in columns.items()}))
-        return self.store.read("applications").where(mine).first()
+        def act(own: Transaction) -> bool:
+            mine = own.lookup("applications", id=application_id, user_id=user_id).first()
+            if mine is not None:
+                own.upsert("applications", self._rows("applications", mine.asDict() | columns), ["id"])
+            return mine is not None
+
+        return self.store.lookup("applications", id=application_id).first() if self._once(act) else None
 
     def update_status(self, user_id: int, application_id: int, status: str, now: datetime) -> Row | None:
         """None if the application is not this user's."""
@@ -101,35 +113,34 @@ class Writes:
         return self._change_application(user_id, application_id, follow_up_on=on)
 
     def add_note(self, user_id: int, application_id: int, note: str, now: datetime) -> Row | None:
-        owned = self.store.read("applications").where((F.col("id") == application_id) & (F.col("user_id") == user_id))
-        if owned.isEmpty():
-            return None
-        return self._append("interview_notes", dict(application_id=application_id, note=note, created_at=now))
+        def act(own: Transaction) -> Row | None:
+            if own.lookup("applications", id=application_id, user_id=user_id).isEmpty():
+                return None
+            return self._add(own, "interview_notes", dict(application_id=application_id, note=note, created_at=now))
+
+        return self._once(act)
 
     def add_contact(self, user_id: int, company: str, name: str, now: datetime, role: str | None = None, notes: str | None = None) -> Row:
-        return self._append("contacts", dict(user_id=user_id, company=company, name=name, role=role, notes=notes, created_at=now))
+        row = dict(user_id=user_id, company=company, name=name, role=role, notes=notes, created_at=now)
+        return self._once(lambda own: self._add(own, "contacts", row))
 
-    def _append(self, table: str, row: dict) -> Row:
-        current = self.store.read(table)
-        new = with_new_ids(current, self._rows(table, row))
-        written = new.first()
-        self.store.write(table, current.unionByName(self.spark.createDataFrame([written], TABLES[table])))
-        return written
+    def _add(self, own: Transaction, table: str, row: dict) -> Row:
+        """Append a row under the next id, which the files' bounds tell."""
+        return own.append(table, self._rows(table, row | {"id": own.next_id(table)}), alone=True).first()
 
     def seed_profile(self, profile: dict, now: datetime) -> int:
         """Upsert the user by e-mail and the profile; the skills are replaced as a whole. Returns the user's id."""
-        users = self.store.read("users")
-        found = users.where(F.col("email") == profile["email"]).first()
-        if not found:
-            found = self._append("users", dict(email=profile["email"], created_at=now))
-        user = found["id"]
-        row = self._rows("profiles", {k: profile.get(k) for k in ("headline", "summary", "resume_text")} | dict(user_id=user, target_titles=list(profile.get("target_titles") or []), updated_at=now))
-        self.store.write("profiles", upsert(self.store.read("profiles"), row, ["user_id"]))
-        skills = self.store.read("skills")
-        others = skills.where(F.col("user_id") != user)
-        new = self._rows("skills", *[dict(user_id=user, skill=s) for s in dict.fromkeys(profile.get("skills") or [])])
-        self.store.write("skills", others.unionByName(with_new_ids(skills, new)))
-        return user
+
+        def act(own: Transaction) -> int:
+            found = own.lookup("users", email=profile["email"]).first() or self._add(own, "users", dict(email=profile["email"], created_at=now))
+            user = found["id"]
+            row = {k: profile.get(k) for k in ("headline", "summary", "resume_text")} | dict(user_id=user, target_titles=list(profile.get("target_titles") or []), updated_at=now)
+            own.upsert("profiles", self._rows("profiles", row), ["user_id"])
+            skills = self._rows("skills", *[dict(user_id=user, skill=s) for s in dict.fromkeys(profile.get("skills") or [])])
+            own.replace("skills", with_new_ids(skills, own.next_id("skills")), ["user_id"], gone=self._rows("skills", dict(user_id=user)), alone=True)
+            return user
+
+        return self._once(act)
 
     def publish_metrics(self, metrics: DataFrame, now: datetime) -> int:
         rows = metrics.withColumn("computed_at", instant_of(now)).select(*TABLES["analytics_daily"].names)

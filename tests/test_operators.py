@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jobweave import schemas
 from jobweave.operators import changes, ingest, ranking, reads, scoring, vectors
-from jobweave.operators.store import Store, WriteConflict, upsert, write_partitions
+from jobweave.operators.store import Store, upsert, write_partitions
 from jobweave.operators.writes import UnknownStatus, Writes, as_postings
 
 NOW = datetime(2024, 3, 1, 12)
@@ -177,7 +177,7 @@ def test_change_log(store, tmp_path, deletes):
     got = {(r["day"].day, r["metric"], r["dimension"]): r["value"] for r in log.metrics(date(2024, 3, 3)).collect()}
     wanted = {(1, "applications_created", "applied"): 1, (2, "status_transitions", "offer"): 1, (1, "jobs_saved", None): 1, (1, "postings_ingested", "lever"): 2, (1, "postings_ingested", "adzuna"): 1, (3, "pipeline_now", "offer"): 1, (3, "corpus_now", "lever"): 2, (3, "corpus_now", "adzuna"): 1}
     assert got == wanted | ({(2, "jobs_unsaved", None): 1} if deletes else {})
-    assert log.mirrors.read("saved_jobs").count() == (0 if deletes else 1)
+    assert log.mirror("saved_jobs").count() == (0 if deletes else 1)
 
 
 def test_publish_and_read_metrics(spark, store):
@@ -203,60 +203,6 @@ def test_page_counts_and_bands(spark):
     assert tuple(row) == (1, 1, 1, 2, "none", "low", "low", "mid", "mid", "high", "none") and [reads.pages_of(n) for n in (0, 25, 26)] == [1, 1, 2]
 
 
-def test_a_write_that_died_is_no_version_and_blocks_none(spark, store):
-    rows = store.read("job_postings")
-    # files without the version that names them, half a folder, and a version of another writer
-    rows.write.parquet(f"{store.root}/job_postings/data-dead")
-    store._put(("job_postings", "data-half", "part-0"), "x", False)
-    assert store.version("job_postings") == 1 and store.write("job_postings", rows) == 2 and store.read("job_postings").count() == rows.count()
-    store.vacuum("job_postings", keep=1)
-    assert store.versions("job_postings") == [2] and [n for n in store._names("job_postings") if n.startswith("data-")] == [store.folder("job_postings", 2).rsplit("/", 1)[1]]
-    held, rows = store.version, store.read("job_postings", 2)
-    store.version = lambda table: 1  # a writer that has not seen the other's version
-    with pytest.raises(WriteConflict):
-        store.write("job_postings", rows)
-    store.version = held
-
-
-def test_an_application_and_its_note_are_written_together(store):
-    w = Writes(store)
-    w.log_application(1, "j1", NOW, note="first")
-    put, calls = store._put, []
-
-    def dying(parts, text, replace):
-        calls.append(parts)
-        if parts[0] != "journal":
-            raise OSError("gone")
-        put(parts, text, replace)
-
-    store._put = dying
-    with pytest.raises(OSError):
-        w.log_application(1, "j2", NOW, note="second")
-    # the journal was written, so both come through; before it, neither would have
-    store._put = put
-    assert store.read("applications").count() == 2 and [r["note"] for r in store.read("interview_notes").orderBy("id").collect()] == ["first", "second"]
-    assert [r["application_id"] for r in store.read("interview_notes").orderBy("id").collect()] == [1, 2]
-
-
-def test_a_capture_that_died_between_feed_and_mirror_repeats_nothing(spark, store, tmp_path):
-    log = changes.ChangeLog(store, f"file://{tmp_path}/log")
-    log.capture(datetime(2024, 3, 1))
-    Writes(store).save_job(1, "j1", NOW)
-    write = log.mirrors.write
-
-    def dying(*_):
-        raise OSError("gone")
-
-    log.mirrors.write = dying
-    with pytest.raises(OSError):
-        log.capture(datetime(2024, 3, 2))
-    assert log.feed("applications").count() == 0 and log.feed("saved_jobs").count() == 0
-    log.mirrors.write = write
-    log.capture(datetime(2024, 3, 2))
-    log.capture(datetime(2024, 3, 3))
-    assert [(r["job_id"], r["_change_type"]) for r in log.feed("saved_jobs").collect()] == [("j1", "insert")] and log.feed("job_postings").count() == 3
-
-
 def test_embedding_goes_on_where_it_stopped(store):
     done = vectors.embed_pending(store, vectors.HashingEncoder, "hashing-64", 64, limit=1)
     assert (done["jobs_embedded"], done["still_pending"], done["rounds"]) == (1, 1, 1)
