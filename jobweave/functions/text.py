@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 from datetime import UTC, datetime
 
 import pandas as pd
@@ -65,9 +66,17 @@ def context_header(title: Column, company: Column, location: Column) -> Column:
     return F.concat(F.array_join(F.filter(F.array(who, F.coalesce(location, F.lit(""))), lambda p: p != ""), ". "), F.lit(".\n\n"))
 
 
+_FENCE = r"(?i)</\s*job_description\s*>"
+
+
 def fenced(description: Column) -> Column:
     """Untrusted text that cannot close its own fence."""
-    return F.regexp_replace(description, r"(?i)</\s*job_description\s*>", "[/job_description]")
+    return F.regexp_replace(description, _FENCE, "[/job_description]")
+
+
+def fence_text(description: str) -> str:
+    """The same of a string."""
+    return re.sub(_FENCE, "[/job_description]", description)
 
 
 def dollars(low: Column, high: Column) -> Column:

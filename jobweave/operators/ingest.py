@@ -9,6 +9,24 @@ from ..functions.geo import us_eligible
 from ..schemas import DEFAULT_PRIORITY, SOURCE_PRIORITY
 
 
+def freshest() -> list[Column]:
+    return [F.desc_nulls_last("fetched_at"), F.asc("source"), F.asc("content_hash")]
+
+
+def best() -> list[Column]:
+    return [source_priority(F.col("source")).asc(), F.length(F.coalesce("description", F.lit(""))).desc(), F.asc("id")]
+
+
+def stage_counts(postings: DataFrame) -> DataFrame:
+    """Rows of the funnel's stages (stage, n) as one plan: rows are marked instead of dropped, so each window counts what it keeps."""
+    mark = lambda keys, order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
+    rows = postings.withColumn("unique_ids", mark(["id"], freshest()))
+    rows = rows.withColumn("unique_jobs", F.col("unique_ids") & mark(["cross_source_key", "unique_ids"], best()))
+    rows = rows.withColumn("eligible", F.col("unique_jobs") & us_eligible(F.col("location")))
+    counts = rows.agg(F.count("*").alias("fetched"), *[F.count_if(c).alias(c) for c in ("unique_ids", "unique_jobs", "eligible")])
+    return counts.unpivot([], ["fetched", "unique_ids", "unique_jobs", "eligible"], "stage", "n")
+
+
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order; the row-number filter lets Spark prune groups before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -22,13 +40,12 @@ def source_priority(source: Column) -> Column:
 
 def latest_by_id(postings: DataFrame) -> DataFrame:
     """The freshest row of each id; ties by source and content hash, so a run repeats itself."""
-    return first_of(postings, ["id"], [F.desc_nulls_last("fetched_at"), F.asc("source"), F.asc("content_hash")])
+    return first_of(postings, ["id"], freshest())
 
 
 def best_across_sources(postings: DataFrame) -> DataFrame:
     """One row of each real-world job: by source priority, then the longest description, then id."""
-    order = [source_priority(F.col("source")).asc(), F.length(F.coalesce("description", F.lit(""))).desc(), F.asc("id")]
-    return first_of(postings, ["cross_source_key"], order)
+    return first_of(postings, ["cross_source_key"], best())
 
 
 def eligible(postings: DataFrame) -> DataFrame:

@@ -61,13 +61,16 @@ class Reads:
     def list_jobs(self, user_id: int, as_of: datetime, filters: Filters = Filters(), limit: int = PAGE, offset: int = 0) -> DataFrame:
         return self._all(user_id).where(filters.predicate(as_of, F.col("fit_score"))).orderBy(*best_first()).offset(offset).limit(limit)
 
-    def count_jobs(self, as_of: datetime, filters: Filters = Filters(), user_id: int | None = None) -> int:
-        """The score table is joined only if a score is asked for: the join keeps every row otherwise."""
-        rows = self.t("job_postings")
+    def jobs_counted(self, as_of: datetime, filters: Filters = Filters(), user_id: int | None = None) -> DataFrame:
+        """One row, n. The score table is joined only if a score is asked for: the join keeps every row otherwise."""
+        rows, score = self.t("job_postings"), None
         if filters.min_score is not None and user_id is not None:
             rows = rows.join(self.t("job_scores").where(F.col("user_id") == user_id).select(F.col("job_id").alias("id"), "fit_score"), "id", "left")
-            return rows.where(filters.predicate(as_of, F.col("fit_score"))).count()
-        return rows.where(filters.predicate(as_of)).count()
+            score = F.col("fit_score")
+        return rows.where(filters.predicate(as_of, score)).agg(F.count("*").alias("n"))
+
+    def count_jobs(self, as_of: datetime, filters: Filters = Filters(), user_id: int | None = None) -> int:
+        return self.jobs_counted(as_of, filters, user_id).first()["n"]
 
     def get_job(self, job_id: str, user_id: int) -> DataFrame:
         return self._all(user_id).where(F.col("id") == job_id).limit(1)
@@ -91,22 +94,27 @@ class Reads:
         if stale_days:
             own = own.where(is_stale(F.col("updated_at"), F.col("status"), as_of, stale_days))
         jobs = self.t("job_postings").select(F.col("id").alias("job_id"), "company", "title", "url", "location", "source")
-        out = own.join(jobs, "job_id").join(notes_of(self.t("interview_notes")), F.col("id") == F.col("application_id"), "left").drop("application_id")
+        notes = self.t("interview_notes").join(own.select(F.col("id").alias("application_id")), "application_id", "left_semi")
+        out = own.join(jobs, "job_id").join(notes_of(notes), F.col("id") == F.col("application_id"), "left").drop("application_id")
         empty = F.array().cast("array<struct<created_at: timestamp, note: string>>")
         return out.withColumn("notes", F.coalesce("notes", empty)).withColumn("days_since_update", whole_days(F.col("updated_at"), now)).orderBy(F.desc("updated_at"), "id")
 
     def get_profile(self, user_id: int) -> DataFrame:
-        skills = self.t("skills").groupBy("user_id").agg(F.sort_array(F.collect_list("skill")).alias("skills"))
+        skills = self.t("skills").where(F.col("user_id") == user_id).groupBy("user_id").agg(F.sort_array(F.collect_list("skill")).alias("skills"))
         own = self.t("profiles").where(F.col("user_id") == user_id)
         return own.join(skills, "user_id", "left").withColumn("skills", F.coalesce("skills", F.array().cast("array<string>")))
 
     def analytics(self, as_of: date, days: int = 30, metric: str | None = None) -> DataFrame:
         rows = self.t("analytics_daily").where(F.col("day") >= F.date_sub(F.lit(as_of), days))
         rows = rows.where(F.col("metric") == metric) if metric else rows
-        return rows.orderBy("metric", F.desc("day"), F.desc("value"), F.asc_nulls_last("dimension"))
+        return rows.orderBy(*by_metric())
+
+    def computed(self) -> DataFrame:
+        """One row: when the metrics were last published."""
+        return self.t("analytics_daily").agg(F.max("computed_at").alias("computed_at"))
 
     def last_computed(self) -> datetime | None:
-        return self.t("analytics_daily").agg(F.max("computed_at")).first()[0]
+        return self.computed().first()["computed_at"]
 
     def totals(self, as_of: date, metric: str, days: int = INSIGHT_DAYS) -> DataFrame:
         """What a metric sums to over the window, for each dimension; a metric without dimensions is one total, `all`."""
@@ -134,6 +142,11 @@ class Reads:
 MOVES = ("status_transitions", "applications_created", "jobs_saved")
 
 
+def by_metric() -> list[Column]:
+    """The order in which metrics are shown."""
+    return [F.asc("metric"), F.desc("day"), F.desc("value"), F.asc_nulls_last("dimension")]
+
+
 def is_stale(updated_at: Column, status: Column, as_of: datetime, days: int) -> Column:
     """No change for so many days, and not closed."""
     return (updated_at < instant_of(as_of) - F.make_interval(days=F.lit(days))) & ~status.isin(*CLOSED_STATUSES)

@@ -63,7 +63,11 @@ def search(
         raise WrongWidth(f"{model} has {model_width(model)} dimensions, the query {len(queries[0])}")
     similar = [cosine(F.col("embedding"), q) for q in queries]
     distance = 1 - (F.greatest(*similar) if len(similar) > 1 else similar[0])
-    wanted = postings.where(filters.predicate(as_of)).select(F.col("id").alias("job_id"), "cross_source_key")
+    wanted = postings.where(filters.predicate(as_of))
+    if scores is not None and filters.min_score is not None:
+        # a job that scores too low must not take a candidate's place
+        wanted = wanted.join(scores.where(F.col("fit_score") >= filters.min_score).select("id"), "id", "left_semi")
+    wanted = wanted.select(F.col("id").alias("job_id"), "cross_source_key")
     rows = embeddings.where(F.col("model_name") == model) if model is not None else embeddings
     near = rows.join(wanted, "job_id").select("job_id", "cross_source_key", "chunk_index", "chunk_text", distance.alias("distance"))
     near = near.where("distance IS NOT NULL").orderBy("distance", "job_id", "chunk_index").limit(max(OVERFETCH * top_k, LEAST_CANDIDATES))
@@ -72,8 +76,6 @@ def search(
     out = best.select(F.col("job_id").alias("id"), F.col("chunk_text").alias("matched_text"), "distance", (1 - F.col("distance")).alias("similarity")).join(postings, "id")
     if scores is not None:
         out = out.join(scores, "id", "left")
-        if filters.min_score is not None:
-            out = out.where(F.col("fit_score") >= filters.min_score)
     return out.orderBy("distance", "id").limit(top_k)
 
 

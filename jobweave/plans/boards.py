@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import board_source
 from ..sources import postings as boards
 from .registry import query, table
-from .views import AS_OF
+from .views import AS_OF, scratch
 from ..functions.text import instant_of
 
 _ID = "CAST(p_partkey AS VARCHAR)"
@@ -123,3 +126,54 @@ def board_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = lambda df, kind, payload: df.select(F.lit(kind).alias("kind"), payload.alias("payload"), instant_of(AS_OF).alias("fetched_at")).withColumns(blank)
     rows = raw(table(spark, sf_dir, "pages"), "lever", F.col("html")).unionByName(raw(table(spark, sf_dir, "region"), "monster", F.col("r_name")))
     return boards.errors(rows).groupBy("error").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey AS req, p_name AS title, '/job/' || p_partkey AS external_path, CASE WHEN p_size > 25 THEN p_brand ELSE '' END AS location FROM part WHERE p_type <> 'PROMO' AND p_size % 2 = 0""")
+def board_workday_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First stage of the two-stage board: hits without a title are none, and what the keep filter leaves is hydrated."""
+    p = Part()
+    hit = _struct(title=F.when(p.kind != "PROMO", p.title).otherwise(""), externalPath=F.concat(F.lit("/job/"), p.id), locationsText=F.when(p.big, p.company), bulletFields=F.array(p.id))
+    pages = table(spark, sf_dir, "part").groupBy("p_size").agg(F.collect_list(hit).alias("hits"))
+    blank = {c: F.lit("") for c in boards.SPEC_FIELDS}
+    raw = pages.select(F.lit("workday").alias("kind"), F.to_json(_struct(total=F.size("hits"), jobPostings=F.col("hits"))).alias("payload"), instant_of(AS_OF).alias("fetched_at"), "p_size").withColumns(blank)
+    kept = boards.workday_stubs(raw.where("p_size % 2 = 0"))
+    return kept.select(F.col("req_id").cast("bigint").alias("req"), "title", "external_path", "location")
+
+
+class Echo:
+    """A transport without a network: a board of one posting, made of its spec. Other kinds than greenhouse fail."""
+
+    def __call__(self, spec: dict) -> str:
+        if spec["kind"] != "greenhouse":
+            raise ValueError(f"{spec['kind']} must not be asked")
+        return json.dumps({"jobs": [{"id": spec["slug"], "title": spec["query"], "company_name": spec["company"], "absolute_url": f"http://jobs.example/{spec['slug']}", "location": {"name": spec["where"]}}]})
+
+
+ECHO = f"{__name__}:Echo"
+
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("s_acctbal") > 0, "greenhouse").otherwise("lever")
+    return table(spark, sf_dir, "supplier").select(kind.alias("kind"), F.col("s_suppkey").cast("string").alias("slug"), F.col("s_name").alias("company"), F.concat(F.lit("Role "), "s_nationkey").alias("query"), F.lit("Austin, TX").alias("where"))
+
+
+_SUPPLIED = "CAST(s_suppkey AS VARCHAR) AS source_id, s_name AS company, 'Role ' || s_nationkey AS title FROM supplier WHERE s_acctbal > 0"
+
+
+@query(f"SELECT {_SUPPLIED}")
+def boards_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as boards of the data source; those of another kind are filtered by the source and never asked."""
+    raw = board_source.reading(_suppliers(spark, sf_dir), ECHO, 16).where("kind = 'greenhouse'")
+    return boards.postings(raw.where("error IS NULL")).select("source_id", "company", "title")
+
+
+@query(f"SELECT {_SUPPLIED} UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_name, 'failed' FROM supplier WHERE s_acctbal <= 0 OR s_acctbal IS NULL")
+def boards_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same boards as a stream, started twice from one checkpoint: each was asked once."""
+    folder = scratch(spark)
+    for _ in range(2):
+        rows = board_source.streaming(_suppliers(spark, sf_dir), 1, ECHO, 16)
+        rows.writeStream.format("parquet").option("path", f"{folder}/raw").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start().awaitTermination()
+    raw = spark.read.schema(rows.schema).parquet(f"{folder}/raw")
+    failed = raw.where("error IS NOT NULL").select(F.col("slug").alias("source_id"), "company", F.lit("failed").alias("title"))
+    return boards.postings(raw.where("error IS NULL")).select("source_id", "company", "title").unionByName(failed)

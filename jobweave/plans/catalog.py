@@ -8,16 +8,14 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import geo, text
 from ..functions.chunking import LEAST_BODY, OVERLAP, SIZE, chunks
 from ..operators import changes, ingest, ranking, reads, scoring, store, vectors
 from ..schemas import CLOSED_STATUSES
 from ..sources import specs
-from ..web import recent
 from .registry import ORACLE_SQL, QUERIES, query, table
 from .views import AS_OF, ME, PART as _PART, POSTINGS, VIEWS, View, postings
 
@@ -117,7 +115,11 @@ UNION ALL SELECT 'src1', count(*) FROM joined WHERE source = 'src1'""")
 def count_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, r = reads.Filters, _reads(spark, sf_dir)
     wanted = {"all": own(), "strong": own(min_score=70), "recent_remote": own(remote_only=True, posted_within_days=30), "src1": own(source="src1")}
-    return spark.createDataFrame([(name, r.count_jobs(AS_OF, f, ME)) for name, f in wanted.items()], "counted string, n bigint")
+    out = None
+    for name, filters in wanted.items():
+        counted = r.jobs_counted(AS_OF, filters, ME).select(F.lit(name).alias("counted"), "n")
+        out = counted if out is None else out.unionByName(counted)
+    return out
 
 
 @query(f"""WITH {VIEWS} SELECT id, CASE WHEN fit_score >= 80 THEN 'high' WHEN fit_score >= 60 THEN 'mid' WHEN fit_score IS NULL OR fit_score = 0 THEN 'none' ELSE 'low' END AS band, substring(description, 1, 190) AS preview FROM joined""")
@@ -178,8 +180,9 @@ def profile_with_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM analytics WHERE day >= DATE '2024-01-30' - 14""")
 def analytics_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The window's rows with their places in the order of the read."""
-    rows = _reads(spark, sf_dir).analytics(date(2024, 1, 30), 14).collect()
-    return spark.createDataFrame([(str(r["day"]), r["metric"], r["dimension"], r["value"], k) for k, r in enumerate(rows, 1)], "day string, metric string, dimension string, value bigint, place int")
+    rows = _reads(spark, sf_dir).analytics(date(2024, 1, 30), 14)
+    # a report of a fortnight: some rows for each day
+    return rows.select(F.col("day").cast("string").alias("day"), "metric", "dimension", "value", F.row_number().over(Window.orderBy(*reads.by_metric())).alias("place"))
 
 
 @query(f"""WITH {VIEWS} SELECT metric, dimension, value, CAST(day AS VARCHAR) AS day FROM analytics WHERE metric IN ('status_transitions', 'applications_created', 'jobs_saved') AND day >= DATE '2024-01-30' - 90
@@ -188,9 +191,9 @@ def latest_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reads(spark, sf_dir).latest_moves(date(2024, 1, 30)).select("metric", "dimension", "value", F.col("day").cast("string").alias("day"))
 
 
-@query("SELECT '2024-02-28 00:00:00' AS computed_at FROM events LIMIT 1")
+@query("SELECT strftime(CAST(max(CAST(ts AS DATE)) AS TIMESTAMP) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS computed_at FROM events")
 def last_computed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(str(_reads(spark, sf_dir).last_computed()),)], "computed_at string")
+    return _reads(spark, sf_dir).computed().select(F.date_format("computed_at", "yyyy-MM-dd HH:mm:ss").alias("computed_at"))
 
 
 @query(f"WITH {POSTINGS} SELECT source, count(*) AS n FROM postings GROUP BY source")
@@ -203,10 +206,7 @@ b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY cross_source_key O
 SELECT 'fetched' AS stage, count(*) AS n FROM postings UNION ALL SELECT 'unique_ids', count(*) FROM a UNION ALL SELECT 'unique_jobs', count(*) FROM b
 UNION ALL SELECT 'eligible', count(*) FROM b WHERE location IS NULL OR location NOT IN ('Berlin, Germany', 'Remote (France)')""")
 def funnel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The observations of one pass."""
-    out, seen = ingest.funnel(postings(spark, sf_dir))
-    out.write.format("noop").mode("overwrite").save()
-    return spark.createDataFrame([(name, o.get["rows"]) for name, o in zip(("fetched", "unique_ids", "unique_jobs", "eligible"), seen, strict=True)], "stage string, n bigint")
+    return ingest.stage_counts(postings(spark, sf_dir))
 
 
 @query(f"""WITH {POSTINGS} SELECT id, CASE WHEN remote OR location = 'Remote (France)' THEN 1 WHEN location = 'Tampa, FL' THEN 3 ELSE 6 END AS tier FROM postings""")
@@ -252,9 +252,11 @@ def applications_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, count(*) AS n_kept FROM u WHERE users <= 2 OR k < 2 OR (k = 2 AND role = 'user') GROUP BY conv_id""")
 def trimmed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many turns of each conversation the relay would send on, if it kept two exchanges."""
-    whole = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("turns"))
-    kept = F.udf(lambda turns: len(recent([{"role": t["role"]} for t in turns], 2)), T.LongType())
-    return whole.select("conv_id", kept("turns").alias("n_kept"))
+    user = F.count_if(F.col("role") == "user")
+    whole = Window.partitionBy("conv_id")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "role", user.over(whole.orderBy(F.desc("turn"), "role")).alias("k"), user.over(whole).alias("users"))
+    kept = turns.where((F.col("users") <= 2) | (F.col("k") < 2) | ((F.col("k") == 2) & (F.col("role") == "user")))
+    return kept.groupBy("conv_id").agg(F.count("*").alias("n_kept"))
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 30 DAY AND o_orderstatus NOT IN ('F')")
@@ -438,15 +440,12 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("c").alias("n_chunks"), F.aggregate("c", F.lit(0), lambda s, x: s + F.char_length(x)).alias("n_chars"))
 
 
-_SEARCHES = """a AS (SELECT 'adzuna' AS kind, q AS query, w AS "where", d AS distance FROM (VALUES ('data engineer'), ('AI engineer'), ('machine learning engineer'), ('data platform')) x(q), (VALUES ('Sarasota', 60), ('Chicago', 40)) y(w, d)),
-u AS (SELECT 'usajobs', q, w, d FROM (VALUES ('data engineer'), ('artificial intelligence')) x(q), (VALUES ('Chicago, Illinois', 40), ('Tampa, Florida', 60), ('', NULL)) y(w, d)),
-r AS (SELECT 'remotive', q, '', NULL FROM (VALUES ('data engineer'), ('AI engineer'), ('machine learning engineer'), ('data platform'), ('backend engineer')) x(q))"""
-
-
-@query(f"WITH {_SEARCHES} SELECT * FROM a UNION ALL SELECT * FROM u UNION ALL SELECT * FROM r")
+@query("SELECT 'adzuna' AS kind, q AS query, n_name AS \"where\", CAST(10 * n_regionkey AS INTEGER) AS distance FROM (SELECT DISTINCT p_type AS q FROM part), nation")
 def source_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The searches of a full run: phrases crossed with their scopes."""
-    return specs.source_specs(spark).where(F.col("kind").isin("adzuna", "usajobs", "remotive")).select("kind", "query", "where", "distance")
+    """Searches crossed with their scopes, as a run's specs are made: kinds of parts in the places of all nations."""
+    phrases = table(spark, sf_dir, "part").select(F.col("p_type").alias("query")).distinct()
+    scopes = table(spark, sf_dir, "nation").select(F.col("n_name").alias("where"), (10 * F.col("n_regionkey")).cast("int").alias("distance"))
+    return specs.searches("adzuna", phrases, scopes).select("kind", "query", "where", "distance")
 
 
 _HEADER = "title || ' at ' || company || CASE WHEN location IS NULL THEN '' ELSE '. ' || location END || '.' || chr(10) || chr(10)"

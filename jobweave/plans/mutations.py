@@ -138,9 +138,9 @@ def write_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT (SELECT count(*) FROM embeddings JOIN documents ON doc_id = vec_id // 2) AS before, 0 AS after")
 def write_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = stored(spark, sf_dir, "job_embeddings")
-    before = store.read("job_embeddings").count()
     Writes(store).reset_vectors()
-    return spark.createDataFrame([(before, store.read("job_embeddings").count())], "before bigint, after bigint")
+    held = lambda version: store.read("job_embeddings", version).agg(F.count("*").alias("n"))
+    return held(1).select(F.col("n").alias("before"), held(2).scalar().alias("after"))
 
 
 @query(f"""WITH {POSTINGS}, p AS (SELECT id, content_hash, fetched_at FROM postings WHERE description <> ''), d AS (SELECT p.id FROM p JOIN documents d ON sha256(d.source || chr(0) || d.doc_id) = p.id JOIN embeddings ON vec_id // 2 = d.doc_id)

@@ -121,7 +121,7 @@ class View:
         day = F.col("ts")
         seen = e.select(F.to_date("ts").alias("ts"), "event_type", "user_id").distinct()
         out = changes.metric(e, "status_transitions", day, F.col("event_type")).unionByName(changes.metric(e, "jobs_saved", day)).unionByName(changes.metric(seen, "corpus_now", day, F.col("event_type")))
-        return out.withColumn("computed_at", _at(datetime(2024, 2, 28), F.lit(0), 1))
+        return out.withColumn("computed_at", F.col("day").cast("timestamp") + F.make_interval(hours=F.lit(6)))
 
     def job_embeddings(self) -> DataFrame:
         v, d = table(self.spark, self.folder, "embeddings"), table(self.spark, self.folder, "documents")

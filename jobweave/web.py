@@ -160,10 +160,10 @@ INNER = ("content", "text", "message", "output_text")
 SPEAKERS, RESERVED = ("user", "assistant"), ("system", "developer", "tool")
 EXCHANGES, SHOWN = 8, 2000
 REASONS = {
-    400: "The agent does not take this shape of request; its task type may be another now.",
-    403: "The app may not query the agent: its identity lacks the right to query the endpoint.",
-    404: "There is no endpoint of that name; look at the setting that names it.",
-    429: "The agent has too many requests at the moment; try again shortly.",
+    400: "The request was malformed in the eyes of the endpoint.",
+    403: "This service's account is not permitted to call the endpoint.",
+    404: "Nothing answers at the configured address.",
+    429: "The rate limit is used up for now.",
 }
 
 
@@ -291,6 +291,13 @@ class Relay:
 PUBLIC_PATHS = ("/", "/status", "/healthz", "/favicon.ico")
 
 
+def credential(header: str | None) -> str:
+    """What an Authorization header presents: the word after a `bearer` of any case, or the whole where no scheme is named."""
+    words = (header or "").split(None, 1)
+    return words[1].strip() if len(words) == 2 and words[0].lower() == "bearer" else (header or "").strip()
+
+
 def authorised(path: str, header: str | None, token: str) -> bool:
-    """Whether a request may pass: a public path, or the bearer token, compared in constant time."""
-    return path in PUBLIC_PATHS or hmac.compare_digest((header or "").removeprefix("Bearer ").encode(), token.encode())
+    """Whether a request may pass: a public path, or the bearer token, compared in constant time. No token configured, or none presented, opens nothing."""
+    own, shown = token.strip(), credential(header)
+    return path in PUBLIC_PATHS or (bool(own) and bool(shown) and hmac.compare_digest(shown.encode(), own.encode()))
