@@ -1,37 +1,112 @@
-"""The ingest as a stream: landed postings, deduplicated within a watermark, merged batch by batch into the store."""
+"""The ingest as a stream: the best posting of every real-world job, kept as state by cross-source key, merged into the store.
+
+For each key the state holds which posting is the best so far: its id, source priority, length and time. A posting of a
+better source, or a longer one of an equal source, takes its place and tells whom it replaces; a newer version of the best
+one stays the best. What has not been seen for `horizon` of event time is forgotten, so the state is bounded by the jobs
+of that time. A micro-batch becomes one transaction of the store: new bests come in, what they replaced and what is not
+eligible goes. Doing a batch again changes nothing, and the batch deduplication stays the source of truth.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import timedelta
+
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators.ingest import best_across_sources, eligible, latest_by_id, source_priority
+from ..functions.geo import us_eligible
+from ..operators.ingest import source_priority
 from ..operators.store import Store
-from ..operators.writes import Writes
+from ..operators.writes import as_postings
 from ..schemas import POSTING
 
+LATE, HORIZON = "1 day", timedelta(days=90)
+_STATE = "id string, priority int, length int, fetched_at timestamp"
+_CHOSEN = T.StructType([*POSTING.fields, T.StructField("replaced", T.StringType())])
+
+
+class BestPosting(StatefulProcessor):
+    def __init__(self, horizon: timedelta):
+        self.horizon = horizon
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", _STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.best.get() if self.best.exists() else None
+        first, now, row = held and held[0], held, None
+        for frame in rows:  # of a key with many rows one frame after another, of which one row is kept
+            for r in frame.sort_values(["fetched_at", "priority", "id"], kind="stable").itertuples(index=False):
+                own = (r.id, int(r.priority), int(r.length), r.fetched_at.to_pydatetime())
+                if now is None or self._takes(own, now):
+                    now, row = own, r
+        if row is None:
+            return
+        self.best.update(now)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(pd.Timestamp(now[3], tz="UTC").timestamp() * 1000 + self.horizon.total_seconds() * 1000))
+        out = {c: [getattr(row, c)] for c in POSTING.names}
+        yield pd.DataFrame(out | {"replaced": [first if first != now[0] else None]})
+
+    @staticmethod
+    def _takes(own: tuple, now: tuple) -> bool:
+        """Whether a posting takes the place of the best one: a version of it that is no older, or a better one."""
+        if own[0] == now[0]:
+            return own[3] >= now[3]
+        return (own[1], -own[2], own[0]) < (now[1], -now[2], now[0])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.best.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def landed(spark: SparkSession, path: str, late: str = LATE) -> DataFrame:
+    """Postings as they land; rows that are later than the watermark are dropped."""
+    return spark.readStream.schema(POSTING).parquet(path).withWatermark("fetched_at", late)
+
+
+def chosen(postings: DataFrame, horizon: timedelta = HORIZON) -> DataFrame:
+    """A row whenever a job has a new best posting or a new version of it; `replaced` is the id that was the best until then."""
+    rows = postings.select("*", source_priority(F.col("source")).cast("int").alias("priority"), F.char_length("description").cast("int").alias("length"))
+    return rows.groupBy("cross_source_key").transformWithStateInPandas(BestPosting(horizon), outputStructType=_CHOSEN, outputMode="Update", timeMode="EventTime")
+
 
-def landed(spark: SparkSession, path: str, late: str = "1 day") -> DataFrame:
-    """Postings as they land; rows that are later than the watermark are dropped, repeats of an id within it are one."""
-    rows = spark.readStream.schema(POSTING).parquet(path)
-    return rows.withWatermark("fetched_at", late).dropDuplicatesWithinWatermark(["id"])
+def merge(store: Store, batch: DataFrame) -> None:
+    """Put the chosen postings of a micro-batch into the store, and take out what they replaced."""
+    fit = us_eligible(F.col("location"))
+    gone = batch.where("replaced IS NOT NULL").select(F.col("replaced").alias("id")).unionByName(batch.where(~fit).select("id"))
+    table = store.spark.createDataFrame([], POSTING)
 
+    def act() -> None:
+        with store.begin() as own:
+            held = own.read("job_postings").select("id", F.col("fetched_at").alias("first"))
+            # as in a batch run, a posting keeps the time at which it was first seen
+            rows = as_postings(batch.where(fit).drop("replaced")).join(held, "id", "left").withColumn("fetched_at", F.coalesce("first", "fetched_at")).drop("first")
+            own.replace("job_postings", rows.select(*table.columns), ["id"], gone=gone)
 
-def unstored(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """`batch` without jobs that the store has from another source of at least the same priority."""
-    mine = batch.select("id", "cross_source_key", source_priority(F.col("source")).alias("rank"))
-    held = stored.select(F.col("id").alias("held_id"), "cross_source_key", source_priority(F.col("source")).alias("held_rank"))
-    known = mine.join(held, "cross_source_key").where("id <> held_id AND held_rank <= rank").select("id")
-    return batch.join(known, "id", "left_anti").select(*batch.columns)
+    store.retry(act)
 
 
-def ingest(spark: SparkSession, path: str, store: Store, checkpoint: str) -> StreamingQuery:
-    """Take in all that has landed since the last run, then stop. The batch deduplication stays the source of truth."""
+def ingest(spark: SparkSession, path: str, store: Store, checkpoint: str, horizon: timedelta = HORIZON, late: str = LATE) -> StreamingQuery:
+    """Take in all that has landed since the last run, then stop."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    def merge(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            best = eligible(best_across_sources(latest_by_id(batch)))
-            Writes(store).upsert_postings(unstored(best, store.read("job_postings")))
+    def each(batch: DataFrame, _: int) -> None:
+        rows = batch.persist()  # read for what comes and for what goes
+        try:
+            if not rows.isEmpty():
+                merge(store, rows)
+        finally:
+            rows.unpersist()
 
-    return landed(spark, path).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return chosen(landed(spark, path, late), horizon).writeStream.foreachBatch(each).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

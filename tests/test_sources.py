@@ -208,15 +208,6 @@ def test_pages_and_actions(tools):
     assert tools.match_profile(top_k=2)["jobs"]
 
 
-def test_stream_leaves_out_jobs_of_a_better_source(spark):
-    from jobweave.streaming.ingest import unstored
-
-    rows = [("a", "k1", "adzuna"), ("b", "k2", "greenhouse"), ("c", "k3", "adzuna"), ("d", "k4", "lever")]
-    held = [("x", "k1", "lever"), ("y", "k2", "adzuna"), ("c", "k3", "adzuna")]
-    got = unstored(spark.createDataFrame(rows, "id string, cross_source_key string, source string"), spark.createDataFrame(held, "id string, cross_source_key string, source string"))
-    assert sorted(r["id"] for r in got.collect()) == ["b", "c", "d"]
-
-
 def test_stream(spark, tmp_path):
     rows = boards.postings(raw(spark, [("greenhouse", json.dumps(PAYLOADS["greenhouse"]))]))
     rows.union(rows).write.parquet(f"file://{tmp_path}/in")
