@@ -132,6 +132,8 @@ BOARDS: dict[str, tuple[str, Callable[[Column], Column], Callable, bool]] = {
     "usajobs": (USAJOBS, lambda p: p["SearchResult"]["SearchResultItems"], usajobs, False),
     "workday": (WORKDAY_DETAIL, lambda p: F.when(p["jobPostingInfo"].isNotNull(), F.array(p["jobPostingInfo"])), workday, False),
 }
+#: Where the postings stand in the payloads.
+PATHS = {"greenhouse": ("jobs",), "ashby": ("jobs",), "lever": (), "breezy": (), "remotive": ("jobs",), "adzuna": ("results",), "usajobs": ("SearchResult", "SearchResultItems"), "workday": ("jobPostingInfo",)}
 SPEC_FIELDS = ("slug", "company", "query", "where", "tenant", "site", "host")
 
 
@@ -140,43 +142,70 @@ def label(raw: DataFrame) -> Column:
     return F.when(detail.isNotNull(), F.concat_ws(":", F.col("kind"), detail)).otherwise(F.col("kind"))
 
 
-def parsed(raw: DataFrame, kind: str) -> DataFrame:
-    """Postings of one kind, and error rows (error not null, posting fields null) for payloads of the wrong shape."""
-    schema, postings, normalise, bare = BOARDS[kind]
-    own = raw.where(F.col("kind") == kind).withColumn("__label", label(raw))
+def _items(kind: Column) -> Column:
+    """The postings in a payload, each in the field of its kind of a struct that has one for every kind; null for a payload of the wrong shape."""
     first = F.substring(F.regexp_extract("payload", r"(\S)", 1), 1, 1)
-    items = postings(F.from_json("payload", schema, {"mode": "PERMISSIVE"}))
-    own = own.withColumn("__items", F.when(first == ("[" if bare else "{"), items))
-    bad = own.where(F.col("__items").isNull()).select(F.concat(F.col("__label"), F.lit(f": FetchError: unexpected {kind} payload")).alias("error"))
-    each = own.where(F.col("__items").isNotNull()).select("*", F.explode("__items").alias("__j"))
-    f = normalise(F.col("__j"), F.col)
-    each = each.where(f.pop("keep")) if "keep" in f else each
-    markup = f.pop("markup", None)
-    description = plain_text(markup) if markup is not None else collapse(F.coalesce(f.pop("description"), F.lit("")))
-    fields = {k: v for k, v in f.items() if v is not None}
-    each = each.select("__label", "fetched_at", description.alias("description"), *[v.alias(k) for k, v in fields.items()])
-    if "remote" not in fields:
-        each = each.withColumn("remote", _says_remote(F.col("title"), F.col("location"), F.col("description")))
-    for name, empty in (("salary", F.lit(None).cast("string")), ("salary_is_estimated", F.lit(False))):
-        if name not in fields:
-            each = each.withColumn(name, empty)
+    types = {k: T._parse_datatype_string(schema) for k, (schema, _, _, _) in BOARDS.items()}
+    out = F.when(F.lit(False), F.lit(None))
+    for k, (schema, of, _, bare) in BOARDS.items():
+        item = _item_type(types[k], k).simpleString()
+        empty = {n: F.lit(None).cast(_item_type(t, n)) for n, t in types.items()}
+        placed = lambda x: F.struct(*[c.alias(n) for n, c in (empty | {k: x}).items()])  # noqa: B023, E731 - called at once
+        listed = of(F.from_json("payload", schema, {"mode": "PERMISSIVE"})).cast(f"array<{item}>")
+        out = out.when((kind == k) & (first == ("[" if bare else "{")), F.transform(listed, placed))
+    return out
+
+
+def _item_type(payload: T.DataType, kind: str) -> T.DataType:
+    """The type of one posting in a payload."""
+    for name in PATHS[kind]:
+        payload = payload[name].dataType
+    return payload.elementType if isinstance(payload, T.ArrayType) else payload
+
+
+def normalised(raw: DataFrame) -> DataFrame:
+    """All kinds in one pass over the rows: POSTING columns and error. A payload of the wrong shape and an unknown kind are error rows.
+
+    A row is parsed by the schema of its own kind only, its postings are exploded once, and every output column picks the
+    kind's expression; so neither the rows nor the payloads are read again for each kind.
+    """
+    kind = F.col("kind")
+    rows = raw.withColumns({"__label": label(raw), "__items": _items(kind)})
+    known = kind.isin(*BOARDS)
+    rows = rows.where(F.col("__items").isNull() | (F.size("__items") > 0)).drop("payload")
+    each = rows.select("*", F.explode_outer("__items").alias("__j")).drop("__items")
+    own = {k: normalise(F.col("__j")[k], F.col) for k, (_, _, normalise, _) in BOARDS.items()}
+
+    def picked(name: str, default: Column | None = None) -> Column:
+        out = F.when(F.lit(False), F.lit(None))
+        for k, fields in own.items():
+            if fields.get(name) is not None:
+                out = out.when(kind == k, fields[name])
+        return out if default is None else out.otherwise(default)
+
+    each = each.where(F.col("__j").isNull() | picked("keep", F.lit(True)))
+    text, guessed = F.lit(None).cast("string"), [k for k, f in own.items() if "remote" not in f or f["remote"] is None]
+    each = each.withColumns({c: picked(c, text) for c in ("source_id", "company", "title", "url", "location", "salary")} | {
+        "posted_at": picked("posted_at", F.lit(None).cast("timestamp")), "salary_is_estimated": picked("salary_is_estimated", F.lit(False)), "__remote": picked("remote", F.lit(None).cast("boolean")),
+        "__markup": picked("markup", text), "__said": picked("description", text),
+    })
+    marked = kind.isin(*[k for k, f in own.items() if "markup" in f])
+    each = each.withColumn("__plain", plain_text(F.col("__markup")))
+    each = each.withColumn("description", F.when(marked, F.col("__plain")).otherwise(collapse(F.coalesce("__said", F.lit("")))))
     lacking = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in ("source_id", "title", "url", "company")]))
-    error = F.when(F.size(lacking) > 0, F.concat(F.col("__label"), F.lit(": FetchError: missing "), F.array_join(lacking, ", ")))
+    error = (
+        F.when(~F.coalesce(known, F.lit(False)), F.concat(F.col("__label"), F.lit(": no fetcher registered for kind "), kind))
+        .when(F.col("__j").isNull(), F.concat(F.col("__label"), F.lit(": FetchError: unexpected "), kind, F.lit(" payload")))
+        .when(F.size(lacking) > 0, F.concat(F.col("__label"), F.lit(": FetchError: missing "), F.array_join(lacking, ", ")))
+    )
+    says = F.when(kind.isin(*guessed), _says_remote(F.col("title"), F.col("location"), F.col("description"))).otherwise(F.col("__remote"))
     each = each.withColumns({
-        "error": error, "source": F.lit(kind), "remote": F.coalesce("remote", F.lit(False)), "id": posting_id(F.lit(kind), F.col("source_id")),
+        "error": error, "source": kind, "remote": F.coalesce(says, F.lit(False)), "id": posting_id(kind, F.col("source_id")),
         "content_hash": content_hash(F.col("description")), "cross_source_key": cross_source_key(F.col("company"), F.col("title"), F.col("location")),
     })
-    return each.select(*POSTING.names, "error").unionByName(bad, allowMissingColumns=True)
-
-
-def normalised(raw: DataFrame) -> DataFrame:
-    """All kinds at once: POSTING columns and error. An unknown kind is an error row."""
-    parts = [parsed(raw, kind) for kind in BOARDS]
-    unknown = raw.where(~F.col("kind").isin(*BOARDS)).select(F.concat(label(raw), F.lit(": no fetcher registered for kind "), F.col("kind")).alias("error"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.unionByName(unknown, allowMissingColumns=True)
+    # a row without a posting says nothing but what went wrong
+    whole = F.col("__j").isNotNull()
+    return each.select(*[F.when(whole, F.col(c)).alias(c) for c in POSTING.names], "error")
 
 
 def postings(raw: DataFrame) -> DataFrame:

@@ -215,3 +215,12 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         ingest(spark, f"file://{tmp_path}/in", store, f"file://{tmp_path}/check").awaitTermination(120)
     assert store.read("job_postings").count() == 2 and store.version("job_postings") == 1
+
+
+def test_all_kinds_are_normalised_in_one_pass(spark, tmp_path):
+    raw(spark, [(k, json.dumps(p)) for k, p in PAYLOADS.items()] + [("lever", "{}"), ("odd", "{}"), ("adzuna", '{"results": []}'), ("usajobs", None)]).write.parquet(f"{tmp_path}/raw")
+    out = boards.normalised(spark.read.parquet(f"{tmp_path}/raw"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Union" not in plan and plan.count("Generate explode") == 1
+    errors = sorted(r["error"] for r in out.where("error IS NOT NULL").collect())
+    assert errors == ["lever:Co: FetchError: unexpected lever payload", "odd:Co: no fetcher registered for kind odd", "usajobs:Co: FetchError: unexpected usajobs payload"]
