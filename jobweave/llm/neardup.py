@@ -12,8 +12,12 @@ large ones. Three registers make a band.
    corrected for accidental register collisions, is far below the threshold go; the others are verified on whole sets.
 3. The members of buckets that still hold several components are compared across components, on whole sets and in
    blocks that an exact prefix filter names. So any two documents that share a band are either in one component already
-   or compared. Two documents at the threshold share none of 53 bands with a probability of 2.4 in 10**13. With `exact`
-   step 3 takes in all representatives, whatever bands they share, and no link can be lost; it shuffles every shingle.
+   or compared.
+
+Bands of a small set are not independent, since many buckets borrow from few. Sets of up to `small` shingles and their
+possible partners therefore have their least shingles as bands too, of which two sets at the threshold always share one:
+they lose no link. Larger sets could lose one only if they shared none of 53 bands. With `exact` step 3 takes in all
+representatives, whatever bands they share, and no link at all can be lost; it shuffles every shingle.
 
 Null and blank texts have empty sets, are linked with nothing and are kept. Rows that repeat a doc_id with the same set
 are one class. Rows without a doc_id take no part: their component is null and they are kept. In `near_duplicates` rows
@@ -45,6 +49,8 @@ class NearDupPlan:
     rows: int = 3
     mantissa: int = 10
     exact: bool = False
+    #: Sets of at most so many shingles can lose no link, whatever their registers.
+    small: int = 64
     deviations: float = 5.0
     star_rounds: int = 2
     block: int = 256
@@ -116,12 +122,24 @@ def least_estimate(n: np.ndarray, m: np.ndarray, plan: NearDupPlan) -> np.ndarra
     return p - plan.deviations * np.sqrt(p * (1 - p) * (1 / plan.registers + 1 / told))
 
 
+def prefixes(values: np.ndarray, bounds: np.ndarray, plan: NearDupPlan) -> tuple[np.ndarray, np.ndarray]:
+    """The least shingles of each small set, and bounds: of n, the first n - ceil(n percent) + 1 in the order of the hashes.
+
+    Of two sets at the threshold either one's are met by the other's, so they are as good as bands that never miss. A set
+    of up to `small` shingles has partners somewhat above that, which give theirs too.
+    """
+    n = np.diff(bounds)
+    take = np.where(n <= plan.small * 100 // plan.percent, n - -(-n * plan.percent // 100) + 1, 0) * (n > 0)
+    place = np.arange(len(values)) - np.repeat(bounds[:-1], n)
+    return values[place < np.repeat(take, n)], np.append(0, np.cumsum(take))
+
+
 def sketches(documents: DataFrame, plan: NearDupPlan) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set (d1, d2), and the bands (each of up to four registers in a long)."""
+    """doc_id, n_shingles, a 128-bit digest of the set (d1, d2), the bands (each of up to four registers in a long), and the prefix of a small set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, registers = [], [], []
+            counts, digests, registers, least, sizes = [], [], [], [], []
             for _, _, data, offsets in slices(batch.column("text")):
                 values, bounds = shingles(find_words(data, offsets))
                 n = np.diff(bounds)
@@ -133,14 +151,19 @@ def sketches(documents: DataFrame, plan: NearDupPlan) -> DataFrame:
                     for k in (0, 1):
                         own[full, k] = mix(np.add.reduceat(mix(values * ODD[40 + k]), starts) + n[full].astype(_U))
                     regs[full, :, : plan.rows] = sketch(values, np.append(starts, len(values)), plan).reshape(-1, plan.bands, plan.rows)
+                first, ends = prefixes(values, bounds, plan)
+                least.append(first)
+                sizes.append(np.diff(ends))
                 counts.append(n)
                 digests.append(own)
                 registers.append(regs.reshape(len(n), -1).view(np.int64))
             n, own, bands = np.concatenate(counts), np.concatenate(digests).view(np.int64), np.concatenate(registers)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * plan.bands, pa.int32()), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy()), lists], ["doc_id", "n", "d1", "d2", "bands"])
+            ends = np.append(0, np.cumsum(np.concatenate(sizes)))
+            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(least).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy()), lists, prefix], ["doc_id", "n", "d1", "d2", "bands", "prefix"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n long, d1 long, d2 long, bands array<long>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n long, d1 long, d2 long, bands array<long>, prefix array<long>")
 
 
 def _registers(column: pa.Array, plan: NearDupPlan) -> np.ndarray:
@@ -291,9 +314,10 @@ def near_duplicates(documents: DataFrame, plan: NearDupPlan = NearDupPlan()) ->
     members = work.table(join_by_key(named.select("doc_id", "n", "d1", "d2"), reps, ["d1", "d2"], "copies").select("doc_id", "n", "rep"), "members")
     work.drop("reps")
     firsts = members.where("doc_id = rep").select("rep").distinct()
-    classes = work.table(sketched.select(F.col("doc_id").alias("rep"), "n", "bands", "d1", "d2").join(firsts, "rep", "left_semi").where("n > 0").dropDuplicates(["rep", "d1", "d2"]).drop("d1", "d2"), "classes")
+    classes = work.table(sketched.select(F.col("doc_id").alias("rep"), "n", "bands", "prefix", "d1", "d2").join(firsts, "rep", "left_semi").where("n > 0").dropDuplicates(["rep", "d1", "d2"]).drop("d1", "d2"), "classes")
 
     banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
+    banded = banded.unionByName(classes.select("rep", F.lit(-1).alias("band"), F.explode("prefix").alias("key")))
     crowds = banded.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     shared = work.table(banded.join(crowds, ["band", "key"]), "shared")
     # an original shares more bands with its altered copies than they do with each other: it makes the better hub

@@ -217,3 +217,38 @@ def test_suffix_array_and_common_prefixes():
             i, j = order[k], order[k - 1]
             same = next((m for m in range(50) if max(i, j) + m >= n or data[i + m] != data[j + m]), 50)
             assert lcp[k] == same
+
+
+def test_small_sets_at_the_threshold_always_share_a_prefix():
+    plan, rng = neardup.NearDupPlan(), np.random.default_rng(12)
+    for n in range(1, plan.small + 1):
+        for m in range(-(-n * 75 // 100), n + 1):
+            # the least overlap of sets of n and m that reaches the threshold
+            shared = next(i for i in range(1, m + 1) if 100 * i >= 75 * (n + m - i)) if 100 * m >= 75 * n else None
+            if shared is None:
+                continue
+            pairs = 40
+            whole = rng.integers(0, 2**63, (pairs, n + m - shared), dtype=np.uint64)
+            sets = [np.sort(x, axis=1) for x in (whole[:, :n], whole[:, n - shared :])]
+            keys = [neardup.prefixes(x.ravel(), np.arange(pairs + 1) * x.shape[1], plan) for x in sets]
+            for k in range(pairs):
+                a, b = (v[e[k] : e[k + 1]] for v, e in keys)
+                assert np.intersect1d(a, b).size, (n, m)
+
+
+def test_a_pair_that_shares_no_band_is_linked(spark):
+    text = "note on this small x323 x166 x201 x123"
+    rows = [(4, text), (9, text.rsplit(" ", 1)[0]), (2, "note on other things entirely than this small one")]
+    rows += [(100 + k, " ".join(f"w{j}" for j in range(k, k + 9))) for k in range(40)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components(rows) and got[9] == 4
+
+
+def test_short_texts_equal_all_pairs(spark):
+    rng = random.Random(31)
+    rows = []
+    for k in range(120):
+        words = [rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(rng.randrange(4, 40))]
+        rows += [(4 * k, " ".join(words)), (4 * k + 1, " ".join(words[:-1])), (4 * k + 2, " ".join(words[1:] + ["z"])), (4 * k + 3, " ".join([*words[: len(words) // 2], "q", *words[len(words) // 2 :]]))]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == components(rows)
