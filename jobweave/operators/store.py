@@ -141,8 +141,11 @@ class Store:
         if all(equal.get(k) is not None for k in keys):
             typed = [F.lit(equal[k]).cast(self.schemas[table][k].dataType) for k in keys]
             bucket = [self.spark.range(1).select(self._bucket(typed, manifest.buckets)).first()[0]]
-        within = lambda f: all(c not in f.bounds or f.bounds[c][0] <= v <= f.bounds[c][1] for c, v in equal.items() if v is not None)
-        return [f for f in manifest.of(bucket) if within(f)]
+        return self._bounded(manifest.of(bucket), equal)
+
+    @staticmethod
+    def _bounded(files: Iterable[DataFile], equal: dict) -> list[DataFile]:
+        return [f for f in files if all(c not in f.bounds or f.bounds[c][0] <= v <= f.bounds[c][1] for c, v in equal.items() if v is not None)]
 
     def lookup(self, table: str, **equal) -> DataFrame:
         """The rows whose columns have these values, from the files that can hold them."""
@@ -154,6 +157,18 @@ class Store:
             rows = rows.where(F.col(column).eqNullSafe(F.lit(value)))
         return rows
 
+    def among(self, table: str, column: str, values: list) -> DataFrame:
+        """The rows whose column has one of some values, from the files that can hold any of them."""
+        manifest = self.manifest(table)
+        if manifest is None or not values:
+            return self._frame(table, ())
+        files = {f.path: f for v in values for f in self._bounded(manifest.files, {column: v})}.values()
+        if self.keys[table] == (column,):
+            one = self.spark.createDataFrame([(v,) for v in values], T.StructType([self.schemas[table][column]]))
+            buckets = {r[0] for r in one.select(self._bucket([F.col(column)], manifest.buckets)).collect()}
+            files = [f for f in files if f.bucket in buckets]
+        return self._frame(table, files).where(F.col(column).isin(values))
+
     # Writing
 
     @staticmethod

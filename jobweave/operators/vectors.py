@@ -22,6 +22,7 @@ from .ingest import first_of
 from .reads import Filters
 from .scoring import profile_queries
 from .store import Store
+from .vector_index import VectorIndex
 from .writes import Writes
 
 OVERFETCH, LEAST_CANDIDATES = 10, 100
@@ -51,12 +52,14 @@ def cosine(vectors: Column, query: Sequence[float]) -> Column:
 
 def search(
     embeddings: DataFrame, postings: DataFrame, query: Sequence[float] | Sequence[Sequence[float]], as_of: datetime, top_k: int = 25,
-    filters: Filters = Filters(), model: str | None = None, scores: DataFrame | None = None,
+    filters: Filters = Filters(), model: str | None = None, scores: DataFrame | None = None, index: VectorIndex | None = None,
 ) -> DataFrame:
     """The nearest jobs: filter, the nearest candidate chunks, the best chunk of each job, the best job of each cross-source key.
 
-    The filter stands before the candidate limit, which Catalyst could not move it across. `scores` (id, fit_score) are
-    joined on top, and only vectors of `model` are compared where one is named. Of several queries, a chunk's nearest counts.
+    The filter stands before the candidate limit, which Catalyst could not move it across. An `index` of the embeddings
+    (`vector_index.VectorIndex`) opens part of them, all else being equal; without one the search is exact. `scores`
+    (id, fit_score) are joined on top, and only vectors of `model` are compared where one is named. Of several queries, a
+    chunk's nearest counts.
     """
     queries = [query] if np.ndim(query) == 1 else list(query)
     if model is not None and len(queries[0]) != model_width(model):
@@ -68,6 +71,8 @@ def search(
         # a job that scores too low must not take a candidate's place
         wanted = wanted.join(scores.where(F.col("fit_score") >= filters.min_score).select("id"), "id", "left_semi")
     wanted = wanted.select(F.col("id").alias("job_id"), "cross_source_key")
+    if index is not None:
+        embeddings = index.rows(queries, wanted, max(OVERFETCH * top_k, LEAST_CANDIDATES))
     rows = embeddings.where(F.col("model_name") == model) if model is not None else embeddings
     near = rows.join(wanted, "job_id").select("job_id", "cross_source_key", "chunk_index", "chunk_text", distance.alias("distance"))
     near = near.where("distance IS NOT NULL").orderBy("distance", "job_id", "chunk_index").limit(max(OVERFETCH * top_k, LEAST_CANDIDATES))

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from ..functions import geo, text
 from ..functions.chunking import LEAST_BODY, OVERLAP, SIZE, chunks
 from ..operators import changes, ingest, ranking, reads, scoring, store, vectors
+from ..operators.vector_index import IndexPlan, VectorIndex
 from ..schemas import CLOSED_STATUSES
 from ..sources import specs
 from .registry import ORACLE_SQL, QUERIES, query, table
-from .views import AS_OF, ME, PART as _PART, POSTINGS, VIEWS, View, postings
+from .views import AS_OF, ME, PART as _PART, POSTINGS, VIEWS, View, postings, scratch
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -417,6 +418,21 @@ def vector_topk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.round("similarity", 4).alias("similarity"))
 
 
+@query("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
+near AS (SELECT vec_id // 5 AS job, vec_id, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS d FROM embeddings, q WHERE (vec_id // 5) % 7 = 0 ORDER BY d, CAST(job AS VARCHAR), vec_id LIMIT 100),
+jobs AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY job ORDER BY d, vec_id) = 1)
+SELECT CAST(job AS VARCHAR) AS id, round(1 - d, 4) AS similarity FROM jobs ORDER BY d, id LIMIT 10""")
+def vector_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through an index of lists, for remote jobs only. The filter leaves fewer rows than a search wants to open, so it reaches into every list and is exact."""
+    job = F.floor(F.col("vec_id") / 5)
+    e = table(spark, sf_dir, "embeddings").select(job.cast("string").alias("job_id"), F.col("vec_id").cast("int").alias("chunk_index"), F.lit("").alias("chunk_text"), "embedding", F.lit("m").alias("model_name"), job.alias("j"))
+    p = e.select(F.col("job_id").alias("id"), F.col("job_id").alias("cross_source_key"), (F.col("j") % 7 == 0).alias("remote")).distinct()
+    index = VectorIndex(spark, scratch(spark), IndexPlan(lists=16, probes=2))
+    index.build(e.drop("j"))
+    found = vectors.search(e, p, query_vector(spark, sf_dir), AS_OF, 10, reads.Filters(remote_only=True), index=index)
+    return found.select("id", F.round("similarity", 4).alias("similarity"))
+
+
 def _chunks(source: str, overlap: int = OVERLAP) -> str:
     """SQL for the windows of texts: `source` gives key, text and size; the result is `pieces` (key, place, piece)."""
     trim = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"

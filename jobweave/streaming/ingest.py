@@ -10,14 +10,14 @@ eligible goes. Doing a batch again changes nothing, and the batch deduplication
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pandas as pd
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from ..functions.geo import us_eligible
 from ..operators.ingest import source_priority
@@ -97,6 +97,34 @@ def merge(store: Store, batch: DataFrame) -> None:
     store.retry(act)
 
 
+class Funnel(StreamingQueryListener):
+    """Counts of each micro-batch's stages, as rows of `analytics_daily`, taken from the metrics that its plan observes: no pass of its own.
+
+    Spark tells of a batch after it is done, on a thread of its own, so the rows come a little later than the batch.
+    """
+
+    STAGES = (("stream_landed", "landed", "rows"), ("stream_chosen", "chosen", "rows"), ("stream_eligible", "chosen", "fit"))
+
+    def __init__(self, store: Store, name: str = "ingest"):
+        self.store, self.name, self.failed = store, name, None
+
+    def onQueryProgress(self, event) -> None:
+        seen, at = event.progress.observedMetrics, datetime.fromisoformat(event.progress.timestamp.replace("Z", "+00:00"))
+        counts = [(metric, seen[stage][column]) for metric, stage, column in self.STAGES if event.progress.name == self.name and stage in seen]
+        rows = [(at.date(), metric, str(event.progress.batchId), n, at.replace(tzinfo=None)) for metric, n in counts if n]
+        if rows:
+            try:
+                self.store.append("analytics_daily", self.store.spark.createDataFrame(rows, self.store.schemas["analytics_daily"]))
+            except Exception as exc:  # a listener must not end its bus; the caller may look
+                self.failed = exc
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...
+
+
 def ingest(spark: SparkSession, path: str, store: Store, checkpoint: str, horizon: timedelta = HORIZON, late: str = LATE) -> StreamingQuery:
     """Take in all that has landed since the last run, then stop."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -109,4 +137,6 @@ def ingest(spark: SparkSession, path: str, store: Store, checkpoint: str, horizo
         finally:
             rows.unpersist()
 
-    return chosen(landed(spark, path, late), horizon).writeStream.foreachBatch(each).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    seen = landed(spark, path, late).observe("landed", F.count(F.lit(1)).alias("rows"))
+    best = chosen(seen, horizon).observe("chosen", F.count(F.lit(1)).alias("rows"), F.count_if(us_eligible(F.col("location"))).alias("fit"))
+    return best.writeStream.queryName("ingest").foreachBatch(each).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import time
 from datetime import datetime, timedelta
 
 import pytest
 
 from jobweave.operators.store import Store
 from jobweave.operators.writes import as_postings
-from jobweave.streaming.ingest import ingest
+from jobweave.streaming.ingest import Funnel, ingest
 
 NOW = datetime(2024, 3, 5, 12)
 FIELDS = "id string, source string, source_id string, company string, title string, url string, location string, description string, posted_at timestamp, fetched_at timestamp"
@@ -55,3 +56,19 @@ def test_the_best_one_goes_if_it_is_out_of_reach_and_jobs_are_forgotten(feed):
     feed(post(8, "lever", at=later, title="Clock"), **short)
     feed(post(8, "lever", at=later + timedelta(hours=1), title="Clock"), **short)
     assert ("j9", "adzuna", "back") in feed(post(9, "adzuna", "back", later + timedelta(hours=2), title="Other"), **short)
+
+
+def test_the_counts_of_each_batch_land_in_the_metrics(spark, feed):
+    funnel = Funnel(feed.store)
+    spark.streams.addListener(funnel)
+    try:
+        feed(post(1, "lever"), post(2, "adzuna"), post(3, "lever", title="Far", place="Berlin, Germany"))
+        wanted = {("stream_landed", 3), ("stream_chosen", 2), ("stream_eligible", 1)}
+        for _ in range(60):
+            got = {(r["metric"], r["value"]) for r in feed.store.read("analytics_daily").collect()}
+            if got >= wanted:
+                break
+            time.sleep(1)
+    finally:
+        spark.streams.removeListener(funnel)
+    assert got == wanted and funnel.failed is None
