@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame; all but the last
 return the columns of documents. What a stage rejects is gone for the next.
+
+Null and empty texts go through all stages (nothing in them is toxic, recurs, repeats or leaks) and end as a piece of the
+end token alone; rows without a doc_id are kept by all; equal rows become one among the near-duplicates. Columns besides
+those of documents are carried along, whatever their names, until packing. An empty table gives no pieces.
 """
 
 from __future__ import annotations

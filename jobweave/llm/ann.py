@@ -10,7 +10,8 @@ with it, in double precision on the original vectors.
 Equal vectors (told by 128-bit hashes) are indexed and searched once, whatever number of rows has them, each with its
 smallest ids, which decide ties. Vectors that are null, all zero, of another length than most, or with null or
 non-finite components take no part, nor do rows without a vec_id. Of rows that repeat a query's vec_id one is searched.
-Ties go to the smaller vec_id; fewer candidates than asked for are all returned. Other columns play no part.
+Ties go to the smaller vec_id; fewer candidates than asked for are all returned. Other columns play no part. Tables of fewer than 40 usable rows have one part and no router, so the search
+is exact; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ added (secrets after a cue, phone numbers without a plus sign). It is trained fr
 here by rule, decoded by Viterbi in numpy batches, and no more than that leaves the driver.
 
 Positions are code points, ends exclusive. A null text is an empty one; ids may be null or repeat, each row stands alone.
+A text of any length is searched whole. Other columns take no part, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ Features are hashed n-grams of words and of word shapes (letter case, digits, pu
 word before). A text is scored as the sparse dot product of its n-gram shares with the weights. Null and empty texts
 score as the bias alone, however long a text is, all of it is scored; labels that are null or other than 0 and 1 are
 left out of training; with no usable labels every score is 0.5. Repeated rows are scored each for itself; a caller's
-column named score is replaced, all others are carried along.
+column named score is replaced, all others are carried along. An empty table gives no rows.
 """
 
 from __future__ import annotations

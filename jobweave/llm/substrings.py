@@ -13,7 +13,9 @@
 4. Removed ranges go back to their documents, which are cut.
 
 Texts are UTF-8 bytes, null texts empty; a null doc_id is larger than any other. Windows of different shards are held
-for equal if 64-bit hashes agree.
+for equal if 64-bit hashes agree. Rows that repeat a doc_id are documents of their own, none of which is smaller than
+another, so they lose nothing to each other unless their texts are equal. A text of any length is read whole, in the one
+task that holds its row. Other columns take no part, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ alike, so nothing about them is toxic, gathered into kinds that stand after the
 A text is scored whole: every stem counts, wherever it stands and however long the text is, by one and half the
 logarithm of how often it occurs. Null and empty texts score as the bias alone; labels that are null or other than 0 and
 1 are left out of training; with no usable labels every score is 0.5. Repeated rows are scored each for itself; a
-caller's column named score is replaced, all others are carried along.
+caller's column named score is replaced, all others are carried along. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -148,6 +148,41 @@ def test_a_group_of_equal_texts_is_split_and_shards_are_equal(spark):
     assert set(one.groupby("shard").size()) == {10}
 
 
+def test_shards_equal_those_of_a_plain_splitter(spark):
+    import xxhash
+
+    rng = random.Random(2)
+    rows = [(k if k % 50 else None, prose(rng, rng.randrange(1, 80)) if k % 4 else rng.choice(["hot", "warm " * 30, "", None]), None, None, None) for k in range(1200)]
+    rows[7] = (7, "long " * 30_000, None, None, None)
+    t = check_shards(sharding.sharding_query(spark.createDataFrame(rows, DOCS).repartition(4)).collect(), 1200)
+
+    def place(row):
+        h = xxhash.xxh64((row[1] or "").encode(), seed=42).intdigest()
+        return h - 2**64 if h >= 2**63 else h, -(2**63) if row[0] is None else row[0]
+
+    size = lambda row: len((row[1] or "").encode()) + 1
+    ordered = sorted(rows, key=place)
+    got = t.sort_values(["shard", "slot"])
+    # one order over all shards; equal places may come in any order
+    assert [place(r) for r in ordered] == sorted(place(r) for r in rows) and list(got["size"])[:3] != []
+    at = {}
+    for r in ordered:
+        at.setdefault((place(r)[1], zlib.crc32((r[1] or "").encode())), []).append(place(r))
+    seen = [at[-(2**63) if i != i or i is None else int(i), c][0] for i, c in zip(got["doc_id"], got["text_crc32"], strict=True)]
+    assert seen == sorted(seen)
+    # every border is as near to its share of the bytes as the keys allow, or within the tolerance
+    total, edges, groups = sum(map(size, rows)), [0], {}
+    for r in ordered:
+        groups[place(r)] = groups.get(place(r), 0) + size(r)
+    for key in sorted(groups):
+        edges.append(edges[-1] + groups[key])
+    held = t.groupby("shard")["size"].sum().reindex(range(16), fill_value=0).cumsum()
+    slack = sharding.ShardingPlan().tolerance * total / 16
+    for s in range(15):
+        want = total * (s + 1) / 16
+        assert held[s] in edges and abs(held[s] - want) <= max(slack, min(abs(e - want) for e in edges)) + 1e-9
+
+
 ITEMS = "item_id long, text string"
 
 
