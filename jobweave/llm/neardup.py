@@ -344,7 +344,9 @@ def near_duplicates(documents: DataFrame, plan: NearDupPlan = NearDupPlan()) ->
             stars = stars.join(tested.union(tested.select("b", "a")), ["a", "b"], "left_anti")
         stars = work.table(stars, f"stars-{k}")
         tested = stars if tested is None else tested.union(stars)
-        links = work.table(verified(promising(stars, classes, plan), documents, plan), f"links-{k}")
+        # written, since the verification reads its pairs twice
+        likely = work.table(promising(stars, classes, plan), f"likely-{k}")
+        links = work.table(verified(likely, documents, plan), f"links-{k}")
         if component is not None:
             links = links.union(component.select(F.col("node").alias("a"), F.col("component").alias("b")))
         component = work.table(connected_components(links, work, f"round-{k}"), f"components-{k}")
@@ -358,7 +360,7 @@ def near_duplicates(documents: DataFrame, plan: NearDupPlan = NearDupPlan()) ->
     rest = work.table(rest, "open")
     more = work.table(crossing(rest, documents, work, plan), "links-more")
     component = work.table(connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), work, "last"), "components")
-    work.drop("ranked", "classes", "open", "grown", "crowd", "sets", "prefix", *(f"{x}-{k}" for x in ("hubs", "stars") for k in range(plan.star_rounds)))
+    work.drop("ranked", "classes", "open", "grown", "crowd", "sets", "prefix", *(f"{x}-{k}" for x in ("hubs", "stars", "likely") for k in range(plan.star_rounds)))
 
     grouped = members.join(component, members["rep"] == component["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     alone = sketched.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
