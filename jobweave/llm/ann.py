@@ -4,14 +4,18 @@ A bounded sample gives a neighbour graph; the graph is cut into parts of equal s
 spectral bisection at the median, then swaps that lower the cut); a small network learns from a vector alone which parts
 its neighbours lie in. Parts grow with the rows: where more are wanted than one network tells apart, each part of the
 first level gets a graph, a cut and a network of its own. Every vector is indexed under its most probable part. A query
-is routed to its most probable parts until they hold `mass` of the probability, and all of their vectors are compared
-with it, in double precision on the original vectors.
+is routed to its most probable parts until they hold a share of the probability, and all of their vectors are compared
+with it, in double precision on the original vectors. That share is fitted: rows drawn by hash from all that are indexed
+seek their nearest vectors in a bounded sample, and the least share that reaches the wanted recall counts. Where a table
+exceeds the samples these rows are hardly any that the networks saw, so vectors without structure cost more probes, not
+recall. `compared` of a result says how many vectors its query was compared with.
 
 Equal vectors (told by 128-bit hashes) are indexed and searched once, whatever number of rows has them, each with its
 smallest ids, which decide ties. Vectors that are null, all zero, of another length than most, or with null or
 non-finite components take no part, nor do rows without a vec_id. Of rows that repeat a query's vec_id one is searched.
-Ties go to the smaller vec_id; fewer candidates than asked for are all returned. Other columns play no part. Tables of fewer than 40 usable rows have one part and no router, so the search
-is exact; an empty table gives no rows.
+Ties go to the smaller vec_id; fewer candidates than asked for are all returned. Other columns play no part. Tables of up to 64 usable
+vectors have one part and no router, so the search is exact; an empty table gives no rows. Beyond `fan`**2 parts (67
+million vectors) the parts grow instead of their number.
 """
 
 from __future__ import annotations
@@ -29,25 +33,26 @@ from .workspace import Workspace, arrow_limits, join_by_key, tidy
 
 @dataclass(frozen=True)
 class SearchPlan:
-    """`sample` bounds the vectors that one network learns from, `fan` the parts that it tells apart; blocks bound a task's memory."""
+    """`sample` bounds the vectors that one network learns from, `fan` the parts that it tells apart; `asked` rows fit how many parts `recall` takes; blocks bound a task's memory."""
 
     neighbours: int = 5
     sample: int = 8192
-    graph_degree: int = 10
+    graph_degree: int = 5
     part_rows: int = 4096
-    least_parts: int = 8
-    least_rows: int = 40
+    least_parts: int = 64
+    least_rows: int = 65
     fan: int = 128
-    hidden: int = 128
-    epochs: int = 40
-    mass: float = 0.98
+    hidden: int = 256
+    epochs: int = 120
+    recall: float = 0.96
+    asked: int = 512
     least_probes: int = 3
     block_bytes: int = 16 << 20
     query_bytes: int = 8 << 20
 
     def levels(self, rows: int) -> tuple[int, int]:
         """Parts of the first level, and of each of them."""
-        parts = self.least_parts if rows >= self.least_rows else 1
+        parts = min(self.least_parts, self.fan) if rows >= self.least_rows else 1
         while parts * self.part_rows < rows and parts < self.fan**2:
             parts *= 2
         first = min(parts, self.fan)
@@ -234,20 +239,37 @@ class Routers:
         return tuple(np.concatenate(v) if v else np.zeros(0, t) for v, t in ((rows, np.int64), (parts, np.int64), (mass, np.float64)))
 
 
-def probes(routers: Routers, x: np.ndarray, sizes: dict[int, int], plan: SearchPlan) -> tuple[np.ndarray, np.ndarray]:
-    """(row, part): the most probable parts that have vectors, until they hold the mass, are enough, and have enough vectors."""
-    rows, parts, mass = routers.probable(x, (1 - plan.mass) / 1000 if routers.second > 1 else 0.0)
+LEAST = 1e-6  # first-level parts less probable than this are not looked into where there are two levels
+
+
+@dataclass
+class Ranked:
+    """Parts that have vectors, for each row by falling probability: `before` is the share of the probability that precedes a part, `ahead` the vectors."""
+
+    rows: np.ndarray
+    parts: np.ndarray
+    before: np.ndarray
+    ahead: np.ndarray
+    place: np.ndarray
+
+
+def ranked(routers: Routers, x: np.ndarray, sizes: dict[int, int]) -> Ranked:
+    rows, parts, mass = routers.probable(x, LEAST if routers.second > 1 else 0.0)
     size = np.array([sizes.get(p, 0) for p in parts.tolist()], np.int64)
-    full = size > 0
-    rows, parts, mass, size = rows[full], parts[full], mass[full], size[full]
     order = np.lexsort((parts, -mass, rows))
+    order = order[size[order] > 0]
     rows, parts, mass, size = rows[order], parts[order], mass[order], size[order]
-    begin = np.searchsorted(rows, np.arange(len(x)))
-    start = begin[rows]
+    start = np.searchsorted(rows, np.arange(len(x)))[rows]
     before = lambda v: (np.cumsum(v) - v) - (np.cumsum(v) - v)[start]
     whole = np.bincount(rows, mass, len(x))
-    keep = (before(mass) < plan.mass * whole[rows]) | (np.arange(len(rows)) - start < plan.least_probes) | (before(size) <= plan.neighbours)
-    rows, parts = rows[keep], parts[keep]
+    return Ranked(rows, parts, before(mass) / whole[rows], before(size), np.arange(len(rows)) - start)
+
+
+def probes(routers: Routers, x: np.ndarray, sizes: dict[int, int], mass: float, plan: SearchPlan) -> tuple[np.ndarray, np.ndarray]:
+    """(row, part): the most probable parts that have vectors, until they hold the mass, are enough, and have enough vectors."""
+    r = ranked(routers, x, sizes)
+    keep = (r.before <= mass) | (r.place < plan.least_probes) | (r.ahead <= plan.neighbours)
+    rows, parts = r.rows[keep], r.parts[keep]
     poor = np.bincount(rows, [sizes[p] for p in parts.tolist()], len(x)) <= plan.neighbours
     if poor.any() and len(sizes):  # hardly any vectors where the query was sent: all parts
         add = np.flatnonzero(poor)
@@ -255,6 +277,42 @@ def probes(routers: Routers, x: np.ndarray, sizes: dict[int, int], plan: SearchP
     return rows, parts
 
 
+def wanted_mass(routers: Routers, q: np.ndarray, u: np.ndarray, part: np.ndarray, same: np.ndarray, sizes: dict[int, int], plan: SearchPlan) -> float:
+    """The least mass with which the probed parts hold `recall` of the neighbours of q among the vectors u of the given parts; `same` is each q's own place in u, or -1."""
+    near = unit(q) @ unit(u).T
+    own = np.flatnonzero(same >= 0)
+    near[own, same[own]] = -2.0
+    k = min(plan.neighbours, len(u) - 1)
+    nearest = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    r = ranked(routers, unit(q), sizes)
+    needed = {(a, b): m for a, b, m in zip(r.rows.tolist(), r.parts.tolist(), r.before.tolist(), strict=True)}
+    each = [needed.get((a, b), 1.0) for a, row in enumerate(part[nearest].tolist()) for b in row]
+    return float(np.quantile(each, plan.recall, method="higher"))
+
+
+def fitted_mass(routers: Routers, index: DataFrame, sizes: dict[int, int], plan: SearchPlan) -> float:
+    """`wanted_mass` of at most `asked` rows of the index against at most `sample`, both drawn by hash and compared in one task."""
+    total = sum(sizes.values())
+    if routers.root is None or total < 2:
+        return 1.0
+    shared = index.sparkSession.sparkContext.broadcast(routers)
+
+    def drawn(seed: int, most: int, asks: bool) -> DataFrame:
+        key = F.xxhash64("h1", "h2", F.lit(seed))
+        some = index.where(F.pmod(key, F.lit(1 << 30)) < int(min(1.0, 2 * most / total) * (1 << 30)))
+        return some.orderBy(key, "h1", "h2").limit(most).select(F.lit(asks).alias("asks"), "part", "h1", "h2", "embedding")
+
+    def fit_mass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(b.column("asks").to_numpy(zero_copy_only=False), *(b.column(c).to_numpy() for c in ("part", "h1", "h2")), _matrix(b.column("embedding"))) for b in batches if b.num_rows]
+        asks, part, h1, h2, x = (np.concatenate(c) for c in zip(*found, strict=True))
+        place = {k: i for i, k in enumerate(zip(h1[~asks].tolist(), h2[~asks].tolist(), strict=True))}
+        same = np.array([place.get(k, -1) for k in zip(h1[asks].tolist(), h2[asks].tolist(), strict=True)], np.int64)
+        few = len(place) < 2 or not asks.any()
+        yield pa.RecordBatch.from_arrays([pa.array([1.0 if few else wanted_mass(shared.value, x[asks], x[~asks], part[~asks], same, sizes, plan)])], ["mass"])
+
+    return drawn(8, plan.asked, True).unionByName(drawn(9, plan.sample, False)).repartition(1).mapInArrow(tidy(fit_mass), "mass double").first()["mass"]
+
+
 def trained(batches, parts: int, plan: SearchPlan) -> list[np.ndarray]:
     """Weights of a network for these vectors; none if there are too few to part."""
     found = [_matrix(c) for c in batches if len(c)]
@@ -310,7 +368,7 @@ def learned(vectors: DataFrame, total: int, plan: SearchPlan, work: Workspace) -
 
 
 def nearest(embeddings: DataFrame, is_query, plan: SearchPlan = SearchPlan()) -> DataFrame:
-    """query_id, rank, vec_id, score of the nearest rows found for every row of which `is_query` holds."""
+    """query_id, rank, vec_id, score of the nearest rows found for every row of which `is_query` holds, and `compared`, the vectors that the query met (equal ones are one)."""
     spark = embeddings.sparkSession
     arrow_limits(spark)
     work = Workspace(spark, "ann")
@@ -326,12 +384,13 @@ def nearest(embeddings: DataFrame, is_query, plan: SearchPlan = SearchPlan()) ->
     width = (vectors.select(F.size("embedding")).first() or [1])[0]
     routers, index = learned(vectors, total, plan, work)
     sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}
+    mass = fitted_mass(routers, index, sizes, plan)
     shared = spark.sparkContext.broadcast((routers, sizes))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                at, part = probes(shared.value[0], unit(_matrix(b.column("embedding"))), shared.value[1], plan)
+                at, part = probes(shared.value[0], unit(_matrix(b.column("embedding"))), shared.value[1], mass, plan)
                 own = b.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), *(own.column(c) for c in ("h1", "h2", "embedding"))], ["part", "h1", "h2", "embedding"])
 
@@ -344,12 +403,12 @@ def nearest(embeddings: DataFrame, is_query, plan: SearchPlan = SearchPlan()) ->
     # a part's vectors meet in blocks, those who ask it in groups, so that no task holds all of either
     block_rows, group_rows = (max(256, size // (8 * width)) for size in (plan.block_bytes, plan.query_bytes))
     askers = {r["part"]: r["count"] for r in routed.groupBy("part").count().collect()}
-    plans = [(p, -(-n // block_rows), -(-askers.get(p, 0) // group_rows)) for p, n in sizes.items()]
-    parts = F.broadcast(spark.createDataFrame(plans, "part long, blocks long, groups long"))  # at most fan * fan rows
+    plans = [(p, n, -(-n // block_rows), -(-askers.get(p, 0) // group_rows)) for p, n in sizes.items()]
+    parts = F.broadcast(spark.createDataFrame(plans, "part long, size long, blocks long, groups long"))  # at most fan * fan rows
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     groups = F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))
-    left = routed.join(parts, "part").withColumn("group", F.pmod(F.xxhash64("h1", "h2"), F.col("groups"))).withColumn("block", blocks).drop("blocks", "groups")
-    right = index.join(parts.where("groups > 0"), "part").withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks"))).withColumn("group", groups).drop("blocks", "groups")
+    left = routed.join(parts, "part").withColumn("group", F.pmod(F.xxhash64("h1", "h2"), F.col("groups"))).withColumn("block", blocks).drop("size", "blocks", "groups")
+    right = index.join(parts.where("groups > 0"), "part").withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks"))).withColumn("group", groups).drop("size", "blocks", "groups")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         h1, h2, v, s = np.zeros((4, 0))
@@ -367,11 +426,12 @@ def nearest(embeddings: DataFrame, is_query, plan: SearchPlan = SearchPlan()) ->
     best = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= 2 * k)
     found = found.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("found"))
-    found = work.table(found.join(asking, ["h1", "h2"]), "found")
+    met = routed.select("part", "h1", "h2").join(parts.select("part", "size"), "part").groupBy("h1", "h2").agg(F.sum("size").alias("compared"))
+    found = work.table(found.join(met, ["h1", "h2"]).join(asking, ["h1", "h2"]), "found")
     answers = join_by_key(queries.withColumnRenamed("vec_id", "query_id"), found, ["h1", "h2"])
     others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    out = answers.select("query_id", F.posexplode(others).alias("rank", "x"))
-    return out.select("query_id", (F.col("rank") + 1).alias("rank"), "x.vec_id", "x.score")
+    out = answers.select("query_id", "compared", F.posexplode(others).alias("rank", "x"))
+    return out.select("query_id", (F.col("rank") + 1).alias("rank"), "x.vec_id", "x.score", "compared")
 
 
 def ann_query(embeddings: DataFrame, plan: SearchPlan = SearchPlan()) -> DataFrame:

@@ -257,7 +257,7 @@ def test_two_levels_of_parts(spark):
     centres = rng.normal(size=(60, 12))
     x = (centres[rng.integers(0, 60, 6000)] + 0.5 * rng.normal(size=(6000, 12))).astype(np.float32)
     plan = ann.SearchPlan(part_rows=100, fan=8, sample=1500, epochs=20)
-    assert plan.levels(6000) == (8, 8) and ann.SearchPlan().levels(500) == (8, 1) and ann.SearchPlan().levels(10**9) == (128, 128)
+    assert plan.levels(6000) == (8, 8) and ann.SearchPlan().levels(500) == (64, 1) and ann.SearchPlan().levels(10**9) == (128, 128)
     out = ann.ann_query(spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], VECTORS), plan).toPandas()
     wanted = exact(x.astype(float), np.arange(6000), 5)
     assert len(out) == len(wanted) and ann.recall(out, wanted) >= 0.9
@@ -268,8 +268,40 @@ def test_recall_on_the_tables_is_measured_through_the_router(spark, size):
     rows = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
     t = rows.toPandas().sort_values("vec_id")
     ids, x = t.vec_id.to_numpy(), np.stack(t.embedding.to_numpy()).astype(float)
-    assert ann.SearchPlan().levels(len(ids))[0] >= 8
-    assert ann.recall(ann.ann_query(rows).toPandas(), exact(x, ids, 5)) >= 0.9
+    assert ann.SearchPlan().levels(len(ids))[0] == 64
+    out = ann.ann_query(rows).toPandas()
+    assert ann.recall(out, exact(x, ids, 5)) >= 0.9 and out.compared.max() <= len(ids)
+    assert out.compared.mean() <= 0.4 * len(ids)  # these vectors have no clusters, and the network saw all of them
+
+
+def test_vectors_that_no_network_saw_keep_their_recall(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(300, 16))
+    x = (centres[rng.integers(0, 300, 8000)] + 0.5 * rng.normal(size=(8000, 16))).astype(np.float32)
+    plan = ann.SearchPlan(part_rows=63, sample=1500, epochs=60)
+    assert plan.levels(8000) == (128, 1)
+    out = ann.ann_query(spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], VECTORS), plan).toPandas()
+    assert ann.recall(out, exact(x.astype(float), np.arange(8000), 5)) >= 0.9
+    assert out.compared.mean() <= 0.4 * 8000
+
+
+def test_the_mass_is_the_least_that_reaches_the_recall():
+    rng = np.random.default_rng(6)
+    x = ann.unit(rng.normal(size=(900, 12)))
+    plan = ann.SearchPlan(epochs=30, least_probes=1)
+    routers = ann.Routers(ann.fit(x, 32, plan), {}, 1)
+    part = routers.part(x)
+    sizes = {int(p): int(n) for p, n in zip(*np.unique(part, return_counts=True), strict=True)}
+    mass = ann.wanted_mass(routers, x[:200], x, part, np.arange(200), sizes, plan)
+
+    def found(mass):
+        rows, parts = ann.probes(routers, x[:200], sizes, mass, plan)
+        met = [set(parts[rows == q].tolist()) for q in range(200)]
+        near = x[:200] @ x.T
+        near[np.arange(200), np.arange(200)] = -2
+        return np.mean([part[j] in met[q] for q in range(200) for j in np.argsort(-near[q])[:5]])
+
+    assert found(mass) >= plan.recall > found(mass - 0.05)
 
 
 def test_search_leaves_out_what_is_no_vector(spark):
