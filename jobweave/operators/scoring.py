@@ -7,6 +7,7 @@ import os
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 from typing import Any, Protocol
 
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.chunking import chunk_text
 from ..functions.text import fence_text, fenced
 from ..sources import requests
+from . import pacing
 
 REPLY = "struct<score: string, reason: string, skip_flags: array<string>, workplace: string, office_days_per_month: string, years_required: string, work_authorization: string>"
 QUERY_CHARS, QUERY_SKILLS, QUERY_HEAD = 900, 25, 200
@@ -171,7 +173,7 @@ def provider(backend: str | None = None, model: str = "", api_key: str = "", hos
 
 
 class Pace:
-    """Starts at most `per_minute` calls a minute; the first never waits."""
+    """For one process: starts at most `per_minute` calls a minute; the first never waits."""
 
     def __init__(self, per_minute: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
         self.gap, self.clock, self.sleep, self.next = 60.0 / per_minute, clock, sleep, None
@@ -185,23 +187,27 @@ class Pace:
 
 
 def replies(prompts: DataFrame, factory: Callable[[], Provider], tasks: int = 4, per_minute: float | None = None) -> DataFrame:
-    """(id, reply, failure) for (id, prompt). A failing call is a row with its failure. The pace is shared out over the tasks."""
+    """(id, reply, failure) for (id, prompt). A failing call is a row with its failure. All tasks keep one pace (see `pacing`), if one is given."""
+    columns = ["id", "reply", "failure"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = factory()
-        pace = Pace(per_minute / tasks) if per_minute else None
-        for frame in frames:
-            rows = []
-            for id_, text in zip(frame["id"], frame["prompt"], strict=True):
-                if pace:
-                    pace.wait()
-                try:
-                    rows.append((id_, provider.complete(text), None))
-                except Exception as exc:  # one bad call must not lose the batch
-                    rows.append((id_, None, f"{type(exc).__name__}: {exc}"))
-            yield pd.DataFrame(rows, columns=["id", "reply", "failure"])
-
-    return prompts.select("id", "prompt").repartition(tasks).mapInPandas(run, "id string, reply string, failure string")
+
+        def ask(row: tuple) -> tuple:
+            try:
+                return row[0], provider.complete(row[1]), None
+            except Exception as exc:  # one bad call must not lose the batch
+                return row[0], None, f"{type(exc).__name__}: {exc}"
+
+        rows = (zip(frame["id"], frame["prompt"], strict=True) for frame in frames)
+        if per_minute:
+            batches = pacing.of_stage(per_minute, tasks).run(chain.from_iterable(rows), ask)
+        else:
+            batches = ([ask(row) for row in batch] for batch in rows)
+        for batch in batches:
+            yield pd.DataFrame(batch, columns=columns)
+
+    return prompts.select("id", "prompt").repartition(tasks).mapInPandas(run, "id string, reply string, failure string", barrier=bool(per_minute))
 
 
 def scored(postings: DataFrame, profile: dict, factory: Callable[[], Provider], tasks: int = 4, per_minute: float | None = None) -> DataFrame:

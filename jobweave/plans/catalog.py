@@ -401,6 +401,30 @@ def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", fields["score"].alias("score"), fields["error"].alias("error")).where("error IS NULL").drop("error")
 
 
+class Measured:
+    """In a model's place: scores a prompt by the sum of its digits, and refuses some."""
+
+    name = "measured"
+
+    def complete(self, prompt: str) -> str:
+        digits = sum(int(c) for c in prompt if c in "0123456789")
+        if digits % 5 == 0:
+            raise ConnectionError("refused")
+        return 'Here it is: {"score": %d, "reason": "digits"}' % digits
+
+
+@query("""WITH d AS (SELECT o_orderkey AS id, CAST(list_sum([CAST(x AS BIGINT) FOR x IN string_split(CAST(o_orderkey AS VARCHAR) || CAST(o_custkey AS VARCHAR), '')]) AS BIGINT) AS n FROM orders)
+SELECT CAST(id AS VARCHAR) AS id, CASE WHEN n % 5 <> 0 THEN CAST(n AS INTEGER) END AS score, CASE WHEN n % 5 = 0 THEN 'ConnectionError: refused' END AS error FROM d""")
+def paced_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt for each order; four tasks share a pace of a hundred thousand calls a second."""
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.concat_ws("/", "o_orderkey", "o_custkey").alias("prompt"))
+    folder = scratch(spark)  # landed first: a barrier stage can't be read in part
+    scoring.replies(asked, Measured, 4, per_minute=6_000_000).write.parquet(folder)
+    got = spark.read.parquet(folder)
+    fields = scoring.parse_reply(F.col("reply"))
+    return got.select("id", fields["score"].alias("score"), F.coalesce("failure", fields["error"]).alias("error"))
+
+
 def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0]
 

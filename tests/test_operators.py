@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import threading
+import time
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from jobweave import schemas
-from jobweave.operators import changes, ingest, ranking, reads, scoring, vectors
+from jobweave.operators import changes, ingest, pacing, ranking, reads, scoring, vectors
 from jobweave.operators.store import Store, upsert, write_partitions
 from jobweave.operators.writes import UnknownStatus, Writes, as_postings
 
@@ -297,6 +299,71 @@ def test_pace_and_drafts():
     assert "t1" in scoring.draft_prompt({"title": "x"}, {"target_titles": ["t1"]}, "outreach")
 
 
+def test_turns_are_dealt_in_rotation():
+    waiting = [3, 0, 1, 2]
+    assert [pacing.turns(waiting, t) for t in range(4)] == [[0, 3, 5], [], [1], [2, 4]]
+    assert sorted(x for t in range(4) for x in pacing.turns(waiting, t)) == list(range(6))
+
+
+@pytest.mark.parametrize("sizes", [(9, 0, 2), (0, 0, 0), (1, 1, 1), (0, 7, 0), (40, 1, 13)])
+def test_shared_pace_starts_every_call_once_and_wastes_no_turn(sizes):
+    """Threads for tasks, real meetings, a clock of turns: the calls of all tasks start a gap apart."""
+    tasks, gap = len(sizes), 0.02
+    barrier, said, starts, done = threading.Barrier(tasks), [None] * tasks, [], [[] for _ in sizes]
+
+    def meet(own):
+        def all_of(text):
+            said[own] = text
+            barrier.wait(10)
+            out = list(said)
+            barrier.wait(10)
+            return out
+
+        return all_of
+
+    def call(item):
+        starts.append(time.monotonic())
+        return item
+
+    def work(own):
+        pace = pacing.SharedPace(60 / gap, tasks, own, meet(own))
+        pace.share = 5
+        for batch in pace.run(iter(range(sizes[own])), call):
+            done[own] += batch
+
+    threads = [threading.Thread(target=work, args=(t,)) for t in range(tasks)]
+    begin = time.monotonic()
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(20)
+    assert done == [list(range(n)) for n in sizes]
+    total = sum(sizes)
+    assert len(starts) == total and time.monotonic() - begin >= total * gap - 0.001
+    assert time.monotonic() - begin < total * gap + 1.5  # a fixed share would take tasks * max(sizes) turns
+    for k, at in enumerate(sorted(starts)):
+        assert at - begin >= k * gap - 0.001
+
+
+def test_replies_of_a_stage_keep_one_pace(spark):
+    class Timed:
+        name = "timed"
+
+        def complete(self, prompt):
+            if prompt == "boom":
+                raise RuntimeError("boom")
+            return str(time.time())
+
+    rows = spark.createDataFrame([(str(k), "boom" if k == 3 else "p") for k in range(12)], "id string, prompt string").coalesce(1)
+    got = scoring.replies(rows, Timed, tasks=3, per_minute=300).collect()
+    assert sorted(int(r["id"]) for r in got) == list(range(12)) and [r["id"] for r in got if r["failure"]] == ["3"]
+    at = sorted(float(r["reply"]) for r in got if r["reply"])
+    assert at[-1] - at[0] >= 0.2 * 10 - 0.15
+    assert scoring.replies(rows.where("id = 'none'"), Timed, tasks=2, per_minute=300).collect() == []
+    with pytest.raises(ValueError):
+        pacing.SharedPace(0, 1, 0, lambda t: [t])
+
+
 def test_profile_queries():
     with pytest.raises(ValueError):
         scoring.profile_query({})
