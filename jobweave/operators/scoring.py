@@ -11,7 +11,7 @@ from itertools import chain
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chunking import chunk_text
@@ -237,6 +237,25 @@ def profile_queries(profile: dict) -> list[str]:
     return [f"{whole[:QUERY_HEAD]}\n\n{c}" for c in chunk_text(resume, QUERY_CHARS)] if resume else [whole]
 
 
+def queries_of_profiles(profiles: DataFrame, skills: DataFrame) -> DataFrame:
+    """(user_id, query): `profile_query` of every profile that has anything to match with, its skills in the order of their names.
+
+    Of a user's skills the first QUERY_SKILLS are picked before they are gathered, so no list grows with its user. Profiles
+    of one user are taken each for itself; a null user has no skills.
+    """
+    strip = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    labelled = lambda label, c: F.when(c != "", F.concat(F.lit(f"{label}: "), c))
+    named = skills.select(F.col("user_id").alias("of"), strip(F.col("skill")).alias("skill")).where("skill <> ''")
+    first = named.withColumn("place", F.row_number().over(Window.partitionBy("of").orderBy("skill"))).where(F.col("place") <= QUERY_SKILLS)
+    listed = first.groupBy("of").agg(F.array_join(F.array_sort(F.collect_list("skill")), ", ").alias("listed"))
+    titles = F.array_join(F.filter(F.transform("target_titles", strip), lambda t: t != ""), ", ")
+    parts = (strip(F.col("headline")), labelled("Target roles", titles), labelled("Skills", F.col("listed")), strip(F.col("summary")))
+    whole = F.concat_ws(". ", *[F.when(c != "", c) for c in parts])
+    head = F.left(whole, F.lit(QUERY_CHARS))
+    cut = F.when(F.char_length(whole) <= QUERY_CHARS, whole).when(F.contains(head, F.lit(" ")), F.regexp_extract(head, "(?s)^(.*) ", 1)).otherwise(head)
+    return profiles.join(listed, F.col("user_id") == F.col("of"), "left").select("user_id", cut.alias("query")).where("query <> ''")
+
+
 def draft_prompt(job: dict, profile: dict, kind: str) -> str:
     if kind not in DRAFTS:
         raise ValueError(f"{kind!r} is no kind of draft; use one of {', '.join(sorted(DRAFTS))}")

@@ -401,6 +401,14 @@ def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", fields["score"].alias("score"), fields["error"].alias("error")).where("error IS NULL").drop("error")
 
 
+@query("""WITH k AS (SELECT p_size AS of, p_type || ' ' || p_brand AS skill FROM part), s AS (SELECT of, string_agg(skill, ', ' ORDER BY skill) AS skills
+  FROM (SELECT *, row_number() OVER (PARTITION BY of ORDER BY skill) AS place FROM k) WHERE place <= 25 GROUP BY of)
+SELECT c_custkey AS user_id, c_mktsegment || '. Target roles: ' || c_mktsegment || coalesce('. Skills: ' || skills, '') || '. ' || c_name AS query FROM customer LEFT JOIN s ON of = c_custkey""")
+def profile_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = View(spark, sf_dir)
+    return scoring.queries_of_profiles(view.read("profiles"), view.read("skills"))
+
+
 class Measured:
     """In a model's place: scores a prompt by the sum of its digits, and refuses some."""
 

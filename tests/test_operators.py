@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import threading
 import time
 from datetime import date, datetime
@@ -373,6 +374,25 @@ def test_profile_queries():
     assert scoring.profile_queries({"headline": "Head"}) == ["Head"] and len(scoring.profile_queries({"headline": "H", "resume_text": "word " * 400})) > 1
 
 
+def test_queries_of_profiles_equal_the_plain_one(spark):
+    rng = random.Random(4)
+    some = lambda *x: rng.choice(x)
+    profiles = [(k, some(None, "", " \u2003", " Head ", "H" * 950), some(None, "", "word " * rng.randrange(300), "\u00e9\U0001f600 x " * 200), some(None, [], ["A", None, "  "], ["B ", "C"])) for k in range(120)]
+    skills = [(rng.randrange(60), some(None, " ", f" skill{rng.randrange(99)} ", f"s{rng.randrange(9)}")) for _ in range(1500)] + [(None, "nobody")]
+    got = scoring.queries_of_profiles(spark.createDataFrame(profiles, "user_id long, headline string, summary string, target_titles array<string>"), spark.createDataFrame(skills, "user_id long, skill string"))
+    wanted = {}
+    for user, headline, summary, titles in profiles:
+        own = sorted(s.strip() for u, s in skills if u == user and s and s.strip())
+        plain = {"headline": headline, "summary": summary, "target_titles": [t for t in titles or [] if t], "skills": own}
+        try:
+            wanted[user] = scoring.profile_query(plain)
+        except ValueError:
+            pass
+    assert {r["user_id"]: r["query"] for r in got.collect()} == wanted and len(wanted) > 80 and max(map(len, wanted.values())) == 900
+    none = spark.createDataFrame([], "user_id long, headline string, summary string, target_titles array<string>")
+    assert scoring.queries_of_profiles(none, spark.createDataFrame(skills, "user_id long, skill string")).collect() == []
+
+
 def test_schema_checks(spark):
     with pytest.raises(schemas.SchemaMismatch):
         schemas.verify(spark.range(1), schemas.TABLES["users"], "users")
