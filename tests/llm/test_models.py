@@ -106,6 +106,28 @@ def test_terms_of_the_corpus_are_learned_where_its_languages_name_no_known_group
     assert toxicity.fit(documents.withColumn("text", F.concat("text", F.lit(" bando"))), labels, plan, terms=given, learned=0).pairs > 200
 
 
+def test_pairs_keep_swapped_documents_of_the_held_out_fold_in_place(spark):
+    """On the shared tables: without pairs a swap of neutral words moves a score that it should not."""
+    folder = "/root/testdata/sf0.01"
+    documents, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    rows = documents.join(labels, "doc_id").where("toxic in (0, 1)").select("text", "toxic", linear.held_out(toxicity.PLAN).alias("out")).orderBy("doc_id").collect()
+    seen = [((r["text"] or "").encode(), r["toxic"]) for r in rows if not r["out"]]
+    swap = toxicity.Swap([*toxicity.IDENTITY_TERMS, *toxicity.neutral_kinds(seen)])
+    both = [(t, o) for k, t in enumerate((r["text"] or "").encode() for r in rows if r["out"]) if (o := swap(t, k)) is not None]
+    moved = {}
+    for pairing in (0.0, 1.0):
+        model = linear.fit(seen, linear.TrainingPlan(**{**toxicity.PLAN.__dict__, "pairing": pairing}), toxicity.features, swap if pairing else None)
+        table = np.zeros(1 << toxicity.PLAN.bits)
+        table[model.at] = model.w
+
+        def logit(text, table=table):
+            at, x, _ = toxicity.features(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+            return table[at] @ x
+
+        moved[pairing] = np.mean([abs(logit(t) - logit(o)) for t, o in both])
+    assert len(both) > 20 and moved[1.0] < moved[0.0] / 5
+
+
 def test_training_equals_plain_follow_the_regularised_leader():
     """The same updates, feature by feature in dictionaries."""
     rng = random.Random(5)
