@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from datetime import UTC, datetime
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,11 +15,24 @@ from pyspark.sql import types as T
 _EDGES = r"(?U)^\s+|\s+$"
 
 
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|([A-Za-z][A-Za-z0-9]*));")
+
+
+def unescape_closed(text: str) -> str:
+    """As `html.unescape`, but a reference without its semicolon (`&amp` before a tag, say) stays as it is."""
+    return _CLOSED.sub(lambda m: html.unescape(m[0]) if m[1] is None else html5.get(f"{m[1]};", m[0]), text)
+
+
 @F.pandas_udf(T.StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def _unescape_closed(text: pd.Series) -> pd.Series:
+    return text.map(unescape_closed, na_action="ignore")
+
+
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(text, _EDGES, "")
@@ -28,12 +42,15 @@ def collapse(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def plain_text(markup: Column) -> Column:
-    """HTML, possibly escaped twice, as one line of text. Python is entered only for texts with an entity."""
-    markup = F.coalesce(markup, F.lit(""))
-    once = F.when(markup.contains("&"), _unescape(markup)).otherwise(markup)
+def plain_text(markup: Column, closed: bool = False) -> Column:
+    """HTML, possibly escaped twice, as one line of text. Python is entered only for texts with an entity.
+
+    With `closed` only references that end in a semicolon are read; without it also those that browsers read without one.
+    """
+    markup, unescape = F.coalesce(markup, F.lit("")), _unescape_closed if closed else _unescape
+    once = F.when(markup.contains("&"), unescape(markup)).otherwise(markup)
     bare = F.regexp_replace(once, r"<[^>]+>", " ")
-    twice = F.when(bare.contains("&"), _unescape(bare)).otherwise(bare)
+    twice = F.when(bare.contains("&"), unescape(bare)).otherwise(bare)
     return collapse(twice)
 
 

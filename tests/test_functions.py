@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from jobweave.functions import chunking, geo, text
 from jobweave.functions import validation as v
+from jobweave.plans import catalog
 
 
 def values(spark, column, rows):
@@ -65,6 +66,19 @@ def test_plain_text(spark):
     assert values(spark, text.plain_text(F.col("x")), cases) == [slow(t) for t in cases]
 
 
+def test_plain_text_of_closed_references_only(spark, tmp_path):
+    """Titles that end within a reference, as the SQL of the query reads them."""
+    duckdb = pytest.importorskip("duckdb")
+    pages = ["<title>a&amp;&amp</title><p>b &amp; &copy; c</p>", "<title>a&am</title>&middot;&quot;x&quot;", "&amp", "x&copy y", None and "", "<b>&</b>&amp;&amp;&amp"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").where("html is not null").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalog.plain_text(spark, str(tmp_path)).orderBy("page_id").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert [tuple(r) for r in got] == con.execute(f"SELECT * FROM ({catalog.ORACLE_SQL['plain_text']}) ORDER BY page_id").fetchall()
+    cases = ["&#38;&#x26;&#38 &notit; &not; &nosuch; &amp;amp; &;"]
+    assert values(spark, text.plain_text(F.col("x"), closed=True), cases) == ["&&&#38 &notit; ¬ &nosuch; & &;"]
+
+
 def test_keys(spark):
     row = spark.createDataFrame([("greenhouse", "7", "Acme, Inc.", "Sr. Data  Engineer", None)], "s string, i string, c string, t string, l string")
     got = row.select(text.posting_id(F.col("s"), F.col("i")), text.cross_source_key(F.col("c"), F.col("t"), F.col("l")), text.content_hash(F.col("l")), text.context_header(F.col("t"), F.col("c"), F.col("l"))).first()
