@@ -14,21 +14,47 @@ from __future__ import annotations
 
 import json
 import math
+import sys
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import islice
 from typing import Any
 
+import numpy as np
+
 #: meeting takes about a second, so a round should last much longer
 ROUND_SECONDS = 30.0
-#: calls that a task holds for one round
-MOST_WAITING = 1024
+#: of the items that a task holds for one round: a fast pace needs many of them to fill a round
+MOST_BYTES = 64 << 20
+#: results that a task gives back at once
+PIECE = 10_000
 
 
 def turns(waiting: list[int], own: int) -> list[int]:
     """The turns of one task in a round: in rotation, every task that still has calls waiting."""
-    return [sum(min(n, k + 1) for n in waiting[:own]) + sum(min(n, k) for n in waiting[own:]) for k in range(waiting[own])]
+    k = np.arange(waiting[own])
+    out = np.zeros(len(k), np.int64)
+    for task, n in enumerate(waiting):
+        out += np.minimum(n, k + 1 if task < own else k)
+    return out.tolist()
+
+
+def weight(item: Any) -> int:
+    """Bytes that an item takes up, its parts counted if it is a tuple."""
+    return sys.getsizeof(item) + (sum(map(sys.getsizeof, item)) if isinstance(item, tuple) else 0)
+
+
+def held_for_a_round(items: Iterator[Any], most: int, most_bytes: int) -> list[Any]:
+    """The next items: at most so many, and no more once they take up that many bytes."""
+    out, size = [], 0
+    while len(out) < most and size < most_bytes:
+        try:
+            item = next(items)
+        except StopIteration:
+            break
+        out.append(item)
+        size += weight(item)
+    return out
 
 
 @dataclass
@@ -46,7 +72,7 @@ class SharedPace:
         if not self.per_minute > 0:
             raise ValueError("a pace needs more than no call a minute")
         self.gap = 60.0 / self.per_minute
-        self.share = min(MOST_WAITING, max(1, math.ceil(ROUND_SECONDS / self.gap / self.tasks)))
+        self.share = max(1, math.ceil(ROUND_SECONDS / self.gap / self.tasks))
 
     def _until(self, at: float) -> None:
         left = at - self.clock()
@@ -54,9 +80,9 @@ class SharedPace:
             self.sleep(left)
 
     def run(self, items: Iterator[Any], call: Callable[[Any], Any]) -> Iterator[list[Any]]:
-        """What `call` returns for the items, round by round. Every task goes on meeting until none has anything left."""
+        """What `call` returns for the items, in pieces of a round. Every task goes on meeting until none has anything left."""
         while True:
-            held = list(islice(items, self.share))
+            held = held_for_a_round(items, self.share, MOST_BYTES)
             waiting = [json.loads(n) for n in self.meet(json.dumps(len(held)))]
             start, out = self.clock(), []
             if not any(waiting):
@@ -64,6 +90,9 @@ class SharedPace:
             for item, turn in zip(held, turns(waiting, self.own), strict=True):
                 self._until(start + turn * self.gap)
                 out.append(call(item))
+                if len(out) == PIECE:
+                    yield out
+                    out = []
             if out:
                 yield out
             self._until(start + sum(waiting) * self.gap)

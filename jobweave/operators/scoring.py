@@ -57,22 +57,30 @@ def prompt(title: Column, description: Column, profile: dict) -> Column:
 
 
 def parse_reply(reply: Column) -> dict[str, Column]:
-    """The seven fields of a reply and `error` (null if it is good). Fences and prose around the object do not matter."""
+    """The seven fields of a reply and `error` (null if it is good). Fences and prose around the object do not matter.
+
+    All of them come from one expression, so a reply is read once however many are taken.
+    """
     body = F.regexp_extract(F.coalesce(reply, F.lit("")), r"(?s)\{.*\}", 0)
-    j = F.from_json(body, REPLY)
-    score = j["score"].try_cast("double").try_cast("int")
-    error = (
-        F.when(body == "", "no JSON object in the reply")
-        .when(j.isNull() | j["score"].isNull(), "no score in the reply")
-        .when(score.isNull(), F.concat(F.lit("score is no number: "), j["score"]))
-        .when(~score.between(0, 100), F.concat(F.lit("score out of range: "), score.cast("string")))
-    )
-    ok = lambda c: F.when(error.isNull(), c)
-    return {
-        "score": ok(score), "reason": ok(F.coalesce(j["reason"], F.lit(""))), "skip_flags": ok(F.coalesce(j["skip_flags"], F.array().cast("array<string>"))),
-        "workplace": ok(j["workplace"]), "office_days_per_month": ok(j["office_days_per_month"].try_cast("double").try_cast("int")),
-        "years_required": ok(j["years_required"].try_cast("double").try_cast("int")), "work_authorization": ok(j["work_authorization"]), "error": error,
-    }
+
+    def read(said: Column) -> Column:
+        j, score = said["j"], said["score"]
+        return F.struct(
+            F.when(said["body"] == "", "no JSON object in the reply")
+            .when(j.isNull() | j["score"].isNull(), "no score in the reply")
+            .when(score.isNull(), F.concat(F.lit("score is no number: "), j["score"]))
+            .when(~score.between(0, 100), F.concat(F.lit("score out of range: "), score.cast("string"))).alias("error"),
+            score.alias("score"), F.coalesce(j["reason"], F.lit("")).alias("reason"), F.coalesce(j["skip_flags"], F.array().cast("array<string>")).alias("skip_flags"), j["workplace"].alias("workplace"),
+            whole(j["office_days_per_month"]).alias("office_days_per_month"), whole(j["years_required"]).alias("years_required"), j["work_authorization"].alias("work_authorization"),
+        )
+
+    whole = lambda c: c.try_cast("double").try_cast("int")
+    # each step binds what the next one uses more than once
+    said = F.transform(F.array(body), lambda b: F.struct(b.alias("body"), F.from_json(b, REPLY).alias("j")))
+    said = F.transform(said, lambda s: F.struct(s["body"].alias("body"), s["j"].alias("j"), whole(s["j"]["score"]).alias("score")))
+    out = F.element_at(F.transform(said, read), 1)
+    names = ("score", "reason", "skip_flags", "workplace", "office_days_per_month", "years_required", "work_authorization")
+    return {k: F.when(out["error"].isNull(), out[k]) for k in names} | {"error": out["error"]}
 
 
 class ScoringFailed(RuntimeError):

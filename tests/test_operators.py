@@ -346,6 +346,21 @@ def test_shared_pace_starts_every_call_once_and_wastes_no_turn(sizes):
         assert at - begin >= k * gap - 0.001
 
 
+def test_a_fast_pace_meets_once_a_round_of_its_length(monkeypatch):
+    """Meetings take about a second, so their number must not follow the number of calls of a fast pace."""
+    now, met = [0.0], []
+    meet = lambda t: (met.append(t), now.__setitem__(0, now[0] + 1))[0] or [t]
+    pace = pacing.SharedPace(6_000_000, 1, 0, meet, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
+    sizes = [len(b) for b in pace.run(iter(range(200_000)), lambda x: x)]
+    assert sum(sizes) == 200_000 and max(sizes) <= pacing.PIECE
+    assert len(met) == 2 and now[0] == pytest.approx(2.0 + 2)  # two seconds of turns, two meetings
+    monkeypatch.setattr(pacing, "MOST_BYTES", 10_000)
+    met.clear()
+    assert sum(map(len, pace.run(iter([("id", "p" * 1000)] * 100), lambda x: 0))) == 100
+    assert 10 <= len(met) <= 14  # long prompts: a round holds about ten thousand bytes of them
+    assert list(pace.run(iter([("id", "p" * 50_000)] * 2), lambda x: x[0])) == [["id"], ["id"]]
+
+
 def test_replies_of_a_stage_keep_one_pace(spark):
     class Timed:
         name = "timed"
