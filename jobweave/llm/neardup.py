@@ -188,11 +188,23 @@ def promising(pairs: DataFrame, classes: DataFrame, plan: NearDupPlan) -> DataFr
     return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
 
 
+#: So many ids at most are sent to all tasks, for texts to be picked before they are shuffled.
+SENT_IDS = 4_000_000
+
+
+def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents that `ids` (doc_id, distinct, from written tables) names; of all documents if the ids are too many to be sent."""
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if ids.count() > SENT_IDS:
+        return texts
+    return texts.join(F.broadcast(ids), "doc_id", "left_semi")
+
+
 def verified(pairs: DataFrame, documents: DataFrame, plan: NearDupPlan) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold. Texts come to the pairs by two joins; a busy b is salted."""
     busy = pairs.groupBy("b").agg(F.ceil(F.count("*") / plan.fan_in).cast("int").alias("salts"))
     salted = pairs.join(busy, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts_of(documents, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     left = salted.select("a", "b", "salt").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     hubs = busy.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
@@ -243,8 +255,10 @@ def crossing(open_: DataFrame, documents: DataFrame, work: Workspace, plan: Near
     grown = work.table(open_.groupBy("component").agg(F.count("*").alias("members")), "grown")
     homes = join_by_key(open_, grown, ["component"], "members").withColumn("home", F.when(F.col("members") > 1, F.col("component")).otherwise(-1 - F.col("hub")))
     crowd = work.table(homes.groupBy("home").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / plan.block)), "crowd")
-    dealt = join_by_key(homes, crowd, ["home"], "size").select("rep", "component", "members", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("block"))
-    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").join(dealt, "rep").select("rep", "component", "members", "block", "text")
+    # written: from its size it is known whether it can be sent to the texts instead of shuffling these
+    dealt = work.table(join_by_key(homes, crowd, ["home"], "size").select("rep", "component", "members", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("block")), "dealt")
+    named = texts_of(documents, dealt.select(F.col("rep").alias("doc_id")).distinct())
+    texts = named.withColumnRenamed("doc_id", "rep").join(dealt, "rep").select("rep", "component", "members", "block", "text")
     sets = work.table(texts.mapInArrow(tidy(run), "rep long, component long, members long, block long, set array<long>").withColumn("n", F.size("set")), "sets")
 
     each = sets.select("rep", "component", "members", "block", "n", F.explode("set").alias("shingle"))
@@ -360,7 +374,7 @@ def near_duplicates(documents: DataFrame, plan: NearDupPlan = NearDupPlan()) ->
     rest = work.table(rest, "open")
     more = work.table(crossing(rest, documents, work, plan), "links-more")
     component = work.table(connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), work, "last"), "components")
-    work.drop("ranked", "classes", "open", "grown", "crowd", "sets", "prefix", *(f"{x}-{k}" for x in ("hubs", "stars", "likely") for k in range(plan.star_rounds)))
+    work.drop("ranked", "classes", "open", "grown", "crowd", "dealt", "sets", "prefix", *(f"{x}-{k}" for x in ("hubs", "stars", "likely") for k in range(plan.star_rounds)))
 
     grouped = members.join(component, members["rep"] == component["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     alone = sketched.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

@@ -252,3 +252,21 @@ def test_short_texts_equal_all_pairs(spark):
         rows += [(4 * k, " ".join(words)), (4 * k + 1, " ".join(words[:-1])), (4 * k + 2, " ".join(words[1:] + ["z"])), (4 * k + 3, " ".join([*words[: len(words) // 2], "q", *words[len(words) // 2 :]]))]
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got == components(rows)
+
+
+def test_only_texts_of_pairs_are_shuffled(spark, monkeypatch):
+    """Texts that are in no pair are left out before any exchange; the links are those of the plain join."""
+    rows = [(k, prose(random.Random(k // 2), 90)) for k in range(40)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = spark.createDataFrame([(1, 0), (3, 2), (4, 2)], "a long, b long")
+
+    def plan():
+        out = neardup.verified(pairs, documents, neardup.NearDupPlan())
+        return out, out._jdf.queryExecution().optimizedPlan().toString()
+
+    picked, text = plan()
+    assert "LeftSemi" in text and neardup.texts_of(documents, pairs.select(F.col("a").alias("doc_id"))).count() == 3
+    monkeypatch.setattr(neardup, "SENT_IDS", 2)
+    whole, text = plan()
+    assert "LeftSemi" not in text
+    assert sorted(map(tuple, picked.collect())) == sorted(map(tuple, whole.collect())) == [(1, 0), (3, 2)]
