@@ -10,7 +10,6 @@ from datetime import datetime
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,23 +110,33 @@ class HashingEncoder:
 _encoders: dict[str, Encoder] = {}
 
 
+#: rows that leave the encoder at once
+ENCODED_ROWS = 1024
+
+
 def encoded(chunks: DataFrame, factory, name: str, width: int, batch: int = 64) -> DataFrame:
-    """`chunks` with embedding and model_name; the encoder is made once in a worker, texts go in batches, widths are checked."""
+    """`chunks` with embedding and model_name; the encoder is made once in a worker, texts go in batches, widths are checked.
+
+    Rows stay in Arrow and leave in slices, so a worker holds the vectors of one slice, whatever the batches it is given.
+    """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.setdefault(name, None) or factory()
         _encoders[name] = encoder
-        for frame in frames:
-            texts = frame["chunk_text"].tolist()
-            parts = [encoder.encode(texts[k : k + batch]) for k in range(0, len(texts), batch)]
-            vectors = np.concatenate(parts) if parts else np.zeros((0, width), np.float32)
-            if vectors.shape[1] != width:
-                raise WrongWidth(f"{name} gave vectors of {vectors.shape[1]}, not {width}")
-            yield frame.assign(embedding=list(vectors.astype(np.float32)), model_name=name)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ENCODED_ROWS):
+                own = whole.slice(at, ENCODED_ROWS)
+                texts = own.column("chunk_text").to_pylist()
+                vectors = np.concatenate([encoder.encode(texts[k : k + batch]) for k in range(0, len(texts), batch)])
+                if vectors.shape[1] != width:
+                    raise WrongWidth(f"{name} gave vectors of {vectors.shape[1]}, not {width}")
+                flat = pa.array(np.ascontiguousarray(vectors, np.float32).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * width, pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([*own.columns, lists, pa.array([name] * len(texts))], [*own.schema.names, "embedding", "model_name"])
 
     names = [c for c in chunks.columns if c not in ("embedding", "model_name")]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.select(*names).schema) + ", embedding array<float>, model_name string"
-    return chunks.select(*names).mapInPandas(run, schema)
+    return chunks.select(*names).mapInArrow(run, schema)
 
 
 def pending(postings: DataFrame, embeddings: DataFrame, model: str, limit: int | None = 500, version: str = VERSION) -> DataFrame:

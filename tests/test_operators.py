@@ -427,3 +427,12 @@ def test_partition_writer(spark, tmp_path):
 
     write_partitions(spark.range(1000), sink, partitions=3, page=200)
     assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 1000
+
+
+def test_vectors_leave_the_encoder_in_slices(spark):
+    """As an Arrow plan, without frames of array objects, and equal to the encoder's own."""
+    rows = spark.range(0, 2500, 1, 1).select(F.col("id").cast("string").alias("id"), F.concat_ws(" ", F.lit("word"), "id").alias("chunk_text"))
+    out = vectors.encoded(rows, vectors.HashingEncoder, "hashing-64", 64)
+    assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["id"]: r["embedding"] for r in out.collect()}
+    assert len(got) == 2500 and all(got[str(k)] == vectors.HashingEncoder().encode([f"word {k}"])[0].tolist() for k in range(0, 2500, 99))
