@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import instant_of
 from ..schemas import TABLES
-from .store import Store
+from .store import Store, nothing
 
 #: Mirrored tables: keys and columns.
 MIRRORS = {"applications": ["id"], "saved_jobs": ["user_id", "job_id"], "job_postings": ["id"]}
@@ -91,7 +91,7 @@ _COUNTS = T.StructType([T.StructField("day", T.DateType()), T.StructField("metri
 
 def partial_counts(name: str, feed: DataFrame) -> DataFrame:
     """What some changes of a table add to the daily metrics. Counts of parts of a feed sum up to those of the whole; a level has no day."""
-    kind, out = F.col("_change_type"), feed.sparkSession.createDataFrame([], _COUNTS)
+    kind, out = F.col("_change_type"), nothing(feed.sparkSession, _COUNTS)
     for metric_name, table, change, dimension in FLOWS:
         if table == name:
             out = out.unionByName(metric(feed.where(kind == change), metric_name, F.col("_commit_timestamp"), None if dimension is None else F.col(dimension)))

@@ -124,7 +124,7 @@ class Store:
     def _frame(self, table: str, files: Iterable[DataFile]) -> DataFrame:
         paths = [f"{self.root}/{table}/{f.path}" for f in files]
         if not paths:
-            return self.spark.createDataFrame([], self.schemas[table])
+            return nothing(self.spark, self.schemas[table])
         # a bucket's number is in its path only: without a recursive lookup it would come back as a column
         return self.spark.read.schema(self.schemas[table]).option("recursiveFileLookup", "true").parquet(*paths)
 
@@ -188,8 +188,9 @@ class Store:
             return []
         bounded = [c for c in dict.fromkeys((*keys, "id")) if c in self.schemas[table].names and isinstance(self.schemas[table][c].dataType, _BOUNDED)]
         held = self._frame(table, [DataFile(f"{folder}/{p}", 0, 0, 0, {}) for p in sizes])
-        stats = held.groupBy(F.regexp_extract("_metadata.file_path", "[^/]*/[^/]*$", 0).alias("__name")).agg(F.count("*").alias("__rows"), *[f(c).alias(f"{k}_{c}") for c in bounded for k, f in (("lo", F.min), ("hi", F.max))])
-        known = {r["__name"]: r for r in stats.collect()}  # a row for each file
+        # a file's path as it is, one constant for all its rows: anything made of it would be made again for each row
+        stats = held.groupBy(F.col("_metadata.file_path").alias("__name")).agg(F.count("*").alias("__rows"), *[f(c).alias(f"{k}_{c}") for c in bounded for k, f in (("lo", F.min), ("hi", F.max))])
+        known = {"/".join(r["__name"].rsplit("/", 2)[1:]): r for r in stats.collect()}  # a row for each file
         out = []
         for path, size in sizes.items():
             row = known.get(path)
@@ -399,8 +400,12 @@ class Transaction:
         return staged
 
     def delete(self, table: str, rows: DataFrame, keys: list[str]) -> None:
-        none = self.store.spark.createDataFrame([], self.store.schemas[table])
-        self.replace(table, none, keys, gone=rows)
+        self.replace(table, nothing(self.store.spark, self.store.schemas[table]), keys, gone=rows)
+
+
+def nothing(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows, as a plan that Spark folds away; an empty list would be dealt to tasks that start Python for it."""
+    return spark.range(1).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def upsert(current: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = (), fill: tuple[str, ...] = ()) -> DataFrame:

@@ -49,6 +49,25 @@ def test_a_lookup_opens_only_files_that_can_hold_its_key(spark, store):
     assert store.lookup("applications", user_id=1, job_id="j1004").first()["id"] == 1004
 
 
+def test_what_a_manifest_tells_of_files_makes_nothing_of_their_paths_for_each_row(spark, store, monkeypatch):
+    frame, plans = type(spark.range(1)), []
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: plans.append(df._jdf.queryExecution().toString()) or collect(df))
+    store.append("applications", applications(spark, range(1000, 1100)))
+    monkeypatch.undo()
+    told = [p for p in plans if "file_path" in p]
+    assert told and not any("regexp" in p for p in told)
+    for f in store.manifest("applications").files:
+        ids = [r["id"] for r in spark.read.parquet(f"{store.root}/applications/{f.path}").select("id").collect()]
+        assert (f.rows, f.bounds["id"]) == (len(ids), [min(ids), max(ids)])
+
+
+def test_no_rows_are_folded_away(spark, tmp_path):
+    empty = Store(spark, f"file://{tmp_path}/none").read("applications")
+    assert empty.schema.names == applications(spark, []).columns and empty.isEmpty()
+    assert "ExistingRDD" not in empty._jdf.queryExecution().toString()
+
+
 def test_an_append_rewrites_nothing_and_compaction_joins_files(spark, store):
     for k in range(6):
         store.append("applications", applications(spark, range(1000 + 50 * k, 1050 + 50 * k)))
