@@ -5,55 +5,64 @@ better source, or a longer one of an equal source, takes its place and tells who
 one stays the best. What has not been seen for `horizon` of event time is forgotten, so the state is bounded by the jobs
 of that time. A micro-batch becomes one transaction of the store: new bests come in, what they replaced and what is not
 eligible goes. Doing a batch again changes nothing, and the batch deduplication stays the source of truth.
+
+Only what decides is shuffled and handed to Python: a posting goes by the file and the row where it landed, and the texts
+of those that were chosen are read from there, once.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from itertools import islice
+from urllib.parse import unquote
 
-import pandas as pd
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from ..functions.geo import us_eligible
 from ..operators.ingest import source_priority
-from ..operators.store import Store
+from ..operators.store import Store, nothing
 from ..operators.writes import as_postings
 from ..schemas import POSTING
 
 LATE, HORIZON = "1 day", timedelta(days=90)
-_STATE = "id string, priority int, length int, fetched_at timestamp"
-_CHOSEN = T.StructType([*POSTING.fields, T.StructField("replaced", T.StringType())])
+_STATE = "id string, priority int, length int, at bigint"
+_CHOSEN = "id string, path string, row bigint, fit boolean, replaced string"
+#: Rows of a key that are put in order at once.
+SORTED_ROWS = 50_000
+#: As many chosen rows are sent to the tasks that read their texts; more are joined by a shuffle, if Spark thinks so.
+SENT_ROWS = 100_000
 
 
 class BestPosting(StatefulProcessor):
     def __init__(self, horizon: timedelta):
-        self.horizon = horizon
+        self.horizon = int(horizon.total_seconds() * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.best = handle.getValueState("best", _STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.best.get() if self.best.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.best.get()
         first, now, row = held and held[0], held, None
-        for frame in rows:  # of a key with many rows one frame after another, of which one row is kept
-            for r in frame.sort_values(["fetched_at", "priority", "id"], kind="stable").itertuples(index=False):
-                own = (r.id, int(r.priority), int(r.length), r.fetched_at.to_pydatetime())
+        rows = iter(rows)
+        while part := sorted(islice(rows, SORTED_ROWS), key=lambda r: (r.at, r.priority, r.id)):
+            for r in part:
+                own = (r.id, r.priority, r.length, r.at)
                 if now is None or self._takes(own, now):
                     now, row = own, r
         if row is None:
             return
         self.best.update(now)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(pd.Timestamp(now[3], tz="UTC").timestamp() * 1000 + self.horizon.total_seconds() * 1000))
-        out = {c: [getattr(row, c)] for c in POSTING.names}
-        yield pd.DataFrame(out | {"replaced": [first if first != now[0] else None]})
+        if held is not None:  # a key without state has no timer
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        self.handle.registerTimer(now[3] // 1000 + self.horizon)
+        yield Row(id=row.id, path=row.path, row=row.row, fit=row.fit, replaced=first if first != now[0] else None)
 
     @staticmethod
     def _takes(own: tuple, now: tuple) -> bool:
@@ -62,7 +71,7 @@ class BestPosting(StatefulProcessor):
             return own[3] >= now[3]
         return (own[1], -own[2], own[0]) < (now[1], -now[2], now[0])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.best.clear()
         return iter([])
 
@@ -70,29 +79,46 @@ class BestPosting(StatefulProcessor):
         pass
 
 
+def _placed(postings: DataFrame) -> DataFrame:
+    """Postings with the file and the row in it where they landed."""
+    return postings.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
+
+
 def landed(spark: SparkSession, path: str, late: str = LATE) -> DataFrame:
     """Postings as they land; rows that are later than the watermark are dropped."""
-    return spark.readStream.schema(POSTING).parquet(path).withWatermark("fetched_at", late)
+    return _placed(spark.readStream.schema(POSTING).parquet(path)).withWatermark("fetched_at", late)
 
 
 def chosen(postings: DataFrame, horizon: timedelta = HORIZON) -> DataFrame:
-    """A row whenever a job has a new best posting or a new version of it; `replaced` is the id that was the best until then."""
-    rows = postings.select("*", source_priority(F.col("source")).cast("int").alias("priority"), F.char_length("description").cast("int").alias("length"))
-    return rows.groupBy("cross_source_key").transformWithStateInPandas(BestPosting(horizon), outputStructType=_CHOSEN, outputMode="Update", timeMode="EventTime")
+    """A row whenever a job has a new best posting or a new version of it: where that landed, and whether it is eligible; `replaced` is the id that was the best until then."""
+    rows = postings.select(
+        "cross_source_key", "id", source_priority(F.col("source")).cast("int").alias("priority"), F.char_length("description").cast("int").alias("length"), F.unix_micros("fetched_at").alias("at"),
+        us_eligible(F.col("location")).alias("fit"), "path", "row", "fetched_at",
+    )
+    return rows.groupBy("cross_source_key").transformWithState(BestPosting(horizon), outputStructType=_CHOSEN, outputMode="Update", timeMode="EventTime")
+
+
+def whole(spark: SparkSession, path: str, picked: DataFrame) -> DataFrame:
+    """The chosen postings that are eligible, as they landed, read from the files that hold any."""
+    fit = picked.where("fit").select("path", "row")
+    held = fit.groupBy("path").count().collect()  # a row for each file of the batch at most
+    if not held:
+        return nothing(spark, POSTING)
+    files = [re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(r["path"])) for r in held]  # a path as such, not as a pattern
+    reader = spark.read.schema(POSTING) if re.search(r"[*?\[{]", path) else spark.read.schema(POSTING).option("basePath", path)
+    few = sum(r["count"] for r in held) <= SENT_ROWS
+    return _placed(reader.parquet(*files)).join(F.broadcast(fit) if few else fit, ["path", "row"]).select(*POSTING.names)
 
 
-def merge(store: Store, batch: DataFrame) -> None:
-    """Put the chosen postings of a micro-batch into the store, and take out what they replaced."""
-    fit = us_eligible(F.col("location"))
-    gone = batch.where("replaced IS NOT NULL").select(F.col("replaced").alias("id")).unionByName(batch.where(~fit).select("id"))
-    table = store.spark.createDataFrame([], POSTING)
+def merge(store: Store, postings: DataFrame, gone: DataFrame) -> None:
+    """Put the chosen postings of a micro-batch into the store, and take out the ids that are `gone`."""
 
     def act() -> None:
         with store.begin() as own:
             held = own.read("job_postings").select("id", F.col("fetched_at").alias("first"))
             # as in a batch run, a posting keeps the time at which it was first seen
-            rows = as_postings(batch.where(fit).drop("replaced")).join(held, "id", "left").withColumn("fetched_at", F.coalesce("first", "fetched_at")).drop("first")
-            own.replace("job_postings", rows.select(*table.columns), ["id"], gone=gone)
+            rows = as_postings(postings).join(held, "id", "left").withColumn("fetched_at", F.coalesce("first", "fetched_at")).drop("first")
+            own.replace("job_postings", rows.select(*POSTING.names), ["id"], gone=gone)
 
     store.retry(act)
 
@@ -130,13 +156,14 @@ def ingest(spark: SparkSession, path: str, store: Store, checkpoint: str, horizo
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
     def each(batch: DataFrame, _: int) -> None:
-        rows = batch.persist()  # read for what comes and for what goes
+        picked = batch.persist()  # read for what comes and for what goes
         try:
-            if not rows.isEmpty():
-                merge(store, rows)
+            if not picked.isEmpty():
+                gone = picked.where("replaced IS NOT NULL").select(F.col("replaced").alias("id")).unionByName(picked.where(~F.col("fit")).select("id"))
+                merge(store, whole(spark, path, picked), gone)
         finally:
-            rows.unpersist()
+            picked.unpersist()
 
     seen = landed(spark, path, late).observe("landed", F.count(F.lit(1)).alias("rows"))
-    best = chosen(seen, horizon).observe("chosen", F.count(F.lit(1)).alias("rows"), F.count_if(us_eligible(F.col("location"))).alias("fit"))
+    best = chosen(seen, horizon).observe("chosen", F.count(F.lit(1)).alias("rows"), F.count_if("fit").alias("fit"))
     return best.writeStream.queryName("ingest").foreachBatch(each).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,6 +7,7 @@ import pytest
 
 from jobweave.operators.store import Store
 from jobweave.operators.writes import as_postings
+from jobweave.streaming import ingest as stream
 from jobweave.streaming.ingest import Funnel, ingest
 
 NOW = datetime(2024, 3, 5, 12)
@@ -45,6 +46,22 @@ def test_a_better_source_replaces_the_stored_one(feed):
     assert held["j3"] == NOW and feed.store.version("job_postings") == 3
 
 
+def test_no_text_goes_to_the_state_and_the_chosen_ones_are_read_where_they_landed(spark, tmp_path, monkeypatch):
+    folder, store, frame = f"{tmp_path}/a b%41c", Store(spark, f"file://{tmp_path}/store"), type(spark.range(1))
+    for k, text in enumerate(("one", "two", "six")):  # as long as each other, so only the place tells them apart
+        as_postings(spark.createDataFrame([post(9 - k, "lever", text), post(20 + k, "ashby", f"{text}s", title=f"Other {k}")], FIELDS)).coalesce(1).write.mode("append").parquet(f"{folder}/part[{k}]")
+    seen, group = [], frame.groupBy
+    monkeypatch.setattr(frame, "groupBy", lambda df, *by: seen.append(df) or group(df, *by))
+    stream.chosen(stream.landed(spark, f"{folder}/*"))
+    monkeypatch.undo()
+    assert {"id", "fetched_at"} <= set(seen[0].columns) and not {"description", "title", "url"} & set(seen[0].columns)
+    query = ingest(spark, f"{folder}/*", store, f"{tmp_path}/check")
+    query.awaitTermination(180)
+    assert query.exception() is None
+    got = sorted((r["id"], r["description"]) for r in store.read("job_postings").collect())
+    assert got == [("j20", "ones"), ("j21", "twos"), ("j22", "sixs"), ("j7", "six")]
+
+
 def test_the_best_one_goes_if_it_is_out_of_reach_and_jobs_are_forgotten(feed):
     short = dict(horizon=timedelta(days=3))
     assert len(feed(post(1, "lever"), post(2, "lever", title="Other"), **short)) == 2
