@@ -56,9 +56,10 @@ def prompt(title: Column, description: Column, profile: dict) -> Column:
     return F.concat_ws("\n", F.lit("\n".join(lines)), F.lit("<job_description>"), fenced(title), F.lit(""), fenced(F.coalesce(description, F.lit(""))), F.lit("</job_description>"), F.lit(contract))
 
 
-def parse_reply(reply: Column) -> dict[str, Column]:
+def parse_reply(reply: Column, most: int = 100) -> dict[str, Column]:
     """The seven fields of a reply and `error` (null if it is good). Fences and prose around the object do not matter.
 
+    A score lies between 0 and `most`, the top of the scale that the model was asked for; `prompt` asks for one up to 100.
     All of them come from one expression, so a reply is read once however many are taken.
     """
     body = F.regexp_extract(F.coalesce(reply, F.lit("")), r"(?s)\{.*\}", 0)
@@ -69,7 +70,7 @@ def parse_reply(reply: Column) -> dict[str, Column]:
             F.when(said["body"] == "", "no JSON object in the reply")
             .when(j.isNull() | j["score"].isNull(), "no score in the reply")
             .when(score.isNull(), F.concat(F.lit("score is no number: "), j["score"]))
-            .when(~score.between(0, 100), F.concat(F.lit("score out of range: "), score.cast("string"))).alias("error"),
+            .when(~score.between(0, most), F.concat(F.lit("score out of range: "), score.cast("string"))).alias("error"),
             score.alias("score"), F.coalesce(j["reason"], F.lit("")).alias("reason"), F.coalesce(j["skip_flags"], F.array().cast("array<string>")).alias("skip_flags"), j["workplace"].alias("workplace"),
             whole(j["office_days_per_month"]).alias("office_days_per_month"), whole(j["years_required"]).alias("years_required"), j["work_authorization"].alias("work_authorization"),
         )

@@ -12,6 +12,7 @@ from jobweave import schemas
 from jobweave.operators import changes, ingest, pacing, ranking, reads, scoring, vectors
 from jobweave.operators.store import Store, upsert, write_partitions
 from jobweave.operators.writes import UnknownStatus, Writes, as_postings
+from jobweave.plans import catalog
 
 NOW = datetime(2024, 3, 1, 12)
 POSTING = "id string, source string, source_id string, company string, title string, url string, location string, description string, fetched_at timestamp, posted_at timestamp"
@@ -269,6 +270,26 @@ def test_replies(spark):
     assert got[0]["years_required"] == 5 and got[1]["skip_flags"] == []
 
 
+def test_a_reply_is_read_on_the_scale_that_was_asked_for(spark):
+    df = spark.createDataFrame([('{"score": 101}',), ('{"score": 120}',), ('{"score": 121}',), ('{"score": -1}',)], "r string")
+    wide, usual = scoring.parse_reply(F.col("r"), 120), scoring.parse_reply(F.col("r"))
+    got = [tuple(r) for r in df.select(wide["score"].alias("score"), wide["error"].alias("error")).collect()]
+    assert got == [(101, None), (120, None), (None, "score out of range: 121"), (None, "score out of range: -1")]
+    assert [r[0] for r in df.select(usual["score"]).collect()] == [None] * 4
+
+
+def test_paced_replies_to_keys_of_many_digits(spark, tmp_path):
+    """Sums of digits beyond 100, as the SQL of the query gives them; larger tables have such keys."""
+    duckdb = pytest.importorskip("duckdb")
+    keys = [(0, 0), (1, 15), (6958989, 895799), (8999999, 898999), (8999998, 899998), (8999999999999999999, 8999999999999999999), (8999999999999999998, 8999999999999999998)]
+    spark.createDataFrame(keys, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(tuple(r) for r in catalog.paced_replies(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert got == sorted(con.execute(catalog.ORACLE_SQL["paced_replies"]).fetchall())
+    assert max(score for _, score, _ in got if score) > 300
+
+
 def test_scoring_survives_a_bad_call(spark):
     class Parrot:
         name = "parrot"
